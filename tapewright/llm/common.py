@@ -74,35 +74,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words [^\\x20\\x09-\\x0D]+ of the rows, in order, and the n + 1 word offsets of the rows.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+WORD_BYTES = np.ones(256, bool)
+WORD_BYTES[list(SPACES)] = False
 
-    A word's hash is a polynomial over its bytes (A-Z lowered if asked), so equal words have equal hashes in any row."""
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of bytes for which inside is true, in order, and the n + 1 places of the rows among them."""
     n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    table = np.arange(256, dtype=np.uint8)
-    if lower:
-        table[65:91] += 32
-    is_space = np.zeros(256, bool)
-    is_space[list(SPACES)] = True
-    word = ~is_space[raw]
+    word = inside[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    start = word & edge[:-1]
-    start[1:] |= word[1:] & ~word[:-1]
-    stop = word & edge[1:]
-    stop[:-1] |= word[:-1] & ~word[1:]
-    starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    start, stop = word & edge[:-1], word & edge[1:]
+    if n > 1:
+        start[1:] |= word[1:] & ~word[:-1]
+        stop[:-1] |= word[:-1] & ~word[1:]
+    starts = np.flatnonzero(start)
+    return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
+
+
+def running_hash(raw: np.ndarray, table: np.ndarray = LOWER) -> np.ndarray:
+    """Sums from which span_hashes() has the hash of any span of bytes, each byte first replaced as table says."""
     values = mixed(np.arange(1, 257, dtype=np.uint64))[table]
-    powers, inverse = power_tables(n)
-    sums = np.empty(n + 1, np.uint64)
+    sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(values[raw] * powers[:n], out=sums[1:])
-    hashes = mixed((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    np.cumsum(values[raw] * power_tables(len(raw))[0][: len(raw)], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans: equal bytes, equal hash, wherever they stand."""
+    inverse = power_tables(len(sums))[1]
+    return mixed((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words [^\\x20\\x09-\\x0D]+ of the rows, in order, and the n + 1 places of the rows among them."""
+    starts, stops, bounds = word_spans(raw, offsets)
+    return span_hashes(running_hash(raw, table), starts, stops), bounds
 
 
 _POWERS: dict[str, np.ndarray] = {}
