@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import power_tables, read_table, text_bytes
+from tapewright.llm.common import LOWER, power_tables, read_table, text_bytes
 
 WINDOW = 16  # bytes under the rolling hash
 CHUNK_BITS = 9  # a cut each 512 bytes or so
 WORDS_KEPT, CHUNKS_KEPT = 300_000, 20_000
-#: White space for Python's split, but not for the tokenizer.
-NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,14 +45,14 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[bytes, tuple] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.ids) + len(words) > WORDS_KEPT and len(self.ids) > WORDS_KEPT // 2:
-            self.ids.clear(), self.text.clear(), self.chunks.clear()
-        new = [w for w in words if w not in self.ids]
+        new = list(words - self.known.keys())
+        if len(self.known) + len(new) > WORDS_KEPT and len(self.known) > WORDS_KEPT // 2:
+            self.known.clear(), self.chunks.clear()
+            new = list(words)
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
             found = self.library.encode(" ".join(some), add_special_tokens=False)
@@ -63,8 +61,7 @@ class WordEncoder:
             cuts = np.searchsorted(np.array([x for x, _ in found.offsets], np.int64), starts)
             data, names, bounds = ids.tobytes(), found.tokens, cuts.tolist()
             for word, a, b in zip(some, bounds, bounds[1:]):
-                self.ids[word] = data[4 * a : 4 * b]
-                self.text[word] = " ".join(names[a:b])
+                self.known[word] = data[4 * a : 4 * b], " ".join(names[a:b])
 
     def whole(self, text: str) -> tuple[bytes, str]:
         found = self.library.encode(text, add_special_tokens=False)
@@ -96,6 +93,20 @@ def cut_points(raw: np.ndarray) -> np.ndarray:
     return cuts[(raw[cuts] & 0xC0) != 0x80]
 
 
+def unified(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts with A-Z lowered and a space before a full stop or comma between a-z and white space.
+
+    The tokenizer lowers letters and parts the two in any case, so that ids stay; more words are then equal. Where a special token may
+    stand, which is read as written, nothing is done."""
+    if np.any((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)):
+        return raw, bounds
+    raw = LOWER[raw]
+    stop = (raw[1:-1] == 0x2E) | (raw[1:-1] == 0x2C)
+    stop &= (raw[:-2] >= 97) & (raw[:-2] <= 122) & ((raw[2:] == 32) | (raw[2:] == 10))
+    at = np.flatnonzero(stop) + 1
+    return np.insert(raw, at, 32), bounds + np.searchsorted(at, bounds)
+
+
 def pieces_of(chunk: str) -> tuple[str, list[str], str, bool]:
     """What stands before the first and after the last white space, the words between, and whether there is white space."""
     words = chunk.split()
@@ -114,8 +125,9 @@ def encode_texts(texts: pa.Array, path: str, window_bytes: int = 8 << 20) -> Ite
     row = 0
     while row + 1 < len(offsets):
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + window_bytes, "right")) - 1)
-        part = raw[offsets[row] : offsets[stop]]
-        bounds = offsets[row : stop + 1] - offsets[row]
+        original, part = raw[offsets[row] : offsets[stop]], raw[offsets[row] : offsets[stop]]
+        bounds = limits = offsets[row : stop + 1] - offsets[row]
+        part, bounds = unified(part, bounds)
         edges = np.union1d(cut_points(part), bounds)
         first = np.searchsorted(edges, bounds)
         data = part.tobytes()
@@ -127,17 +139,21 @@ def encode_texts(texts: pa.Array, path: str, window_bytes: int = 8 << 20) -> Ite
             new = set(keys)
         split = {k: pieces_of(k.decode("utf-8", "replace")) for k in new}
         coder.learn({w for _, words, _, _ in split.values() for w in words})
-        if len(coder.chunks) + len(new) != len(coder.chunks.keys() | new):  # learn() made room
-            new = set(keys)
-        for k in set(keys) - coder.chunks.keys():
+        for k in set(keys) - coder.chunks.keys():  # more than new if learn() made room
             head, words, tail, spaced = split.get(k) or pieces_of(k.decode("utf-8", "replace"))
-            coder.learn(missing) if (missing := {w for w in words if w not in coder.ids}) else None
-            coder.chunks[k] = (head, b"".join([coder.ids[w] for w in words]), " ".join([coder.text[w] for w in words]), tail, spaced)
+            try:
+                found = [coder.known[w] for w in words]
+            except KeyError:
+                coder.learn(set(words))
+                found = [coder.known[w] for w in words]
+            coder.chunks[k] = (head, b"".join([x for x, _ in found]), " ".join([x for _, x in found]), tail, spaced)
         # joins: the words that stand across cuts
         plans, joined = [], set()
+        found = np.searchsorted(np.flatnonzero((part >= 0x1C) & (part <= 0x1F)), bounds)
+        odd = (found[1:] > found[:-1]).tolist()  # white space for Python's split, but not for the tokenizer
         for at in range(stop - row):
             plan, held = [], []
-            if any(c in data[bounds[at] : bounds[at + 1]] for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f")):
+            if odd[at]:
                 plans.append(None)
                 continue
             for k in keys[first[at] : first[at + 1]]:
@@ -153,16 +169,13 @@ def encode_texts(texts: pa.Array, path: str, window_bytes: int = 8 << 20) -> Ite
                 plan.append(word)
                 joined.add(word)
             plans.append(plan)
-        coder_chunks = coder.chunks
         coder.learn(joined)
-        missing = joined - coder.ids.keys()
-        assert not missing and coder_chunks is coder.chunks
         for at, plan in enumerate(plans):
             if plan is None:
-                yield coder.whole(data[bounds[at] : bounds[at + 1]].decode("utf-8", "replace"))
+                yield coder.whole(original[limits[at] : limits[at + 1]].tobytes().decode("utf-8", "replace"))
                 continue
-            ids = b"".join([coder.ids[p] if isinstance(p, str) else p[1] for p in plan])
-            yield ids, " ".join([t for p in plan if (t := coder.text[p] if isinstance(p, str) else p[2])])
+            found = [coder.known[p] if isinstance(p, str) else p[1:3] for p in plan]
+            yield b"".join([x for x, _ in found]), " ".join([x for _, x in found if x])
         row = stop
 
 
