@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import drop_table, mixed, read_table, text_bytes, word_hashes, written
+from tapewright.llm.common import drop_table, mixed, read_table, small_batches, text_bytes, word_hashes, written
 from tapewright.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -67,10 +67,10 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     full = left >= WORDS
     parts, rows = [rolled[full]], [row[full]]
     for at in np.flatnonzero((counts > 0) & (counts < WORDS)):  # all words of a short text
-        x = _U(counts[at])
-        for h in hashes[bounds[at] : bounds[at + 1]]:
-            x = mixed(np.array([x * _U(0x9E3779B97F4A7C15) + h], _U))[0]
-        parts.append(np.array([x], _U))
+        x = np.array([counts[at]], _U)
+        for k in range(bounds[at], bounds[at + 1]):
+            x = mixed(x * _U(0x9E3779B97F4A7C15) + hashes[k : k + 1])
+        parts.append(x)
         rows.append(np.array([at]))
     keys, row = np.concatenate(parts), np.concatenate(rows)
     order = np.argsort(keys)
@@ -245,7 +245,7 @@ def linked(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             keys, bounds = shingle_sets(batch.column("text"))
             sketch = sketches(keys, bounds)
             own = set_keys(keys, bounds)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import crc_mod, read_table, running_hash, span_hashes, text_bytes, word_spans
+from tapewright.llm.common import crc_mod, read_table, running_hash, small_batches, span_hashes, text_bytes, word_spans
 
 POSITIVES, UNLABELLED = 3000, 12000
 DIMENSIONS = 1 << 18
@@ -76,8 +76,8 @@ def gathered(docs: DataFrame, within: np.ndarray | None) -> list[tuple[np.ndarra
     """Features of a bounded sample, a pair of arrays for each text; only those in within."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, bucket, value = features(batch.column(0))
+        for batch in small_batches(batches):
+            row, bucket, value = features(batch.column("text"))
             if within is not None:
                 kept = np.isin(bucket, within)
                 row, bucket, value = row[kept], bucket[kept], value[kept]
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model | None, text="text") -> DataFrame:
         weights = np.zeros(2 * DIMENSIONS)
         if model is not None:
             weights[model.features] = model.weights
-        for batch in batches:
+        for batch in small_batches(batches, text):
             sums = np.full(batch.num_rows, -np.inf)
             if model is not None:
                 row, bucket, value = features(batch.column(names.index(text)).cast(pa.string()))
