@@ -38,19 +38,26 @@ def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate([np.zeros(1, _U), np.cumsum((points.astype(_U) + _U(1)) * powers[: len(points)], dtype=_U)])
     counts = np.maximum(sizes - K + 1, 1)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    row = np.repeat(np.arange(len(texts)), counts)
-    starts = np.arange(bounds[-1]) - bounds[:-1][row] + offsets[:-1][row]
-    stops = np.minimum(starts + K, offsets[1:][row])
-    kmers = mixed((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(_U))
-    own = mixed(kmers ^ (row.astype(_U) * _U(0x9E3779B97F4A7C15)))  # equal only within a text
-    order = np.argsort(own, kind="stable")
-    ordered = own[order]
-    new = np.ones(len(order), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    again = np.flatnonzero(~new)
-    if len(again):
-        first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        kmers[order[again]] = mixed(kmers[order[again]] + (again - first[again]).astype(_U) * _U(0x632BE59BD9B4E019))
+    starts = np.arange(bounds[-1]) + np.repeat(offsets[:-1] - bounds[:-1], counts)
+    width = _U(K)
+    every = mixed((sums[K:] - sums[:-K]) * inverse[: max(0, len(sums) - K)] + width) if len(sums) > K else np.zeros(0, _U)
+    kmers = every[np.minimum(starts, len(every) - 1)] if len(every) else np.zeros(len(starts), _U)
+    short = np.flatnonzero(sizes < K)  # one k-mer of what there is
+    kmers[bounds[short]] = mixed((sums[offsets[short + 1]] - sums[offsets[short]]) * inverse[offsets[short]] + sizes[short].astype(_U))
+
+    own = kmers ^ np.repeat(mixed(np.arange(1, len(texts) + 1, dtype=_U)), counts)  # equal only within a text
+    ordered = np.sort(own)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if len(again):  # most k-mers occur once: only those that share a bucket with a repeated one are numbered
+        bucket = np.zeros(1 << 20, bool)
+        bucket[again >> _U(44)] = True
+        some = np.flatnonzero(bucket[own >> _U(44)])
+        order = some[np.argsort(own[some], kind="stable")]
+        new = np.ones(len(order), bool)
+        new[1:] = own[order[1:]] != own[order[:-1]]
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        later = order[nth > 0]
+        kmers[later] = mixed(kmers[later] + nth[nth > 0].astype(_U) * _U(0x632BE59BD9B4E019))
     return kmers, bounds
 
 
