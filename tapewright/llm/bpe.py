@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWER, power_tables, read_table, text_bytes
+from tapewright.llm.common import power_tables, read_table, text_bytes
+from tapewright.llm.words import unified
 
 WINDOW = 16  # bytes under the rolling hash
 CHUNK_BITS = 9  # a cut each 512 bytes or so
@@ -93,20 +94,6 @@ def cut_points(raw: np.ndarray) -> np.ndarray:
     return cuts[(raw[cuts] & 0xC0) != 0x80]
 
 
-def unified(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same texts with A-Z lowered and a space before a full stop or comma between a-z and white space.
-
-    The tokenizer lowers letters and parts the two in any case, so that ids stay; more words are then equal. Where a special token may
-    stand, which is read as written, nothing is done."""
-    if np.any((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)):
-        return raw, bounds
-    raw = LOWER[raw]
-    stop = (raw[1:-1] == 0x2E) | (raw[1:-1] == 0x2C)
-    stop &= (raw[:-2] >= 97) & (raw[:-2] <= 122) & ((raw[2:] == 32) | (raw[2:] == 10))
-    at = np.flatnonzero(stop) + 1
-    return np.insert(raw, at, 32), bounds + np.searchsorted(at, bounds)
-
-
 def pieces_of(chunk: str) -> tuple[str, list[str], str, bool]:
     """What stands before the first and after the last white space, the words between, and whether there is white space."""
     words = chunk.split()

@@ -28,13 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MOST_RANGES = 4096
+
+
+def range_starts(df: DataFrame, number: str) -> np.ndarray:
+    """Least values, ascending, of ranges of about equal rows of a long column: at most MOST_RANGES come to the driver."""
+    spark = df.sparkSession
+    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    spread = df.agg(F.percentile_approx(number, [x / ranges for x in range(1, ranges)] or [0.5], 10_000)).first()[0]
+    bounds = np.unique(np.array(spread or [0], np.int64))
+
+    def placed(batches):
+        for batch in batches:
+            at = np.searchsorted(bounds, batch.column(0).to_numpy(), "right")
+            yield pa.record_batch([batch.column(0), pa.array(at.astype(np.int32))], ["number", "at"])
+
+    least = df.select(number).mapInArrow(placed, "number long, at int").groupBy("at").agg(F.min("number").alias("least"))
+    return np.sort(np.array([r[0] for r in least.select("least").collect()], np.int64))
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes a table of written() once nothing reads it any more."""
     spark = df.sparkSession

@@ -19,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import mixed, power_tables, read_table, small_batches
+from tapewright.llm.common import mixed, power_tables, range_starts, read_table, small_batches
 
 K, SIZE, TAKEN = 8, 32, 2
 LIKELY = 16  # candidates that a text has for the least hashes on average; all its elements are looked at if they are too few
-MOST_RANGES = 4096
 
 _U = np.uint64
 _FACTORS = (mixed(np.arange(101, 101 + SIZE, dtype=_U)) >> _U(32)).astype(np.uint32) | np.uint32(1)
@@ -103,19 +102,10 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_neighbours(docs: DataFrame, ranges: int) -> DataFrame:
+def with_neighbours(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in ranges of the id, each sorted, and at the end of a range the first rows of the next one (ahead = 1)."""
-    spread = docs.agg(F.percentile_approx("doc_id", [x / ranges for x in range(1, ranges)] or [0.5], 10_000)).first()[0]
-    bounds = np.unique(np.array(spread or [0], np.int64))
     number = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long")
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.searchsorted(bounds, batch.column("number").to_numpy(), "right")
-            yield pa.record_batch([batch.column("number"), pa.array(at.astype(np.int32))], ["number", "at"])
-
-    least = docs.select(number.alias("number")).mapInArrow(placed, "number long, at int").groupBy("at").agg(F.min("number").alias("least"))
-    firsts = np.sort(np.array([r[0] for r in least.select("least").collect()], np.int64))  # one for each range
+    firsts = range_starts(docs.select(number.alias("number")), "number")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -163,9 +153,8 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_edits(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ranges = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism))
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_neighbours(rows, ranges).mapInArrow(compared, schema)
+    return with_neighbours(rows).mapInArrow(compared, schema)
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
