@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "bpe", "toxicity", "jaccard_join", "suffix_dedup", "order_minhash", "token_files")
+MODULES = ("mixing", "bpe", "toxicity", "jaccard_join", "suffix_dedup", "order_minhash", "token_files", "webp", "preference")
 
 
 def _gather(what: str) -> dict:
