@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "bpe", "toxicity", "jaccard_join", "suffix_dedup", "order_minhash", "token_files", "webp", "preference")
+MODULES = ("backoff_lm", "toxicity", "mixing", "webp", "preference", "suffix_dedup", "order_minhash", "jaccard_join", "token_files", "bpe")
 
 
 def _gather(what: str) -> dict:
