@@ -1,12 +1,47 @@
-"""Cleaning of the documents in stages: each reads what the one before has written."""
+"""Cleaning of the documents in stages: each reads what the one before has written.
+
+The toxicity stage drops the documents that score at or over the operator's threshold; of each linked group of near-duplicates the one
+with the least id stays; repeated strings are cut out of the texts (a text that is cut away wholly stays as an empty
+one); the mix takes every document as many times as its source's target asks for; the last stage encodes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tapewright.llm import bpe, jaccard_join, mixing, suffix_dedup, toxicity
 from tapewright.llm.common import read_table, written
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.deduplicated(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, bpe.tokenizer_path()).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
 #: The stages learn, sort suffixes and tokenize: no SQL for them. tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
