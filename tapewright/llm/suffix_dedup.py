@@ -210,8 +210,8 @@ def sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield solve(pa.Table.from_batches(held))
 
 
-def cleaned(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The kept bytes of every text."""
+def cleaned(batches: Iterator[pa.RecordBatch], names: list[str], as_text: bool = False) -> Iterator[pa.RecordBatch]:
+    """The kept bytes of every text; as text without characters that a cut has split."""
     for batch in small_batches(batches):
         raw, offsets = text_bytes(batch.column("text"))
         change = np.zeros(len(raw) + 1, np.int64)
@@ -230,13 +230,17 @@ def cleaned(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
         at = (offsets - sums[offsets]).tolist()
         found = [kept[a:b] for a, b in zip(at, at[1:])]
         own = [batch.column(c) for c in names]
-        yield pa.record_batch([*own, pa.array(np.diff(offsets)), pa.array(np.diff(sums[offsets])), pa.array(np.diff(spans[offsets])), pa.array(found, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+        value = pa.array([x.decode("utf-8", "ignore") for x in found], pa.string()) if as_text else pa.array(found, pa.binary())
+        yield pa.record_batch([*own, pa.array(np.diff(offsets)), pa.array(np.diff(sums[offsets])), pa.array(np.diff(spans[offsets])), value], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def without_repeats(docs: DataFrame, text="text", keep=("doc_id",)) -> DataFrame:
-    """The columns of keep with n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs."""
+def without_repeats(docs: DataFrame, text="text", keep=("doc_id",), as_text: bool = False) -> DataFrame:
+    """The columns of keep with n_bytes, n_removed, n_spans and kept (the remaining bytes, or text) of every row of docs.
+
+    The columns of keep may have any names but these four, text and runs, for which they stand as own_0, own_1 ... on the way."""
+    names = [f"own_{k}" for k in range(len(keep))]
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("own"), value.alias("text"), F.unhex(F.md5(value.cast("binary"))).alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]).alias("own"), value.alias("text"), F.unhex(F.md5(value.cast("binary"))).alias("key"))
     long = rows.filter(F.octet_length("text") >= SPAN).select("key", "text")
     anchors = written(long.mapInArrow(find_anchors, "anchor long, key binary, place int"), "anchors")
     again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
@@ -269,16 +273,20 @@ def without_repeats(docs: DataFrame, text="text", keep=("doc_id",)) -> DataFrame
         every = every.unionByName(more)
     removed = every.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
     dealt = rows.join(removed, "key", "left").select("own.*", "text", "runs")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema)
-    return dealt.mapInArrow(lambda it: cleaned(it, list(keep)), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    fields = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]).schema
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "string" if as_text else "binary")):
+        fields = fields.add(name, kind)
+    out = dealt.mapInArrow(lambda it: cleaned(it, names, as_text), fields)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def deduplicated(docs: DataFrame, text="text") -> DataFrame:
     """docs with the repeated strings cut out of the text; characters that a cut has split are dropped. A text that is cut away wholly is left empty."""
     others = [c for c in docs.columns if c != text]
-    kept = without_repeats(docs, text, others)
-    value = F.when(F.col("n_removed") > 0, F.regexp_replace(F.decode(F.col("kept"), F.lit("UTF-8")), "\ufffd", "")).otherwise(F.decode(F.col("kept"), F.lit("UTF-8")))
-    return kept.withColumn(text, value).select(*[f"`{c}`" for c in docs.columns])
+    plain = docs.select(F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(others)])
+    kept = without_repeats(plain, "text", [f"kept_{k}" for k in range(len(others))], as_text=True)
+    back = {text: F.col("kept")} | {c: F.col(f"kept_{k}") for k, c in enumerate(others)}
+    return kept.select(*[back[c].alias(c) for c in docs.columns])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
