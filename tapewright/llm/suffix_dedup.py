@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import drop_table, mixed, power_tables, read_table, running_hash, small_batches, span_hashes, text_bytes, written
 
-SPAN, K = 200, 32
+SPAN, K = 200, 64
 REACH = SPAN - K  # bytes on either side of an anchor that a window with it can cover
-GROUP_PIECES = 2048  # different pieces of an anchor that one task takes
+GROUP_PIECES = 1 << 15  # different pieces of an anchor that one task takes: 10 MB of text
 SPLITS = (8, REACH + 1)  # parts into which the windows of a larger group go, then of one still too large
 BLOCK_BYTES = 1 << 20
 PLACE_BITS = 30
@@ -114,8 +114,9 @@ def once_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(out.columns, ["anchor", "piece", "place", "bytes", "n"])
 
 
-def suffix_array(raw: np.ndarray, depth: int = SPAN) -> np.ndarray:
-    """Places of all suffixes in the order of their first depth bytes, by two-stage sorting."""
+def suffix_array(raw: np.ndarray, depth: int = SPAN, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of suffixes in the order of their first depth bytes, by two-stage sorting: of all, or of the wanted ones and
+    those that follow from the same directly sorted ones."""
     n, data = len(raw), raw.tobytes()
     if n == 0:
         return np.zeros(0, np.int64)
@@ -126,7 +127,11 @@ def suffix_array(raw: np.ndarray, depth: int = SPAN) -> np.ndarray:
     differs = np.where(rise != 0, np.arange(n), n)
     small = rise[np.minimum.accumulate(differs[::-1])[::-1]] > 0
     direct = np.flatnonzero(small)
-    direct = np.array(sorted(direct.tolist(), key=lambda i: data[i : i + depth]), np.int64)
+    if wanted is not None:  # the small suffixes that are wanted, and the first one after each wanted large one
+        before = np.maximum.accumulate(np.where(wanted, np.arange(n), -1))  # the last wanted place up to here
+        last = np.concatenate([[-1], direct[:-1]])
+        direct = direct[before[direct] > last]
+    direct = direct[np.argsort(raw[direct], kind="stable")]
     cuts = np.searchsorted(raw[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[raw[-1]].append(np.array([n - 1]))
@@ -138,7 +143,8 @@ def suffix_array(raw: np.ndarray, depth: int = SPAN) -> np.ndarray:
             large.append(wave)
             before = wave[wave > 0] - 1
             wave = before[(raw[before] == byte) & ~small[before]]
-        bucket = np.concatenate([*large, direct[cuts[byte] : cuts[byte + 1]]])
+        sorted_small = sorted(direct[cuts[byte] : cuts[byte + 1]].tolist(), key=lambda i: data[i : i + depth])
+        bucket = np.concatenate([*large, np.array(sorted_small, np.int64)])
         if not len(bucket):
             continue
         out.append(bucket)
@@ -155,8 +161,9 @@ def suffix_array(raw: np.ndarray, depth: int = SPAN) -> np.ndarray:
 def repeated_windows(anchor: np.ndarray, place: np.ndarray, n: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts, in raw, of the windows of pieces that occur again at the same place of the same anchor."""
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    order = suffix_array(raw)
-    order = order[order + SPAN <= ends[order]]
+    wanted = np.arange(len(raw)) + SPAN <= ends
+    order = suffix_array(raw, SPAN, wanted)
+    order = order[wanted[order]]
     if not len(order):
         return order
     # adjacent common prefixes: of SPAN bytes or less; those that look equal by hash are compared byte by byte
