@@ -159,7 +159,7 @@ def token_blocks(docs: DataFrame, path: str, text="text", doc_id="doc_id", end_i
         words = table(path)
         if words.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        for batch in small_batches(batches, most=8 << 20):
+        for batch in small_batches(batches, most=2 << 20):
             raw, offsets = text_bytes(batch.column("text"))
             ids, bounds = words.encode(raw, offsets)
             ids = np.insert(ids.astype("<u2"), bounds[1:], end_id)

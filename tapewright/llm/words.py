@@ -11,7 +11,7 @@ import numpy as np
 
 from tapewright.llm.common import LOWER, WORD_BYTES, running_hash, span_hashes, word_spans
 
-WORDS_KEPT = 600_000
+WORDS_KEPT = 250_000
 
 
 def unified(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
