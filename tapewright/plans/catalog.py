@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tapewright.plans.market import MARKET
+
+_ALL = MARKET
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
