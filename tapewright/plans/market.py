@@ -220,7 +220,7 @@ MARKET: dict[str, tuple] = {
     "n6_parse_side": (n6, "SELECT event_id, CASE WHEN lower(event_type) = 'purchase' THEN 'Buy' WHEN lower(event_type) = 'view' THEN 'Sell' ELSE 'Unknown' END AS side FROM events"),
     "n7_parse_numbers": (n7, "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value END AS number, user_id AS whole FROM events"),
     "n8_parse_exchange_ts": (n8, "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE epoch_us(ts) END AS us FROM events"),
-    "n9_format_exchange_ts": (n9, "SELECT event_id AS ingest_seq, strftime(make_timestamp(epoch_ms(ts) * 1000), '%Y-%m-%dT%H:%M:%S.%fZ') AS text FROM events"),
+    "n9_format_exchange_ts": (n9, "SELECT event_id AS ingest_seq, strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%fZ') AS text FROM events"),
     "n10_valid_symbol": (n10, "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN upper(event_type) || '-USD' END AS symbol, CASE WHEN user_id % 2 = 0 THEN upper(event_type) END AS ticker FROM events"),
     "n11_sequence_audit": (
         n11,
@@ -260,10 +260,10 @@ MARKET: dict[str, tuple] = {
     "b9_band_filter": (
         b9,
         _with(
-            """SELECT product_id, g, side, tick, qty FROM (SELECT *, max(CASE WHEN inside THEN 1 ELSE 0 END) OVER w AS some, min(CASE WHEN side = 'bid' THEN -tick ELSE tick END) OVER w AS best FROM (
+            """SELECT product_id, g, side, tick, qty FROM (SELECT *, max(CASE WHEN inside THEN 1 ELSE 0 END) OVER w AS any_in, min(CASE WHEN side = 'bid' THEN -tick ELSE tick END) OVER w AS best FROM (
  SELECT s.*, abs(tick - mid) <= CASE WHEN span > 0 THEN least(CASE WHEN mid * 0.25 > 0 THEN mid * 0.25 ELSE 100 END, span / 2) ELSE CASE WHEN mid * 0.25 > 0 THEN mid * 0.25 ELSE 100 END END AS inside
  FROM sampled s JOIN mids USING (product_id, g) JOIN (SELECT product_id, g, (max(tick) - min(tick)) * 1.0::DOUBLE AS span FROM sampled GROUP BY ALL) USING (product_id, g)) WINDOW w AS (PARTITION BY product_id, g, side))
- WHERE inside OR (some = 0 AND (CASE WHEN side = 'bid' THEN -tick ELSE tick END) = best)""",
+ WHERE inside OR (any_in = 0 AND (CASE WHEN side = 'bid' THEN -tick ELSE tick END) = best)""",
             _BOOK_DAILY + _MIDS,
         ),
     ),

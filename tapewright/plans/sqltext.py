@@ -1,8 +1,8 @@
 """The views as SQL, for the comparison queries."""
 
-TRADES = """trades AS (SELECT event_type AS product_id, concat('t', event_id) AS trade_id, epoch_ms(ts) AS ts_ms, event_id AS ingest_seq,
+TRADES = """trades AS (SELECT event_type AS product_id, concat('t', event_id) AS trade_id, epoch_us(ts) // 1000 AS ts_ms, event_id AS ingest_seq,
  CASE user_id % 3 WHEN 0 THEN 'Buy' WHEN 1 THEN 'Sell' ELSE 'Unknown' END AS side, value AS price, CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS size FROM events)"""
-L2 = """l2 AS (SELECT event_type AS product_id, epoch_ms(ts) AS ts_ms, event_id AS seq, 0 AS ord,
+L2 = """l2 AS (SELECT event_type AS product_id, epoch_us(ts) // 1000 AS ts_ms, event_id AS seq, 0 AS ord,
  CASE WHEN (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 500 = 0 THEN 'snapshot' ELSE 'update' END AS kind,
  CASE WHEN user_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, CAST(floor(value) AS DOUBLE) AS price,
  CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) END AS quantity FROM events)"""
