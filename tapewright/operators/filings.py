@@ -96,7 +96,7 @@ def filing_cik(rows: DataFrame, cik_map: DataFrame) -> DataFrame:
 
 def filings_for(tickers: DataFrame, filings: DataFrame, form: str | None, as_of: str, days_back: int | None = None) -> DataFrame:
     """Number of filings of every ticker asked for, those without any too, and the latest."""
-    found = filings_by_form(filings, form, as_of, days_back).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_filings"), F.max("filing_date").alias("latest"))
+    found = filings_by_form(filings, form, as_of, days_back).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_filings"), F.max("filing_date").cast("string").alias("latest"))
     return tickers.select("ticker").distinct().join(found, "ticker", "left").withColumn("n_filings", F.coalesce("n_filings", F.lit(0)))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tapewright.plans.filings import FILINGS
 from tapewright.plans.market import MARKET
+from tapewright.plans.streams import STREAMS
 
-_ALL = MARKET
+_ALL = MARKET | FILINGS | STREAMS
 
 
 def queries() -> dict:
