@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapewright.functions.parse import parse_book_side, parse_double, parse_exchange_ts, parse_side
 
 _TRADE = "struct<trade_id:string,product_id:string,price:string,size:string,side:string,time:string>"
 _UPDATE = "struct<side:string,event_time:string,price_level:string,new_quantity:string>"
-MESSAGE = T.StructType.fromDDL(
+MESSAGE = (
     "channel string, type string, message string, timestamp string, sequence_num bigint, product_id string, "
     f"product_ids array<string>, trades array<{_TRADE}>, "
     f"events array<struct<type:string,product_id:string,product_ids:array<string>,trades:array<{_TRADE}>,updates:array<{_UPDATE}>>>"
