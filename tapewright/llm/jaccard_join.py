@@ -243,16 +243,19 @@ def linked(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET
     n_links (other rows of similarity SIMILARITY or more) and n_texts (other sets of that similarity)."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             keys, bounds = shingle_sets(batch.column("text"))
             sketch = sketches(keys, bounds)
             own = set_keys(keys, bounds)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(own), pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "key", "sketch"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(own), pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "text_hash", "key", "sketch"])
 
-    members = written(rows.mapInArrow(described, f"doc_id {kind}, key long, sketch binary"), "members")
-    classes = members.filter("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    members = written(rows.mapInArrow(described, f"doc_id {kind}, text_hash long, key long, sketch binary"), "members")
+    one = F.min(F.struct("doc_id", "text_hash"))  # a row with the class's text
+    least = F.min("doc_id")
+    classes = members.filter("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("weight"), least.alias("doc_id"), one.alias("one"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     tokens = classes.select("key", "sketch")
 
@@ -291,8 +294,9 @@ def linked(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     texts = (
         group.join(sizes, "label")
-        .join(classes.select("key", "weight", F.col("doc_id").alias("first_id")), F.col("node") == F.col("key"))
-        .join(rows, F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .join(classes.select("key", "weight", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), F.col("node") == F.col("key"))
+        .join(rows, (F.col("text_hash") == F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
+        .dropDuplicates(["key"])
         .select("label", "key", "weight", "text", blocks.alias("blocks"), F.pmod("key", blocks).cast("int").alias("side"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("side", "other"))
@@ -327,12 +331,14 @@ def linked(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET
 
 
 def one_of_each(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """The rows of docs without near-duplicates of a row with a lesser id: one of each linked group stays."""
+    """The rows of docs without near-duplicates of a row with a lesser id: one of each linked group stays. Rows without an id stay."""
     groups = written(linked(docs, text, doc_id), "linked")
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone_id"))
-    kept = docs.join(gone.distinct(), docs[doc_id] == F.col("gone_id"), "left_anti")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{doc_id}`").alias("its_id"))
+    kept = whole.join(gone.distinct(), F.col("its_id") == F.col("gone_id"), "left_anti")
     heads = groups.filter("n_copies > 1 and doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return kept if heads.isEmpty() else kept.dropDuplicates([doc_id])  # repeated rows with one id
+    kept = kept if heads.isEmpty() else kept.withColumn("its_key", F.coalesce(F.col("its_id").cast("string"), F.uuid())).dropDuplicates(["its_key"])  # repeated rows with one id
+    return kept.select("whole.*")
 
 
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

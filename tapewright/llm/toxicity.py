@@ -117,6 +117,15 @@ def nnpu(positive: list, unlabelled: list, prior: float, steps=STEPS, rate=RATE,
         a, b = 1 - 0.9**t, 1 - 0.999**t
         weights -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-8)
+    # The mean probability over unlabelled texts is the prior: holds the bias where the estimator's last steps have moved it.
+    score = np.bincount(row, weights[code] * value, n_p + n_u)[n_p:]
+    low, high = -40.0, 40.0
+    for _ in range(60):
+        bias = (low + high) / 2
+        if (1 / (1 + np.exp(-np.clip(score + bias, -30, 30)))).mean() > prior:
+            high = bias
+        else:
+            low = bias
     return Model(names, weights, float(bias))
 
 
@@ -178,7 +187,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """The rows of docs whose text scores below the threshold, with the columns of docs."""
     held_out = crc_mod("doc_id", 4) == 2
     model = fit(docs.select("doc_id", "text").filter(~held_out), labels.select("doc_id", "toxic").filter(~held_out))
-    return score(docs, model).filter(F.col("toxicity_score") < threshold).select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("text").cast("string").alias("text"))
+    return score(rows, model).filter(F.col("toxicity_score") < threshold).select("whole.*")
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}

@@ -633,7 +633,8 @@ def store(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
 
 def pixels(files: DataFrame, media="media") -> DataFrame:
     """Adds width, height and pixels (ARGB words as array<long>) of the first image of each file in a binary column; null stays null."""
-    names, schema = files.columns, files.schema.add("width", "int").add("height", "int").add("pixels", "array<bigint>")
+    names = files.columns
+    schema = files.withColumns({c: F.lit(None).cast(k) for c, k in (("width", "int"), ("height", "int"), ("pixels", "array<bigint>"))}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, media):
