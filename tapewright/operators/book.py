@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.operators.carry import running_last
+from tapewright.operators.carry import running_last, running_sum
 
 LEVEL = ["product_id", "generation", "side", "tick"]
 
@@ -62,6 +62,25 @@ def grid_intervals(changes: DataFrame, ends: DataFrame, step_ms: int) -> DataFra
     return rows.select("product_id", "side", "tick", "qty", "from_g", "to_g")
 
 
+def message_samples(l2: DataFrame) -> DataFrame:
+    """(product_id, seq, ts_ms, g): each update message is a sample of the book, numbered from 0; snapshots change it silently and show at the next update.
+
+    Snapshot messages have the number of the next sample."""
+    per = l2.groupBy("product_id", "seq").agg(F.min("ts_ms").alias("ts_ms"), F.max((F.col("kind") == "update").cast("int")).alias("is_update"))
+    return running_sum(per, ["product_id"], "seq", F.col("is_update"), "upto").select("product_id", "seq", "ts_ms", "is_update", (F.col("upto") - F.col("is_update")).cast("long").alias("g"))
+
+
+def message_intervals(changes: DataFrame, ends: DataFrame, samples: DataFrame) -> DataFrame:
+    """The half-open range of samples at which each quantity is seen."""
+    place = samples.select("product_id", "seq", "g")
+    count = samples.groupBy("product_id").agg(F.sum("is_update").cast("long").alias("last_to"))
+    rows = changes.join(place, ["product_id", "seq"]).withColumnRenamed("g", "from_g")
+    rows = rows.withColumn("next_g", F.lead("from_g").over(Window.partitionBy(*LEVEL).orderBy("seq")))
+    end = ends.join(place.withColumnsRenamed({"seq": "end_seq", "g": "end_g"}), ["product_id", "end_seq"], "left").select("product_id", "generation", "end_g")
+    rows = rows.join(end, ["product_id", "generation"], "left").join(count, "product_id").withColumn("to_g", F.coalesce("next_g", "end_g", "last_to"))
+    return rows.filter("qty > 0 and from_g < to_g").select("product_id", "side", "tick", "qty", "from_g", "to_g")
+
+
 def carry_forward(grid: DataFrame) -> DataFrame:
     """The book at every grid point, skipped ones filled with the latest: (product_id, g, side, tick, qty)."""
     return grid.select("product_id", F.explode(F.sequence("from_g", F.col("to_g") - 1)).alias("g"), "side", "tick", "qty")

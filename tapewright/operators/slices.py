@@ -46,6 +46,27 @@ def slice_liquidity(grid: DataFrame, timeframes: list[int], step_ms: int, resolu
     return with_slice_last(metrics.withColumn("avg", F.col("total") / F.col("snapshot_count")))
 
 
+def slice_messages(intervals: DataFrame, samples: DataFrame, timeframes: list[int], resolution: float, tick_size: float = 1.0) -> DataFrame:
+    """slice_liquidity() where every update message is a sample: intervals and samples of book.message_intervals() and message_samples().
+
+    The non-empty slices of a product are numbered; a stretch finds the slices of its first and last sample by equality, takes those between, and is clipped to the
+    samples of each."""
+    every = samples.filter("is_update = 1").select("product_id", "g", "ts_ms").withColumn("timeframe_ms", F.explode(F.array(*[F.lit(t).cast("long") for t in timeframes])))
+    every = every.withColumn("slice_start", slice_start(F.col("ts_ms"), F.col("timeframe_ms")))
+    bounds = every.groupBy("product_id", "timeframe_ms", "slice_start").agg(F.min("g").alias("lo"), (F.max("g") + 1).alias("hi"))
+    bounds = bounds.withColumn("d", F.row_number().over(Window.partitionBy("product_id", "timeframe_ms").orderBy("slice_start")))
+    numbered = every.join(bounds.select("product_id", "timeframe_ms", "slice_start", "d"), ["product_id", "timeframe_ms", "slice_start"]).select("product_id", "timeframe_ms", "g", "d")
+    runs = piecewise(intervals, resolution, tick_size).withColumn("last_g", F.col("to_g") - 1)
+    at = lambda g, d: numbered.select("product_id", "timeframe_ms", F.col("g").alias(g), F.col("d").alias(d))
+    rows = runs.join(at("from_g", "d0"), ["product_id", "from_g"]).join(at("last_g", "d1"), ["product_id", "timeframe_ms", "last_g"])
+    rows = rows.withColumn("d", F.explode(F.sequence("d0", "d1"))).join(bounds, ["product_id", "timeframe_ms", "d"])
+    rows = rows.withColumn("a", F.greatest("from_g", "lo")).withColumn("b", F.least("to_g", "hi")).withColumn("n", F.col("b") - F.col("a")).filter("n > 0")
+    metrics = rows.groupBy(*KEY).agg(F.sum(F.col("qty") * F.col("n")).alias("total"), F.sum("n").alias("snapshot_count"), F.max("qty").alias("max"), F.min("qty").alias("min"), F.min("a").alias("a"), (F.max("b") - 1).alias("b"))
+    when = lambda g, ts: samples.filter("is_update = 1").select("product_id", F.col("g").alias(g), F.col("ts_ms").alias(ts))
+    metrics = metrics.join(when("a", "first_seen"), ["product_id", "a"]).join(when("b", "own_last"), ["product_id", "b"]).drop("a", "b")
+    return with_slice_last(metrics.withColumn("avg", F.col("total") / F.col("snapshot_count")))
+
+
 def with_slice_last(metrics: DataFrame) -> DataFrame:
     """Adds slice_last: the last sample of the slice that has any level."""
     per = metrics.groupBy("product_id", "timeframe_ms", "slice_start").agg(F.max("own_last").alias("slice_last"))

@@ -158,6 +158,13 @@ def a3(spark, d):
     return _rounded(_slices(spark, d), "avg")
 
 
+def a3_messages(spark, d):
+    l2 = views.l2_updates(spark, d)
+    samples = book.message_samples(l2)
+    intervals = book.message_intervals(book.apply_book_updates(l2), book.generation_ends(l2), samples)
+    return _rounded(slices.slice_messages(intervals, samples, [6 * HOUR, DAY], RESOLUTION), "avg")
+
+
 def a1(spark, d):
     return slices.sampled_levels(_grid(spark, d), RESOLUTION, depth=10)
 
@@ -338,6 +345,21 @@ MARKET: dict[str, tuple] = {
             S.BOOK + S.grid(STEP),
         ),
     ),
+    "a3_slice_liquidity_messages": (
+        a3_messages,
+        _with(
+            f"""SELECT *, max(own_last) OVER (PARTITION BY product_id, timeframe_ms, slice_start) AS slice_last FROM (
+ SELECT product_id, timeframe_ms, ts_ms // timeframe_ms * timeframe_ms AS slice_start, side, tick, sum(qty) AS total, count(*) AS snapshot_count, max(qty) AS max, min(qty) AS min, min(ts_ms) AS first_seen, max(ts_ms) AS own_last, round(sum(qty) / count(*), 6) AS avg
+ FROM (SELECT product_id, g, ts_ms, side, CAST(round(tick / 5.0::DOUBLE) AS BIGINT) AS tick, sum(qty) AS qty FROM seen GROUP BY 1, 2, 3, 4, 5), (SELECT unnest([{6 * HOUR}, {DAY}]::BIGINT[]) AS timeframe_ms) GROUP BY 1, 2, 3, 4, 5)""",
+            S.BOOK
+            + """, msgs AS (SELECT product_id, seq, ts_ms, kind, count(*) FILTER (WHERE kind = 'update') OVER (PARTITION BY product_id ORDER BY seq) - CASE WHEN kind = 'update' THEN 1 ELSE 0 END AS g FROM l2),
+mi AS (SELECT * FROM (SELECT h.product_id, h.side, h.tick, h.qty, m.g AS from_g, coalesce(lead(m.g) OVER (PARTITION BY h.product_id, h.generation, h.side, h.tick ORDER BY h.seq), e.g, c.n) AS to_g
+ FROM chg h JOIN msgs m USING (product_id, seq) JOIN (SELECT product_id, count(*) AS n FROM msgs WHERE kind = 'update' GROUP BY 1) c USING (product_id)
+ LEFT JOIN (SELECT product_id, generation, lead(g) OVER (PARTITION BY product_id ORDER BY generation) AS g FROM (SELECT product_id, seq AS generation, g FROM msgs WHERE kind = 'snapshot')) e ON e.product_id = h.product_id AND e.generation = h.generation)
+ WHERE qty > 0 AND from_g < to_g),
+seen AS (SELECT x.product_id, x.g, s.ts_ms, x.side, x.tick, x.qty FROM (SELECT *, unnest(range(from_g, to_g)) AS g FROM mi) x JOIN msgs s ON s.product_id = x.product_id AND s.g = x.g AND s.kind = 'update')""",
+        ),
+    ),
     "w1_last_price_change": (
         lambda s, d: _rounded(trades.last_price_change(views.trades(s, d)), "change", "change_pct").select("product_id", "trade_id", "price", "change", "change_pct"),
         _with(
