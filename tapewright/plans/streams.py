@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.operators import messages
 from tapewright.plans import sqltext as S
-from tapewright.plans.market import HOUR, _with
+from tapewright.plans.market import HOUR, _as_messages, _with
 from tapewright.sources import views
+from tapewright.sources.feed import read_feed, trade_sink
+from tapewright.sources.filings import write_partitioned
 from tapewright.streaming import streams
 
 
@@ -48,6 +51,25 @@ def r10(spark, d):
     return streams.drained(streams.unique_trades(twice), "unique").select("product_id", "trade_id", F.unix_millis("ts").alias("ts_ms"), "price", "size")
 
 
+def s1(spark, d):
+    """Messages written to files, read as a feed and parsed."""
+    path = streams.new_folder(spark, "feed")
+    _as_messages(spark, d, "trades").select("value").write.text(path)
+    return messages.extract_trades(messages.classify_messages(read_feed(spark, path))).select("product_id", "trade_id", F.unix_millis("ts").alias("ts_ms"), "side", "price", "size")
+
+
+def s8(spark, d):
+    path = streams.new_folder(spark, "filings")
+    write_partitioned(views.filings(spark, d), path, "2001-08-01")
+    return spark.read.parquet(path).select("ticker", "accession_no", "filing_date", "form", F.col("as_of").cast("string").alias("as_of"))
+
+
+def s9(spark, d):
+    path = streams.new_folder(spark, "sink")
+    trade_sink(_trades(spark, d), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("product_id", "trade_id", "price", "size")
+
+
 _STREAM_L2 = S.L2.replace("CASE WHEN (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 500 = 0 THEN", "CASE WHEN event_id % 500 = 3 THEN")
 
 STREAMS: dict[str, tuple] = {
@@ -60,5 +82,8 @@ STREAMS: dict[str, tuple] = {
         ),
     ),
     "r8_stream_quotes": (r8, _with("SELECT product_id, arg_max(price, ingest_seq) AS price, count(*) AS n_trades FROM trades GROUP BY 1", S.TRADES)),
+    "s1_read_feed": (s1, _with("SELECT product_id, trade_id, ts_ms, side, price, size FROM trades", S.TRADES)),
+    "s8_write_partitioned": (s8, _with("SELECT *, '2001-08-01' AS as_of FROM filings", S.FILINGS)),
+    "s9_trade_sink": (s9, _with("SELECT product_id, trade_id, price, size FROM trades", S.TRADES)),
     "r10_stream_unique_trades": (r10, _with("SELECT product_id, trade_id, ts_ms, price, size FROM trades", S.TRADES)),
 }

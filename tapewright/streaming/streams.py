@@ -102,11 +102,16 @@ def stream_book(l2: DataFrame, tick_size: float = 1.0) -> DataFrame:
     return rows.groupBy("product_id").transformWithStateInPandas(BookProcessor(), outputStructType=DELTAS, outputMode="append", timeMode="none")
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new folder where the driver and all executors can write."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tapewright-")
+    return f"{base}/{what}-{uuid.uuid4().hex}"
+
+
 def drained(stream: DataFrame, what: str) -> DataFrame:
     """Runs a stream over all there is now and reads what it has appended."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tapewright-")
-    path = f"{base}/{what}-{uuid.uuid4().hex}"
+    path = new_folder(spark, what)
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
@@ -115,8 +120,7 @@ def drained(stream: DataFrame, what: str) -> DataFrame:
 def drained_latest(stream: DataFrame, what: str) -> DataFrame:
     """The same for a query in complete mode: the last state of its result."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tapewright-")
-    path = f"{base}/{what}-{uuid.uuid4().hex}"
+    path = new_folder(spark, what)
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out")
