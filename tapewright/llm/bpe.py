@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import power_tables, read_table, text_bytes
+from tapewright.llm.common import power_tables, read_table, small_batches, text_bytes
 from tapewright.llm.words import unified
 
 WINDOW = 16  # bytes under the rolling hash
@@ -105,7 +105,7 @@ def pieces_of(chunk: str) -> tuple[str, list[str], str, bool]:
     return head, words, tail, True
 
 
-def encode_texts(texts: pa.Array, path: str, window_bytes: int = 8 << 20) -> Iterator[tuple[bytes, str]]:
+def encode_texts(texts: pa.Array, path: str, window_bytes: int = 2 << 20) -> Iterator[tuple[bytes, str]]:
     """ids and decoded text of every text of a batch, in order."""
     coder = encoder(path)
     raw, offsets = text_bytes(texts)
@@ -168,7 +168,7 @@ def encode_texts(texts: pa.Array, path: str, window_bytes: int = 8 << 20) -> Ite
 
 def digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             n, ids, text = [], [], []
             for found, decoded in encode_texts(batch.column("text"), path):
                 n.append(len(found) // 4)
@@ -179,17 +179,22 @@ def digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataFrame:
-    """doc_id, ids array<int> and decoded text of every row."""
+def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", decoded: bool = True) -> DataFrame:
+    """doc_id, ids array<int> and, if asked, the decoded text of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(encode_texts(batch.column("text"), path))
-            ids = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x, _ in found], pa.list_(pa.int32()))
-            yield pa.record_batch([batch.column("doc_id"), ids, pa.array([t for _, t in found], pa.string())], ["doc_id", "ids", "decoded"])
+        for batch in small_batches(batches, most=1 << 20):
+            found, texts = [], []
+            for ids, value in encode_texts(batch.column("text"), path):
+                found.append(ids)
+                if decoded:
+                    texts.append(value)
+            ends = np.cumsum([0] + [len(x) // 4 for x in found])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            yield pa.record_batch([batch.column("doc_id"), ids, *([pa.array(texts, pa.string())] if decoded else [])], ["doc_id", "ids", "decoded"][: 2 + decoded])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded)
 
 
 def encode_digests(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataFrame:

@@ -72,15 +72,27 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(row, 2), np.stack([bucket, bucket + DIMENSIONS], 1).ravel(), both
 
 
-def gathered(docs: DataFrame, within: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features of a bounded sample, a pair of arrays for each text; only those in within."""
+def spread(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a bounded sample that are in at least so many of its texts, and in how many: at most 2 * DIMENSIONS come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            bucket, n = np.unique(features(batch.column("text"))[1], return_counts=True)
+            yield pa.record_batch([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+
+    counts = docs.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = counts.toArrow().sort_by("bucket")
+    return found.column("bucket").to_numpy(), found.column("n").to_numpy()
+
+
+def gathered(docs: DataFrame, within: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features of a bounded sample, a pair of arrays for each text; only those in within, few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             row, bucket, value = features(batch.column("text"))
-            if within is not None:
-                kept = np.isin(bucket, within)
-                row, bucket, value = row[kept], bucket[kept], value[kept]
+            kept = np.isin(bucket, within)
+            row, bucket, value = row[kept], bucket[kept], value[kept]
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
             yield pa.record_batch([pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()) for x in (bucket.astype("<i4"), value.astype("<f4"))], ["bucket", "value"])
 
@@ -138,20 +150,18 @@ def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", positi
     if not n_toxic or n_toxic == n:
         return None
     prior = min(max(n_toxic / n_known, 1e-4), 0.9)
-    confirmed = gathered(sampled(joined.filter("toxic = 1"), "doc_id", positives, n_toxic, "positive").select("text"), None)
-    seen, times = np.unique(np.concatenate([b for b, _ in confirmed] or [np.zeros(0, np.int32)]), return_counts=True)
-    within = seen[times >= LEAST_POSITIVES]
-    cut = lambda rows: [(b[k], v[k]) for b, v in rows for k in [np.isin(b, within)]]
-    others = gathered(sampled(rows, "doc_id", unlabelled, n, "unlabelled").select("text"), within)
-    if not confirmed or not others:
+    confirmed = sampled(joined.filter("toxic = 1"), "doc_id", positives, n_toxic, "positive").select("text")
+    others = sampled(rows, "doc_id", unlabelled, n, "unlabelled").select("text")
+    n_confirmed, n_others = confirmed.count(), others.count()
+    if not n_confirmed or not n_others:
         return None
     # features that stand out among the confirmed texts: the shares of texts with them differ by more than chance allows
-    every, among = np.unique(np.concatenate([b for b, _ in others]), return_counts=True)
+    within, times = spread(confirmed, LEAST_POSITIVES)
+    every, among = spread(others, 1)
     share_u = np.zeros(len(within))
-    share_u[np.isin(within, every)] = among[np.isin(every, within)] / len(others)
-    share_p = times[times >= LEAST_POSITIVES] / len(confirmed)
-    within = within[share_p - share_u > STANDS_OUT * np.sqrt(np.maximum(share_u, 1 / len(others)) / len(confirmed))]
-    return nnpu(cut(confirmed), cut(others), prior)
+    share_u[np.isin(within, every)] = among[np.isin(every, within)] / n_others
+    within = within[times / n_confirmed - share_u > STANDS_OUT * np.sqrt(np.maximum(share_u, 1 / n_others) / n_confirmed)]
+    return nnpu(gathered(confirmed, within), gathered(others, within), prior)
 
 
 def score(docs: DataFrame, model: Model | None, text="text") -> DataFrame:
