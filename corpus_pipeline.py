@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, bpe.tokenizer_path()).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
+    return bpe.encode(docs, bpe.tokenizer_path(), decoded=False).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 """Queries against their SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -8,7 +9,7 @@ from tapewright.plans.catalog import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = [n for n in queries() if n[0] in "nbwftjs" or n in ("a3_slice_liquidity", "a5_resting_liquidity", "a14_ohlc", "a15_insider_summary", "a16_financial_summary", "v4_heatmap_cells", "r2_stream_book", "r3_stream_slices")]
+CHECKED = [n for n in queries() if n[0] in "nfws" or n in ("b1_apply_book_updates", "b2_level_intervals", "b4_book_as_of", "b9_band_filter", "j3_filings_for", "j9_mid_at_trade", "t5_newest_cells", "t9_significant_trades", "a5_resting_liquidity", "a14_ohlc", "a15_insider_summary", "a16_financial_summary", "v4_heatmap_cells", "r2_stream_book", "r3_stream_slices")]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def duck():
 
 def normal(frame):
     frame = frame.reindex(sorted(frame.columns), axis=1)
-    rows = [tuple("" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v).removesuffix(" 00:00:00") if not isinstance(v, int) else f"{float(v):.6g}" if abs(v) < 2**20 else str(v) for v in r) for r in frame.astype(object).itertuples(index=False)]
+    rows = [tuple("" if pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v).removesuffix(" 00:00:00") if not isinstance(v, int) else f"{float(v):.6g}" if abs(v) < 2**20 else str(v) for v in r) for r in frame.astype(object).itertuples(index=False)]
     return list(frame.columns), sorted(rows)
 
 
