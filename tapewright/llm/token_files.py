@@ -28,7 +28,7 @@ from tapewright.llm.common import drop_table, range_starts, read_table, small_ba
 from tapewright.llm.words import table
 
 LONGEST = 18
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 16
 CHECKPOINT = 512
 END_ID = 2  # appended to each document
 
@@ -125,7 +125,7 @@ def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, bytes]] = []
 
     def block() -> pa.RecordBatch:
-        counts = np.array([len(x) // 4 for _, x in held], np.int64)
+        counts = np.array([len(x) // 2 for _, x in held], np.int64)
         row = [[state["range"]], [state["block"]], [state["start"]], [np.array([d for d, _ in held], "<i8").tobytes()], [counts.tobytes()], [b"".join([x for _, x in held])]]
         state["block"] += 1
         state["start"] += int(counts.sum())
@@ -142,9 +142,8 @@ def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = 0
             if place != state["range"]:
                 state.update(range=place, block=0, start=0)
-            found = np.frombuffer(found, "<u2").astype("<u4").tobytes()
             held.append((doc, found))
-            total += len(found) // 4
+            total += len(found) // 2
     if held:
         yield block()
 
@@ -179,7 +178,7 @@ def id_counts(blocks: DataFrame, size: int) -> np.ndarray:
         sums = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                sums += np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=size)
+                sums += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=size)
         some = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["id", "n"])
 
@@ -198,20 +197,17 @@ def write_files(docs: DataFrame, path: str, **columns) -> tuple[DataFrame, np.nd
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical_codes(lengths)
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row.pop("ids"), "<u4")
+            for k in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("ids")[k].as_buffer(), "<u2")
                 payload, checkpoints = pack(ids, lengths, codes)
-                row |= {"n": len(ids), "checkpoints": checkpoints.astype("<i8").tobytes(), "payload": payload}
-                yield pa.record_batch([pa.array([row[f.name]], f.type) for f in SCHEMA], SCHEMA.names)
+                more = [pa.array([len(ids)]), pa.array([checkpoints.astype("<i8").tobytes()]), pa.array([payload])]
+                yield pa.record_batch([*batch.slice(k, 1).columns[:5], *more], [*batch.schema.names[:5], "n", "checkpoints", "payload"])
 
     files = written(blocks.mapInArrow(coded, FILES), "token-files", "uncompressed")
     drop_table(blocks)
     return files, lengths
 
 
-SCHEMA = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("checkpoints", pa.binary()), ("payload", pa.binary())])
-
-
 def read_files(files: DataFrame, lengths: np.ndarray) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document in the files."""
     totals = {r[0]: r[1] for r in files.groupBy("range").agg(F.sum("n")).collect()}  # one row for each range
@@ -223,7 +219,8 @@ def read_files(files: DataFrame, lengths: np.ndarray) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoding = decoding_table(lengths)
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 ids = unpack(row["payload"], row["n"], np.frombuffer(row["checkpoints"], "<i8"), decoding)
                 counts, number = np.frombuffer(row["counts"], "<i8"), np.frombuffer(row["doc_ids"], "<i8")
                 ends = np.cumsum(counts)
