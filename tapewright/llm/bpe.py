@@ -27,7 +27,7 @@ from tapewright.llm.words import unified
 
 WINDOW = 16  # bytes under the rolling hash
 CHUNK_BITS = 9  # a cut each 512 bytes or so
-WORDS_KEPT, CHUNKS_KEPT = 300_000, 20_000
+WORDS_KEPT, CHUNKS_KEPT = 200_000, 8_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -105,7 +105,7 @@ def pieces_of(chunk: str) -> tuple[str, list[str], str, bool]:
     return head, words, tail, True
 
 
-def encode_texts(texts: pa.Array, path: str, window_bytes: int = 2 << 20) -> Iterator[tuple[bytes, str]]:
+def encode_texts(texts: pa.Array, path: str, window_bytes: int = 1 << 20) -> Iterator[tuple[bytes, str]]:
     """ids and decoded text of every text of a batch, in order."""
     coder = encoder(path)
     raw, offsets = text_bytes(texts)

@@ -35,7 +35,7 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-MOST_RANGES = 4096
+MOST_RANGES = 20_000
 
 
 def range_starts(df: DataFrame, number: str) -> np.ndarray:
@@ -81,7 +81,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def small_batches(batches, column: str = "text", most: int = 4 << 20):
+def small_batches(batches, column: str = "text", most: int = 1 << 20):
     """The same rows in batches of about so many bytes of text: bounds what a task holds at once, whatever the rows' lengths."""
     for batch in batches:
         sizes = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -152,7 +152,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd multiplier modulo 2^64, and their inverses, up to the exponent n."""
     if len(_POWERS.get("up", ())) <= n:
-        size = max(1 << 16, int(n * 1.2) + 2)
+        size = max(1 << 16, int(n * 1.05) + 2)
         for name, base in (("up", int(_MULTIPLIER)), ("down", pow(int(_MULTIPLIER), -1, 1 << 64))):
             out = np.full(size, base, np.uint64)
             out[0] = 1

@@ -603,7 +603,7 @@ def feature_of(samples: np.ndarray) -> str:
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, most=4 << 20):
         media, sizes = stored(batch.column("text"))
         back = read_back(media)
         data = [x.tobytes() for x in back]
@@ -625,7 +625,7 @@ def store(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=4 << 20):
             yield pa.record_batch([batch.column("doc_id"), pa.array(stored(batch.column("text"))[0], pa.binary())], ["doc_id", "media"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, media binary")
