@@ -5,7 +5,7 @@ minima, its tokens. A run splits the classes recursively: at a node, every token
 probability 1 / (SIMILARITY * COORDINATES) by a hash of the node and the token, and a class goes to the children of the chosen tokens that it
 has. So two classes meet wherever they share a chosen token, and a pair at the threshold reaches the next level with one child on average. Buckets of
 few classes are compared by brute force on the sketches; larger ones are split further, and below MAX_DEPTH compared
-block by block. Runs are repeated until a pair at the threshold is met with probability TARGET.
+block by block. Runs are repeated until a pair at the threshold is met with probability TARGET even if all its buckets are split to MAX_DEPTH.
 
 The compared pairs that look similar give a spanning forest, not all pairs; its components are compared again pair by pair
 on the exact sets, in blocks, which counts the links of every class without writing a row for each pair.
@@ -49,8 +49,9 @@ def survival(depth: int, similarity: float = SIMILARITY) -> float:
     return alive
 
 
-def runs_needed(target: float = TARGET, depth: int = FIRST_DEPTH + 1) -> int:
-    return math.ceil(math.log(1 - target) / math.log(1 - survival(depth)))
+def runs_needed(target: float = TARGET, depth: int | None = None) -> int:
+    """Runs for this recall where buckets stay crowded down to this depth; MAX_DEPTH if none is given."""
+    return math.ceil(math.log(1 - target) / math.log(1 - survival(MAX_DEPTH if depth is None else depth)))
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -111,6 +111,30 @@ def test_jaccard_runs_reach_the_target():
     assert 1 - (1 - jaccard_join.survival(jaccard_join.FIRST_DEPTH + 1)) ** jaccard_join.runs_needed() >= jaccard_join.TARGET
 
 
+def pairs_of_sketches(n, shared):
+    """Sketches of n pairs, a pair's after one another, that agree in so many coordinates."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 15, (n, jaccard_join.COORDINATES)).astype(np.uint16)
+    b = a.copy()
+    for x, k in zip(b, np.broadcast_to(shared, n)):
+        x[rng.permutation(jaccard_join.COORDINATES)[k:]] += np.uint16(1 << 15)
+    return np.stack([a, b], 1).reshape(2 * n, -1)
+
+
+def share_met(sketch, depth):
+    """Share of the pairs with a common path at this depth, by the runs that a join makes."""
+    batch = pa.record_batch([pa.array(range(len(sketch)), pa.int64()), pa.array([x.tobytes() for x in sketch])], ["key", "sketch"])
+    found = pa.Table.from_batches(jaccard_join.first_paths([batch], jaccard_join.runs_needed(), depth)).to_pandas().drop_duplicates()
+    both = found.assign(pair=found["key"] // 2).groupby(["path", "pair"])["key"].nunique()
+    return both[both == 2].reset_index()["pair"].nunique() / (len(sketch) // 2)
+
+
+def test_jaccard_recall_holds_where_buckets_stay_crowded():
+    assert 1 - (1 - jaccard_join.survival(jaccard_join.MAX_DEPTH)) ** jaccard_join.runs_needed() >= jaccard_join.TARGET
+    shared = round(jaccard_join.SIMILARITY * jaccard_join.COORDINATES)
+    assert share_met(pairs_of_sketches(1500, shared), jaccard_join.MAX_DEPTH) >= 0.997
+
+
 def test_jaccard_large_groups_are_split_and_counted(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUCKET", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
