@@ -31,7 +31,7 @@ from tapewright.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 COORDINATES = 128
-LOOKS_SIMILAR = 0.7  # on the sketch: three standard errors below the threshold
+LOOKS_SIMILAR = 0.6  # on the sketch: less than 1e-7 of the pairs at the threshold fall below; the exact sets decide
 FIRST_DEPTH, MAX_DEPTH = 2, 6
 BUCKET = 128
 BLOCK = 1024
@@ -41,17 +41,31 @@ _U = np.uint64
 _PICK = _U(int(2**64 / (SIMILARITY * COORDINATES)))
 
 
-def survival(depth: int, similarity: float = SIMILARITY) -> float:
-    """Chance that a pair of this similarity still shares a bucket at this depth of one run."""
-    alive, shared = 1.0, round(similarity * COORDINATES)
+def survival(depth: int, similarity: float = SIMILARITY, shared: int | None = None) -> float:
+    """Chance that a pair of this similarity, or with so many shared tokens, still shares a bucket at this depth of one run."""
+    alive, shared = 1.0, round(similarity * COORDINATES) if shared is None else shared
     for _ in range(depth):
         alive = 1 - (1 - alive / (SIMILARITY * COORDINATES)) ** shared
     return alive
 
 
+def missed(runs: int, depth: int, similarity: float = SIMILARITY) -> float:
+    """Chance that a pair of this similarity is not met in any run or doesn't look similar: one sketch serves all runs, so its shared tokens are drawn once."""
+    out = 0.0
+    for k in range(COORDINATES + 1):
+        chance = math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k)
+        out += chance * ((1 - survival(depth, shared=k)) ** runs if k / COORDINATES >= LOOKS_SIMILAR else 1)
+    return out
+
+
 def runs_needed(target: float = TARGET, depth: int | None = None) -> int:
     """Runs for this recall where buckets stay crowded down to this depth; MAX_DEPTH if none is given."""
-    return math.ceil(math.log(1 - target) / math.log(1 - survival(MAX_DEPTH if depth is None else depth)))
+    depth, runs = MAX_DEPTH if depth is None else depth, 1
+    if missed(10**6, depth) > 1 - target:
+        raise ValueError(f"no number of runs reaches {target}: LOOKS_SIMILAR drops more")
+    while missed(runs, depth) > 1 - target:
+        runs += 1
+    return runs
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

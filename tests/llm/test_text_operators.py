@@ -135,6 +135,32 @@ def test_jaccard_recall_holds_where_buckets_stay_crowded():
     assert share_met(pairs_of_sketches(1500, shared), jaccard_join.MAX_DEPTH) >= 0.997
 
 
+def test_jaccard_recall_counts_what_the_sketch_loses():
+    p, n = jaccard_join.SIMILARITY, jaccard_join.COORDINATES
+    chance = lambda k: math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    kept = [k for k in range(n + 1) if jaccard_join.spanning(pairs_of_sketches(1, k))]  # of two sketches with k equal coordinates
+    assert 1 - sum(chance(k) for k in kept) < 1e-6
+    runs = jaccard_join.runs_needed()
+    assert sum(chance(k) * (1 - (1 - jaccard_join.survival(jaccard_join.MAX_DEPTH, k / n)) ** runs) for k in kept) >= jaccard_join.TARGET
+    shared = np.random.default_rng(5).binomial(n, p, 3000)
+    assert share_met(pairs_of_sketches(3000, shared), jaccard_join.MAX_DEPTH) >= 0.998
+
+
+def test_jaccard_links_of_a_poor_sketch_are_kept(spark):
+    """Pairs of exactly 0.8, each alone in its group: those whose sketches agree in less than 0.7 count too."""
+    word = lambda i, k: f"p{i}w{k}"
+    rows = []
+    for i in range(1200):  # 40 and 41 shingles, 36 of 45 shared
+        rows += [(2 * i, " ".join(word(i, k) for k in range(44))), (2 * i + 1, " ".join(word(i, k) for k in range(4, 49)))]
+    sets = [shingles(t) for _, t in rows[:2]]
+    assert len(sets[0] & sets[1]) == 0.8 * len(sets[0] | sets[1])
+    keys, bounds = jaccard_join.shingle_sets(pa.array([t for _, t in rows]))
+    sketch = jaccard_join.sketches(keys, bounds)
+    assert ((sketch[::2] == sketch[1::2]).mean(1) < 0.7).any()
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_links == 1 for r in got) >= 0.999 * len(rows)
+
+
 def test_jaccard_large_groups_are_split_and_counted(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUCKET", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
