@@ -632,18 +632,26 @@ def store(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
 
 
 def pixels(files: DataFrame, media="media") -> DataFrame:
-    """Adds width, height and pixels (ARGB words as array<long>) of the first image of each file in a binary column; null stays null."""
+    """Adds width, height and pixels (ARGB words as array<long>) of all images of each value of a binary column, one below the other,
+    and sizes, the width and height of each image; null stays null. Where widths differ, width and height are null."""
     names = files.columns
-    schema = files.withColumns({c: F.lit(None).cast(k) for c, k in (("width", "int"), ("height", "int"), ("pixels", "array<bigint>"))}).schema
+    kinds = (("width", "int"), ("height", "int"), ("pixels", "array<bigint>"), ("sizes", "array<struct<width:int,height:int>>"))
+    schema = files.withColumns({c: F.lit(None).cast(k) for c, k in kinds}).schema
+    size = pa.struct([("width", pa.int32()), ("height", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, media):
-            found = batch.column(names.index(media)).to_pylist()
-            images = iter(read_images([split_files(m)[0] for m in found if m]))
-            images = [next(images) if m else None for m in found]
-            sizes = [[None if x is None else x.shape[k] for x in images] for k in (1, 0)]
-            flat = [None if x is None else x.ravel().astype(np.int64) for x in images]
-            yield pa.record_batch([*batch.columns, *(pa.array(s, pa.int32()) for s in sizes), pa.array(flat, pa.list_(pa.int64()))], schema.names)
+            found = [split_files(m) if m else None for m in batch.column(names.index(media)).to_pylist()]
+            images = iter(read_images([f for some in found if some for f in some]))
+            images = [[next(images) for _ in some] if some else None for some in found]
+            same = [x is not None and len({i.shape[1] for i in x}) == 1 for x in images]
+            columns = [
+                pa.array([x[0].shape[1] if one else None for x, one in zip(images, same)], pa.int32()),
+                pa.array([sum(i.shape[0] for i in x) if one else None for x, one in zip(images, same)], pa.int32()),
+                pa.array([None if x is None else np.concatenate([i.ravel() for i in x]).astype(np.int64) for x in images], pa.list_(pa.int64())),
+                pa.array([None if x is None else [{"width": i.shape[1], "height": i.shape[0]} for i in x] for x in images], pa.list_(size)),
+            ]
+            yield pa.record_batch([*batch.columns, *columns], schema.names)
 
     return files.mapInArrow(run, schema)
 

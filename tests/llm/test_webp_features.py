@@ -234,3 +234,23 @@ def test_writer_uses_the_palette_and_references():
     assert [t[0] for t in transforms] == [webp.PALETTE] and (width, height) == (576, 3)
     assert len(media[0]) < 400
     assert np.array_equal(webp.read_back(media)[0][:800:2], np.full(400, ord("a"), np.uint8))
+
+
+def test_pixels_of_a_text_in_several_images(spark):
+    texts = {1: "several images " * 2000, 2: "short", 3: ""}
+    one = webp.stored(pa.array(["x" * 600]))[0][0]
+    w = Writer()
+    w.head(3, 2)
+    w.put(0, 1)
+    w.literals(p := random_pixels(6))
+    files = webp.store(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    files = files.unionByName(spark.createDataFrame([(4, bytearray(one + w.file())), (5, None)], "doc_id long, media binary"))
+    rows = {r.doc_id: r for r in webp.pixels(files).collect()}
+    for i, text in texts.items():
+        data = text.encode()
+        lines = max(1, -(-len(data) // webp.WIDTH))
+        assert (rows[i].width, rows[i].height) == (webp.WIDTH, lines)
+        assert bytes(x >> 8 & 255 for x in rows[i].pixels) == data + b"\xff" * (lines * webp.WIDTH - len(data))
+    assert [s.height for s in rows[1].sizes] == [16, 16, 16, 5]
+    assert rows[4].width is None and rows[4].pixels[-6:] == p and [tuple(s) for s in rows[4].sizes] == [(webp.WIDTH, 2), (3, 2)]
+    assert rows[5].pixels is None and rows[5].sizes is None
