@@ -5,7 +5,7 @@ copies; the rest is an inclusion probability, differing between sources (and doc
 divided by their inclusion odds, and a source takes the lowest ranks until its target of words is met.
 
 Only DataFrame operations: one pass sizes the documents, the rest works on (id, source, size). The running sum of sizes
-in rank order is taken over slices of the ranking first, so that no task orders a whole source.
+in rank order is taken over slices of the ranking first, so that no task orders a whole source; a source met by whole copies alone has no cut.
 
 Defined cases: null or empty text has size 0 and is taken as its rank says, adding no words; a null source is a source,
 last in order; a null id has the random number of the empty id; repeated rows count each; an empty table gives no row; a
@@ -76,7 +76,8 @@ def mix_plan(sizes: DataFrame, **targets) -> DataFrame:
     A table with a row for each source; joined by broadcast only while its counted rows are few."""
     per = written(source_targets(sizes, **targets).withColumnRenamed("source", "its_source"), "mix-targets")
     few = per.count() <= BROADCAST_SOURCES
-    sums = with_ranks(sizes, F.broadcast(per) if few else per).groupBy("its_source", "slice").agg(F.sum("size").alias("words"), F.max("wanted").alias("wanted"))
+    ranked = with_ranks(sizes, F.broadcast(per) if few else per).filter("chance > 0")  # whole copies only: nothing to cut
+    sums = ranked.groupBy("its_source", "slice").agg(F.sum("size").alias("words"), F.max("wanted").alias("wanted"))
     upto = F.sum("words").over(Window.partitionBy("its_source").orderBy("slice"))
     cut = (
         sums.withColumn("upto", upto)
@@ -93,7 +94,9 @@ def copies(rows: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
     """rows (doc_id, source, size and those of keep) with source_size, target and copies."""
     ranked = with_ranks(rows, plan)
     at_cut = F.coalesce(F.col("slice") == F.col("cut_slice"), F.lit(False))
-    plain = ranked.filter(~at_cut).withColumn("more", (F.col("cut_slice").isNull() | (F.col("slice") < F.col("cut_slice"))).cast("int"))
+    below = F.col("cut_slice").isNull() | (F.col("slice") < F.col("cut_slice"))
+    whole = (F.col("chance") == 0) & (F.col("source_size") > 0)  # met by certain copies alone
+    plain = ranked.filter(~at_cut).withColumn("more", (~whole & below).cast("int"))
 
     # In the slice that the cut falls into: the ranks that fit, then the one document nearest to what is left, if it helps.
     of = Window.partitionBy("its_source")

@@ -328,3 +328,14 @@ def test_mixing_meets_targets(docs, empty):
     copies = mixing.mixed_documents(docs)
     assert copies.columns == docs.columns and copies.count() == sum(r.copies for r in got)
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_mixing_of_a_source_met_by_whole_copies(spark):
+    rows = [(3 * i + k, "" if i < 5 else "w " * 4, s) for i in range(40) for k, s in enumerate("abc")] + [(1000, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")  # three equal sources: the first stops at twice its size
+    sizes = docs.selectExpr("doc_id", "source", "cast(4 * cast(length(text) > 0 as int) as long) as size")
+    cuts = {r.its_source: r.cut_slice for r in mixing.mix_plan(sizes).collect()}
+    assert cuts["a"] is None and cuts["b"] is not None and cuts["c"] is not None
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert {got[i].copies for i, _, s in rows if s == "a"} == {2}
+    assert len(got) == len(rows) and got[1000].taken == 0
