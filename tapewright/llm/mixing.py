@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source has a target in words; a document's expected copies are target / source size. Its whole part are certain
-copies; the rest is an inclusion probability, differing between sources (and documents, if weighted). Documents are ranked by their random odds
-divided by their inclusion odds, and a source takes the lowest ranks until its target of words is met.
+copies; the rest is an inclusion probability, one value for all documents of a source: documents have no weights of their own. Documents are
+ranked by their random odds divided by their inclusion odds, which within a source is the order of the random numbers alone, so a source's
+sample is a simple random one; it takes the lowest ranks until its target of words is met.
 
 Only DataFrame operations: one pass sizes the documents, the rest works on (id, source, size). The running sum of sizes
 in rank order is taken over slices of the ranking first, so that no task orders a whole source; a source met by whole copies alone has no cut.
