@@ -256,6 +256,11 @@ def exact_links(group: pd.DataFrame) -> pd.DataFrame:
 def linked(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least id of its linked group), n_copies (rows with an equal set),
     n_links (other rows of similarity SIMILARITY or more) and n_texts (other sets of that similarity)."""
+    return labelled(docs, text, doc_id, target).drop("text_hash", "label")
+
+
+def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET) -> DataFrame:
+    """The rows of linked() with the hash of the text, and the label of the linked group: null for texts without shingles."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
@@ -333,7 +338,7 @@ def linked(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET
     least = of_class.groupBy("label").agg(F.min("first_id").alias("least_id"))
     of_class = of_class.join(least, "label")
     return (
-        members.select("doc_id", "key")
+        members.select("doc_id", "text_hash", "key")
         .join(of_class, "key", "left")
         .select(
             "doc_id",
@@ -341,19 +346,31 @@ def linked(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET
             F.coalesce("weight", F.lit(1)).alias("n_copies"),
             (F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"),
             F.coalesce("texts", F.lit(0)).alias("n_texts"),
+            "text_hash",
+            "label",
         )
     )
 
 
 def one_of_each(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """The rows of docs without near-duplicates of a row with a lesser id: one of each linked group stays. Rows without an id stay."""
-    groups = written(linked(docs, text, doc_id), "linked")
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone_id"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{doc_id}`").alias("its_id"))
-    kept = whole.join(gone.distinct(), F.col("its_id") == F.col("gone_id"), "left_anti")
-    heads = groups.filter("n_copies > 1 and doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = kept if heads.isEmpty() else kept.withColumn("its_key", F.coalesce(F.col("its_id").cast("string"), F.uuid())).dropDuplicates(["its_key"])  # repeated rows with one id
-    return kept.select("whole.*")
+    """The rows of docs without near-duplicates: of each linked group the row with the least id stays, one without an id only if none has one.
+
+    Rows are told apart by id and text, so different texts with one id, or without, are judged each by itself."""
+    its_id = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))  # never null
+    rows = labelled(docs, text, doc_id).filter("label is not null").select("label", "doc_id", its_id.alias("at_id"), F.col("text_hash").alias("at_hash"))
+    rows = written(rows.groupBy("label", "doc_id", "at_id", "at_hash").agg(F.count(F.lit(1)).alias("n")), "linked")
+    heads = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at_id", "at_hash")).alias("head")).select("label", "head.at_id", "head.at_hash")
+    same = ["label", "at_id", "at_hash"]
+    gone = rows.join(heads, same, "left_anti").select("at_id", "at_hash")
+    repeated = written(rows.filter("n > 1").join(heads, same, "left_semi").select("at_id", "at_hash"), "repeated")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("at_hash"))
+    whole = whole.select("whole", its_id.alias("at_id"), "at_hash")
+    at = ["at_id", "at_hash"]
+    if repeated.isEmpty():
+        return whole.join(gone, at, "left_anti").select("whole.*")
+    kept = whole.join(gone.unionByName(repeated), at, "left_anti")
+    one = whole.join(repeated, at, "left_semi").dropDuplicates(at)  # only rows that repeat a head with its id and text
+    return kept.unionByName(one).select("whole.*")
 
 
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

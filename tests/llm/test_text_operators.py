@@ -339,3 +339,19 @@ def test_mixing_of_a_source_met_by_whole_copies(spark):
     got = {r.doc_id: r for r in mixing.mix(docs).collect()}
     assert {got[i].copies for i, _, s in rows if s == "a"} == {2}
     assert len(got) == len(rows) and got[1000].taken == 0
+
+
+def test_one_of_each_judges_rows_by_id_and_text(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [
+        (1, text(1)), (2, near(1)), (2, text(2)),  # id 2: a near-duplicate of 1, and a text of its own
+        (3, text(3)), (3, text(3)), (3, text(4)),  # a repeated row, and another text with its id
+        (5, text(5)), (None, near(5)), (None, text(6)), (None, near(6)), (None, text(7)),
+        (8, None), (8, ""), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect())
+    one_of_6 = [x for x in kept if x in ((None, text(6)), (None, near(6)))]
+    assert len(one_of_6) == 1
+    assert kept == Counter([(1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (5, text(5)), one_of_6[0], (None, text(7)), (8, None), (8, ""), (None, None)])
