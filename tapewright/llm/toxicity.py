@@ -5,23 +5,26 @@ labels. With the share of toxic texts (the class prior) known, the risk of calli
 them; where the corrected part falls below zero, the step goes the other way (non-negative estimator), which keeps the
 model from fitting the unlabelled toxic texts as clean. The prior is the share of label 1 among the labelled rows.
 
-Only the fit uses a bounded sample, of POSITIVES and UNLABELLED documents (parameters); every document is scored whole.
+Only the fit uses a bounded sample, of POSITIVES and UNLABELLED documents (parameters); every document is scored whole. The sample is drawn
+among ids: texts are never shuffled to meet labels, the few ids drawn are broadcast against the documents, and their texts are written once.
 
 Defined cases: null text is empty and has the score of the bias alone; labels that are null or whose document is missing
-are left out; of several labels of a document, any 1 counts; without any confirmed toxic text all scores are 0.
+are left out; of several labels of a document, any 1 counts; a repeated row counts once in a sample; rows without an id are never drawn as
+confirmed; without any confirmed toxic text all scores are 0; a column toxicity_score that is there already is replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import crc_mod, read_table, running_hash, small_batches, span_hashes, text_bytes, word_spans
+from tapewright.llm.common import crc_mod, drop_table, read_table, running_hash, small_batches, span_hashes, text_bytes, word_spans, written
 
 POSITIVES, UNLABELLED = 3000, 12000
 DIMENSIONS = 1 << 18
@@ -100,10 +103,25 @@ def gathered(docs: DataFrame, within: np.ndarray) -> list[tuple[np.ndarray, np.n
     return [(np.frombuffer(r[0], "<i4"), np.frombuffer(r[1], "<f4")) for r in rows]
 
 
-def sampled(df: DataFrame, key: str, most: int, n: int, salt: str) -> DataFrame:
-    """About most of the n rows, chosen by a hash of the key."""
+def below(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash falls into this share of all values: exact however small the share is."""
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(math.floor((2 * share - 1) * 2.0**63)))
+
+
+def drawn(docs: DataFrame, ids: DataFrame | None, n: int, most: int, salt: str) -> DataFrame:
+    """Written texts of about most of the rows of docs (doc_id, text) whose id is among ids (id; all rows for None), of which there are n.
+
+    Ids are drawn by their hash. Where one id stands on so many rows that far more come out, rows are drawn by id and text from those."""
     share = min(1.0, most / max(n, 1))
-    return df.filter(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
+    if ids is None:
+        rows = docs.filter(below(F.xxhash64(F.lit(salt), "doc_id"), share))
+    else:
+        few = ids.filter(below(F.xxhash64(F.lit(salt), "id"), share)).distinct()  # about most at the most
+        rows = docs.join(F.broadcast(few), F.col("doc_id") == F.col("id"), "left_semi")
+    n_rows = rows.count()
+    if n_rows > 2 * most:
+        rows = rows.filter(below(F.xxhash64(F.lit(salt + " row"), "doc_id", "text"), most / n_rows))
+    return written(rows.dropDuplicates(["doc_id", "text"]).select("text"), "sample")
 
 
 def nnpu(positive: list, unlabelled: list, prior: float, steps=STEPS, rate=RATE, decay=DECAY) -> Model:
@@ -143,15 +161,16 @@ def nnpu(positive: list, unlabelled: list, prior: float, steps=STEPS, rate=RATE,
 
 def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", positives=POSITIVES, unlabelled=UNLABELLED) -> Model | None:
     """docs: the rows to learn from. labels: (doc_id, toxic). None without confirmed toxic texts or without others."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumnRenamed("doc_id", "labelled_id")
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    joined = rows.join(known, F.col("doc_id") == F.col("labelled_id"), "left")
-    n, n_known, n_toxic = joined.agg(F.count(F.lit(1)), F.count("toxic"), F.sum("toxic")).first()
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))  # ids alone are shuffled
+    joined = ids.join(known, F.col("doc_id") == F.col("id"), "left")
+    n, n_known, n_toxic = joined.agg(F.sum("rows"), F.sum(F.when(F.col("toxic").isNotNull(), F.col("rows"))), F.sum(F.col("toxic") * F.col("rows"))).first()
     if not n_toxic or n_toxic == n:
         return None
     prior = min(max(n_toxic / n_known, 1e-4), 0.9)
-    confirmed = sampled(joined.filter("toxic = 1"), "doc_id", positives, n_toxic, "positive").select("text")
-    others = sampled(rows, "doc_id", unlabelled, n, "unlabelled").select("text")
+    confirmed = drawn(rows, joined.filter("toxic = 1").select("id"), n_toxic, positives, "positive")
+    others = drawn(rows, None, n, unlabelled, "unlabelled")
     n_confirmed, n_others = confirmed.count(), others.count()
     if not n_confirmed or not n_others:
         return None
@@ -161,11 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", positi
     share_u = np.zeros(len(within))
     share_u[np.isin(within, every)] = among[np.isin(every, within)] / n_others
     within = within[times / n_confirmed - share_u > STANDS_OUT * np.sqrt(np.maximum(share_u, 1 / n_others) / n_confirmed)]
-    return nnpu(gathered(confirmed, within), gathered(others, within), prior)
+    model = nnpu(gathered(confirmed, within), gathered(others, within), prior)
+    drop_table(confirmed), drop_table(others)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text="text") -> DataFrame:
     """docs with toxicity_score, in 0 to 1, of every whole text."""
+    docs = docs.drop("toxicity_score")
     names = docs.columns
     schema = docs.withColumn("toxicity_score", F.lit(0.0)).schema
 
