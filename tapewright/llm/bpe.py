@@ -1,14 +1,19 @@
 """BPE encoding and decoding with chunks that documents share encoded once.
 
-A text is cut where a rolling hash of its last bytes says so: equal passages in different documents are cut alike, so
-their chunks are equal and are encoded once for all documents of a task (and the following ones, as long as the chunk
-is remembered). A cut may fall into a word, where encoding the sides apart differs from encoding the whole. A join is
-repaired by re-encoding what lies between the last white space of the left and the first of the right chunk: the
-tokenizer never lets a token, or a normalisation, reach over white space, so from there on both agree exactly.
-Inside a chunk, words are encoded by the tokenizers library, each new word once.
-
-Defined cases: a null text is empty and has no ids; a text without white space is one piece over all its chunks; special
-tokens in a text are read as the library reads them; any vocabulary of the library's format that drops white space serves.
+A text is cut where a rolling hash of its last bytes says so: equal passages in different documents are cut alike, so their chunks are equal.
+What a chunk holds between its first and last white space is its body, encoded once for the whole corpus: bodies and the places that refer to
+them meet in one shuffle by the body's hash. What stands between two bodies, a join, was split by the cut; it is repaired by re-encoding
+it from white space to white space, where both sides agree exactly with the encoding of the whole: the tokenizer drops white space and
+lets no token, special token or normalisation reach over it, which is tested when a vocabulary is loaded. A second shuffle puts the
+ids of a row together again; texts are decoded from these ids.
+
+No row waits for another: a body that a task meets often gets a key of the task's own, and so does a row that is repeated, so that neither a
+shared passage nor a repeated row comes to one task as a whole.
+
+Defined cases: a null text is empty and has no ids; a text without white space is one body; special tokens in a text are read as the library
+reads them; ids of documents may have any type that casts to text, be null or repeated: every row comes out once for each time that it stands in
+the table; an empty table gives no rows; a vocabulary that keeps white space raises ValueError. A lost task's rows must come again in the
+same order, as those of a written table do.
 """
 
 from __future__ import annotations
@@ -19,15 +24,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import power_tables, read_table, small_batches, text_bytes
-from tapewright.llm.words import unified
+from tapewright.llm.common import SPACES, read_table, small_batches, text_bytes
 
 WINDOW = 16  # bytes under the rolling hash
 CHUNK_BITS = 9  # a cut each 512 bytes or so
-WORDS_KEPT, CHUNKS_KEPT = 200_000, 8_000
+LEAST_CHUNK = 128
+OFTEN = 2  # uses of a body, or of a row, in a task before it gets a key of the task's own
+REMEMBERED = 1 << 17  # bodies and rows that a task remembers to have sent; a forgotten one is sent again
+ENCODED_BYTES = 1 << 18  # of text that the library is given at once
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,172 +44,290 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """ids (as little-endian 32-bit bytes) and decoded text of pieces between white space; new ones by the library, in batches."""
+_LIBRARIES: dict[str, object] = {}
 
-    def __init__(self, path: str):
+
+def library(path: str):
+    """The tokenizer of the file, once a worker; it must drop white space and split texts there."""
+    if path not in _LIBRARIES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[bytes, tuple] = {}
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > WORDS_KEPT and len(self.known) > WORDS_KEPT // 2:
-            self.known.clear(), self.chunks.clear()
-            new = list(words)
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            found = self.library.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in some])
-            ids = np.array(found.ids, "<u4")
-            cuts = np.searchsorted(np.array([x for x, _ in found.offsets], np.int64), starts)
-            data, names, bounds = ids.tobytes(), found.tokens, cuts.tolist()
-            for word, a, b in zip(some, bounds, bounds[1:]):
-                self.known[word] = data[4 * a : 4 * b], " ".join(names[a:b])
+        found = Tokenizer.from_file(path)
+        found.no_padding()
+        found.no_truncation()
+        ids = lambda t: found.encode(t, add_special_tokens=False).ids
+        left, right = "It's 12.5", "ÀB,c's"
+        if ids(f"{left} {right}") != ids(left) + ids(right) or ids(f" \n{left}\t\r\n  {right}\x0b\x0c ") != ids(left) + ids(right):
+            raise ValueError(f"{path} keeps white space: texts can't be encoded in pieces")
+        _LIBRARIES[path] = found
+    return _LIBRARIES[path]
 
-    def whole(self, text: str) -> tuple[bytes, str]:
-        found = self.library.encode(text, add_special_tokens=False)
-        return np.array(found.ids, "<u4").tobytes(), self.library.decode(found.ids, skip_special_tokens=False)
 
+def encoded_texts(path: str, texts: list[bytes]) -> list[bytes]:
+    """Ids of each text, two bytes each, or four for more than 65536 ids."""
+    coder = library(path)
+    kind = id_kind(path)
+    return [np.array(x.ids, kind).tobytes() for x in coder.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
-_ENCODERS: dict[str, WordEncoder] = {}
 
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def id_kind(path: str) -> str:
+    return "<u2" if library(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def cut_points(raw: np.ndarray) -> np.ndarray:
-    """Positions before which a rolling hash of the last WINDOW bytes asks for a cut; never inside a character."""
-    n = len(raw)
-    if n <= WINDOW:
+    """Positions before which a rolling hash of the last WINDOW bytes asks for a cut."""
+    if len(raw) <= WINDOW:
         return np.zeros(0, np.int64)
-    powers, inverse = power_tables(n)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    rolled = (sums[WINDOW:] - sums[:-WINDOW]) * inverse[: n + 1 - WINDOW]
-    hit = (rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CHUNK_BITS) == 0
-    cuts = np.flatnonzero(hit) + WINDOW
-    cuts = cuts[cuts < n]
-    return cuts[(raw[cuts] & 0xC0) != 0x80]
-
-
-def pieces_of(chunk: str) -> tuple[str, list[str], str, bool]:
-    """What stands before the first and after the last white space, the words between, and whether there is white space."""
-    words = chunk.split()
-    head = words.pop(0) if words and not chunk[0].isspace() else ""
-    inner = len(words) > 0 or len(head) < len(chunk)
-    if not inner:
-        return head, [], "", False
-    tail = words.pop() if words and not chunk[-1].isspace() else ""
-    return head, words, tail, True
-
-
-def encode_texts(texts: pa.Array, path: str, window_bytes: int = 1 << 20) -> Iterator[tuple[bytes, str]]:
-    """ids and decoded text of every text of a batch, in order."""
-    coder = encoder(path)
-    raw, offsets = text_bytes(texts)
-    row = 0
-    while row + 1 < len(offsets):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + window_bytes, "right")) - 1)
-        original, part = raw[offsets[row] : offsets[stop]], raw[offsets[row] : offsets[stop]]
-        bounds = limits = offsets[row : stop + 1] - offsets[row]
-        part, bounds = unified(part, bounds)
-        edges = np.union1d(cut_points(part), bounds)
-        first = np.searchsorted(edges, bounds)
-        data = part.tobytes()
-        spans = edges.tolist()
-        keys = [data[a:b] for a, b in zip(spans, spans[1:])]
-        new = {k for k in keys if k not in coder.chunks}
-        if len(coder.chunks) + len(new) > CHUNKS_KEPT:
-            coder.chunks.clear()
-            new = set(keys)
-        split = {k: pieces_of(k.decode("utf-8", "replace")) for k in new}
-        coder.learn({w for _, words, _, _ in split.values() for w in words})
-        for k in set(keys) - coder.chunks.keys():  # more than new if learn() made room
-            head, words, tail, spaced = split.get(k) or pieces_of(k.decode("utf-8", "replace"))
-            try:
-                found = [coder.known[w] for w in words]
-            except KeyError:
-                coder.learn(set(words))
-                found = [coder.known[w] for w in words]
-            coder.chunks[k] = (head, b"".join([x for x, _ in found]), " ".join([x for _, x in found]), tail, spaced)
-        # joins: the words that stand across cuts
-        plans, joined = [], set()
-        found = np.searchsorted(np.flatnonzero((part >= 0x1C) & (part <= 0x1F)), bounds)
-        odd = (found[1:] > found[:-1]).tolist()  # white space for Python's split, but not for the tokenizer
-        for at in range(stop - row):
-            plan, held = [], []
-            if odd[at]:
-                plans.append(None)
-                continue
-            for k in keys[first[at] : first[at + 1]]:
-                chunk = coder.chunks[k]
-                held.append(chunk[0])
-                if chunk[4]:
-                    if word := "".join(held):
-                        plan.append(word)
-                        joined.add(word)
-                    plan.append(chunk)
-                    held = [chunk[3]]
-            if word := "".join(held):
-                plan.append(word)
-                joined.add(word)
-            plans.append(plan)
-        coder.learn(joined)
-        for at, plan in enumerate(plans):
-            if plan is None:
-                yield coder.whole(original[limits[at] : limits[at + 1]].tobytes().decode("utf-8", "replace"))
-                continue
-            found = [coder.known[p] if isinstance(p, str) else p[1:3] for p in plan]
-            yield b"".join([x for x, _ in found]), " ".join([x for _, x in found if x])
-        row = stop
-
-
-def digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    rolled, width, factor = (raw.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1), 1, 0x85EBCA6B
+    while width < WINDOW:  # sums over twice as many bytes at each step
+        rolled = rolled[:-width] * np.uint32(factor) + rolled[width:]
+        width, factor = 2 * width, factor * factor % (1 << 32)
+    hit = (rolled * np.uint32(0xC2B2AE35)) >> np.uint32(32 - CHUNK_BITS) == 0
+    return np.flatnonzero(hit) + WINDOW
+
+
+def edges_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of all chunks of all rows, the rows' beginnings among them, and which are such."""
+    hits = cut_points(raw)
+    row = np.searchsorted(offsets, hits, "right") - 1
+    hits = hits[(hits >= offsets[row] + WINDOW) & (hits < offsets[np.minimum(row + 1, len(offsets) - 1)])]
+    starts = np.unique(offsets)
+    edges = np.union1d(hits, starts)
+    short = np.flatnonzero(np.diff(edges) < LEAST_CHUNK)
+    if len(short):
+        is_start = np.isin(edges, starts).tolist()
+        kept, last = [], -LEAST_CHUNK
+        for at, fixed in zip(edges.tolist(), is_start):
+            if fixed or at - last >= LEAST_CHUNK:
+                kept.append(at)
+                last = at
+        edges = np.array(kept, np.int64)
+    return edges, np.isin(edges, starts)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES)] = True
+
+
+def bodies_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of the bodies of all chunks, and the n + 1 places of the rows among them. What lies between are the joins."""
+    edges, is_start = edges_of(raw, offsets)
+    if len(edges) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    spaces = np.flatnonzero(_SPACE[raw])
+    a, b = edges[:-1], edges[1:]
+    first, last = np.searchsorted(spaces, a), np.searchsorted(spaces, b) - 1
+    spaced = first <= last
+    padded = np.append(spaces, 0)
+    begin = np.where(is_start[:-1], a, np.where(spaced, padded[np.minimum(first, len(spaces))], b))
+    end = np.where(is_start[1:], b, np.where(spaced, padded[last] + 1, a))
+    some = end - begin > 1 if len(begin) else np.zeros(0, bool)
+    some |= is_start[:-1] & is_start[1:] & (end > begin)  # a text of a single byte
+    begin, end = begin[some], end[some]
+    return begin, end, np.searchsorted(begin, offsets)
+
+
+def _key(*parts: bytes) -> tuple[int, int]:
+    digest = hashlib.blake2b(b"\0".join(parts), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+BODY, PLACE, ROW = 0, 1, 2
+_PIECES = [("b1", pa.int64()), ("b2", pa.int64()), ("salt", pa.int32()), ("kind", pa.int32()), ("body", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("place", pa.int32()), ("joint", pa.binary()), ("times", pa.int64())]
+
+
+class Cutter:
+    """What a task has sent so far, and its rows as pieces: bodies, the places where they stand, and the rows themselves."""
+
+    def __init__(self, path: str):
+        self.path, self.own = path, 1 + TaskContext.get().partitionId()
+        self.bodies: dict[tuple[int, int], int] = {}
+        self.rows: dict[tuple[int, int], int] = {}
+
+    def body(self, data: bytes, out: list) -> tuple[int, int, int]:
+        """The key of a body; sends it if it isn't there yet."""
+        key = _key(data)
+        if len(self.bodies) >= REMEMBERED:
+            self.bodies.clear()
+        uses = self.bodies.get(key, 0)
+        self.bodies[key] = uses + 1
+        salt = 0 if uses < OFTEN else self.own
+        if uses in (0, OFTEN):
+            out.append((*key, salt, BODY, data, None, None, None, None, None))
+        return *key, salt
+
+    def pieces(self, batch: pa.RecordBatch) -> tuple[list, list[int]]:
+        """Pieces of all rows of a batch, and for each the row whose id it carries (-1: none)."""
+        raw, offsets = text_bytes(batch.column("text"))
+        begin, end, at = bodies_of(raw, offsets)
+        data, names = raw.tobytes(), batch.column("name").to_pylist()
+        begin, end, at, limits = begin.tolist(), end.tolist(), at.tolist(), offsets.tolist()
+        out, of, joints = [], [], {}
+        rows: dict[tuple[int, int], list] = {}
+        for row in range(batch.num_rows):
+            name = b"" if names[row] is None else b"=" + names[row].encode()
+            key = _key(str(len(name)).encode(), name, data[limits[row] : limits[row + 1]])
+            if key in rows:
+                rows[key][1] += 1
+            else:
+                rows[key] = [row, 1]
+        for key, (row, times) in rows.items():
+            if len(self.rows) >= REMEMBERED:
+                self.rows.clear()
+            uses = self.rows.get(key, 0)
+            self.rows[key] = uses + 1
+            if uses >= OFTEN:  # the same row again: under a key of this task
+                key = _key(key[0].to_bytes(8, "little", signed=True), key[1].to_bytes(8, "little", signed=True), str(self.own).encode())
+            before = limits[row]
+            for place, k in enumerate(range(at[row], at[row + 1])):
+                b = self.body(data[begin[k] : end[k]], out)
+                joint = data[before : begin[k]]
+                joints.setdefault(joint, None)
+                out.append((*b, PLACE, None, *key, place, joint, None))
+                before = end[k]
+            joint = data[before : limits[row + 1]]
+            joints.setdefault(joint, None)
+            of += [-1] * (len(out) - len(of)) + [row]
+            out.append((*key, 0, ROW, None, *key, -1, joint, times))
+        joints.pop(b"", None)
+        found = list(joints)
+        joints = dict(zip(found, encoded_texts(self.path, found))) if found else {}
+        joints[b""] = b""
+        return [(*p[:8], None if p[8] is None else joints[p[8]], p[9]) for p in out], of
+
+
+def cut(path: str, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(path)
         for batch in small_batches(batches):
-            n, ids, text = [], [], []
-            for found, decoded in encode_texts(batch.column("text"), path):
-                n.append(len(found) // 4)
-                ids.append(hashlib.sha256(found).hexdigest())
-                text.append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            pieces, of = cutter.pieces(batch)
+            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*pieces), _PIECES)] if pieces else [pa.array([], t) for _, t in _PIECES]
+            ids = batch.column("doc_id").take(pa.array([None if x < 0 else x for x in of], pa.int32()))
+            yield pa.record_batch([*columns, ids], [*[n for n, _ in _PIECES], "doc_id"])
 
     return run
 
 
+def encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ids at every place; a partition is sorted by body, a body before its places. Each body is encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids_of = None, b""
+        for batch in small_batches(batches, "body", ENCODED_BYTES):
+            b = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("b1", "b2", "salt", "kind")], 1)
+            first = np.ones(len(b), bool)
+            first[1:] = (b[1:] != b[:-1]).any(1)
+            if held is not None:
+                first[0] = tuple(b[0].tolist()) != held
+            held = tuple(b[-1].tolist())
+            new = np.flatnonzero(first & (b[:, 3] == BODY))
+            found = [ids_of, *encoded_texts(path, batch.column("body").take(pa.array(new)).to_pylist())] if len(new) else [ids_of]
+            which = np.zeros(len(b), np.int64)
+            which[new] = np.arange(1, len(new) + 1)
+            which = np.maximum.accumulate(which)
+            ids_of = found[-1]
+            rest = np.flatnonzero(b[:, 3] != BODY)
+            part = batch.take(pa.array(rest))
+            of = np.where(b[rest, 3] == PLACE, which[rest], -1).tolist()
+            ids = [j if w < 0 else j + found[w] for j, w in zip(part.column("joint").to_pylist(), of)]
+            yield pa.record_batch([*[part.column(c) for c in ("k1", "k2", "place")], pa.array(ids, pa.binary()), part.column("times"), part.column("doc_id")], ["k1", "k2", "place", "ids", "times", "doc_id"])
+
+    return run
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.Array]]:
+    """Ids and doc_id of whole rows; a partition is sorted by row and place. A row's own piece comes first and has what follows its last body."""
+    key, doc, parts, last, times, place = None, None, [], b"", 0, -1
+    done: list[tuple[bytes, int, object]] = []
+    size = 0
+
+    def finished():
+        ids = [x for x, n, _ in done for _ in range(n)]
+        docs = pa.concat_arrays([d for _, n, d in done for _ in range(n)])
+        return ids, docs
+
+    for batch in batches:
+        ks = zip(*[batch.column(c).to_pylist() for c in ("k1", "k2", "place", "ids", "times")])
+        docs = batch.column("doc_id")
+        for row, (k1, k2, at, ids, n) in enumerate(ks):
+            if (k1, k2) != key:
+                if key is not None:
+                    done.append((b"".join([*parts, last]), times, doc))
+                    size += sum(map(len, parts)) + len(last)
+                    if size >= ENCODED_BYTES or len(done) >= 4096:
+                        yield finished()
+                        done, size = [], 0
+                key, parts, times, place = (k1, k2), [], 0, -1
+            if at < 0:
+                doc, last, times = docs.slice(row, 1), ids, times + n
+            elif at > place:
+                parts.append(ids)
+                place = at
+    if key is not None:
+        done.append((b"".join([*parts, last]), times, doc))
+        yield finished()
+
+
+def pieces_of(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataFrame:
+    """Bodies, places and rows of all documents."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    column = F.col(f"`{doc_id}`")
+    rows = docs.select(column.alias("doc_id"), column.cast("string").alias("name"), F.col(f"`{text}`").cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType
+    schema = f"b1 long, b2 long, salt int, kind int, body binary, k1 long, k2 long, place int, joint binary, times long, doc_id {kind.simpleString()}"
+    return rows.mapInArrow(cut(path, to_arrow_type(kind)), schema)
+
+
+def rows_of_ids(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataFrame:
+    """(k1, k2, place, ids, times, doc_id): the ids of every row in pieces, sorted by row and place within partitions."""
+    pieces = pieces_of(docs, path, doc_id, text)
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    by_body = pieces.repartition("b1", "b2", "salt").sortWithinPartitions("b1", "b2", "salt", "kind")
+    found = by_body.mapInArrow(encoded(path), f"k1 long, k2 long, place int, ids binary, times long, doc_id {kind}")
+    return found.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "place")
+
+
+def chunk_use(docs: DataFrame, path: str, **columns) -> DataFrame:
+    """One row: n_places where bodies stand, and n_encoded different bodies among them."""
+    places = pieces_of(docs, path, **columns).filter(F.col("kind") == PLACE)
+    per = places.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_places"), F.count(F.lit(1)).alias("n_encoded"))
+
+
+def decoded_texts(path: str, ids: list[bytes]) -> list[str]:
+    kind = id_kind(path)
+    return library(path).decode_batch([np.frombuffer(x, kind).tolist() for x in ids], skip_special_tokens=False)
+
+
 def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", decoded: bool = True) -> DataFrame:
-    """doc_id, ids array<int> and, if asked, the decoded text of every row."""
+    """doc_id, ids array<int> and, if asked, the text decoded from them, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, most=1 << 20):
-            found, texts = [], []
-            for ids, value in encode_texts(batch.column("text"), path):
-                found.append(ids)
-                if decoded:
-                    texts.append(value)
-            ends = np.cumsum([0] + [len(x) // 4 for x in found])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.record_batch([batch.column("doc_id"), ids, *([pa.array(texts, pa.string())] if decoded else [])], ["doc_id", "ids", "decoded"][: 2 + decoded])
-
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+        kind = np.dtype(id_kind(path))
+        for found, docs in joined(batches):
+            ends = np.cumsum([0] + [len(x) // kind.itemsize for x in found])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), kind).astype(np.int32)))
+            yield pa.record_batch([docs, ids, *([pa.array(decoded_texts(path, found), pa.string())] if decoded else [])], ["doc_id", "ids", "decoded"][: 2 + decoded])
+
+    rows = rows_of_ids(docs, path, doc_id, text)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded)
 
 
 def encode_digests(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataFrame:
-    """doc_id, number of ids, and hashes of the ids and of the decoded text, of every row."""
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(digests(path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, number of ids, and hashes of the ids and of the text decoded from them, of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype(id_kind(path))
+        for found, docs in joined(batches):
+            n = [len(x) // kind.itemsize for x in found]
+            ids = [hashlib.sha256(np.frombuffer(x, kind).astype("<u4").tobytes()).hexdigest() for x in found]
+            texts = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in decoded_texts(path, found)]
+            yield pa.record_batch([docs, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = rows_of_ids(docs, path, doc_id, text)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,20 +237,45 @@ def test_fingerprint_takes_least_elements_in_text_order():
     assert order_minhash.likeness(moved[:1], moved[1:])[0] < 1
 
 
-LIBRARY = bpe.encoder(bpe.tokenizer_path()).library
+LIBRARY = bpe.library(bpe.tokenizer_path())
 
 
-def test_bpe_agrees_with_the_library(docs, empty):
+def ids_of(text):
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
+
+
+def test_bpe_agrees_with_the_library(spark, docs, empty, monkeypatch):
     rnd = random.Random(1)
-    letters = list("abc dé ' \t\n\x85\xa0 　\x1c\x1fΣσÍİ漢字😀1 2.,!'s're<|endoftext|>́​ﬁ") + ["<|endoftext|>", "'ll", "<|ENDOFTEXT|>"]
-    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 300))) for _ in range(400)] + [None, "a" * 5000, "é" * 3000, "ab. cd, " * 300]
-    for text, (ids, decoded) in zip(texts, bpe.encode_texts(pa.array(texts), bpe.tokenizer_path(), 20_000)):
-        wanted = LIBRARY.encode(text or "", add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == wanted and decoded == LIBRARY.decode(wanted, skip_special_tokens=False)
-    got = bpe.encode(docs, bpe.tokenizer_path()).collect()
-    wanted = Counter((r.doc_id, tuple(LIBRARY.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
-    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == wanted
+    letters = list("abc dé ' \t\n\x85\xa0 　\x1c\x1fΣσÍİ漢字😀1 2.,!'s're<|endoftext|>́​ﬁ") + ["<|endoftext|>", "'ll", "<|ENDOFTEXT|>"]
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 300))) for _ in range(400)] + [None, "x", " ", "a" * 5000, "é" * 3000, "ab. cd, " * 300, "z " * 4000]
+    texts += ["".join(rnd.choices(letters, k=9000)) for _ in range(3)]
+    table = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    got = {r.doc_id: r for r in bpe.encode(table, bpe.tokenizer_path()).collect()}
+    for i, text in enumerate(texts):
+        assert got[str(i)].ids == ids_of(text) and got[str(i)].decoded == LIBRARY.decode(ids_of(text), skip_special_tokens=False)
+    rows = docs.collect()
+    wanted = Counter((r.doc_id, tuple(ids_of(r.text))) for r in rows)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in bpe.encode(docs, bpe.tokenizer_path()).collect()) == wanted
+    for often, remembered in ((1, 1), (2, 50)):
+        monkeypatch.setattr(bpe, "OFTEN", often), monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+        assert Counter((r.doc_id, tuple(r.ids)) for r in bpe.encode(docs.unionByName(docs), bpe.tokenizer_path()).collect()) == Counter({k: 2 * n for k, n in wanted.items()})
+    digest = lambda r: (r.doc_id, len(ids_of(r.text)), hashlib.sha256(np.array(ids_of(r.text), "<u4").tobytes()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids_of(r.text), skip_special_tokens=False).encode()).hexdigest())
+    assert Counter(tuple(r) for r in bpe.encode_digests(docs, bpe.tokenizer_path()).collect()) == Counter(map(digest, rows))
     assert bpe.encode_digests(empty, bpe.tokenizer_path()).count() == 0
+    assert bpe.chunk_use(empty, bpe.tokenizer_path()).collect() == [(0, 0)]
+    with pytest.raises(ValueError):
+        bpe.library(bpe.tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_bpe_encodes_shared_chunks_once(spark):
+    rnd = random.Random(5)
+    words = lambda k: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(k))
+    passage = words(800)
+    table = spark.createDataFrame([(i, f"{words(150)} {passage} {words(150)}") for i in range(30)], "doc_id long, text string").repartition(4)
+    places, encoded = bpe.chunk_use(table, bpe.tokenizer_path()).first()
+    assert encoded < places / 2
+    sent = Counter((r.b1, r.b2) for r in bpe.pieces_of(table, bpe.tokenizer_path()).filter("kind = 0").collect())
+    assert max(sent.values()) <= 8  # a body is sent twice by a task at most, however often it occurs
 
 
 def test_huffman_round_trip_and_length_limit():
