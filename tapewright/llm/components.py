@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by spreading the least label and jumping pointers."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -11,22 +11,32 @@ from tapewright.llm.common import drop_table, written
 def components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> (node, label): label is the least node of its component. Nodes without an edge have no row.
 
-    Each round a node takes the least label of itself, its neighbours and its label's label; rounds grow with the
-    logarithm of the longest chain. Every round is a table in the shared folder; nothing is collected but a flag."""
+    In a round every node joins its least neighbour, or that one's own choice, and edges are drawn anew between the nodes that are left: what a round
+    reads shrinks by a factor, where nodes are in no particular order as hashes are. Then labels are carried back, round by
+    round. Every round is a table in the shared folder; nothing is collected but a flag."""
     both = edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct()
     both = written(both, "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        step = (
-            labels.join(near, F.col("node") == F.col("a"), "left")
-            .join(jump, "label", "left")
-            .select("node", F.least("label", "near", "jump").alias("next"), "label")
-        )
-        step = written(step, "labels")
-        changed = not step.filter("next <> label").isEmpty()
-        drop_table(labels)
-        labels = step.select("node", F.col("next").alias("label"))
-        if not changed:
-            return labels
+    rounds: list[DataFrame] = []
+    while not both.isEmpty():
+        to = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")).withColumnRenamed("a", "node")
+        to = written(to, "steps")
+        jump = to.select(F.col("node").alias("up"), F.col("up").alias("jump"))
+        step = written(to.join(jump, "up").select("node", F.col("jump").alias("up")), "steps")
+        drop_table(to)
+        rounds.append(step)
+        a, b = (step.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in "ab")
+        left = both.filter("a < b").join(a, "a").join(b, "b").filter("up_a <> up_b").select("up_a", "up_b").distinct()
+        left = written(left, "edges")
+        drop_table(both)
+        both = written(left.select(F.col("up_a").alias("a"), F.col("up_b").alias("b")).union(left.select("up_b", "up_a")).distinct(), "edges")
+        drop_table(left)
+    if not rounds:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = rounds[-1].select("node", F.col("up").alias("label"))
+    for step in reversed(rounds[:-1]):
+        later = labels.select(F.col("node").alias("up"), F.col("label").alias("later"))
+        labels = step.join(later, "up", "left").select("node", F.coalesce("later", "up").alias("label"))
+    labels = written(labels, "labels")
+    for step in rounds:
+        drop_table(step)
+    return labels

@@ -4,8 +4,9 @@ A text is the set of its hashed five-word shingles; equal sets are one class. Ea
 minima, its tokens. A run splits the classes recursively: at a node, every token is chosen with
 probability 1 / (SIMILARITY * COORDINATES) by a hash of the node and the token, and a class goes to the children of the chosen tokens that it
 has. So two classes meet wherever they share a chosen token, and a pair at the threshold reaches the next level with one child on average. Buckets of
-few classes are compared by brute force on the sketches; larger ones are split further, and below MAX_DEPTH compared
-block by block. Runs are repeated until a pair at the threshold is met with probability TARGET even if all its buckets are split to MAX_DEPTH.
+few classes are compared by brute force on the sketches. A larger one is compared with PIVOTS of its own classes first: if these link all
+its classes to one group, as in a bucket of near copies, no pair of it can be missed and it ends there; else it is split further, and below
+MAX_DEPTH compared block by block. Runs are repeated until a pair at the threshold is met with probability TARGET even if all its buckets are split to MAX_DEPTH.
 
 The compared pairs that look similar give a spanning forest, not all pairs; its components are compared again pair by pair
 on the exact sets, in blocks, which counts the links of every class without writing a row for each pair.
@@ -34,6 +35,7 @@ COORDINATES = 128
 LOOKS_SIMILAR = 0.6  # on the sketch: less than 1e-7 of the pairs at the threshold fall below; the exact sets decide
 FIRST_DEPTH, MAX_DEPTH = 2, 6
 BUCKET = 128
+PIVOTS = 4
 BLOCK = 1024
 TARGET = 0.999
 
@@ -214,6 +216,37 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(pa.concat_tables(held))
 
 
+def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the classes of crowded buckets, each with its bucket's pivots: the pivot that it is linked to, and whether the bucket has to be split."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = batch.num_rows
+        own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(n, 1, COORDINATES)
+        pivots = batch.column("pivots").flatten()
+        keys = pivots.field("key").to_numpy().reshape(n, PIVOTS)
+        theirs = np.frombuffer(b"".join(pivots.field("sketch").to_pylist()), np.uint16).reshape(n, PIVOTS, COORDINATES)
+        near = (own == theirs).mean(2) >= LOOKS_SIMILAR
+        between = np.stack([(theirs == theirs[:, [j]]).mean(2) >= LOOKS_SIMILAR for j in range(PIVOTS)], 1)
+        for _ in range(2):  # paths over up to PIVOTS - 1 links
+            between = np.einsum("nij,njk->nik", between.astype(np.int8), between.astype(np.int8)) > 0
+        loose = ~near.any(1) | ~between[:, 0].all(1)
+        key, path = batch.column("key").to_numpy(), batch.column("path").to_numpy()
+        rows = [pa.record_batch([pa.array(path), pa.array(key), pa.array(keys[np.arange(n), near.argmax(1)], mask=~near.any(1)), pa.array(loose)], ["path", "key", "pivot", "loose"])]
+        at, j = np.nonzero(near & (keys == key[:, None]).any(1)[:, None])  # pivots among themselves
+        rows.append(pa.record_batch([pa.array(path[at]), pa.array(key[at]), pa.array(keys[at, j]), pa.array(loose[at])], ["path", "key", "pivot", "loose"]))
+        yield from rows
+
+
+def with_pivots(crowded: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Adds pivots to the classes (path, key, sketch) of crowded buckets: those of least keys under PIVOTS orders. Only they are gathered."""
+    masks = [int(x) for x in mixed(np.arange(1, PIVOTS + 1, dtype=_U)).astype(np.int64)]
+    least = crowded.groupBy("path").agg(*[F.min(F.col("key").bitwiseXOR(F.lit(m))).alias(f"p{j}") for j, m in enumerate(masks)])
+    of = least.select("path", F.posexplode(F.array(*[F.col(f"p{j}").bitwiseXOR(F.lit(m)) for j, m in enumerate(masks)])).alias("j", "key"))
+    pivots = of.join(tokens, "key").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("j", "key", "sketch"))).alias("pivots"))
+    return crowded.join(pivots, "path")
+
+
 def exact_links(group: pd.DataFrame) -> pd.DataFrame:
     """Links within one pair of blocks of a component, on exact sets: a count for each class and a spanning forest."""
     sets, bounds = shingle_sets(pa.array(group["text"], pa.string()))
@@ -285,22 +318,24 @@ def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARG
     for depth in range(FIRST_DEPTH, MAX_DEPTH + 1):
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sized = paths.join(sizes, "path")
-        last = depth == MAX_DEPTH
         small = sized.filter(F.col("n") <= BUCKET).select("path", "key", F.lit(0).alias("block"))
-        if last:  # blocks of a large bucket are compared two by two
+        crowded = written(sized.filter(F.col("n") > BUCKET).join(tokens, "key").select("path", "key", "sketch", "n"), "crowded")
+        held = written(with_pivots(crowded, tokens).select("path", "key", "sketch", "pivots").mapInArrow(judged, "path long, key long, pivot long, loose boolean"), "judged")
+        found.append(held.filter("pivot is not null and pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b")))
+        rest = crowded.join(held.filter("loose").select("path").distinct(), "path", "left_semi")
+        if depth == MAX_DEPTH:  # blocks of a large bucket that its pivots don't link are compared two by two
             blocks = F.ceil(F.col("n") / BLOCK).cast("int")
             own = F.pmod("key", blocks).cast("int")
             other = F.explode(F.sequence(F.lit(0), blocks - 1))
-            large = sized.filter(F.col("n") > BUCKET).select("path", "key", own.alias("own"), blocks.alias("blocks"), other.alias("other"))
+            large = rest.select("path", "key", own.alias("own"), blocks.alias("blocks"), other.alias("other"))
             large = large.select("path", "key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"))
             small = small.unionByName(large)
-        of = small.join(tokens, "key").repartition("path", "block").sortWithinPartitions("path", "block")
+        of = small.join(tokens, "key").repartition("path", "block").sortWithinPartitions("path", "block", "key")
         found.append(written(of.mapInArrow(compared, "a long, b long").distinct(), "edges"))
-        if last:
+        if depth == MAX_DEPTH:
             break
-        deeper = sized.filter(F.col("n") > BUCKET).join(tokens, "key").select("path", "key", "sketch")
-        deeper = written(deeper.mapInArrow(next_paths, "path long, key long").distinct(), "paths")
-        drop_table(paths)
+        deeper = written(rest.select("path", "key", "sketch").mapInArrow(next_paths, "path long, key long").distinct(), "paths")
+        drop_table(paths), drop_table(crowded)
         paths = deeper
         if paths.isEmpty():
             break

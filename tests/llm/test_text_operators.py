@@ -13,6 +13,7 @@ import pytest
 
 from tapewright.llm import backoff_lm, bpe, jaccard_join, mixing, order_minhash, suffix_dedup, token_files, toxicity, webp
 from tapewright.llm.common import crc_mod, mixed
+from tapewright.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, `label` int, `size` int, copies string, whole string, key string"
@@ -175,6 +176,44 @@ def test_jaccard_large_groups_are_split_and_counted(spark, monkeypatch):
     assert {r.class_id for r in got} == {0}
 
 
+def test_jaccard_crowded_buckets_of_several_groups(spark, monkeypatch):
+    """Groups of near copies that share half of their words: pivots link some of a crowded bucket's classes only, and the rest goes down."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 6), monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rnd = random.Random(3)
+    word = lambda: str(rnd.randrange(10**7))
+    common, rows = [word() for _ in range(150)], []
+    for group in range(6):
+        own = common[: 25 * group] + [word() for _ in range(150 - 25 * group)]
+        for _ in range(25):
+            text = list(own)
+            for _ in range(rnd.randrange(4)):
+                text[rnd.randrange(len(text))] = word()
+            rows.append((len(rows), " ".join(text)))
+    sets = [shingles(t) for _, t in rows]
+    close = [[i != j and len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    wanted = [sum(x) for x in close]
+    got = {r.doc_id: r.n_links for r in jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(abs(got[i] - n) for i, n in enumerate(wanted)) <= 0.002 * sum(wanted)
+
+
+def test_components_by_contraction(spark):
+    rnd = random.Random(2)
+    edges = [(rnd.randrange(4000), rnd.randrange(4000)) for _ in range(1800)] + [(10_000 + i, 10_001 + i) for i in range(40)] + [(20_000, 20_001 + i) for i in range(50)] + [(5, 5), (30_000, 30_000)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_language_model_matches_formulas(docs, empty, monkeypatch):
     monkeypatch.setattr(backoff_lm, "CHUNK_BYTES", 9000)  # several chunks and shards
     rows = docs.collect()
