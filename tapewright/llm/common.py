@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: White space of the contracts: space and bytes 9 to 13.
 SPACES = (9, 10, 11, 12, 13, 32)
@@ -20,8 +23,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
+    """The folder that the driver and all executors share; one of our own only where none is set and all tasks run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: tasks need a folder that they share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tapewright-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -35,23 +40,76 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-MOST_RANGES = 20_000
+MOST_RANGES = 100_000
+RANGE_BYTES = 48 << 20
+LEAST_ID = -(1 << 63)
 
 
-def range_starts(df: DataFrame, number: str) -> np.ndarray:
-    """Least values, ascending, of ranges of about equal rows of a long column: at most MOST_RANGES come to the driver."""
-    spark = df.sparkSession
-    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    spread = df.agg(F.percentile_approx(number, [x / ranges for x in range(1, ranges)] or [0.5], 10_000)).first()[0]
-    bounds = np.unique(np.array(spread or [0], np.int64))
+def with_integer_id(docs: DataFrame, doc_id: str) -> DataFrame:
+    """docs, if the column is of an integer type; operators that number documents in order of their id take no others."""
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{doc_id} is {kind.simpleString()}: an integer id is needed")
+    return docs
+
+
+def id_number(doc_id: str) -> Column:
+    """An integer id in its order, nulls first."""
+    return F.coalesce(F.greatest(F.col(f"`{doc_id}`").cast("long"), F.lit(LEAST_ID + 1)), F.lit(LEAST_ID))
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Least (number, tie) of consecutive ranges, ascending."""
 
-    def placed(batches):
-        for batch in batches:
-            at = np.searchsorted(bounds, batch.column(0).to_numpy(), "right")
-            yield pa.record_batch([batch.column(0), pa.array(at.astype(np.int32))], ["number", "at"])
+    numbers: np.ndarray
+    ties: np.ndarray
+
+    def place(self, number: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """The range of each pair."""
+        at = np.searchsorted(self.numbers, number, "right") - 1
+        low = np.searchsorted(self.numbers, number, "left")
+        at -= (low == at) & (self.numbers[at] == number) & (tie < self.ties[at])
+        for start in np.unique(low[low < at]).tolist():  # numbers that several ranges share
+            rows = np.flatnonzero((low == start) & (self.numbers[np.minimum(low, len(self.numbers) - 1)] == number))
+            if len(rows):
+                stop = np.searchsorted(self.numbers, self.numbers[start], "right")
+                at[rows] = start + np.searchsorted(self.ties[start:stop], tie[rows], "right") - 1
+        return np.maximum(at, 0)
+
+
+def ranges_of(rows: DataFrame) -> Ranges:
+    """Ranges of about RANGE_BYTES of text, or one for each task of a shuffle if that is more, of rows (number long, tie long, size long).
+
+    A number that alone fills more than a range is cut along its ties, which are hashes. At most MOST_RANGES rows come to the driver."""
+    spark = rows.sparkSession
+    size = rows.agg(F.sum("size")).first()[0] or 0
+    n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, size // RANGE_BYTES))
+    spread = rows.agg(F.percentile_approx("number", [x / n for x in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0]
+    bounds = np.unique(np.array(spread or [0], np.int64))
 
-    least = df.select(number).mapInArrow(placed, "number long, at int").groupBy("at").agg(F.min("number").alias("least"))
-    return np.sort(np.array([r[0] for r in least.select("least").collect()], np.int64))
+    def starts(found: Ranges) -> list:
+        def placed(batches):
+            for batch in batches:
+                number, tie = (batch.column(c).to_numpy() for c in ("number", "tie"))
+                at = found.place(number, tie)
+                yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(number == found.numbers[at]), batch.column("number"), batch.column("tie")], ["at", "equal", "number", "tie"])
+
+        per = rows.select("number", "tie").mapInArrow(placed, "at int, equal boolean, number long, tie long").groupBy("at")
+        return sorted(per.agg(F.min(F.struct("number", "tie")).alias("least"), F.count(F.lit(1)).alias("n"), F.count_if("equal").alias("equal")).select("least.number", "least.tie", "n", "equal", "at").collect())
+
+    low = np.full(len(bounds), LEAST_ID, np.int64)
+    found = starts(Ranges(bounds, low))
+    each = sum(r["n"] for r in found) / n
+    if any(r["equal"] > 2 * each for r in found):
+        numbers, ties = [], []
+        equal = {r["at"]: r["equal"] for r in found}
+        for at, number in enumerate(bounds.tolist()):
+            parts = max(1, math.ceil(equal.get(at, 0) / each)) if equal.get(at, 0) > 2 * each else 1
+            numbers += [number] * parts
+            ties += [LEAST_ID + (k << 64) // parts for k in range(parts)]
+        found = starts(Ranges(np.array(numbers, np.int64), np.array(ties, np.int64)))
+    return Ranges(np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64))
 
 
 def drop_table(df: DataFrame) -> None:
@@ -147,14 +205,18 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = LOWER)
 
 
 _POWERS: dict[str, np.ndarray] = {}
+POWERS_KEPT = 1 << 21  # a longer table is made for the one text that needs it
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd multiplier modulo 2^64, and their inverses, up to the exponent n."""
-    if len(_POWERS.get("up", ())) <= n:
-        size = max(1 << 16, int(n * 1.05) + 2)
-        for name, base in (("up", int(_MULTIPLIER)), ("down", pow(int(_MULTIPLIER), -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[name] = np.cumprod(out, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+    if len(_POWERS.get("up", ())) > n:
+        return _POWERS["up"], _POWERS["down"]
+    found = {}
+    for name, base in (("up", int(_MULTIPLIER)), ("down", pow(int(_MULTIPLIER), -1, 1 << 64))):
+        out = np.full(max(1 << 16, int(n * 1.05) + 2), base, np.uint64)
+        out[0] = 1
+        found[name] = np.cumprod(out, dtype=np.uint64)
+    if n < POWERS_KEPT:
+        _POWERS.update(found)
+    return found["up"], found["down"]

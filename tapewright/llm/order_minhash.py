@@ -6,7 +6,8 @@ component. Two components agree if the same elements come in the same order, whi
 follow edit distance, not only the sets of k-mers.
 
 Defined cases: null text is empty; a text shorter than K is one k-mer, the empty text one empty k-mer, so equal texts always have equal fingerprints and
-likeness 1. Neighbours are taken in ascending order of the id, nulls first, equal ids by text; the first follows the last.
+likeness 1. Neighbours are taken in ascending order of the id, nulls first, equal ids by a hash of the text; the first follows the last. with_edits() needs
+ids of an integer type and raises TypeError for others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import mixed, power_tables, range_starts, read_table, small_batches
+from tapewright.llm.common import id_number, mixed, power_tables, ranges_of, read_table, small_batches, with_integer_id
 
 K, SIZE, TAKEN = 8, 32, 2
 LIKELY = 16  # candidates that a text has for the least hashes on average; all its elements are looked at if they are too few
@@ -104,22 +105,23 @@ def edited(text: str, following: str) -> str:
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in ranges of the id, each sorted, and at the end of a range the first rows of the next one (ahead = 1)."""
-    number = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long")
-    firsts = range_starts(docs.select(number.alias("number")), "number")
+    rows = docs.select("doc_id", "text", id_number("doc_id").alias("number"), F.xxhash64("text").alias("tie"))
+    ranges = ranges_of(rows.select("number", "tie", F.octet_length("text").cast("long").alias("size")))
+    n = max(1, len(ranges.numbers))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            own = batch.column("number").to_numpy()
-            at = np.searchsorted(firsts, own, "right") - 1
-            lead = np.flatnonzero(own == firsts[at])
-            rows = pa.array(np.concatenate([np.arange(len(own)), lead]))
-            place = np.concatenate([at, (at[lead] - 1) % len(firsts)]).astype(np.int32)
-            ahead = np.concatenate([np.zeros(len(own), np.int32), np.ones(len(lead), np.int32)])
-            yield pa.record_batch([pa.array(place), pa.array(ahead), batch.column("doc_id").take(rows), batch.column("text").take(rows)], ["range", "ahead", "doc_id", "text"])
+            number, tie = batch.column("number").to_numpy(), batch.column("tie").to_numpy()
+            at = ranges.place(number, tie)
+            lead = np.flatnonzero((number == ranges.numbers[at]) & (tie == ranges.ties[at]))
+            of = pa.array(np.concatenate([np.arange(len(number)), lead]))
+            place = np.concatenate([at, (at[lead] - 1) % n]).astype(np.int32)
+            ahead = np.concatenate([np.zeros(len(number), np.int32), np.ones(len(lead), np.int32)])
+            yield pa.record_batch([pa.array(place), pa.array(ahead), *[batch.column(c).take(of) for c in ("tie", "doc_id", "text")]], ["range", "ahead", "tie", "doc_id", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", number.alias("number")).mapInArrow(dealt, f"range int, ahead int, doc_id {kind}, text string")
-    return rows.repartition(max(1, len(firsts)), "range").sortWithinPartitions("range", "ahead", "doc_id", "text")
+    dealt_rows = rows.mapInArrow(dealt, f"range int, ahead int, tie long, doc_id {kind}, text string")
+    return dealt_rows.repartition(n, "range").sortWithinPartitions("range", "ahead", "doc_id", "tie", "text")
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +153,7 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_edits(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
+    docs = with_integer_id(docs, doc_id)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

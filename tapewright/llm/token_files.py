@@ -6,15 +6,17 @@ alone, so a file needs no more than these. A block holds whole documents of abou
 without any other block. Every CHECKPOINT ids a block notes its bit offset, and all these stretches are decoded side by side by a
 table of the next LONGEST bits.
 
-A file's rows: range, block (of the range), start (ids of the range before it), doc_ids, counts, checkpoints, payload,
-and the code lengths are a table beside them.
+A folder of files has two tables: codes (id, length), the length of each id's code, from which a reader makes the codes; and blocks: range,
+block (of the range), start (ids of all documents before it), doc_ids, counts, n, checkpoints, payload. Reading needs the folder alone.
 
-Defined cases: null text is empty and is written as its end id alone; rows with one id stand side by side, ordered by
-their ids; null ids come first; ids that never occur have no code; an empty table gives empty files.
+Defined cases: null text is empty and is written as its end id alone; rows with one id stand side by side, ordered by a hash of the text;
+null ids come first; ids that never occur have no code; an empty table gives empty files; document ids must be of an integer type, others raise
+TypeError.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm.bpe import tokenizer_path
-from tapewright.llm.common import drop_table, range_starts, read_table, small_batches, text_bytes, written
+from tapewright.llm.common import drop_table, id_number, ranges_of, read_table, shared_dir, small_batches, text_bytes, with_integer_id, written
 from tapewright.llm.words import table
 
 LONGEST = 18
@@ -115,28 +117,28 @@ def unpack(payload: bytes, n: int, checkpoints: np.ndarray, decoding: tuple[np.n
     return out.T.ravel()[:n] if rest == CHECKPOINT else np.concatenate([out.T[:-1].ravel(), out[:rest, -1]])
 
 
-BLOCKS = "range int, block int, start long, doc_ids binary, counts binary, ids binary"
-FILES = "range int, block int, start long, doc_ids binary, counts binary, n long, checkpoints binary, payload binary"
+BLOCKS = "range int, block int, start long, doc_ids array<bigint>, counts array<bigint>, ids binary"
+FILES = "range int, block int, start long, doc_ids array<bigint>, counts array<bigint>, n long, checkpoints array<bigint>, payload binary"
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of whole documents; rows come sorted by range and document."""
     state = {"range": None, "block": 0, "start": 0}
-    held: list[tuple[int, bytes]] = []
+    held: list[tuple[int | None, bytes]] = []
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
     def block() -> pa.RecordBatch:
-        counts = np.array([len(x) // 2 for _, x in held], np.int64)
-        row = [[state["range"]], [state["block"]], [state["start"]], [np.array([d for d, _ in held], "<i8").tobytes()], [counts.tobytes()], [b"".join([x for _, x in held])]]
+        counts = [len(x) // 2 for _, x in held]
+        row = [state["range"], state["block"], state["start"], [d for d, _ in held], counts, b"".join([x for _, x in held])]
         state["block"] += 1
-        state["start"] += int(counts.sum())
+        state["start"] += sum(counts)
         held.clear()
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds)], ["range", "block", "start", "doc_ids", "counts", "ids"])
+        return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], ["range", "block", "start", "doc_ids", "counts", "ids"])
 
     total = 0
     for batch in small_batches(batches, "ids"):
         ids = batch.column("ids").to_pylist()
-        for place, doc, found in zip(batch.column("range").to_pylist(), batch.column("number").to_pylist(), ids):
+        for place, doc, found in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), ids):
             if held and (place != state["range"] or total >= BLOCK_IDS):
                 yield block()
                 total = 0
@@ -150,9 +152,9 @@ def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_blocks(docs: DataFrame, path: str, text="text", doc_id="doc_id", end_id: int = END_ID) -> DataFrame:
     """Written table of blocks of ids, in ascending order of the documents' ids within and across ranges."""
-    number = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(number.alias("number"), F.col(f"`{text}`").cast("string").alias("text"))
-    firsts = range_starts(rows, "number")
+    value = F.col(f"`{text}`").cast("string")
+    rows = with_integer_id(docs, doc_id).select(id_number(doc_id).alias("number"), F.xxhash64(value).alias("tie"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), value.alias("text"))
+    ranges = ranges_of(rows.select("number", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = table(path)
@@ -163,11 +165,11 @@ def token_blocks(docs: DataFrame, path: str, text="text", doc_id="doc_id", end_i
             ids, bounds = words.encode(raw, offsets)
             ids = np.insert(ids.astype("<u2"), bounds[1:], end_id)
             data, at = ids.tobytes(), (2 * (bounds + np.arange(len(bounds)))).tolist()
-            own = batch.column("number").to_numpy()
-            place = np.searchsorted(firsts, own, "right") - 1
-            yield pa.record_batch([pa.array(place.astype(np.int32)), batch.column("number"), pa.array([data[a:b] for a, b in zip(at, at[1:])], pa.binary())], ["range", "number", "ids"])
+            place = ranges.place(batch.column("number").to_numpy(), batch.column("tie").to_numpy())
+            yield pa.record_batch([pa.array(place.astype(np.int32)), batch.column("doc_id"), batch.column("tie"), pa.array([data[a:b] for a, b in zip(at, at[1:])], pa.binary())], ["range", "doc_id", "tie", "ids"])
 
-    found = rows.mapInArrow(encoded, "range int, number long, ids binary").repartition(max(1, len(firsts)), "range").sortWithinPartitions("range", "number", "ids")
+    found = rows.mapInArrow(encoded, "range int, doc_id long, tie long, ids binary")
+    found = found.repartition(max(1, len(ranges.numbers)), "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "tie", "ids")
     return written(found.mapInArrow(in_blocks, BLOCKS), "blocks")
 
 
@@ -189,52 +191,60 @@ def id_counts(blocks: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def write_files(docs: DataFrame, path: str, **columns) -> tuple[DataFrame, np.ndarray]:
-    """The files of all documents, as a table that reads them, and the code lengths they are read with."""
+def write_files(docs: DataFrame, path: str, folder: str, **columns) -> None:
+    """Writes the files of all documents to a new folder."""
+    spark = docs.sparkSession
     blocks = token_blocks(docs, path, **columns)
     lengths = code_lengths(id_counts(blocks, 1 << 16))
+    totals = {r[0]: r[1] for r in blocks.groupBy("range").agg(F.sum(F.length("ids").cast("long")) / 2).collect()}  # one row for each range
+    before, sum_so_far = {}, 0
+    for place in sorted(totals):
+        before[place] = sum_so_far
+        sum_so_far += int(totals[place])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical_codes(lengths)
         for batch in batches:
             for k in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[k].as_buffer(), "<u2")
+                row = batch.slice(k, 1)
+                ids = np.frombuffer(row.column("ids")[0].as_buffer(), "<u2")
                 payload, checkpoints = pack(ids, lengths, codes)
-                more = [pa.array([len(ids)]), pa.array([checkpoints.astype("<i8").tobytes()]), pa.array([payload])]
-                yield pa.record_batch([*batch.slice(k, 1).columns[:5], *more], [*batch.schema.names[:5], "n", "checkpoints", "payload"])
-
-    files = written(blocks.mapInArrow(coded, FILES), "token-files", "uncompressed")
+                start = row.column("start").to_numpy() + before[row.column("range")[0].as_py()]
+                more = [pa.array([len(ids)]), pa.array([checkpoints.tolist()], pa.list_(pa.int64())), pa.array([payload])]
+                yield pa.record_batch([*row.columns[:2], pa.array(start), *row.columns[3:5], *more], [*batch.schema.names[:5], "n", "checkpoints", "payload"])
+
+    blocks.mapInArrow(coded, FILES).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    used = np.flatnonzero(lengths)
+    codes = pa.table({"id": pa.array(used.astype(np.int32)), "length": pa.array(lengths[used].astype(np.int32))})
+    spark.createDataFrame(codes).coalesce(1).write.parquet(f"{folder}/codes")  # at most 65536 rows
     drop_table(blocks)
-    return files, lengths
 
 
-def read_files(files: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document in the files."""
-    totals = {r[0]: r[1] for r in files.groupBy("range").agg(F.sum("n")).collect()}  # one row for each range
-    before, sum_so_far = {}, 0
-    for place in sorted(totals):
-        before[place] = sum_so_far
-        sum_so_far += totals[place]
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document in the files of a folder."""
+    found = spark.read.schema("id int, length int").parquet(f"{folder}/codes").toArrow()
+    lengths = np.zeros(1 << 16, np.int64)
+    lengths[found.column("id").to_numpy()] = found.column("length").to_numpy()
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoding = decoding_table(lengths)
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                ids = unpack(row["payload"], row["n"], np.frombuffer(row["checkpoints"], "<i8"), decoding)
-                counts, number = np.frombuffer(row["counts"], "<i8"), np.frombuffer(row["doc_ids"], "<i8")
+                row = batch.slice(k, 1)
+                ids = unpack(row.column("payload")[0].as_buffer(), row.column("n")[0].as_py(), row.column("checkpoints").flatten().to_numpy(), decoding)
+                counts = row.column("counts").flatten().to_numpy()
                 ends = np.cumsum(counts)
                 data, at = ids.astype("<u4").tobytes(), (4 * np.concatenate([[0], ends])).tolist()
                 check = [zlib.crc32(data[a:b]) for a, b in zip(at, at[1:])]
-                doc = pa.array(number, mask=number == -(1 << 63))
-                yield pa.record_batch([doc, pa.array(before[row["range"]] + row["start"] + ends - counts), pa.array(counts), pa.array(check, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([row.column("doc_ids").flatten(), pa.array(row.column("start").to_numpy() + ends - counts), pa.array(counts), pa.array(check, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.read.schema(FILES).parquet(f"{folder}/blocks").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, lengths = write_files(read_table(spark, sf_dir, "documents"), tokenizer_path())
-    return read_files(files, lengths)
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_files(read_table(spark, sf_dir, "documents"), tokenizer_path(), folder)
+    return read_files(spark, folder)
 
 
 QUERIES = {"op9_huffman_token_files": op9_huffman_token_files}

@@ -5,10 +5,9 @@ its words in a row. Words are told apart by hashes of their bytes; known ones ar
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 
+from tapewright.llm.bpe import library
 from tapewright.llm.common import LOWER, WORD_BYTES, running_hash, span_hashes, word_spans
 
 WORDS_KEPT = 600_000
@@ -17,7 +16,7 @@ WORDS_KEPT = 600_000
 def unified(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same texts with A-Z lowered and a space before a full stop or comma between a-z and white space.
 
-    The tokenizer lowers letters and parts the two in any case, so that ids stay; more words are then equal. Where a special token may
+    For a tokenizer that lowers letters and parts the two in any case: ids stay, and more words are then equal. Where a special token may
     stand, which is read as written, nothing is done."""
     if np.any((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)):
         return raw, bounds
@@ -30,12 +29,9 @@ def unified(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 class WordTable:
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.library = library(path)
+        ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        self.unifies = ids("AZ word, The end. x") == ids("az word , the end . x")
         self.forget()
 
     def forget(self) -> None:
@@ -60,7 +56,8 @@ class WordTable:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows in a row, and the n + 1 places of the rows among them."""
-        raw, offsets = unified(raw, offsets)
+        if self.unifies:
+            raw, offsets = unified(raw, offsets)
         starts, stops, bounds = word_spans(raw, offsets, WORD_BYTES)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

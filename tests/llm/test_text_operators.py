@@ -4,15 +4,19 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tapewright.llm import backoff_lm, bpe, jaccard_join, mixing, order_minhash, suffix_dedup, token_files, toxicity, webp
-from tapewright.llm.common import crc_mod, mixed
+from tapewright.llm.common import crc_mod, mixed, ranges_of
 from tapewright.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -245,18 +249,18 @@ def test_language_model_matches_formulas(docs, empty, monkeypatch):
 
 
 def test_fingerprints(docs, empty):
-    rows = sorted(docs.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.text or ""))
+    rows = docs.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie, r.text or ""))
     got = order_minhash.with_edits(docs).collect()
     wanted = Counter()
-    prints = {}
+    likeness = lambda x, y: sum(x[8 * k : 8 * k + 8] == y[8 * k : 8 * k + 8] for k in range(order_minhash.SIZE)) / order_minhash.SIZE
     for i, r in enumerate(rows):
         a, b = r.text or "", rows[(i + 1) % len(rows)].text or ""
         half = len(a) // 2
-        wanted[r.doc_id, len(a), hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest()] += 1
-        prints[r.doc_id] = order_minhash.as_text(order_minhash.fingerprints([a]))[0]
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == wanted
-    assert all(r.fingerprint == prints[r.doc_id] for r in got if r.doc_id is not None)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        changed = a[: len(a) - half] + b[:half]
+        own, after, following = (order_minhash.as_text(order_minhash.fingerprints([t]))[0] for t in (a, changed, b))
+        wanted[r.doc_id, len(a), hashlib.sha256(changed.encode()).hexdigest(), own, after, likeness(own, after), likeness(own, following)] += 1
+    assert Counter(tuple(r) for r in got) == wanted
     assert order_minhash.with_edits(empty).count() == 0
 
 
@@ -329,19 +333,49 @@ def test_huffman_round_trip_and_length_limit():
     assert lengths.max() == 8 and sum(2.0 ** -lengths) == 1
 
 
-def test_token_files_read_back(docs, empty):
-    files, lengths = token_files.write_files(docs, bpe.tokenizer_path())
-    got = sorted(token_files.read_files(files, lengths).collect(), key=lambda r: r.start)
-    rows = sorted(((-1 if r.doc_id is None else r.doc_id), LIBRARY.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in docs.collect())
-    assert [(-1 if r.doc_id is None else r.doc_id) for r in got] == [i for i, _ in rows]
+READ = """
+import sys
+from pyspark.sql import SparkSession
+from tapewright.llm import token_files
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for r in token_files.read_files(spark, sys.argv[1]).collect():
+    print(r.doc_id, r.start, r.n_tokens, r.ids_crc32, sep="\t")
+"""
+
+
+def test_token_files_read_back(spark, docs, empty, tmp_path):
+    """From the folder alone, in another process; the least id, a null one, and one id on a third of all rows stay apart."""
+    docs = docs.unionByName(docs.limit(40).withColumns({"doc_id": F.lit(-(1 << 63)), "text": F.concat(F.coalesce("text", F.lit("")), F.monotonically_increasing_id().cast("string"))}))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    folder = f"file://{tmp_path}/files"
+    token_files.write_files(docs, bpe.tokenizer_path(), folder)
+    done = subprocess.run([sys.executable, "-c", READ, folder], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[2])
+    got = sorted((tuple(None if x == "None" else int(x) for x in line.split("\t")) for line in done.stdout.splitlines()), key=lambda r: r[1])
+    order = lambda i: (i is not None, i or 0)
+    assert [r[0] for r in got] == sorted((r.doc_id for r in docs.collect()), key=order)
     start = 0
     for r in got:
-        assert r.start == start
-        start += r.n_tokens
-    crc = Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in rows)
-    assert Counter(((-1 if r.doc_id is None else r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == crc
-    files, lengths = token_files.write_files(empty, bpe.tokenizer_path())
-    assert token_files.read_files(files, lengths).count() == 0
+        assert r[1] == start
+        start += r[2]
+    wanted = Counter((r.doc_id, len(ids_of(r.text)) + 1, zlib.crc32(np.array([*ids_of(r.text), 2], "<u4").tobytes())) for r in docs.collect())
+    assert Counter((i, n, crc) for i, _, n, crc in got) == wanted
+    token_files.write_files(empty, bpe.tokenizer_path(), f"{folder}-empty")
+    assert token_files.read_files(spark, f"{folder}-empty").count() == 0
+    with pytest.raises(TypeError):
+        token_files.write_files(docs.withColumn("doc_id", F.lit("a")), bpe.tokenizer_path(), f"{folder}-text")
+    with pytest.raises(TypeError):
+        order_minhash.with_edits(docs.withColumn("doc_id", F.lit("a")))
+
+
+def test_ranges_cut_a_number_that_many_rows_share(spark):
+    rnd = random.Random(4)
+    pairs = [(rnd.randrange(-500, 500), rnd.randrange(-(1 << 63), 1 << 63)) for _ in range(900)] + [(77, rnd.randrange(-(1 << 63), 1 << 63)) for _ in range(600)]
+    found = ranges_of(spark.createDataFrame([(a, b, 1) for a, b in pairs], "number long, tie long, size long"))
+    at = found.place(*(np.array(x, np.int64) for x in zip(*sorted(pairs))))
+    assert (np.diff(at) >= 0).all() and at[0] == 0 and at[-1] == len(found.numbers) - 1
+    assert np.bincount(at).max() < 500
+    starts = list(zip(found.numbers.tolist(), found.ties.tolist()))
+    assert [sorted(pairs)[i] for i in np.flatnonzero(np.diff(at, prepend=-1))] == starts
 
 
 def test_toxicity_learns_from_confirmed_and_unlabelled(spark, empty):
