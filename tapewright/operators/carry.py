@@ -31,3 +31,14 @@ def running_sum(rows: DataFrame, keys: list[str], order: str, value: Column, nam
     own = F.sum("_value").over(Window.partitionBy(*keys, "_bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
     joined = cut.join(per, [*keys, "_bucket"])
     return joined.withColumn(name, own + F.col("_carried")).drop("_value", "_bucket", "_carried")
+
+
+def running_lag(rows: DataFrame, keys: list[str], order: str, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
+    """Adds name: the value of the row before this one in the order; null for the first."""
+    cut = rows.withColumn("_value", value).withColumn("_bucket", F.floor(F.col(order) / bucket))
+    per = cut.groupBy(*keys, "_bucket").agg(F.max_by(F.struct("_value"), order).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_bucket")
+    per = per.select(*keys, "_bucket", F.lag("_last").over(before).alias("_carried"))
+    within = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    joined = cut.join(per, [*keys, "_bucket"]).withColumn("_nth", F.row_number().over(within)).withColumn("_own", F.lag("_value").over(within))
+    return joined.withColumn(name, F.when(F.col("_nth") == 1, F.col("_carried")["_value"]).otherwise(F.col("_own"))).drop("_value", "_bucket", "_carried", "_nth", "_own")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.parse import parse_book_side, parse_double, parse_exchange_ts, parse_side
+from tapewright.operators.carry import BUCKET, running_lag
 
 _TRADE = "struct<trade_id:string,product_id:string,price:string,size:string,side:string,time:string>"
 _UPDATE = "struct<side:string,event_time:string,price_level:string,new_quantity:string>"
@@ -16,18 +19,22 @@ MESSAGE = (
 )
 
 
+def _is_message(value: str, m: Column) -> Column:
+    """A JSON object with at least one of the known fields."""
+    known = [m[c].isNotNull() for c in ("channel", "type", "message", "timestamp", "sequence_num", "product_id", "product_ids", "trades", "events")]
+    return F.trim(F.col(value)).startswith("{") & reduce(lambda a, b: a | b, known)
+
+
 def parse_messages(raw: DataFrame, value: str = "value") -> DataFrame:
     """raw text with arrival_ts and arrival_seq -> one struct column m; what isn't a JSON object is left out."""
     parsed = F.from_json(F.col(value), MESSAGE, {"mode": "PERMISSIVE"})
-    rows = raw.withColumn("m", parsed).filter(F.trim(F.col(value)).startswith("{"))
-    return rows.filter(F.col("m").isNotNull() & (F.to_json("m") != "{}"))
+    return raw.withColumn("m", parsed).filter(_is_message(value, F.col("m")))
 
 
 def corrupt_messages(raw: DataFrame, value: str = "value") -> DataFrame:
     """The records that parse_messages() leaves out."""
     parsed = F.from_json(F.col(value), MESSAGE, {"mode": "PERMISSIVE"})
-    good = F.trim(F.col(value)).startswith("{") & parsed.isNotNull() & (F.to_json(parsed) != "{}")
-    return raw.filter(~F.coalesce(good, F.lit(False)))
+    return raw.withColumn("m", parsed).filter(~F.coalesce(_is_message(value, F.col("m")), F.lit(False))).drop("m")
 
 
 def classify_messages(raw: DataFrame) -> DataFrame:
@@ -90,12 +97,14 @@ def extract_errors(messages: DataFrame) -> DataFrame:
     return messages.filter("kind = 'error'").select("arrival_seq", F.coalesce("m.message", F.lit("provider error")).alias("message"))
 
 
-def sequence_audit(rows: DataFrame, product="product_id", seq="sequence_num", arrival="arrival_seq") -> DataFrame:
-    """Each message with the step from the product's previous one: gap (missed), duplicate or regression."""
-    previous = F.lag(seq).over(Window.partitionBy(product).orderBy(arrival))
+def sequence_audit(rows: DataFrame, product="product_id", seq="sequence_num", arrival="arrival_seq", bucket: int = BUCKET) -> DataFrame:
+    """Each message with the step from the product's previous one: gap (missed), duplicate or regression.
+
+    The previous message is looked for within a bucket of the order of arrival; a bucket's first one looks back to the last of an earlier bucket."""
+    found = running_lag(rows, [product], arrival, F.col(seq), "previous", bucket)
     step = F.col(seq) - F.col("previous")
     state = F.when(F.col("previous").isNull(), "first").when(step == 1, "next").when(step > 1, "gap").when(step == 0, "duplicate").otherwise("regression")
-    return rows.withColumn("previous", previous).withColumn("state", state).withColumn("missed", F.greatest(step - 1, F.lit(0)))
+    return found.withColumn("state", state).withColumn("missed", F.greatest(step - 1, F.lit(0)))
 
 
 def feed_silence(rows: DataFrame, ts_ms="ts_ms", threshold_ms: int = 10_000, bucket_ms: int = 3_600_000, keys: tuple = ()) -> DataFrame:

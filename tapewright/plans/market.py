@@ -121,8 +121,8 @@ def n10(spark, d):
 
 
 def n11(spark, d):
-    rows = views.trades(spark, d).filter("ingest_seq % 11 <> 0")
-    return messages.sequence_audit(rows, seq="ingest_seq", arrival="ts_ms").select("product_id", "ingest_seq", "state", "missed")
+    rows = views.trades(spark, d)
+    return messages.sequence_audit(rows, seq="ingest_seq", arrival="ts_ms", bucket=DAY).select("product_id", "ingest_seq", "state", "missed")
 
 
 def n12(spark, d):
@@ -232,7 +232,7 @@ MARKET: dict[str, tuple] = {
     "n11_sequence_audit": (
         n11,
         _with(
-            "SELECT product_id, ingest_seq, CASE WHEN p IS NULL THEN 'first' WHEN ingest_seq - p = 1 THEN 'next' WHEN ingest_seq - p > 1 THEN 'gap' WHEN ingest_seq = p THEN 'duplicate' ELSE 'regression' END AS state, CASE WHEN p IS NULL THEN 0 ELSE greatest(ingest_seq - p - 1, 0) END AS missed FROM (SELECT *, lag(ingest_seq) OVER (PARTITION BY product_id ORDER BY ts_ms) AS p FROM trades WHERE ingest_seq % 11 <> 0)",
+            "SELECT product_id, ingest_seq, CASE WHEN p IS NULL THEN 'first' WHEN ingest_seq - p = 1 THEN 'next' WHEN ingest_seq - p > 1 THEN 'gap' WHEN ingest_seq = p THEN 'duplicate' ELSE 'regression' END AS state, CASE WHEN p IS NULL THEN 0 ELSE greatest(ingest_seq - p - 1, 0) END AS missed FROM (SELECT *, lag(ingest_seq) OVER (PARTITION BY product_id ORDER BY ts_ms) AS p FROM trades)",
             S.TRADES,
         ),
     ),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.operators.carry import running_sum
+
 MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
 
 
@@ -25,17 +27,18 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l2_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One level per message; every 500th message of a product is a snapshot, every 7th event deletes."""
-    return table(spark, sf_dir, "events").selectExpr(
+    """One level per message; every 500th message of a product is a snapshot, every 7th event deletes. Messages are counted bucket by bucket."""
+    rows = table(spark, sf_dir, "events").selectExpr(
         "event_type AS product_id",
         f"{MS} AS ts_ms",
         "event_id AS seq",
         "0 AS ord",
-        "CASE WHEN (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 500 = 0 THEN 'snapshot' ELSE 'update' END AS kind",
         "CASE WHEN user_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side",
         "CAST(floor(value) AS DOUBLE) AS price",
         "CASE WHEN event_id % 7 = 0 THEN 0D ELSE CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) END AS quantity",
     )
+    kind = F.when((F.col("nth") - 1) % 500 == 0, "snapshot").otherwise("update").alias("kind")
+    return running_sum(rows, ["product_id"], "seq", F.lit(1), "nth").select("product_id", "ts_ms", "seq", "ord", kind, "side", "price", "quantity")
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:

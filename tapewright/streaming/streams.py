@@ -54,57 +54,64 @@ def quotes(trades: DataFrame) -> DataFrame:
 
 
 class BookProcessor(StatefulProcessor):
-    """A product's levels in state. A snapshot empties the book; updates before the first one are dropped; only changes come out."""
+    """Levels of a part of a product's book in state, each with the snapshot that it belongs to: a new snapshot makes all others void without a
+    look at them. Only levels that a batch touches are read or written. Updates before the first snapshot are dropped; only changes come out."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, tick bigint", "qty double")
-        self.started = handle.getValueState("started", "seq bigint")
+        self.levels = handle.getMapState("levels", "side string, tick bigint", "generation bigint, qty double")
+        self.latest = handle.getValueState("latest", "generation bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["seq", "ord"])
-        out = []
-        started = self.started.exists()
-        book = {tuple(k): v[0] for k, v in self.levels.iterator()}
-        touched = set()
-        now = None
-        for row in batch.itertuples():
-            if row.kind == "snapshot" and row.seq != now:  # a snapshot's rows are one message
-                touched |= book.keys()
-                book.clear()
-                started, now = True, row.seq
-            if not started:
-                continue
-            level, qty = (row.side, int(row.tick)), max(row.quantity, 0.0)
-            if book.get(level, 0.0) != qty:
-                out.append((key[0], int(row.seq), row.side, int(row.tick), qty))
-                touched.add(level)
-                if qty:
-                    book[level] = qty
-                else:
-                    book.pop(level, None)
-        for level in touched:
-            if level in book:
-                self.levels.updateValue(level, (book[level],))
-            elif self.levels.containsKey(level):
-                self.levels.removeKey(level)
-        if started:
-            self.started.update((int(batch["seq"].iloc[-1]),))
-        yield pd.DataFrame(out, columns=["product_id", "seq", "side", "tick", "qty"])
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "ord"], ignore_index=True)
+        known = self.latest.get()[0] if self.latest.exists() else -1
+        generation = batch["seq"].where(batch["kind"] == "snapshot", -1).cummax().clip(lower=known)
+        if generation.iloc[-1] > known:
+            self.latest.update((int(generation.iloc[-1]),))
+        own = batch.assign(generation=generation, qty=batch["quantity"].clip(lower=0.0))[(generation >= 0) & batch["own"]]
+        if not len(own):
+            return
+        # the last of several rows of a level in a message counts
+        own = own.drop_duplicates(["generation", "seq", "side", "tick"], keep="last")
+        level = own.groupby(["side", "tick"], sort=False)
+        first, last = level.head(1), level.tail(1)
+        stored = pd.Series({i: self._stored(s, t, g) for i, s, t, g in zip(first.index, first["side"], first["tick"], first["generation"])})
+        same = own["generation"] == level["generation"].shift()
+        before = level["qty"].shift().where(same, 0.0)
+        before.loc[first.index] = stored
+        for side, tick, generation, qty in zip(last["side"], last["tick"], last["generation"], last["qty"]):
+            self.levels.updateValue((side, int(tick)), (int(generation), float(qty)))
+        changed = own[own["qty"] != before]
+        yield changed.assign(product_id=key[0])[["product_id", "seq", "side", "tick", "qty"]]
+
+    def _stored(self, side: str, tick: int, generation: int) -> float:
+        level = (side, int(tick))
+        found = self.levels.getValue(level) if self.levels.containsKey(level) else None
+        return found[1] if found and found[0] == generation else 0.0
 
     def close(self) -> None:
         pass
 
 
-def stream_book(l2: DataFrame, tick_size: float = 1.0) -> DataFrame:
-    """Changes of book levels from a stream of updates (product_id, seq, ord, kind, side, price, quantity)."""
-    rows = l2.withColumn("tick", F.round(F.col("price") / tick_size).cast("long")).select("product_id", "seq", "ord", "kind", "side", "tick", "quantity")
+def stream_book(l2: DataFrame, tick_size: float = 1.0, parts: int = 8) -> DataFrame:
+    """Changes of book levels from a stream of updates (product_id, seq, ord, kind, side, price, quantity).
+
+    A product's book is kept in parts by level, so that a busy product isn't one task; each part hears of every snapshot. A batch is
+    ordered within a part: the source's limit for a trigger bounds what a task holds. Updates must come in batches in the order of seq."""
+    rows = l2.withColumn("tick", F.round(F.col("price") / tick_size).cast("long"))
+    part = F.pmod(F.xxhash64("side", "tick"), F.lit(parts)).cast("int")
+    heard = F.when(F.col("kind") == "snapshot", F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array("home"))
+    rows = rows.withColumn("home", part).withColumn("part", F.explode(heard)).withColumn("own", F.col("part") == F.col("home"))
+    rows = rows.select("product_id", "part", "own", "seq", "ord", "kind", "side", "tick", "quantity")
     l2.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.groupBy("product_id").transformWithStateInPandas(BookProcessor(), outputStructType=DELTAS, outputMode="append", timeMode="none")
+    return rows.groupBy("product_id", "part").transformWithStateInPandas(BookProcessor(), outputStructType=DELTAS, outputMode="append", timeMode="none")
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """A new folder where the driver and all executors can write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tapewright-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: tasks need a folder that they share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="tapewright-")
     return f"{base}/{what}-{uuid.uuid4().hex}"
 
 
