@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import SPACES, read_table, small_batches, text_bytes
+from tapewright.llm.common import SPACES, lean, read_table, small_batches, text_bytes
 
 WINDOW = 16  # bytes under the rolling hash
 CHUNK_BITS = 9  # a cut each 512 bytes or so
@@ -277,7 +277,7 @@ def pieces_of(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataF
     rows = docs.select(column.alias("doc_id"), column.cast("string").alias("name"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType
     schema = f"b1 long, b2 long, salt int, kind int, body binary, k1 long, k2 long, place int, joint binary, times long, doc_id {kind.simpleString()}"
-    return rows.mapInArrow(cut(path, to_arrow_type(kind)), schema)
+    return rows.mapInArrow(lean(cut(path, to_arrow_type(kind))), schema)
 
 
 def rows_of_ids(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataFrame:
@@ -285,7 +285,7 @@ def rows_of_ids(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> Dat
     pieces = pieces_of(docs, path, doc_id, text)
     kind = pieces.schema["doc_id"].dataType.simpleString()
     by_body = pieces.repartition("b1", "b2", "salt").sortWithinPartitions("b1", "b2", "salt", "kind")
-    found = by_body.mapInArrow(encoded(path), f"k1 long, k2 long, place int, ids binary, times long, doc_id {kind}")
+    found = by_body.mapInArrow(lean(encoded(path)), f"k1 long, k2 long, place int, ids binary, times long, doc_id {kind}")
     return found.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "place")
 
 
@@ -312,7 +312,7 @@ def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", decoded: bo
             yield pa.record_batch([docs, ids, *([pa.array(decoded_texts(path, found), pa.string())] if decoded else [])], ["doc_id", "ids", "decoded"][: 2 + decoded])
 
     rows = rows_of_ids(docs, path, doc_id, text)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded)
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded)
 
 
 def encode_digests(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataFrame:
@@ -327,7 +327,7 @@ def encode_digests(docs: DataFrame, path: str, doc_id="doc_id", text="text") ->
             yield pa.record_batch([docs, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = rows_of_ids(docs, path, doc_id, text)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,12 +22,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import drop_table, mixed, read_table, small_batches, text_bytes, word_hashes, written
+from tapewright.llm.common import drop_table, lean, mixed, read_table, small_batches, text_bytes, word_hashes, written
 from tapewright.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -37,6 +36,7 @@ FIRST_DEPTH, MAX_DEPTH = 2, 6
 BUCKET = 128
 PIVOTS = 4
 BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 TARGET = 0.999
 
 _U = np.uint64
@@ -247,43 +247,90 @@ def with_pivots(crowded: DataFrame, tokens: DataFrame) -> DataFrame:
     return crowded.join(pivots, "path")
 
 
-def exact_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Links within one pair of blocks of a component, on exact sets: a count for each class and a spanning forest."""
-    sets, bounds = shingle_sets(pa.array(group["text"], pa.string()))
-    own = set_keys(sets, bounds)
-    rows = pd.DataFrame({"key": group["key"].to_numpy(), "own": own, "side": group["side"].to_numpy(), "weight": group["weight"].to_numpy(), "at": np.arange(len(group))})
-    rows = rows[rows["key"] == rows["own"]].drop_duplicates("key").sort_values("key")
-    at, side, key, weight = (rows[c].to_numpy() for c in ("at", "side", "key", "weight"))
-    n, sizes = len(rows), (bounds[1:] - bounds[:-1])[at]
-    picked = np.concatenate([np.arange(bounds[x], bounds[x + 1]) for x in at] or [np.zeros(0, np.int64)])
+def exact_links(keys: np.ndarray, weights: np.ndarray, sides: np.ndarray, low: int, high: int, texts: pa.Array) -> list[np.ndarray]:
+    """Links within a block of a component, or between two, on exact sets: key, links and texts of each class, and the root of its part of a spanning forest."""
+    sets, bounds = shingle_sets(texts)
+    _, first = np.unique(keys, return_index=True)
+    first = first[set_keys(sets, bounds)[first] == keys[first]]
+    keys, weights, sides, sizes = keys[first], weights[first], sides[first], np.diff(bounds)[first]
+    n = len(keys)
+    picked = np.concatenate([np.arange(bounds[x], bounds[x + 1]) for x in first] or [np.zeros(0, np.int64)])
     row = np.repeat(np.arange(n), sizes)
     shared, code, times = np.unique(sets[picked], return_inverse=True, return_counts=True)
-    row, code = row[times[code] > 1], code[times[code] > 1]
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(code, kind="stable")
-    row, code = row[order], code[order]
-    for first in range(0, len(shared), 4096):  # columns of the incidence matrix, some at a time
-        a, b = np.searchsorted(code, [first, first + 4096])
-        if b > a:
-            some = np.zeros((n, min(4096, len(shared) - first)), np.float32)
-            some[row[a:b], code[a:b] - first] = 1
-            some = some[:, some.any(0)]
-            both += some @ some.T
-    close = both >= np.ceil(SIMILARITY * (sizes[:, None] + sizes[None, :] - both) - 1e-6)
-    np.fill_diagonal(close, False)
-    if group["across"].iloc[0]:
-        close &= side[:, None] != side[None, :]
-    links, texts = close @ weight, close.sum(1)
-    parent, left = np.arange(n), np.ones(n, bool)
-    for start in range(n):
+    kept = times[code] > 1
+    order = np.argsort(code[kept], kind="stable")
+    row, code = row[kept][order], code[kept][order]
+    columns = np.cumsum(times > 1) - 1
+    code = columns[code]
+    across, a, b = low != high, np.flatnonzero(sides == low), np.flatnonzero(sides == high)
+    both = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, 2048):  # columns of the incidence matrix, some at a time
+        p, q = np.searchsorted(code, [start, start + 2048])
+        some = np.zeros((n, 2048), np.float32)
+        some[row[p:q], code[p:q] - start] = 1
+        both += some[a] @ some[b].T if across else some @ some.T
+    close = np.zeros(both.shape, bool)
+    for start in range(0, len(a), 64):
+        part = both[start : start + 64]
+        close[start : start + 64] = part >= np.ceil(SIMILARITY * (sizes[a[start : start + 64], None] + sizes[None, b] - part) - 1e-6)
+    if not across:
+        np.fill_diagonal(close, False)
+    links, counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    links[a], counts[a] = close @ weights[b], close.sum(1)
+    if across:
+        links[b], counts[b] = close.T @ weights[a], close.sum(0)
+    root, left = np.arange(n), np.ones(n, bool)
+    at_a, at_b = np.full(n, -1), np.full(n, -1)
+    at_a[a], at_b[b] = np.arange(len(a)), np.arange(len(b))
+    for start in np.flatnonzero(counts).tolist():
         if left[start]:
             left[start], todo = False, [start]
             while todo:
-                reached = np.flatnonzero(close[todo.pop()] & left)
+                x = todo.pop()
+                reached = b[close[at_a[x]]] if at_a[x] >= 0 else a[close[:, at_b[x]]]
+                reached = reached[left[reached]]
                 left[reached] = False
-                parent[reached] = start
+                root[reached] = start
                 todo += reached.tolist()
-    return pd.DataFrame({"key": key, "links": links.astype(np.int64), "texts": texts.astype(np.int64), "root": key[parent]})
+    return [keys, links, counts, keys[root]]
+
+
+def exact_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """exact_links() of every pair of blocks; a partition is sorted by these. Small ones share a batch of results."""
+    names = ["key", "links", "texts", "root"]
+    held: list[pa.RecordBatch] = []
+    own = None
+    done: list[list[np.ndarray]] = []
+
+    def finished() -> None:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key, weight, side = (rows.column(c).to_numpy() for c in ("key", "weight", "side"))
+        done.append(exact_links(key, weight, side, *own[1:], rows.column("text")))
+
+    def results() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*done)], names)
+        done.clear()
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("label", "low", "high")], 1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            this = tuple(at[start].tolist())
+            if this != own:
+                if held:
+                    finished()
+                    held.clear()
+                own = this
+            held.append(batch.slice(start, stop - start))
+        if len(done) >= 256:
+            yield results()
+    if held:
+        finished()
+    if done:
+        yield results()
 
 
 def linked(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET) -> DataFrame:
@@ -294,6 +341,7 @@ def linked(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET
 
 def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARGET) -> DataFrame:
     """The rows of linked() with the hash of the text, and the label of the linked group: null for texts without shingles."""
+    spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
@@ -305,7 +353,7 @@ def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARG
             own = set_keys(keys, bounds)
             yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(own), pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "text_hash", "key", "sketch"])
 
-    members = written(rows.mapInArrow(described, f"doc_id {kind}, text_hash long, key long, sketch binary"), "members")
+    members = written(rows.mapInArrow(lean(described), f"doc_id {kind}, text_hash long, key long, sketch binary"), "members")
     one = F.min(F.struct("doc_id", "text_hash"))  # a row with the class's text
     least = F.min("doc_id")
     classes = members.filter("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("weight"), least.alias("doc_id"), one.alias("one"), F.first("sketch").alias("sketch"))
@@ -313,14 +361,14 @@ def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARG
     tokens = classes.select("key", "sketch")
 
     runs = runs_needed(target)
-    paths = written(tokens.mapInArrow(lambda it: first_paths(it, runs, FIRST_DEPTH), "path long, key long").distinct(), "paths")
+    paths = written(tokens.mapInArrow(lean(lambda it: first_paths(it, runs, FIRST_DEPTH)), "path long, key long").distinct(), "paths")
     found = []
     for depth in range(FIRST_DEPTH, MAX_DEPTH + 1):
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sized = paths.join(sizes, "path")
         small = sized.filter(F.col("n") <= BUCKET).select("path", "key", F.lit(0).alias("block"))
         crowded = written(sized.filter(F.col("n") > BUCKET).join(tokens, "key").select("path", "key", "sketch", "n"), "crowded")
-        held = written(with_pivots(crowded, tokens).select("path", "key", "sketch", "pivots").mapInArrow(judged, "path long, key long, pivot long, loose boolean"), "judged")
+        held = written(with_pivots(crowded, tokens).select("path", "key", "sketch", "pivots").mapInArrow(lean(judged), "path long, key long, pivot long, loose boolean"), "judged")
         found.append(held.filter("pivot is not null and pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b")))
         rest = crowded.join(held.filter("loose").select("path").distinct(), "path", "left_semi")
         if depth == MAX_DEPTH:  # blocks of a large bucket that its pivots don't link are compared two by two
@@ -331,10 +379,10 @@ def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARG
             large = large.select("path", "key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"))
             small = small.unionByName(large)
         of = small.join(tokens, "key").repartition("path", "block").sortWithinPartitions("path", "block", "key")
-        found.append(written(of.mapInArrow(compared, "a long, b long").distinct(), "edges"))
+        found.append(written(of.mapInArrow(lean(compared), "a long, b long").distinct(), "edges"))
         if depth == MAX_DEPTH:
             break
-        deeper = written(rest.select("path", "key", "sketch").mapInArrow(next_paths, "path long, key long").distinct(), "paths")
+        deeper = written(rest.select("path", "key", "sketch").mapInArrow(lean(next_paths), "path long, key long").distinct(), "paths")
         drop_table(paths), drop_table(crowded)
         paths = deeper
         if paths.isEmpty():
@@ -344,21 +392,22 @@ def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARG
         edges = edges.unionByName(more)
     group = components(edges)
 
-    # exact comparison within the components
-    sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    # exact comparison within the components, block by block: blocks are bounded in classes and in bytes
+    one_text = classes.select("key", "weight", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
+    of = group.join(one_text, F.col("node") == F.col("key"))
+    found_rows = of.join(rows, (F.col("text_hash") == F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).dropDuplicates(["key"]).select("label", "key", "weight", "text")
+    found_rows = written(found_rows, "component-texts")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    sizes = found_rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).select("label", blocks)
     texts = (
-        group.join(sizes, "label")
-        .join(classes.select("key", "weight", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), F.col("node") == F.col("key"))
-        .join(rows, (F.col("text_hash") == F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
-        .dropDuplicates(["key"])
-        .select("label", "key", "weight", "text", blocks.alias("blocks"), F.pmod("key", blocks).cast("int").alias("side"))
+        found_rows.join(sizes, "label")
+        .withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("side", "other"))
-        .withColumn("high", F.greatest("side", "other"))
-        .withColumn("across", F.col("low") != F.col("high"))
+        .select("label", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "key", "weight", "side", "text")
     )
-    exact = texts.groupBy("label", "low", "high").applyInPandas(exact_links, "key long, links long, texts long, root long")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    texts = texts.repartition(tasks, "label", "low", "high").sortWithinPartitions("label", "low", "high")
+    exact = texts.mapInArrow(lean(exact_blocks), "key long, links long, texts long, root long")
     exact = written(exact, "exact")
     counted = exact.groupBy("key").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     joined = components(exact.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import id_number, mixed, power_tables, ranges_of, read_table, small_batches, with_integer_id
+from tapewright.llm.common import id_number, lean, mixed, power_tables, ranges_of, read_table, small_batches, with_integer_id
 
 K, SIZE, TAKEN = 8, 32, 2
 LIKELY = 16  # candidates that a text has for the least hashes on average; all its elements are looked at if they are too few
@@ -120,7 +120,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(place), pa.array(ahead), *[batch.column(c).take(of) for c in ("tie", "doc_id", "text")]], ["range", "ahead", "tie", "doc_id", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt_rows = rows.mapInArrow(dealt, f"range int, ahead int, tie long, doc_id {kind}, text string")
+    dealt_rows = rows.mapInArrow(lean(dealt), f"range int, ahead int, tie long, doc_id {kind}, text string")
     return dealt_rows.repartition(n, "range").sortWithinPartitions("range", "ahead", "doc_id", "tie", "text")
 
 
@@ -157,7 +157,7 @@ def with_edits(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_neighbours(rows).mapInArrow(compared, schema)
+    return with_neighbours(rows).mapInArrow(lean(compared), schema)
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import drop_table, mixed, power_tables, read_table, running_hash, small_batches, span_hashes, text_bytes, written
+from tapewright.llm.common import drop_table, lean, mixed, power_tables, read_table, running_hash, small_batches, span_hashes, text_bytes, written
 
 SPAN, K = 200, 64
 REACH = SPAN - K  # bytes on either side of an anchor that a window with it can cover
@@ -249,12 +249,12 @@ def without_repeats(docs: DataFrame, text="text", keep=("doc_id",), as_text: boo
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]).alias("own"), value.alias("text"), F.unhex(F.md5(value.cast("binary"))).alias("key"))
     long = rows.filter(F.octet_length("text") >= SPAN).select("key", "text")
-    anchors = written(long.mapInArrow(find_anchors, "anchor long, key binary, place int"), "anchors")
+    anchors = written(long.mapInArrow(lean(find_anchors), "anchor long, key binary, place int"), "anchors")
     again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     found = anchors.join(again, "anchor").groupBy("key").agg(F.collect_set(F.struct("place", "anchor")).alias("found"))
     found = written(found.select("key", F.col("found.place").alias("places"), F.col("found.anchor").alias("anchors")), "found")
     drop_table(anchors)
-    pieces = written(long.join(found, "key").select("text", "key", "places", "anchors").mapInArrow(cut_pieces, PIECES), "pieces")
+    pieces = written(long.join(found, "key").select("text", "key", "places", "anchors").mapInArrow(lean(cut_pieces), PIECES), "pieces")
 
     runs = []
     for parts in (*SPLITS, 0):
@@ -263,15 +263,15 @@ def without_repeats(docs: DataFrame, text="text", keep=("doc_id",), as_text: boo
         large = written(large, "large") if parts else None
         some = large is not None and not large.isEmpty()
         take = pieces.join(large, "anchor", "left_anti") if some else pieces
-        once = take.mapInArrow(once_each, "anchor long, piece long, place int, bytes binary, n long")
-        solved = once.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sorted_blocks, "anchor long, piece long, low int, high int")
+        once = take.mapInArrow(lean(once_each), "anchor long, piece long, place int, bytes binary, n long")
+        solved = once.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(sorted_blocks), "anchor long, piece long, low int, high int")
         solved = written(solved, "solved")
         at = pieces.select("anchor", "piece", "key", "start").join(solved, ["anchor", "piece"])
         runs.append(at.select("key", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")))
         if not some:
             break
         hot = pieces.join(large, "anchor", "left_semi").select("anchor", "piece", "key", "start", "place", "bytes")
-        split = hot.mapInArrow(lambda it, parts=parts: split_pieces(it, parts), PIECES)
+        split = hot.mapInArrow(lean(lambda it, parts=parts: split_pieces(it, parts)), PIECES)
         split = written(split, "pieces")
         twice = split.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
         pieces = split.join(twice, "anchor").select("anchor", "piece", "key", "start", "place", "bytes")
@@ -283,7 +283,7 @@ def without_repeats(docs: DataFrame, text="text", keep=("doc_id",), as_text: boo
     fields = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]).schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "string" if as_text else "binary")):
         fields = fields.add(name, kind)
-    out = dealt.mapInArrow(lambda it: cleaned(it, names, as_text), fields)
+    out = dealt.mapInArrow(lean(lambda it: cleaned(it, names, as_text)), fields)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_bytes", "n_removed", "n_spans", "kept")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm.bpe import tokenizer_path
-from tapewright.llm.common import drop_table, id_number, ranges_of, read_table, shared_dir, small_batches, text_bytes, with_integer_id, written
+from tapewright.llm.common import drop_table, id_number, lean, ranges_of, read_table, shared_dir, small_batches, text_bytes, with_integer_id, written
 from tapewright.llm.words import table
 
 LONGEST = 18
@@ -168,9 +168,9 @@ def token_blocks(docs: DataFrame, path: str, text="text", doc_id="doc_id", end_i
             place = ranges.place(batch.column("number").to_numpy(), batch.column("tie").to_numpy())
             yield pa.record_batch([pa.array(place.astype(np.int32)), batch.column("doc_id"), batch.column("tie"), pa.array([data[a:b] for a, b in zip(at, at[1:])], pa.binary())], ["range", "doc_id", "tie", "ids"])
 
-    found = rows.mapInArrow(encoded, "range int, doc_id long, tie long, ids binary")
+    found = rows.mapInArrow(lean(encoded), "range int, doc_id long, tie long, ids binary")
     found = found.repartition(max(1, len(ranges.numbers)), "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "tie", "ids")
-    return written(found.mapInArrow(in_blocks, BLOCKS), "blocks")
+    return written(found.mapInArrow(lean(in_blocks), BLOCKS), "blocks")
 
 
 def id_counts(blocks: DataFrame, size: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def id_counts(blocks: DataFrame, size: int) -> np.ndarray:
         some = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["id", "n"])
 
-    rows = blocks.select("ids").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("ids").mapInArrow(lean(counted), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, np.int64)
     for r in rows:
         out[r[0]] = r[1]
@@ -213,7 +213,7 @@ def write_files(docs: DataFrame, path: str, folder: str, **columns) -> None:
                 more = [pa.array([len(ids)]), pa.array([checkpoints.tolist()], pa.list_(pa.int64())), pa.array([payload])]
                 yield pa.record_batch([*row.columns[:2], pa.array(start), *row.columns[3:5], *more], [*batch.schema.names[:5], "n", "checkpoints", "payload"])
 
-    blocks.mapInArrow(coded, FILES).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    blocks.mapInArrow(lean(coded), FILES).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     used = np.flatnonzero(lengths)
     codes = pa.table({"id": pa.array(used.astype(np.int32)), "length": pa.array(lengths[used].astype(np.int32))})
     spark.createDataFrame(codes).coalesce(1).write.parquet(f"{folder}/codes")  # at most 65536 rows
@@ -238,7 +238,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 check = [zlib.crc32(data[a:b]) for a, b in zip(at, at[1:])]
                 yield pa.record_batch([row.column("doc_ids").flatten(), pa.array(row.column("start").to_numpy() + ends - counts), pa.array(counts), pa.array(check, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.read.schema(FILES).parquet(f"{folder}/blocks").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.read.schema(FILES).parquet(f"{folder}/blocks").mapInArrow(lean(decoded), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

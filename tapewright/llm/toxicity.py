@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import crc_mod, drop_table, read_table, running_hash, small_batches, span_hashes, text_bytes, word_spans, written
+from tapewright.llm.common import crc_mod, drop_table, lean, read_table, running_hash, small_batches, span_hashes, text_bytes, word_spans, written
 
 POSITIVES, UNLABELLED = 3000, 12000
 DIMENSIONS = 1 << 18
@@ -83,7 +83,7 @@ def spread(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
             bucket, n = np.unique(features(batch.column("text"))[1], return_counts=True)
             yield pa.record_batch([pa.array(bucket), pa.array(n)], ["bucket", "n"])
 
-    counts = docs.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counts = docs.mapInArrow(lean(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     found = counts.toArrow().sort_by("bucket")
     return found.column("bucket").to_numpy(), found.column("n").to_numpy()
 
@@ -99,7 +99,7 @@ def gathered(docs: DataFrame, within: np.ndarray) -> list[tuple[np.ndarray, np.n
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
             yield pa.record_batch([pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()) for x in (bucket.astype("<i4"), value.astype("<f4"))], ["bucket", "value"])
 
-    rows = docs.mapInArrow(run, "bucket binary, value binary").collect()  # at most POSITIVES or UNLABELLED
+    rows = docs.mapInArrow(lean(run), "bucket binary, value binary").collect()  # at most POSITIVES or UNLABELLED
     return [(np.frombuffer(r[0], "<i4"), np.frombuffer(r[1], "<f4")) for r in rows]
 
 
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model | None, text="text") -> DataFrame:
             out = 1 / (1 + np.exp(-np.clip(sums, -50, 50))) if model is not None else np.zeros(batch.num_rows)
             yield pa.record_batch([*batch.columns, pa.array(out)], [*names, "toxicity_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import read_table, small_batches, text_bytes
+from tapewright.llm.common import lean, read_table, small_batches, text_bytes
 
 WIDTH, ROWS = 576, 16
 LEAST_RUN, MOST_RUN = 12, 4096
@@ -628,7 +628,7 @@ def store(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
         for batch in small_batches(batches, most=4 << 20):
             yield pa.record_batch([batch.column("doc_id"), pa.array(stored(batch.column("text"))[0], pa.binary())], ["doc_id", "media"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, media binary")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
 def pixels(files: DataFrame, media="media") -> DataFrame:
@@ -653,14 +653,14 @@ def pixels(files: DataFrame, media="media") -> DataFrame:
             ]
             yield pa.record_batch([*batch.columns, *columns], schema.names)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(lean(run), schema)
 
 
 def op4_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.mapInArrow(digests, schema)
+    return docs.mapInArrow(lean(digests), schema)
 
 
 QUERIES = {"op4_lossless_webp": op4_lossless_webp}
