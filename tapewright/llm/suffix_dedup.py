@@ -10,7 +10,8 @@ scan over the buckets of first bytes, and compares neighbours. Windows with a co
 place around the same anchor in two pieces (or in one that stands for several) are repeated.
 
 Defined cases: null text is empty; texts shorter than SPAN bytes lose nothing; equal texts of SPAN bytes or more vanish
-wholly, the first of them too; overlaps within one text count; repeated rows and equal ids are separate texts.
+wholly, the first of them too; overlaps within one text count; repeated rows and equal ids are separate texts; a text of 1 GiB or more
+raises ValueError.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ def anchors_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n, windows = len(raw), REACH + 1
     if n < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if n >> PLACE_BITS:
+        raise ValueError(f"a text of {n} bytes: {1 << PLACE_BITS} is the limit")
     sums = running_hash(raw, _SAME)
     inverse = power_tables(n)[1]
     full = mixed((sums[K:] - sums[:-K]) * inverse[: n - K + 1])
@@ -189,10 +192,15 @@ def sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Removed runs of bytes of each piece; input is sorted by anchor and a block takes whole anchors."""
     held: list[pa.RecordBatch] = []
 
+    def merged_rows(table: pa.Table) -> pa.Table:
+        """Equal pieces as one row with their number."""
+        out = table.group_by(["anchor", "piece"], use_threads=False).aggregate([("place", "first"), ("bytes", "first"), ("n", "sum")])
+        return out.rename_columns(["anchor", "piece", "place", "bytes", "n"])
+
     def solve(table: pa.Table) -> pa.RecordBatch:
-        merged = table.group_by(["anchor", "piece"], use_threads=False).aggregate([("place", "first"), ("bytes", "first"), ("n", "sum")])
-        raw, offsets = text_bytes(merged.column("bytes_first"))
-        anchor, place, n = (merged.column(c).to_numpy() for c in ("anchor", "place_first", "n_sum"))
+        merged = merged_rows(table)
+        raw, offsets = text_bytes(merged.column("bytes"))
+        anchor, place, n = (merged.column(c).to_numpy() for c in ("anchor", "place", "n"))
         starts = np.sort(repeated_windows(anchor, place.astype(np.int64), n, raw, offsets))
         piece = np.searchsorted(offsets, starts, "right") - 1
         new = np.ones(len(starts), bool)
@@ -203,7 +211,7 @@ def sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         low, high = starts[first] - offsets[piece[first]], starts[last] + SPAN - offsets[piece[first]]
         return pa.record_batch([merged.column("anchor").combine_chunks().take(rows), merged.column("piece").combine_chunks().take(rows), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["anchor", "piece", "low", "high"])
 
-    size = 0
+    size, limit = 0, 8 * BLOCK_BYTES
     for batch in small_batches(batches, "bytes", BLOCK_BYTES // 4):
         anchor = batch.column("anchor").to_numpy()
         at = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
@@ -213,6 +221,10 @@ def sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         else:
             held.append(batch)
             size += batch.nbytes
+            if size > limit:  # one anchor, with many equal pieces
+                held = merged_rows(pa.Table.from_batches(held)).combine_chunks().to_batches()
+                size = sum(b.nbytes for b in held)
+                limit = max(limit, 2 * size)
     if held:
         yield solve(pa.Table.from_batches(held))
 
