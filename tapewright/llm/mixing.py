@@ -1,16 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source has a target in words; a document's expected copies are target / source size. Its whole part are certain
-copies; the rest is an inclusion probability, one value for all documents of a source: documents have no weights of their own. Documents are
-ranked by their random odds divided by their inclusion odds, which within a source is the order of the random numbers alone, so a source's
-sample is a simple random one; it takes the lowest ranks until its target of words is met.
+Every source has a target in words; a document's expected copies are its weight times a factor of its source, so chosen that the expected
+words meet the target. Their whole part are certain copies; the rest is the document's inclusion probability. Documents are
+ranked by their random odds divided by their inclusion odds; a source takes the lowest ranks until its target of words is met. Without weights
+the factor is target / source size, one chance for all documents of a source.
 
 Only DataFrame operations: one pass sizes the documents, the rest works on (id, source, size). The running sum of sizes
 in rank order is taken over slices of the ranking first, so that no task orders a whole source; a source met by whole copies alone has no cut.
 
 Defined cases: null or empty text has size 0 and is taken as its rank says, adding no words; a null source is a source,
-last in order; a null id has the random number of the empty id; repeated rows count each; an empty table gives no row; a
-source without words has target 0.
+last in order; a null id counts as an empty one; repeated rows count each and have one random number; an empty table gives no row; a
+source without words has target 0; a weight that is null or not positive is 0: such a document is never taken, and a source's target is
+met as far as max_copies of the others allow.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import read_table, written
+from tapewright.llm.common import drop_table, read_table, written
 
 WEIGHTS = (3, 1, 2)  # fixed values of the production mix, repeating over the sources in code point order
 SHARE = 1.5
@@ -29,10 +30,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 20_000
 
 
-def random_number(id_column: Column, seed: str) -> Column:
-    """Uniform in (0, 1), from the id alone: reruns agree."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(id_column.cast("string"), F.lit(""))).cast("binary")), 1, 12)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
+def random_number(seed: str) -> Column:
+    """Uniform in (0, 1), from the id and the text's digest: reruns agree, and rows that share an id, or have none, are spread."""
+    own = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("tie"))
+    return (F.conv(F.substring(F.md5(own.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_copies=MAX_COPIES) -> DataFrame:
@@ -55,28 +56,63 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_copies=MA
     return per.select("source", "n_docs", "source_size", target.alias("target"))
 
 
+MOST_FITS = 40  # rounds in which a source's factor is found where documents stop at max_copies
+
+
+def with_factors(sizes: DataFrame, per: DataFrame, max_copies: float) -> DataFrame:
+    """per with each source's factor: the sum of min(max_copies, factor * weight) * size is its target. One small aggregate a round:
+    documents that a factor stops at max_copies stay stopped as it grows."""
+    per = written(per.withColumn("factor", F.lit(0.0)), "mix-factors")
+    few = per.count() <= BROADCAST_SOURCES
+    for _ in range(MOST_FITS):
+        own = per.select("its_source", "target", "factor")
+        rows = sizes.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("its_source")))
+        stopped = F.col("factor") * F.col("weight") >= max_copies
+        sums = rows.groupBy("source").agg(
+            F.sum(F.when(stopped, F.col("size") * float(max_copies)).otherwise(0.0)).alias("fixed"),
+            F.sum(F.when(stopped, 0.0).otherwise(F.col("size") * F.col("weight"))).alias("free"),
+        )
+        nxt = F.greatest(F.col("factor"), F.coalesce(F.try_divide(F.col("target") - F.col("fixed"), F.col("free")), F.col("factor")))
+        after = per.join(sums, F.col("its_source").eqNullSafe(F.col("source")), "left").select(*[c for c in per.columns if c != "factor"], nxt.alias("factor"), F.col("factor").alias("old"))
+        after = written(after, "mix-factors")
+        same = after.filter(F.col("factor") > F.col("old") * (1 + 1e-12)).isEmpty()
+        drop_table(per)
+        per = after.drop("old")
+        if same:
+            break
+    return per
+
+
 def with_ranks(rows: DataFrame, per: DataFrame) -> DataFrame:
     """rows (doc_id, source, size, ...) with their source's figures, certain copies, place in Pareto order and slice of it."""
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    u = random_number(F.col("doc_id"), SEED)
+    if "factor" in per.columns:
+        rate = F.least(F.col("factor") * F.col("weight"), F.col("max_copies"))
+    u = random_number(SEED)
     odds = F.try_divide(u / (1 - u), F.col("chance") / (1 - F.col("chance")))
     return (
         rows.join(per, F.col("source").eqNullSafe(F.col("its_source")), "left")
         .withColumn("certain", F.floor(rate))
         .withColumn("chance", rate - F.col("certain"))
-        .withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size"))
+        .withColumn("wanted", F.col("expected") if "factor" in per.columns else F.col("target") - F.col("certain") * F.col("source_size"))
+        .withColumn("never", (F.col("chance") == 0) & (F.lit("factor" in per.columns) | (F.col("source_size") > 0)))  # beyond its certain copies
         .withColumn("order", F.coalesce(odds / (1 + odds), F.lit(1.0)))
         .withColumn("slices", F.ceil(F.col("n_docs") / SLICE_ROWS))
         .withColumn("slice", F.least(F.floor(F.col("order") * F.col("slices")), F.col("slices") - 1))
     )
 
 
-def mix_plan(sizes: DataFrame, **targets) -> DataFrame:
+def mix_plan(sizes: DataFrame, max_copies=MAX_COPIES, **targets) -> DataFrame:
     """Per source: size, target, and the slice of the Pareto order in which its target is reached with the words before it.
 
     A table with a row for each source; joined by broadcast only while its counted rows are few."""
-    per = written(source_targets(sizes, **targets).withColumnRenamed("source", "its_source"), "mix-targets")
+    per = written(source_targets(sizes, max_copies=max_copies, **targets).withColumnRenamed("source", "its_source"), "mix-targets")
     few = per.count() <= BROADCAST_SOURCES
+    if "weight" in sizes.columns:
+        per = with_factors(sizes, per, max_copies).withColumns({"max_copies": F.lit(float(max_copies)), "expected": F.lit(0.0)})
+        left = with_ranks(sizes, F.broadcast(per) if few else per).groupBy(F.col("its_source").alias("source")).agg(F.sum(F.col("chance") * F.col("size")).alias("left"))
+        per = per.drop("expected").join(left, F.col("its_source").eqNullSafe(F.col("source")), "left").withColumn("expected", F.coalesce("left", F.lit(0.0))).drop("source", "left")
+        per = written(per, "mix-factors")
     ranked = with_ranks(sizes, F.broadcast(per) if few else per).filter("chance > 0")  # whole copies only: nothing to cut
     sums = ranked.groupBy("its_source", "slice").agg(F.sum("size").alias("words"), F.max("wanted").alias("wanted"))
     upto = F.sum("words").over(Window.partitionBy("its_source").orderBy("slice"))
@@ -94,10 +130,9 @@ def mix_plan(sizes: DataFrame, **targets) -> DataFrame:
 def copies(rows: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
     """rows (doc_id, source, size and those of keep) with source_size, target and copies."""
     ranked = with_ranks(rows, plan)
-    at_cut = F.coalesce(F.col("slice") == F.col("cut_slice"), F.lit(False))
+    at_cut = F.coalesce(F.col("slice") == F.col("cut_slice"), F.lit(False)) & ~F.col("never")
     below = F.col("cut_slice").isNull() | (F.col("slice") < F.col("cut_slice"))
-    whole = (F.col("chance") == 0) & (F.col("source_size") > 0)  # met by certain copies alone
-    plain = ranked.filter(~at_cut).withColumn("more", (~whole & below).cast("int"))
+    plain = ranked.filter(~at_cut).withColumn("more", (~F.col("never") & below).cast("int"))
 
     # In the slice that the cut falls into: the ranks that fit, then the one document nearest to what is left, if it helps.
     of = Window.partitionBy("its_source")
@@ -120,17 +155,23 @@ def word_count(text: str):
     return F.regexp_count(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def mix(docs: DataFrame, text="text", doc_id="doc_id", source="source", **targets) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, copies and taken = copies * size."""
-    sizes = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "mix-sizes")
+def sized(docs: DataFrame, text: str, doc_id: str, source: str, weight: str | None) -> list[Column]:
+    tie = F.substring(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")), 1, 16)
+    own = [F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(text).alias("size"), tie.alias("tie")]
+    return own if weight is None else [*own, F.greatest(F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("weight")]
+
+
+def mix(docs: DataFrame, text="text", doc_id="doc_id", source="source", weight: str | None = None, **targets) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, copies and taken = copies * size. weight: a column of relative inclusion chances within a source."""
+    sizes = written(docs.select(*sized(docs, text, doc_id, source, weight)), "mix-sizes")
     out = copies(sizes, mix_plan(sizes, **targets), [])
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, text="text", doc_id="doc_id", source="source", **targets) -> DataFrame:
+def mixed_documents(docs: DataFrame, text="text", doc_id="doc_id", source="source", weight: str | None = None, **targets) -> DataFrame:
     """The mix itself: each row of docs as many times as it is taken, with all its columns. Texts are not shuffled, but for those at a cut."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), whole)
+    rows = docs.select(*sized(docs, text, doc_id, source, weight), whole)
     sizes = written(rows.drop("whole"), "mix-sizes")
     taken = copies(rows, mix_plan(sizes, **targets), ["whole"]).filter("copies > 0")
     return taken.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole.*")
@@ -144,7 +185,7 @@ QUERIES = {"op3_pareto_mix": op3_pareto_mix}
 
 ORACLE = {
     "op3_pareto_mix": """
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, substr(md5(coalesce(text, '')), 1, 16) AS tie, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 p AS (SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
   source_size * 2.0::DOUBLE AS most FROM p),
@@ -154,7 +195,7 @@ s AS (SELECT *, most * rest_weight <= rest * weight AS stopped FROM l),
 t AS (SELECT *, CASE WHEN stopped THEN most ELSE weight * arg_max(CASE WHEN NOT stopped THEN rest END, CASE WHEN NOT stopped THEN rest_weight END) OVER ()
    / max(CASE WHEN NOT stopped THEN rest_weight END) OVER () END AS target FROM s),
 r AS (SELECT d.doc_id, d.source, d.size, t.n_docs, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  (CAST('0x' || substr(md5('mix' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  (CAST('0x' || substr(md5('mix' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '/' || d.tie), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, floor(rate) AS certain, rate - floor(rate) AS chance, target - floor(rate) * source_size AS wanted FROM r),
 o AS (SELECT *, CASE WHEN chance > 0 THEN ((u / (1 - u)) / (chance / (1 - chance))) / (1 + ((u / (1 - u)) / (chance / (1 - chance)))) ELSE 1.0 END AS pos,
