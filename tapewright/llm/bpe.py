@@ -1,40 +1,36 @@
 """BPE encoding and decoding with chunks that documents share encoded once.
 
 A text is cut where a rolling hash of its last bytes says so: equal passages in different documents are cut alike, so their chunks are equal.
-What a chunk holds between its first and last white space is its body, encoded once for the whole corpus: bodies and the places that refer to
-them meet in one shuffle by the body's hash. What stands between two bodies, a join, was split by the cut; it is repaired by re-encoding
+What a chunk holds between its first and last white space is its body, encoded once for all texts of a task, as long as it is
+remembered. What stands between two bodies, a join, was split by the cut; it is repaired by re-encoding
 it from white space to white space, where both sides agree exactly with the encoding of the whole: the tokenizer drops white space and
-lets no token, special token or normalisation reach over it, which is tested when a vocabulary is loaded. A second shuffle puts the
-ids of a row together again; texts are decoded from these ids.
+lets no token, special token or normalisation reach over it, which is tested when a vocabulary is loaded. Texts are decoded from their ids.
 
-No row waits for another: a body that a task meets often gets a key of the task's own, and so does a row that is repeated, so that neither a
-shared passage nor a repeated row comes to one task as a whole.
+So that shared chunks meet, texts are put in order of their least chunk hash first: near copies, which share most chunks, stand side by side,
+and a small memory serves. This is one shuffle of the texts, by ranges that are cut within large groups of copies too.
 
 Defined cases: a null text is empty and has no ids; a text without white space is one body; special tokens in a text are read as the library
-reads them; ids of documents may have any type that casts to text, be null or repeated: every row comes out once for each time that it stands in
-the table; an empty table gives no rows; a vocabulary that keeps white space raises ValueError. A lost task's rows must come again in the
-same order, as those of a written table do.
+reads them; ids of documents may have any type that casts to text, be null or repeated; an empty table gives no rows; a vocabulary that keeps
+white space raises ValueError.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import SPACES, lean, read_table, small_batches, text_bytes
+from tapewright.llm.common import SPACES, lean, read_table, running_hash, small_batches, span_hashes, text_bytes
 
 WINDOW = 16  # bytes under the rolling hash
 CHUNK_BITS = 9  # a cut each 512 bytes or so
 LEAST_CHUNK = 128
-OFTEN = 2  # uses of a body, or of a row, in a task before it gets a key of the task's own
-REMEMBERED = 1 << 17  # bodies and rows that a task remembers to have sent; a forgotten one is sent again
+REMEMBERED_BYTES = 24 << 20  # of pieces and their ids in a task; then all are forgotten
 ENCODED_BYTES = 1 << 18  # of text that the library is given at once
 
 
@@ -106,6 +102,7 @@ def edges_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return edges, np.isin(edges, starts)
 
 
+_SAME = np.arange(256, dtype=np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 
@@ -128,172 +125,83 @@ def bodies_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return begin, end, np.searchsorted(begin, offsets)
 
 
-def _key(*parts: bytes) -> tuple[int, int]:
-    digest = hashlib.blake2b(b"\0".join(parts), digest_size=16).digest()
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-
-
-BODY, PLACE, ROW = 0, 1, 2
-_PIECES = [("b1", pa.int64()), ("b2", pa.int64()), ("salt", pa.int32()), ("kind", pa.int32()), ("body", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("place", pa.int32()), ("joint", pa.binary()), ("times", pa.int64())]
-
-
-class Cutter:
-    """What a task has sent so far, and its rows as pieces: bodies, the places where they stand, and the rows themselves."""
+class Encoder:
+    """Ids of texts, piece by piece: a body or join that is remembered isn't encoded again."""
 
     def __init__(self, path: str):
-        self.path, self.own = path, 1 + TaskContext.get().partitionId()
-        self.bodies: dict[tuple[int, int], int] = {}
-        self.rows: dict[tuple[int, int], int] = {}
-
-    def body(self, data: bytes, out: list) -> tuple[int, int, int]:
-        """The key of a body; sends it if it isn't there yet."""
-        key = _key(data)
-        if len(self.bodies) >= REMEMBERED:
-            self.bodies.clear()
-        uses = self.bodies.get(key, 0)
-        self.bodies[key] = uses + 1
-        salt = 0 if uses < OFTEN else self.own
-        if uses in (0, OFTEN):
-            out.append((*key, salt, BODY, data, None, None, None, None, None))
-        return *key, salt
-
-    def pieces(self, batch: pa.RecordBatch) -> tuple[list, list[int]]:
-        """Pieces of all rows of a batch, and for each the row whose id it carries (-1: none)."""
-        raw, offsets = text_bytes(batch.column("text"))
+        self.path, self.known, self.size = path, {}, 0
+        self.places = self.encoded = 0
+
+    def learn(self, pieces: dict[bytes, None]) -> None:
+        new = [p for p in pieces if p not in self.known]
+        if self.size > REMEMBERED_BYTES:
+            self.known, self.size = {}, 0
+            new = list(pieces)
+        at = 0
+        while at < len(new):
+            stop, size = at, 0
+            while stop < len(new) and (size == 0 or size + len(new[stop]) <= ENCODED_BYTES):
+                size += len(new[stop])
+                stop += 1
+            found = encoded_texts(self.path, new[at:stop])
+            self.known.update(zip(new[at:stop], found))
+            self.size += size + sum(map(len, found))
+            at = stop
+        self.encoded += len(new)
+
+    def rows(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text of a batch."""
+        raw, offsets = text_bytes(texts)
         begin, end, at = bodies_of(raw, offsets)
-        data, names = raw.tobytes(), batch.column("name").to_pylist()
+        data = raw.tobytes()
         begin, end, at, limits = begin.tolist(), end.tolist(), at.tolist(), offsets.tolist()
-        out, of, joints = [], [], {}
-        rows: dict[tuple[int, int], list] = {}
-        for row in range(batch.num_rows):
-            name = b"" if names[row] is None else b"=" + names[row].encode()
-            key = _key(str(len(name)).encode(), name, data[limits[row] : limits[row + 1]])
-            if key in rows:
-                rows[key][1] += 1
-            else:
-                rows[key] = [row, 1]
-        for key, (row, times) in rows.items():
-            if len(self.rows) >= REMEMBERED:
-                self.rows.clear()
-            uses = self.rows.get(key, 0)
-            self.rows[key] = uses + 1
-            if uses >= OFTEN:  # the same row again: under a key of this task
-                key = _key(key[0].to_bytes(8, "little", signed=True), key[1].to_bytes(8, "little", signed=True), str(self.own).encode())
-            before = limits[row]
-            for place, k in enumerate(range(at[row], at[row + 1])):
-                b = self.body(data[begin[k] : end[k]], out)
-                joint = data[before : begin[k]]
-                joints.setdefault(joint, None)
-                out.append((*b, PLACE, None, *key, place, joint, None))
+        plans = []
+        for row, before in enumerate(limits[:-1]):
+            plan = []
+            for k in range(at[row], at[row + 1]):
+                plan += [data[before : begin[k]], data[begin[k] : end[k]]]
                 before = end[k]
-            joint = data[before : limits[row + 1]]
-            joints.setdefault(joint, None)
-            of += [-1] * (len(out) - len(of)) + [row]
-            out.append((*key, 0, ROW, None, *key, -1, joint, times))
-        joints.pop(b"", None)
-        found = list(joints)
-        joints = dict(zip(found, encoded_texts(self.path, found))) if found else {}
-        joints[b""] = b""
-        return [(*p[:8], None if p[8] is None else joints[p[8]], p[9]) for p in out], of
-
-
-def cut(path: str, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(path)
-        for batch in small_batches(batches):
-            pieces, of = cutter.pieces(batch)
-            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*pieces), _PIECES)] if pieces else [pa.array([], t) for _, t in _PIECES]
-            ids = batch.column("doc_id").take(pa.array([None if x < 0 else x for x in of], pa.int32()))
-            yield pa.record_batch([*columns, ids], [*[n for n, _ in _PIECES], "doc_id"])
+            plan.append(data[before : limits[row + 1]])
+            plans.append([p for p in plan if p])
+        self.places += sum(map(len, plans))
+        self.learn(dict.fromkeys(p for plan in plans for p in plan))
+        return [b"".join([self.known[p] for p in plan]) for plan in plans]
 
-    return run
 
+def with_least_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of a text's chunks: texts that share passages often have it in common."""
+    for batch in small_batches(batches):
+        raw, offsets = text_bytes(batch.column("text"))
+        edges, _ = edges_of(raw, offsets)
+        least = np.zeros(batch.num_rows, np.int64)
+        if len(edges) > 1:
+            hashes = span_hashes(running_hash(raw, _SAME), edges[:-1], edges[1:]).astype(np.int64)
+            filled = np.flatnonzero(np.diff(offsets))
+            least[filled] = np.minimum.reduceat(hashes, np.searchsorted(edges[:-1], offsets[filled]))
+        yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(least)], ["doc_id", "text", "least"])
 
-def encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Ids at every place; a partition is sorted by body, a body before its places. Each body is encoded once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids_of = None, b""
-        for batch in small_batches(batches, "body", ENCODED_BYTES):
-            b = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("b1", "b2", "salt", "kind")], 1)
-            first = np.ones(len(b), bool)
-            first[1:] = (b[1:] != b[:-1]).any(1)
-            if held is not None:
-                first[0] = tuple(b[0].tolist()) != held
-            held = tuple(b[-1].tolist())
-            new = np.flatnonzero(first & (b[:, 3] == BODY))
-            found = [ids_of, *encoded_texts(path, batch.column("body").take(pa.array(new)).to_pylist())] if len(new) else [ids_of]
-            which = np.zeros(len(b), np.int64)
-            which[new] = np.arange(1, len(new) + 1)
-            which = np.maximum.accumulate(which)
-            ids_of = found[-1]
-            rest = np.flatnonzero(b[:, 3] != BODY)
-            part = batch.take(pa.array(rest))
-            of = np.where(b[rest, 3] == PLACE, which[rest], -1).tolist()
-            ids = [j if w < 0 else j + found[w] for j, w in zip(part.column("joint").to_pylist(), of)]
-            yield pa.record_batch([*[part.column(c) for c in ("k1", "k2", "place")], pa.array(ids, pa.binary()), part.column("times"), part.column("doc_id")], ["k1", "k2", "place", "ids", "times", "doc_id"])
-
-    return run
-
-
-def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.Array]]:
-    """Ids and doc_id of whole rows; a partition is sorted by row and place. A row's own piece comes first and has what follows its last body."""
-    key, doc, parts, last, times, place = None, None, [], b"", 0, -1
-    done: list[tuple[bytes, int, object]] = []
-    size = 0
-
-    def finished():
-        ids = [x for x, n, _ in done for _ in range(n)]
-        docs = pa.concat_arrays([d for _, n, d in done for _ in range(n)])
-        return ids, docs
-
-    for batch in batches:
-        ks = zip(*[batch.column(c).to_pylist() for c in ("k1", "k2", "place", "ids", "times")])
-        docs = batch.column("doc_id")
-        for row, (k1, k2, at, ids, n) in enumerate(ks):
-            if (k1, k2) != key:
-                if key is not None:
-                    done.append((b"".join([*parts, last]), times, doc))
-                    size += sum(map(len, parts)) + len(last)
-                    if size >= ENCODED_BYTES or len(done) >= 4096:
-                        yield finished()
-                        done, size = [], 0
-                key, parts, times, place = (k1, k2), [], 0, -1
-            if at < 0:
-                doc, last, times = docs.slice(row, 1), ids, times + n
-            elif at > place:
-                parts.append(ids)
-                place = at
-    if key is not None:
-        done.append((b"".join([*parts, last]), times, doc))
-        yield finished()
-
-
-def pieces_of(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataFrame:
-    """Bodies, places and rows of all documents."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    column = F.col(f"`{doc_id}`")
-    rows = docs.select(column.alias("doc_id"), column.cast("string").alias("name"), F.col(f"`{text}`").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType
-    schema = f"b1 long, b2 long, salt int, kind int, body binary, k1 long, k2 long, place int, joint binary, times long, doc_id {kind.simpleString()}"
-    return rows.mapInArrow(lean(cut(path, to_arrow_type(kind))), schema)
-
-
-def rows_of_ids(docs: DataFrame, path: str, doc_id="doc_id", text="text") -> DataFrame:
-    """(k1, k2, place, ids, times, doc_id): the ids of every row in pieces, sorted by row and place within partitions."""
-    pieces = pieces_of(docs, path, doc_id, text)
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    by_body = pieces.repartition("b1", "b2", "salt").sortWithinPartitions("b1", "b2", "salt", "kind")
-    found = by_body.mapInArrow(lean(encoded(path)), f"k1 long, k2 long, place int, ids binary, times long, doc_id {kind}")
-    return found.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "place")
+def side_by_side(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """(doc_id, text) in ranges of the texts' least chunks, sorted: texts that share chunks come to one task, one after another. A group that is
+    larger than a range is cut by the texts' and the ids' hashes, so that none comes to one task as a whole."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    order = ["least", F.xxhash64("text"), F.xxhash64(F.col("doc_id").cast("string"))]
+    ordered = rows.mapInArrow(lean(with_least_chunks), f"doc_id {kind}, text string, least long").repartitionByRange(*order)
+    return ordered.sortWithinPartitions(*order[:2]).select("doc_id", "text")
 
 
 def chunk_use(docs: DataFrame, path: str, **columns) -> DataFrame:
-    """One row: n_places where bodies stand, and n_encoded different bodies among them."""
-    places = pieces_of(docs, path, **columns).filter(F.col("kind") == PLACE)
-    per = places.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_places"), F.count(F.lit(1)).alias("n_encoded"))
+    """One row: n_places where pieces stand, and n_encoded, how many of them had to be encoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
+        for batch in small_batches(batches):
+            encoder.rows(batch.column("text"))
+        yield pa.record_batch([pa.array([encoder.places]), pa.array([encoder.encoded])], ["n_places", "n_encoded"])
+
+    used = side_by_side(docs, **columns).mapInArrow(lean(run), "n_places long, n_encoded long")
+    return used.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_places", "n_encoded")])
 
 
 def decoded_texts(path: str, ids: list[bytes]) -> list[str]:
@@ -305,13 +213,14 @@ def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", decoded: bo
     """doc_id, ids array<int> and, if asked, the text decoded from them, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype(id_kind(path))
-        for found, docs in joined(batches):
+        encoder, kind = Encoder(path), np.dtype(id_kind(path))
+        for batch in small_batches(batches):
+            found = encoder.rows(batch.column("text"))
             ends = np.cumsum([0] + [len(x) // kind.itemsize for x in found])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), kind).astype(np.int32)))
-            yield pa.record_batch([docs, ids, *([pa.array(decoded_texts(path, found), pa.string())] if decoded else [])], ["doc_id", "ids", "decoded"][: 2 + decoded])
+            yield pa.record_batch([batch.column("doc_id"), ids, *([pa.array(decoded_texts(path, found), pa.string())] if decoded else [])], ["doc_id", "ids", "decoded"][: 2 + decoded])
 
-    rows = rows_of_ids(docs, path, doc_id, text)
+    rows = side_by_side(docs, doc_id, text)
     return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded)
 
 
@@ -319,14 +228,17 @@ def encode_digests(docs: DataFrame, path: str, doc_id="doc_id", text="text") ->
     """doc_id, number of ids, and hashes of the ids and of the text decoded from them, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype(id_kind(path))
-        for found, docs in joined(batches):
+        encoder, kind = Encoder(path), np.dtype(id_kind(path))
+        for batch in small_batches(batches):
+            found = encoder.rows(batch.column("text"))
             n = [len(x) // kind.itemsize for x in found]
-            ids = [hashlib.sha256(np.frombuffer(x, kind).astype("<u4").tobytes()).hexdigest() for x in found]
-            texts = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in decoded_texts(path, found)]
-            yield pa.record_batch([docs, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            once = list(dict.fromkeys(found))  # exact copies stand side by side
+            ids = [hashlib.sha256(np.frombuffer(x, kind).astype("<u4").tobytes()).hexdigest() for x in once]
+            texts = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in decoded_texts(path, once)]
+            of = dict(zip(once, zip(ids, texts)))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array([of[x][k] for x in found], pa.string()) for k in (0, 1)]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = rows_of_ids(docs, path, doc_id, text)
+    rows = side_by_side(docs, doc_id, text)
     return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
