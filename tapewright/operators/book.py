@@ -166,6 +166,11 @@ def latest_book(rows: DataFrame, key="product_id", seq="seq") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), seq).alias("last")).select(key, "last.*")
 
 
+def latest_whole_book(intervals: DataFrame) -> DataFrame:
+    """The levels of each product's book after its last update: those that still hold."""
+    return intervals.filter("to_ms is null").select("product_id", "side", "tick", "qty", "from_ms")
+
+
 def liquidity_at(levels: DataFrame, price: float, tick_size: float = 1.0, at: str = "at_ms") -> DataFrame:
     """Size on each side at exactly this price, 0 where there is none."""
     tick = round(price / tick_size)

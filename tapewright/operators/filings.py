@@ -107,10 +107,12 @@ def with_codes(tx: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def insider_view(tx: DataFrame, filings: DataFrame) -> DataFrame:
-    """Transactions with their filing; derivatives have no value."""
-    value = F.when(~F.col("is_derivative"), F.col("shares") * F.col("price_per_share"))
-    own = filings.select("accession_no", "filing_date", "form")
-    return tx.withColumn("value", value).join(own, "accession_no")
+    """Transactions with their filing's date, form, address and document, as far as the tables have them. Derivatives have no value, and their exercise price as price."""
+    derivative = F.coalesce("is_derivative", F.lit(False))
+    exercise = F.col("exercise_price") if "exercise_price" in tx.columns else F.lit(None).cast("double")
+    shown = {"price": F.when(derivative, exercise).otherwise(F.col("price_per_share")), "value": F.when(~derivative, F.coalesce(F.col("shares") * F.col("price_per_share"), F.lit(0.0)))}
+    own = [c for c in ("filing_date", "form", "url", "primary_document") if c in filings.columns]
+    return tx.withColumns(shown).join(filings.select("accession_no", *own), "accession_no")
 
 
 def recent_filings(view: DataFrame, limit: int = 10) -> DataFrame:
@@ -121,24 +123,42 @@ def recent_filings(view: DataFrame, limit: int = 10) -> DataFrame:
     return view.join(kept, ["ticker", "accession_no"], "left_semi")
 
 
-def insider_summary(tx: DataFrame, codes: DataFrame) -> DataFrame:
-    """Per ticker: transactions with a date, filings, buys and sells with their values (no derivatives), owners, first and last date."""
+def insider_summary(tx: DataFrame, codes: DataFrame, filings: DataFrame | None = None, as_of: str | None = None, days_back: int = 90) -> DataFrame:
+    """Per ticker: transactions with a date, filings, buys and sells with their values (no derivatives), owners, first and last date.
+
+    With filings (ticker, accession_no, filing_date) and as_of only those of the last days_back days count, a transaction's ticker is its filing's, and
+    n_filings are all filings of the period, those without a transaction too."""
+    if filings is not None:
+        period = filings.filter(F.col("filing_date") >= F.date_sub(F.lit(as_of).cast("date"), days_back)).select("ticker", "accession_no")
+        tx = tx.drop("ticker").join(period, "accession_no")
     rows = with_codes(tx, codes).filter("transaction_date is not null")
     value = F.when(F.col("is_derivative"), 0.0).otherwise(F.coalesce(F.col("shares") * F.col("price_per_share"), F.lit(0.0)))
     money = lambda flag: F.sum(F.when(F.col(flag), value).otherwise(0.0))
-    out = rows.groupBy("ticker").agg(
+    # first by owner and filing, which leaves one distinct count: rows aren't multiplied
+    per = rows.groupBy("ticker", "accession_no", "owner_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("is_buy") & ~F.col("is_derivative")).alias("buys"),
+        F.count_if(F.col("is_sell") & ~F.col("is_derivative")).alias("sells"),
+        money("is_buy").alias("bought"),
+        money("is_sell").alias("sold"),
+        F.min("transaction_date").alias("first"),
+        F.max("transaction_date").alias("last"),
+    )
+    out = per.groupBy("ticker").agg(
         F.countDistinct("accession_no").alias("n_filings"),
-        F.count(F.lit(1)).alias("n_transactions"),
-        F.count_if(F.col("is_buy") & ~F.col("is_derivative")).alias("n_buys"),
-        F.count_if(F.col("is_sell") & ~F.col("is_derivative")).alias("n_sells"),
-        money("is_buy").alias("buy_value"),
-        money("is_sell").alias("sell_value"),
-        F.countDistinct("owner_name").alias("n_owners"),
-        F.array_join(F.sort_array(F.collect_set("owner_name")), ",").alias("owners"),
-        F.min("transaction_date").alias("first_date"),
-        F.max("transaction_date").alias("last_date"),
+        F.sum("n").alias("n_transactions"),
+        F.sum("buys").alias("n_buys"),
+        F.sum("sells").alias("n_sells"),
+        F.sum("bought").alias("buy_value"),
+        F.sum("sold").alias("sell_value"),
+        F.sort_array(F.collect_set("owner_name")).alias("names"),
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
     )
-    return out.withColumn("net_value", F.col("buy_value") - F.col("sell_value"))
+    out = out.withColumns({"n_owners": F.size("names").cast("long"), "owners": F.array_join("names", ","), "net_value": F.col("buy_value") - F.col("sell_value")}).drop("names")
+    if filings is None:
+        return out
+    return out.drop("n_filings").join(period.groupBy("ticker").agg(F.countDistinct("accession_no").alias("n_filings")), "ticker")
 
 
 def transactions_by_type(tx: DataFrame, codes: DataFrame) -> DataFrame:
@@ -164,11 +184,15 @@ def latest_fact(facts: DataFrame) -> DataFrame:
     return best.select("cik", "taxonomy", "concept", "f.*")
 
 
+def with_metric(facts: DataFrame, metrics: dict[str, str] = METRICS) -> DataFrame:
+    """Facts of the metrics' concepts, with the metric's name; others are left out."""
+    names = facts.sparkSession.createDataFrame([(k, "us-gaap", v) for k, v in metrics.items()], "metric string, taxonomy string, concept string")
+    return facts.join(F.broadcast(names), ["taxonomy", "concept"])  # a row for each metric
+
+
 def financial_summary(facts: DataFrame, metrics: dict[str, str] = METRICS) -> DataFrame:
     """A row per company: the latest value of each metric, and end and form of the later of revenue and net income."""
-    spark = facts.sparkSession
-    names = spark.createDataFrame([(k, "us-gaap", v) for k, v in metrics.items()], "metric string, taxonomy string, concept string")
-    latest = latest_fact(facts).join(F.broadcast(names), ["taxonomy", "concept"])  # a row for each metric
+    latest = with_metric(latest_fact(facts), metrics)
     value = lambda m: F.max(F.when(F.col("metric") == m, F.col("val"))).alias(m)
     income = F.col("metric").isin("revenue", "net_income")
     order = F.when(income, F.struct("end_date", (F.col("metric") == "revenue").alias("r")))
@@ -265,7 +289,7 @@ def pick_form4_xml(documents: DataFrame, key: str = "accession_no") -> DataFrame
     return documents.filter(F.endswith(name, F.lit(".xml"))).groupBy(key).agg(F.min_by("name", _last_of_priority(high)).alias("name"))
 
 
-#: Patterns of links to a filing's document, in order of preference.
+#: Patterns of links to a filing's document, in order of preference, then of the first table and of a link in it.
 LINKS = (
     r"""href=["'][^"']*(form4\.xml)["']""",
     r"""href=["'][^"']*(d\d+k\.htm)["']""",

@@ -29,8 +29,17 @@ def suggest_timeframe(slices: DataFrame, t0: int, t1: int, max_slices: int = 400
     return found if span > 0 else found.select(F.lit(FINEST_MS).cast("long").alias("timeframe_ms"))
 
 
+def in_view(grid: DataFrame, timeframe_ms: int, t0: int, t1: int, step_ms: int) -> DataFrame:
+    """The stretches of a grid that slices of [t0, t1] can see, cut to these slices: what lies outside isn't summed up."""
+    first = (t0 - timeframe_ms + timeframe_ms - 1) // timeframe_ms * timeframe_ms  # start of the first slice that ends at t0 or later
+    last = t1 // timeframe_ms * timeframe_ms + timeframe_ms
+    low, high = -(-first // step_ms), -(-last // step_ms)
+    rows = grid.filter((F.col("to_g") > low) & (F.col("from_g") < high))
+    return rows.withColumns({"from_g": F.greatest("from_g", F.lit(low)), "to_g": F.least("to_g", F.lit(high))})
+
+
 def heatmap_cells(scored: DataFrame, timeframe_ms: int, t0: int, t1: int, price_min: float, price_max: float, resolution: float, mode: str = "average") -> DataFrame:
-    """Visible cells: their time and price edges, liquidity and intensity."""
+    """Visible cells: their time and price edges, liquidity and intensity. Slices do for scored unless the mode is resting."""
     price = F.col("tick") * resolution
     rows = visible_slices(scored, timeframe_ms, t0, t1).withColumn("liquidity", display_value(mode)).filter((price >= price_min) & (price <= price_max) & (F.col("liquidity") > 0))
     return rows.select(

@@ -10,15 +10,24 @@ from tapewright.plans import sqltext as S
 from tapewright.plans.market import _rounded, _with
 from tapewright.sources import filings as R
 from tapewright.sources import views
+from tapewright.streaming.streams import new_folder
 
 AS_OF = "2001-08-01"
 
 
+def _as_files(texts: DataFrame) -> str:
+    """Writes (file, value) as a text file for each, as they lie in a cache of downloads, and returns the pattern of their paths."""
+    path = new_folder(texts.sparkSession, "files")
+    texts.repartition("file").write.partitionBy("file").text(path)
+    return f"{path}/*/*.txt"
+
+
 def _cik_map(spark, d) -> DataFrame:
     """A ticker map written and parsed again: two of three tickers have a number."""
     rows = views.filings(spark, d).select("ticker").distinct().filter("cast(substr(ticker, 2) as int) % 3 <> 0")
     entry = F.struct(F.lower("ticker").alias("ticker"), F.substr("ticker", F.lit(2)).alias("cik_str"))
-    return R.parse_cik_map(rows.select(F.to_json(F.create_map(F.col("ticker"), entry)).alias("value")))
+    whole = rows.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ticker", entry.alias("e"))))).alias("value"))  # one file, a row for each company
+    return R.read_cik_map(spark, _as_files(whole.withColumn("file", F.lit("all"))))
 
 
 def _submissions(spark, d) -> DataFrame:
@@ -27,8 +36,13 @@ def _submissions(spark, d) -> DataFrame:
     rows = views.filings(spark, d).groupBy("ticker").agg(F.sort_array(F.collect_list(item)).alias("f"))
     text = lambda c: F.transform("f", lambda x: x[c].cast("string"))
     recent = F.struct(text("accession_no").alias("accessionNumber"), text("filing_date").alias("filingDate"), text("form").alias("form"), F.slice(text("filing_date"), F.lit(1), F.size("f") - 1).alias("reportDate"))
-    body = F.struct(F.lpad(F.substr("ticker", F.lit(2)), 10, "0").alias("cik"), F.concat(F.lit("Company "), "ticker").alias("name"), F.array("ticker").alias("tickers"), F.array(F.lit("NYSE")).alias("exchanges"), F.struct(recent.alias("recent")).alias("filings"))
-    return R.parse_submissions(rows.select(F.to_json(body).alias("value")))
+    number = F.substr("ticker", F.lit(2))
+    address = F.struct(F.struct(F.concat(F.lit("Street "), number).alias("street1"), F.lit("Springfield").alias("city")).alias("mailing"))
+    body = F.struct(
+        F.lpad(number, 10, "0").alias("cik"), F.concat(F.lit("Company "), "ticker").alias("name"), F.array("ticker").alias("tickers"), F.array(F.lit("NYSE"), F.lit("CBOE")).alias("exchanges"),
+        F.concat(F.lit("7"), number).alias("sic"), F.lit("Services").alias("sicDescription"), F.concat(F.lit("555-"), number).alias("phone"), address.alias("addresses"), F.struct(recent.alias("recent")).alias("filings"),
+    )
+    return R.read_submissions(spark, _as_files(rows.select(F.col("ticker").alias("file"), F.to_json(body).alias("value"))))
 
 
 def _facts_text(spark, d) -> DataFrame:
@@ -39,40 +53,53 @@ def _facts_text(spark, d) -> DataFrame:
     units = units.withColumn("units", F.map_from_entries(F.transform("u", lambda x: F.struct(x["unit"], x["v"]))))
     concepts = units.groupBy("cik", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("units")))).alias("c"))
     whole = concepts.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "c"))).alias("facts"))
-    return R.parse_company_facts(whole.select(F.to_json(F.struct("cik", "facts")).alias("value")))
+    return R.read_company_facts(spark, _as_files(whole.select(F.col("cik").alias("file"), F.to_json(F.struct("cik", "facts")).alias("value"))))
 
 
 def _form4(spark, d) -> DataFrame:
     """Transactions of a filing as one XML document, and parsed again."""
-    number = lambda c: F.col(c).cast("string")
+    value = lambda tag, c: F.concat(F.lit(f"<{tag}><value>"), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit(f"</value></{tag}>"))
     code = F.concat(F.lit("<transactionCoding><transactionCode>"), "transaction_code", F.lit("</transactionCode></transactionCoding>"))
-    amounts = F.concat(F.lit("<transactionAmounts><transactionShares><value>"), number("shares"), F.lit("</value></transactionShares></transactionAmounts>"))
-    date = F.concat(F.lit("<transactionDate><value>"), number("transaction_date"), F.lit("</value></transactionDate>"))
-    wrap = lambda t: F.concat(F.lit(f"<{t}>"), date, code, amounts, F.lit(f"</{t}>"))
-    rows = views.insider(spark, d).withColumns({"plain": F.when(~F.col("is_derivative"), wrap("nonDerivativeTransaction")), "derived": F.when(F.col("is_derivative"), wrap("derivativeTransaction"))})
+    amounts = F.concat(F.lit("<transactionAmounts>"), value("transactionShares", "shares"), value("transactionPricePerShare", "price_per_share"), F.lit("</transactionAmounts>"))
+    date = value("transactionDate", "transaction_date")
+    after = F.concat(F.lit("<postTransactionAmounts>"), value("sharesOwnedFollowingTransaction", F.col("shares") * 2), F.lit("</postTransactionAmounts>"))
+    plain = F.concat(F.lit("<nonDerivativeTransaction>"), value("securityTitle", F.lit("Common Stock")), date, code, amounts, after, F.lit("</nonDerivativeTransaction>"))
+    derived = F.concat(F.lit("<derivativeTransaction>"), value("securityTitle", F.lit("Option")), value("conversionOrExercisePrice", F.col("shares") + 0.5), date, code, amounts, value("expirationDate", F.date_add("transaction_date", 365)), F.lit("</derivativeTransaction>"))
+    rows = views.insider(spark, d).withColumns({"plain": F.when(~F.col("is_derivative"), plain), "derived": F.when(F.col("is_derivative"), derived)})
     docs = rows.groupBy("accession_no").agg(F.array_join(F.collect_list("plain"), "").alias("p"), F.array_join(F.collect_list("derived"), "").alias("q"), F.min("ticker").alias("t"), F.min("owner_name").alias("o"))
-    relationship = F.when(F.col("accession_no") % 2 == 0, "<isOfficer>1</isOfficer><officerTitle>CFO</officerTitle>").otherwise("<isDirector>true</isDirector>")
+    case = F.col("accession_no") % 6
+    relationship = (
+        F.when(case == 0, "<isDirector>true</isDirector>")
+        .when(case == 1, "<isOfficer>1</isOfficer><officerTitle>CFO</officerTitle>")
+        .when(case == 2, "<isTenPercentOwner>1</isTenPercentOwner>")
+        .when(case == 3, "<isDirector>1</isDirector><isOfficer>true</isOfficer>")
+        .when(case == 4, "<isOther>1</isOther>")
+        .otherwise("<isDirector>0</isDirector>")
+    )
     xml = F.concat(
-        F.lit("<ownershipDocument><issuer><issuerTradingSymbol>"), "t", F.lit("</issuerTradingSymbol></issuer><reportingOwner><reportingOwnerId><rptOwnerName>"), "o",
-        F.lit("</rptOwnerName></reportingOwnerId><reportingOwnerRelationship>"), relationship, F.lit("</reportingOwnerRelationship></reportingOwner><nonDerivativeTable>"), "p",
-        F.lit("</nonDerivativeTable><derivativeTable>"), "q", F.lit("</derivativeTable></ownershipDocument>"),
+        F.lit("<ownershipDocument><issuer><issuerCik>"), F.substr("t", F.lit(2)), F.lit("</issuerCik><issuerName>Issuer "), "t", F.lit("</issuerName><issuerTradingSymbol>"), "t",
+        F.lit("</issuerTradingSymbol></issuer><reportingOwner><reportingOwnerId><rptOwnerName>"), "o", F.lit("</rptOwnerName></reportingOwnerId><reportingOwnerRelationship>"), relationship,
+        F.lit("</reportingOwnerRelationship></reportingOwner><nonDerivativeTable>"), "p", F.lit("</nonDerivativeTable><derivativeTable>"), "q", F.lit("</derivativeTable></ownershipDocument>"),
     )
     return O.parse_form4(docs.select("accession_no", xml.alias("xml")))
 
 
+_POSITION = "CASE accession_no % 6 WHEN 0 THEN 'Director' WHEN 1 THEN 'Officer (CFO)' WHEN 2 THEN '10% Owner' WHEN 3 THEN 'Director, Officer' WHEN 4 THEN 'Other' ELSE 'N/A' END"
+
+
 def _documents(spark, d) -> DataFrame:
     """Filing indexes made of line items, written as JSON and read again."""
     kind = F.when(F.col("l_linenumber") % 3 == 0, "XML").when(F.col("l_linenumber") % 3 == 1, "10-K").otherwise("GRAPHIC")
     end = F.when(F.col("l_partkey") % 4 == 0, ".xml").when(F.col("l_partkey") % 4 == 1, ".htm").when(F.col("l_partkey") % 4 == 2, ".jpg").otherwise("-index.html")
     name = F.concat(F.when(F.col("l_suppkey") % 5 == 0, "form4_").otherwise("doc_"), F.col("l_partkey").cast("string"), end)
-    item = F.struct("l_linenumber", F.struct(name.alias("name"), kind.alias("type")).alias("d"))
+    item = F.struct("l_linenumber", F.struct(name.alias("name"), kind.alias("type"), F.col("l_quantity").cast("int").cast("string").alias("size"), F.col("l_shipdate").cast("date").cast("string").alias("last_modified")).alias("d"))
     rows = views.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("accession_no")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["d"]).alias("item"))
     return R.parse_filing_index(rows.select("accession_no", F.to_json(F.struct(F.struct("item").alias("directory"))).alias("value")))
 
 
 _DOCS = """docs AS (SELECT l_orderkey AS accession_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, concat(CASE WHEN l_suppkey % 5 = 0 THEN 'form4_' ELSE 'doc_' END, l_partkey)) - 1 AS pos,
  concat(CASE WHEN l_suppkey % 5 = 0 THEN 'form4_' ELSE 'doc_' END, l_partkey, CASE l_partkey % 4 WHEN 0 THEN '.xml' WHEN 1 THEN '.htm' WHEN 2 THEN '.jpg' ELSE '-index.html' END) AS name,
- CASE l_linenumber % 3 WHEN 0 THEN 'XML' WHEN 1 THEN '10-K' ELSE 'GRAPHIC' END AS type FROM lineitem)"""
+ CASE l_linenumber % 3 WHEN 0 THEN 'XML' WHEN 1 THEN '10-K' ELSE 'GRAPHIC' END AS type, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS size, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS last_modified FROM lineitem)"""
 _CIKS = "ciks AS (SELECT DISTINCT ticker, lpad(substr(ticker, 2), 10, '0') AS cik FROM filings WHERE CAST(substr(ticker, 2) AS INTEGER) % 3 <> 0)"
 
 
@@ -84,13 +111,26 @@ def f1(spark, d):
     return O.explode_filings(_submissions(spark, d)).select("ticker", "accession_no", "filing_date", "form", "report_date", "url")
 
 
+def _view(spark, d) -> DataFrame:
+    """Transactions, derivatives with an exercise price, and filings with an address and a document."""
+    tx = views.insider(spark, d).withColumn("exercise_price", F.when(F.col("is_derivative"), F.col("shares") + 0.5))
+    own = views.filings(spark, d).withColumns({"url": O.filing_url(F.substr("ticker", F.lit(2)), F.col("accession_no")), "primary_document": F.concat(F.lit("doc"), F.col("accession_no"), F.lit(".xml"))}).drop("ticker")
+    return O.insider_view(tx, own)
+
+
 def f6(spark, d):
-    rows = O.insider_view(views.insider(spark, d), views.filings(spark, d).drop("ticker"))
-    return _rounded(rows, "value").select("ticker", "accession_no", "owner_name", "transaction_date", "shares", "value", "filing_date", "form")
+    return _rounded(_view(spark, d), "value", "price").select("ticker", "accession_no", "owner_name", "transaction_date", "shares", "price", "value", "filing_date", "form", "url", "primary_document")
 
 
 def t6(spark, d):
-    return O.recent_filings(O.insider_view(views.insider(spark, d), views.filings(spark, d).drop("ticker"))).select("ticker", "accession_no", "owner_name", "transaction_code", "shares")
+    return O.recent_filings(_view(spark, d)).select("ticker", "accession_no", "owner_name", "transaction_code", "shares")
+
+
+def a15_period(spark, d):
+    """Filings of customers, some of them without a transaction."""
+    own = views.table(spark, d, "orders").selectExpr("concat('P', o_custkey % 200) AS ticker", "o_orderkey AS accession_no", "CAST(o_orderdate AS DATE) AS filing_date")
+    tx = views.insider(spark, d).filter("accession_no % 5 <> 0")
+    return O.insider_summary(tx, _codes(spark), own, AS_OF, 2000).withColumns({c: F.round(c, 2) for c in ("buy_value", "sell_value", "net_value")})
 
 
 def s7(spark, d):
@@ -106,7 +146,7 @@ def _codes(spark):
 FILINGS: dict[str, tuple] = {
     "s3_company_facts": (lambda s, d: _facts_text(s, d).select("cik", "concept", "unit", "end_date", "val", "form"), _with("SELECT cik, concept, unit, end_date, val, form FROM facts", S.FACTS)),
     "s4_cik_map": (_cik_map, _with("SELECT * FROM ciks", S.FILINGS, _CIKS)),
-    "s6_filing_index": (lambda s, d: _documents(s, d).select("accession_no", F.col("pos").cast("long").alias("pos"), "name", "type"), _with("SELECT * FROM docs", _DOCS)),
+    "s6_filing_index": (lambda s, d: _documents(s, d).select("accession_no", F.col("pos").cast("long").alias("pos"), "name", "type"), _with("SELECT accession_no, pos, name, type FROM docs", _DOCS)),
     "s7_latest_dump": (
         s7,
         _with(
@@ -129,18 +169,18 @@ FILINGS: dict[str, tuple] = {
     "j4_insider_view": (
         f6,
         _with(
-            "SELECT i.ticker, accession_no, owner_name, transaction_date, shares, CASE WHEN NOT is_derivative THEN round(shares * price_per_share, 6) END AS value, filing_date, form FROM insider i JOIN (SELECT accession_no, filing_date, form FROM filings) f USING (accession_no)",
+            "SELECT i.ticker, accession_no, owner_name, transaction_date, shares, round(CASE WHEN is_derivative THEN shares + 0.5 ELSE price_per_share END, 6) AS price, CASE WHEN NOT is_derivative THEN round(shares * price_per_share, 6) END AS value, filing_date, form, 'https://www.sec.gov/Archives/edgar/data/' || ltrim(substr(f.ticker, 2), '0') || '/' || accession_no || '/' AS url, 'doc' || accession_no || '.xml' AS primary_document FROM insider i JOIN filings f USING (accession_no)",
             S.INSIDER,
             S.FILINGS,
         ),
     ),
     "j5_metric_concepts": (
-        lambda s, d: views.facts(s, d).join(F.broadcast(s.createDataFrame(list(O.METRICS.items()), "metric string, concept string")), "concept").groupBy("metric").agg(F.count(F.lit(1)).alias("n")),
-        _with("SELECT CASE concept WHEN 'NetIncomeLoss' THEN 'net_income' WHEN 'Assets' THEN 'assets' WHEN 'Liabilities' THEN 'liabilities' WHEN 'StockholdersEquity' THEN 'equity' ELSE 'revenue' END AS metric, count(*) AS n FROM facts GROUP BY 1", S.FACTS),
+        lambda s, d: O.with_metric(views.facts(s, d)).select("cik", "metric", "concept", "pos", "val"),
+        _with("SELECT cik, CASE concept WHEN 'NetIncomeLoss' THEN 'net_income' WHEN 'Assets' THEN 'assets' WHEN 'Liabilities' THEN 'liabilities' WHEN 'StockholdersEquity' THEN 'equity' ELSE 'revenue' END AS metric, concept, pos, val FROM facts", S.FACTS),
     ),
     "j6_transaction_codes": (
-        lambda s, d: O.with_codes(views.insider(s, d), _codes(s)).groupBy("transaction_code", "description", "is_buy", "is_sell").agg(F.count(F.lit(1)).alias("n")),
-        _with("SELECT transaction_code, description, is_buy, is_sell, count(*) AS n FROM coded GROUP BY ALL", S.INSIDER, S.CODES),
+        lambda s, d: O.with_codes(views.insider(s, d), _codes(s)).select("ticker", "accession_no", "transaction_code", "description", "is_buy", "is_sell", "shares"),
+        _with("SELECT ticker, accession_no, transaction_code, description, is_buy, is_sell, shares FROM coded", S.INSIDER, S.CODES),
     ),
     "f1_explode_filings": (
         f1,
@@ -155,15 +195,23 @@ FILINGS: dict[str, tuple] = {
         _with("SELECT accession_no, 'https://www.sec.gov/Archives/edgar/data/' || ltrim(substr(ticker, 2), '0') || '/00' || accession_no || '/' AS url FROM filings", S.FILINGS),
     ),
     "f4_parse_form4": (
-        lambda s, d: _form4(s, d).select("accession_no", "transaction_date", "transaction_code", "shares", "is_derivative"),
-        _with("SELECT accession_no, transaction_date, transaction_code, shares, is_derivative FROM insider", S.INSIDER),
+        lambda s, d: _form4(s, d),
+        _with(
+            f"""SELECT accession_no, substr(t, 2) AS issuer_cik, 'Issuer ' || t AS issuer_name, t AS ticker, o AS owner_name, {_POSITION} AS position, CASE WHEN is_derivative THEN 'Option' ELSE 'Common Stock' END AS security,
+ transaction_date, transaction_code, shares, price_per_share, is_derivative, CASE WHEN NOT is_derivative THEN shares * 2 END AS shares_after, CASE WHEN is_derivative THEN shares + 0.5 END AS exercise_price,
+ CASE WHEN is_derivative THEN transaction_date + 365 END AS expiration_date FROM insider JOIN (SELECT accession_no, min(ticker) AS t, min(owner_name) AS o FROM insider GROUP BY 1) USING (accession_no)""",
+            S.INSIDER,
+        ),
     ),
     "f5_owner_position": (
-        lambda s, d: _form4(s, d).groupBy("position").agg(F.countDistinct("accession_no").alias("n")),
-        _with("SELECT CASE WHEN accession_no % 2 = 0 THEN 'Officer (CFO)' ELSE 'Director' END AS position, count(DISTINCT accession_no) AS n FROM insider GROUP BY 1", S.INSIDER),
+        lambda s, d: _form4(s, d).select("accession_no", "position").distinct(),
+        _with(f"SELECT DISTINCT accession_no, {_POSITION} AS position FROM insider", S.INSIDER),
     ),
     "f7_latest_fact": (lambda s, d: O.latest_fact(views.facts(s, d)), _with("SELECT cik, taxonomy, concept, unit, end_date, val, pos, form FROM latest", S.FACTS, S.LATEST)),
-    "f8_company_info": (lambda s, d: O.company_info(_submissions(s, d)).select("cik", "name"), _with("SELECT DISTINCT lpad(substr(ticker, 2), 10, '0') AS cik, 'Company ' || ticker AS name FROM filings", S.FILINGS)),
+    "f8_company_info": (
+        lambda s, d: O.company_info(_submissions(s, d)).withColumns({"street": F.col("address.street1"), "city": F.col("address.city"), "exchanges": F.array_join("exchanges", ",")}).drop("address"),
+        _with("SELECT DISTINCT lpad(substr(ticker, 2), 10, '0') AS cik, 'Company ' || ticker AS name, '7' || substr(ticker, 2) AS sic, 'Services' AS sic_description, '555-' || substr(ticker, 2) AS phone, 'NYSE,CBOE' AS exchanges, 'Street ' || substr(ticker, 2) AS street, 'Springfield' AS city FROM filings", S.FILINGS),
+    ),
     "f9_pick_primary_document": (
         lambda s, d: O.pick_primary_document(_documents(s, d)),
         _pick("regexp_matches(name, '\\.(xml|htm|html)$') AND NOT name LIKE '%-index.html'", "name LIKE 'form4%' OR type IN ('XML', '10-K')"),
@@ -175,8 +223,8 @@ FILINGS: dict[str, tuple] = {
 SELECT page_id, coalesce(nullif(regexp_extract(html, 'href=["''][^"'']*(primary_doc\\.xml)["'']', 1, 'i'), ''), nullif(regexp_extract(regexp_extract(html, '<table.*?>(.*?)</table>', 1, 'is'), 'href=["''](?:[^"'']*/)?([^"''/]+\\.(?:htm|xml))["'']', 1, 'i'), '')) AS link FROM h""",
     ),
     "f12_filing_documents": (
-        lambda s, d: _documents(s, d).groupBy("accession_no").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types")),
-        _with("SELECT accession_no, count(*) AS n, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM docs GROUP BY 1", _DOCS),
+        lambda s, d: _documents(s, d).withColumn("pos", F.col("pos").cast("long")),
+        _with("SELECT accession_no, pos, name, type, size, last_modified FROM docs", _DOCS),
     ),
     "f13_form_descriptions": (
         lambda s, d: views.filings(s, d).join(F.broadcast(O.form_descriptions(s)), "form", "left").groupBy("form", "description").agg(F.count(F.lit(1)).alias("n")),
@@ -201,6 +249,20 @@ SELECT page_id, coalesce(nullif(regexp_extract(html, 'href=["''][^"'']*(primary_
             S.CODES,
         ),
     ),
+    "a15_insider_summary_period": (
+        a15_period,
+        _with(
+            """SELECT ticker, n AS n_filings, count(*) AS n_transactions, count(*) FILTER (WHERE is_buy AND NOT is_derivative) AS n_buys, count(*) FILTER (WHERE is_sell AND NOT is_derivative) AS n_sells,
+ round(coalesce(sum(shares * price_per_share) FILTER (WHERE is_buy AND NOT is_derivative), 0), 2) AS buy_value, round(coalesce(sum(shares * price_per_share) FILTER (WHERE is_sell AND NOT is_derivative), 0), 2) AS sell_value,
+ count(DISTINCT owner_name) AS n_owners, string_agg(DISTINCT owner_name, ',' ORDER BY owner_name) AS owners, min(transaction_date) AS first_date, max(transaction_date) AS last_date,
+ round(coalesce(sum(shares * price_per_share) FILTER (WHERE is_buy AND NOT is_derivative), 0) - coalesce(sum(shares * price_per_share) FILTER (WHERE is_sell AND NOT is_derivative), 0), 2) AS net_value
+ FROM mine JOIN (SELECT ticker, count(DISTINCT accession_no) AS n FROM period GROUP BY 1) USING (ticker) GROUP BY ticker, n""",
+            S.INSIDER,
+            S.CODES,
+            f"period AS (SELECT 'P' || (o_custkey % 200) AS ticker, o_orderkey AS accession_no FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 2000)",
+            "mine AS (SELECT c.* EXCLUDE (ticker), p.ticker FROM coded c JOIN period p USING (accession_no) WHERE accession_no % 5 <> 0)",
+        ),
+    ),
     "a16_financial_summary": (
         lambda s, d: O.financial_summary(views.facts(s, d)).select("cik", "revenue", "net_income", "assets", "liabilities", "equity", F.col("period_end").cast("string").alias("period_end"), "form"),
         _with(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,9 @@ def _scored(spark: SparkSession, d: str, **how) -> DataFrame:
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    return viewport.heatmap_cells(_scored(spark, d), 6 * HOUR, MID, MID + 10 * DAY, 0.0, 200.0, RESOLUTION)
+    t0, t1 = MID, MID + 10 * DAY
+    visible = slices.slice_liquidity(viewport.in_view(_grid(spark, d), 6 * HOUR, t0, t1, STEP), [6 * HOUR], STEP, RESOLUTION)
+    return viewport.heatmap_cells(visible, 6 * HOUR, t0, t1, 0.0, 200.0, RESOLUTION)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -150,6 +154,30 @@ def b9(spark, d):
     return book.band_filter(_daily(spark, d), "percent_mid", 0.25, at="g")
 
 
+def b9_modes(spark, d):
+    """All three modes, and a half band of 0, which counts as unset."""
+    modes = (("fixed_dollar", 10.0), ("ticks", 8.0), ("percent_mid", 0.1), ("ticks", 0.0))
+    parts = [book.band_filter(_daily(spark, d), mode, value, at="g").withColumn("band", F.lit(f"{mode} {value:g}")) for mode, value in modes]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def a3_band(spark, d):
+    samples = slices.sampled_levels(_grid(spark, d, 6 * HOUR), RESOLUTION, band={"mode": "percent_mid", "value": 0.25})
+    return _rounded(slices.slice_samples(samples, [DAY], 6 * HOUR), "avg")
+
+
+def n1_kinds(spark, d):
+    """Messages of every kind, and those that are dropped: of no kind, of another shape, no JSON at all."""
+    texts = ("market_trades", "l2_data", "level2", "subscriptions", "heartbeats")
+    text = lambda k, t: F.when(F.col("event_id") % 9 == k, t)
+    message = F.coalesce(
+        *[text(k, F.concat(F.lit(f'{{"channel":"{c}","sequence_num":'), "event_id", F.lit("}"))) for k, c in enumerate(texts)],
+        text(5, F.concat(F.lit('{"type":"error","message":"no '), "event_id", F.lit('"}'))), text(6, F.lit('{"unknown_field":"x"}')), text(7, F.lit("soon {")), F.lit('["market_trades"]'),
+    )
+    raw = views.table(spark, d, "events").select(message.alias("value"), F.timestamp_millis(F.lit(0)).alias("arrival_ts"), F.col("event_id").alias("arrival_seq"))
+    return messages.classify_messages(raw).select("arrival_seq", "kind")
+
+
 def b12(spark, d):
     return book.latest_book(views.l2_updates(spark, d).select("product_id", "seq", "side", "price", "quantity"))
 
@@ -212,6 +240,17 @@ _BOOK_DAILY = S.BOOK + S.grid(DAY)
 _SLICES = S.BOOK + S.slices(STEP, int(RESOLUTION), TIMEFRAMES)
 _MIDS = """, tob AS (SELECT product_id, g, max(CASE WHEN side = 'bid' THEN tick END) * 1.0::DOUBLE AS bid, min(CASE WHEN side = 'ask' THEN tick END) * 1.0::DOUBLE AS ask FROM sampled GROUP BY ALL),
 mids AS (SELECT product_id, g, coalesce((bid + ask) / 2, bid, ask, 0.0::DOUBLE) AS mid FROM tob)"""
+
+
+def _band(half: str) -> str:
+    """Levels of sampled within half a band of the mid, or the best of a side."""
+    half = f"CASE WHEN {half} > 0 THEN {half} ELSE 100 END"
+    return f"""SELECT product_id, g, side, tick, qty FROM (SELECT *, max(CASE WHEN inside THEN 1 ELSE 0 END) OVER w AS any_in, min(CASE WHEN side = 'bid' THEN -tick ELSE tick END) OVER w AS best FROM (
+ SELECT s.*, abs(tick - mid) <= CASE WHEN span > 0 THEN least({half}, span / 2) ELSE {half} END AS inside
+ FROM sampled s JOIN mids USING (product_id, g) JOIN (SELECT product_id, g, (max(tick) - min(tick)) * 1.0::DOUBLE AS span FROM sampled GROUP BY ALL) USING (product_id, g)) WINDOW w AS (PARTITION BY product_id, g, side))
+ WHERE inside OR (any_in = 0 AND (CASE WHEN side = 'bid' THEN -tick ELSE tick END) = best)"""
+
+
 _CELLS = f""", cells AS (SELECT product_id, side, slice_start, slice_start + timeframe_ms AS slice_end, tick * 5.0::DOUBLE - 2.5 AS price_low, tick * 5.0::DOUBLE + 2.5 AS price_high, avg AS liquidity,
  least(1.0::DOUBLE, avg / 1000) AS intensity, snapshot_count FROM scored WHERE timeframe_ms = {6 * HOUR} AND slice_start + timeframe_ms >= {MID} AND slice_start <= {MID + 10 * DAY} AND tick * 5 BETWEEN 0 AND 200 AND avg > 0)"""
 _TRADES_MID = f""", tm AS (SELECT t.*, m.mid FROM trades t ASOF LEFT JOIN (SELECT product_id, g * {DAY} AS at_ms, mid FROM mids) m ON t.product_id = m.product_id AND t.ts_ms >= m.at_ms)"""
@@ -220,6 +259,7 @@ _SLICE_COLUMNS = "product_id, timeframe_ms, slice_start, side, tick, total, CAST
 #: name -> (query, SQL)
 MARKET: dict[str, tuple] = {
     "n1_classify_messages": (n1, "SELECT 'trades' AS kind, count(*) AS n FROM events UNION ALL SELECT 'l2', count(*) FROM events"),
+    "n1_message_kinds": (n1_kinds, "SELECT event_id AS arrival_seq, CASE event_id % 9 WHEN 0 THEN 'trades' WHEN 1 THEN 'l2' WHEN 2 THEN 'l2' WHEN 3 THEN 'ack' WHEN 4 THEN 'heartbeat' ELSE 'error' END AS kind FROM events WHERE event_id % 9 < 6"),
     "n2_extract_trades": (n2, _with("SELECT product_id, trade_id, ts_ms, side, price, size FROM trades", S.TRADES)),
     "n3_extract_l2": (n3, _with("SELECT product_id, ts_ms, seq, kind, side, price, quantity FROM l2 WHERE NOT (kind = 'snapshot' AND quantity <= 0)", S.L2)),
     "n4_extract_acks": (n4, "SELECT event_type AS product_id, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'ALL', count(*) FROM events"),
@@ -264,15 +304,10 @@ MARKET: dict[str, tuple] = {
         ),
     ),
     "b8_mid_price": (lambda s, d: book.mid_price(_daily(s, d), 0.0, at="g"), _with("SELECT * FROM mids", _BOOK_DAILY + _MIDS)),
-    "b9_band_filter": (
-        b9,
-        _with(
-            """SELECT product_id, g, side, tick, qty FROM (SELECT *, max(CASE WHEN inside THEN 1 ELSE 0 END) OVER w AS any_in, min(CASE WHEN side = 'bid' THEN -tick ELSE tick END) OVER w AS best FROM (
- SELECT s.*, abs(tick - mid) <= CASE WHEN span > 0 THEN least(CASE WHEN mid * 0.25 > 0 THEN mid * 0.25 ELSE 100 END, span / 2) ELSE CASE WHEN mid * 0.25 > 0 THEN mid * 0.25 ELSE 100 END END AS inside
- FROM sampled s JOIN mids USING (product_id, g) JOIN (SELECT product_id, g, (max(tick) - min(tick)) * 1.0::DOUBLE AS span FROM sampled GROUP BY ALL) USING (product_id, g)) WINDOW w AS (PARTITION BY product_id, g, side))
- WHERE inside OR (any_in = 0 AND (CASE WHEN side = 'bid' THEN -tick ELSE tick END) = best)""",
-            _BOOK_DAILY + _MIDS,
-        ),
+    "b9_band_filter": (b9, _with("SELECT product_id, g, side, tick, qty FROM (" + _band("mid * 0.25") + ")", _BOOK_DAILY + _MIDS)),
+    "b9_band_modes": (
+        b9_modes,
+        _with(" UNION ALL ".join(f"SELECT product_id, g, side, tick, qty, '{name}' AS band FROM ({_band(half)})" for name, half in (("fixed_dollar 10", "10.0"), ("ticks 8", "8.0"), ("percent_mid 0.1", "mid * 0.1"), ("ticks 0", "0.0"))), _BOOK_DAILY + _MIDS),
     ),
     "b10_depth_limit": (
         lambda s, d: book.depth_limit(_daily(s, d), 20, "g"),
@@ -280,6 +315,10 @@ MARKET: dict[str, tuple] = {
     ),
     "b11_quantize_price": (lambda s, d: book.quantize_price(_daily(s, d), 25.0, at="g"), _with("SELECT product_id, g, side, CAST(round(tick / 25.0::DOUBLE) AS BIGINT) AS tick, sum(qty) AS qty FROM sampled GROUP BY 1, 2, 3, 4", _BOOK_DAILY)),
     "b12_latest_book": (b12, _with("SELECT product_id, seq, side, price, quantity FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY seq DESC) AS rk FROM l2) WHERE rk = 1", S.L2)),
+    "b12_latest_whole_book": (
+        lambda s, d: book.latest_whole_book(_intervals(s, d)),
+        _with("SELECT product_id, side, tick, qty, from_ms FROM intervals WHERE to_ms IS NULL", S.BOOK),
+    ),
     "b13_liquidity_at": (
         lambda s, d: book.liquidity_at(_daily(s, d), 20.0, at="g"),
         _with("SELECT product_id, g, coalesce(sum(qty) FILTER (WHERE tick = 20 AND side = 'bid'), 0.0) AS bid, coalesce(sum(qty) FILTER (WHERE tick = 20 AND side = 'ask'), 0.0) AS ask FROM sampled GROUP BY ALL", _BOOK_DAILY),
@@ -345,6 +384,14 @@ MARKET: dict[str, tuple] = {
             S.BOOK + S.grid(STEP),
         ),
     ),
+    "a3_slice_liquidity_band": (
+        a3_band,
+        _with(
+            f"""SELECT *, max(own_last) OVER (PARTITION BY product_id, slice_start) AS slice_last FROM (SELECT product_id, {DAY}::BIGINT AS timeframe_ms, g * {6 * HOUR} // {DAY} * {DAY} AS slice_start, side, tick, sum(qty) AS total, count(*) AS snapshot_count, max(qty) AS max, min(qty) AS min, min(g) * {6 * HOUR} AS first_seen, max(g) * {6 * HOUR} AS own_last, round(sum(qty) / count(*), 6) AS avg
+ FROM (SELECT product_id, g, side, CAST(round(tick / 5.0::DOUBLE) AS BIGINT) AS tick, sum(qty) AS qty FROM ({_band("mid * 0.25")}) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3, 4, 5)""",
+            S.BOOK + S.grid(6 * HOUR) + _MIDS,
+        ),
+    ),
     "a3_slice_liquidity_messages": (
         a3_messages,
         _with(

@@ -60,7 +60,9 @@ def parse_filing_index(texts: DataFrame, key: str = "accession_no", value: str =
 
 
 def read_filing_index(spark: SparkSession, path: str) -> DataFrame:
-    texts = whole_files(spark, path).withColumn("accession_no", F.regexp_extract("file", r"([^/]+)[^/]*\.json$", 1))
+    """Indexes in files: <accession>/index.json, or <accession>.json; the number is the folder's or the file's name."""
+    name = F.coalesce(F.nullif(F.regexp_extract("file", r"([^/]+)/index\.json$", 1), F.lit("")), F.regexp_extract("file", r"([^/]+)\.json$", 1))
+    texts = whole_files(spark, path).withColumn("accession_no", name)
     return parse_filing_index(texts)
 
 
