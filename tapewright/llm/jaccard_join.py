@@ -4,9 +4,9 @@ A text is the set of its hashed five-word shingles; equal sets are one class. Ea
 minima, its tokens. A run splits the classes recursively: at a node, every token is chosen with
 probability 1 / (SIMILARITY * COORDINATES) by a hash of the node and the token, and a class goes to the children of the chosen tokens that it
 has. So two classes meet wherever they share a chosen token, and a pair at the threshold reaches the next level with one child on average. Buckets of
-few classes are compared by brute force on the sketches. A larger one is compared with PIVOTS of its own classes first: if these link all
-its classes to one group, as in a bucket of near copies, no pair of it can be missed and it ends there; else it is split further, and below
-MAX_DEPTH compared block by block. Runs are repeated until a pair at the threshold is met with probability TARGET even if all its buckets are split to MAX_DEPTH.
+few classes are compared by brute force on the sketches. A larger one is compared with PIVOTS of its own classes first. What these link to one
+group, as in a bucket of near copies, is compared exactly later, so no pair of it can be missed; if few classes are left over, they are compared with the
+whole bucket, which ends there. Else it is split further, and below MAX_DEPTH compared block by block. Runs are repeated until a pair at the threshold is met with probability TARGET even if all its buckets are split to MAX_DEPTH.
 
 The compared pairs that look similar give a spanning forest, not all pairs; its components are compared again pair by pair
 on the exact sets, in blocks, which counts the links of every class without writing a row for each pair.
@@ -34,7 +34,8 @@ COORDINATES = 128
 LOOKS_SIMILAR = 0.6  # on the sketch: less than 1e-7 of the pairs at the threshold fall below; the exact sets decide
 FIRST_DEPTH, MAX_DEPTH = 2, 6
 BUCKET = 128
-PIVOTS = 4
+PIVOTS = 8
+SLICE = 8192  # classes of a crowded bucket that one task compares with its pivots
 BLOCK = 1024
 BLOCK_BYTES = 8 << 20
 TARGET = 0.999
@@ -216,35 +217,90 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(pa.concat_tables(held))
 
 
-def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the classes of crowded buckets, each with its bucket's pivots: the pivot that it is linked to, and whether the bucket has to be split."""
+def led_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(path, slice), the leaders' keys and sketches, and keys and sketches of some members; a partition is sorted by (path, slice, member), leaders first."""
+    own, keys, sketch = None, [], []
     for batch in batches:
         if not batch.num_rows:
             continue
-        n = batch.num_rows
-        own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(n, 1, COORDINATES)
-        pivots = batch.column("pivots").flatten()
-        keys = pivots.field("key").to_numpy().reshape(n, PIVOTS)
-        theirs = np.frombuffer(b"".join(pivots.field("sketch").to_pylist()), np.uint16).reshape(n, PIVOTS, COORDINATES)
-        near = (own == theirs).mean(2) >= LOOKS_SIMILAR
-        between = np.stack([(theirs == theirs[:, [j]]).mean(2) >= LOOKS_SIMILAR for j in range(PIVOTS)], 1)
-        for _ in range(2):  # paths over up to PIVOTS - 1 links
-            between = np.einsum("nij,njk->nik", between.astype(np.int8), between.astype(np.int8)) > 0
-        loose = ~near.any(1) | ~between[:, 0].all(1)
-        key, path = batch.column("key").to_numpy(), batch.column("path").to_numpy()
-        rows = [pa.record_batch([pa.array(path), pa.array(key), pa.array(keys[np.arange(n), near.argmax(1)], mask=~near.any(1)), pa.array(loose)], ["path", "key", "pivot", "loose"])]
-        at, j = np.nonzero(near & (keys == key[:, None]).any(1)[:, None])  # pivots among themselves
-        rows.append(pa.record_batch([pa.array(path[at]), pa.array(key[at]), pa.array(keys[at, j]), pa.array(loose[at])], ["path", "key", "pivot", "loose"]))
-        yield from rows
-
-
-def with_pivots(crowded: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Adds pivots to the classes (path, key, sketch) of crowded buckets: those of least keys under PIVOTS orders. Only they are gathered."""
+        at = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("path", "slice", "member")], 1)
+        key = batch.column("key").to_numpy()
+        every = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+        for start, stop in zip(cuts, cuts[1:]):
+            path, part, member = at[start].tolist()
+            if (path, part) != own:
+                own, keys, sketch = (path, part), [], []
+            if not member:
+                keys.append(key[start:stop])
+                sketch.append(every[start:stop])
+            elif keys:
+                yield own, np.concatenate(keys), np.concatenate(sketch), key[start:stop], every[start:stop]
+
+
+def likeness(members: np.ndarray, leaders: np.ndarray) -> np.ndarray:
+    """Whether each member looks similar to each leader."""
+    out = np.zeros((len(members), len(leaders)), bool)
+    for at in range(0, len(members), 256):
+        out[at : at + 256] = (members[at : at + 256, None] == leaders[None]).mean(2, dtype=np.float32) >= LOOKS_SIMILAR
+    return out
+
+
+def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of crowded buckets with the pivot that they are linked to; loose are those not linked to the group of the first pivot."""
+    own, among, main = None, None, None
+    for at, keys, sketch, key, every in led_rows(batches):
+        a, b = [], []
+        if at != own:
+            own, among = at, likeness(sketch, sketch)
+            reached = among[0]
+            while (more := among[reached].any(0)).sum() > reached.sum():
+                reached = more
+            main = np.flatnonzero(reached)
+            if at[1] == 0:
+                a, b = (keys[x] for x in np.nonzero(np.triu(among, 1)))
+        near = likeness(every, sketch[main])
+        some = near.any(1)
+        yield pa.record_batch([pa.array(np.full(len(key), at[0])), pa.array(key), pa.array(keys[main][near.argmax(1)], mask=~some), pa.array(~some)], ["path", "key", "pivot", "loose"])
+        if len(a):
+            yield pa.record_batch([pa.array(np.full(len(a), at[0])), pa.array(b), pa.array(a), pa.array(np.zeros(len(a), bool))], ["path", "key", "pivot", "loose"])
+
+
+def outer_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of the loose classes of a bucket, its leaders here: among themselves, and of each to one other member of a slice if there is any."""
+    own, left = None, None
+    for at, keys, sketch, key, every in led_rows(batches):
+        a, b = [], []
+        if at != own:
+            own, left = at, np.ones(len(keys), bool)
+            if at[1] == 0:
+                pairs = spanning(sketch)
+                a, b = [keys[x] for x, _ in pairs], [keys[y] for _, y in pairs]
+        others = np.flatnonzero(~np.isin(key, keys))
+        if left.any() and len(others):
+            todo = np.flatnonzero(left)
+            near = likeness(every[others], sketch[todo])
+            found = near.any(0)
+            a += keys[todo[found]].tolist()
+            b += key[others[near.argmax(0)[found]]].tolist()
+            left[todo[found]] = False
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def led_by(crowded: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The classes (path, key, n, sketch) of crowded buckets in slices of SLICE, and in front of each slice the bucket's leaders (path, key), few."""
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    members = crowded.select("path", F.pmod("key", slices).cast("int").alias("slice"), F.lit(1).alias("member"), "key", "sketch")
+    first = crowded.join(leaders.select("path", "key").distinct(), ["path", "key"], "left_semi")
+    first = first.select("path", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(0).alias("member"), "key", "sketch")
+    return members.unionByName(first).repartition("path", "slice").sortWithinPartitions("path", "slice", "member", "key")
+
+
+def pivots_of(crowded: DataFrame) -> DataFrame:
+    """(path, key): the classes of each bucket of least key under PIVOTS orders."""
     masks = [int(x) for x in mixed(np.arange(1, PIVOTS + 1, dtype=_U)).astype(np.int64)]
     least = crowded.groupBy("path").agg(*[F.min(F.col("key").bitwiseXOR(F.lit(m))).alias(f"p{j}") for j, m in enumerate(masks)])
-    of = least.select("path", F.posexplode(F.array(*[F.col(f"p{j}").bitwiseXOR(F.lit(m)) for j, m in enumerate(masks)])).alias("j", "key"))
-    pivots = of.join(tokens, "key").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("j", "key", "sketch"))).alias("pivots"))
-    return crowded.join(pivots, "path")
+    return least.select("path", F.explode(F.array(*[F.col(f"p{j}").bitwiseXOR(F.lit(m)) for j, m in enumerate(masks)])).alias("key"))
 
 
 def exact_links(keys: np.ndarray, weights: np.ndarray, sides: np.ndarray, low: int, high: int, texts: pa.Array) -> list[np.ndarray]:
@@ -368,9 +424,14 @@ def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARG
         sized = paths.join(sizes, "path")
         small = sized.filter(F.col("n") <= BUCKET).select("path", "key", F.lit(0).alias("block"))
         crowded = written(sized.filter(F.col("n") > BUCKET).join(tokens, "key").select("path", "key", "sketch", "n"), "crowded")
-        held = written(with_pivots(crowded, tokens).select("path", "key", "sketch", "pivots").mapInArrow(lean(judged), "path long, key long, pivot long, loose boolean"), "judged")
+        held = written(led_by(crowded, pivots_of(crowded)).mapInArrow(lean(judged), "path long, key long, pivot long, loose boolean"), "judged")
         found.append(held.filter("pivot is not null and pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b")))
-        rest = crowded.join(held.filter("loose").select("path").distinct(), "path", "left_semi")
+        loose = held.filter("loose").select("path", "key")
+        counts = written(loose.groupBy("path").agg(F.count(F.lit(1)).alias("loose")), "loose")
+        few = crowded.join(counts.filter(F.col("loose") <= BUCKET).select("path"), "path", "left_semi")
+        outer = led_by(few, loose.join(counts.filter(F.col("loose") <= BUCKET).select("path"), "path", "left_semi"))
+        found.append(written(outer.mapInArrow(lean(outer_edges), "a long, b long").distinct(), "edges"))
+        rest = crowded.join(counts.filter(F.col("loose") > BUCKET).select("path"), "path", "left_semi")
         if depth == MAX_DEPTH:  # blocks of a large bucket that its pivots don't link are compared two by two
             blocks = F.ceil(F.col("n") / BLOCK).cast("int")
             own = F.pmod("key", blocks).cast("int")

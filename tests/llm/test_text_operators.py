@@ -180,9 +180,11 @@ def test_jaccard_large_groups_are_split_and_counted(spark, monkeypatch):
     assert {r.class_id for r in got} == {0}
 
 
-def test_jaccard_crowded_buckets_of_several_groups(spark, monkeypatch):
+@pytest.mark.parametrize(("bucket", "pivots"), [(6, 8), (40, 1)])
+def test_jaccard_crowded_buckets_of_several_groups(spark, monkeypatch, bucket, pivots):
     """Groups of near copies that share half of their words: pivots link some of a crowded bucket's classes only, and the rest goes down."""
-    monkeypatch.setattr(jaccard_join, "BUCKET", 6), monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "BUCKET", bucket), monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16), monkeypatch.setattr(jaccard_join, "SLICE", 50)
     rnd = random.Random(3)
     word = lambda: str(rnd.randrange(10**7))
     common, rows = [word() for _ in range(150)], []
