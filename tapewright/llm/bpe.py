@@ -17,7 +17,6 @@ white space raises ValueError.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import SPACES, lean, read_table, running_hash, small_batches, span_hashes, text_bytes
+from tapewright.llm.words import library, table
 
 WINDOW = 16  # bytes under the rolling hash
 CHUNK_BITS = 9  # a cut each 512 bytes or so
 LEAST_CHUNK = 128
 REMEMBERED_BYTES = 24 << 20  # of pieces and their ids in a task; then all are forgotten
-ENCODED_BYTES = 1 << 18  # of text that the library is given at once
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,31 +39,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_LIBRARIES: dict[str, object] = {}
-
-
-def library(path: str):
-    """The tokenizer of the file, once a worker; it must drop white space and split texts there."""
-    if path not in _LIBRARIES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        found = Tokenizer.from_file(path)
-        found.no_padding()
-        found.no_truncation()
-        ids = lambda t: found.encode(t, add_special_tokens=False).ids
-        left, right = "It's 12.5", "ÀB,c's"
-        if ids(f"{left} {right}") != ids(left) + ids(right) or ids(f" \n{left}\t\r\n  {right}\x0b\x0c ") != ids(left) + ids(right):
-            raise ValueError(f"{path} keeps white space: texts can't be encoded in pieces")
-        _LIBRARIES[path] = found
-    return _LIBRARIES[path]
-
-
 def encoded_texts(path: str, texts: list[bytes]) -> list[bytes]:
     """Ids of each text, two bytes each, or four for more than 65536 ids."""
-    coder = library(path)
-    kind = id_kind(path)
-    return [np.array(x.ids, kind).tobytes() for x in coder.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+    sizes = np.cumsum([0] + [len(t) for t in texts])
+    ids, bounds = table(path).encode(np.frombuffer(b"".join(texts), np.uint8), sizes)
+    kind = np.dtype(id_kind(path))
+    data, at = ids.astype(kind).tobytes(), (bounds * kind.itemsize).tolist()
+    return [data[x:y] for x, y in zip(at, at[1:])]
 
 
 def id_kind(path: str) -> str:
@@ -137,16 +118,9 @@ class Encoder:
         if self.size > REMEMBERED_BYTES:
             self.known, self.size = {}, 0
             new = list(pieces)
-        at = 0
-        while at < len(new):
-            stop, size = at, 0
-            while stop < len(new) and (size == 0 or size + len(new[stop]) <= ENCODED_BYTES):
-                size += len(new[stop])
-                stop += 1
-            found = encoded_texts(self.path, new[at:stop])
-            self.known.update(zip(new[at:stop], found))
-            self.size += size + sum(map(len, found))
-            at = stop
+        found = encoded_texts(self.path, new)
+        self.known.update(zip(new, found))
+        self.size += sum(map(len, new)) + sum(map(len, found))
         self.encoded += len(new)
 
     def rows(self, texts: pa.Array) -> list[bytes]:
