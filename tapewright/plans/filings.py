@@ -97,7 +97,7 @@ def _documents(spark, d) -> DataFrame:
     return R.parse_filing_index(rows.select("accession_no", F.to_json(F.struct(F.struct("item").alias("directory"))).alias("value")))
 
 
-_DOCS = """docs AS (SELECT l_orderkey AS accession_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, concat(CASE WHEN l_suppkey % 5 = 0 THEN 'form4_' ELSE 'doc_' END, l_partkey)) - 1 AS pos,
+_DOCS = """docs AS (SELECT l_orderkey AS accession_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, concat(CASE WHEN l_suppkey % 5 = 0 THEN 'form4_' ELSE 'doc_' END, l_partkey), CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), l_shipdate) - 1 AS pos,
  concat(CASE WHEN l_suppkey % 5 = 0 THEN 'form4_' ELSE 'doc_' END, l_partkey, CASE l_partkey % 4 WHEN 0 THEN '.xml' WHEN 1 THEN '.htm' WHEN 2 THEN '.jpg' ELSE '-index.html' END) AS name,
  CASE l_linenumber % 3 WHEN 0 THEN 'XML' WHEN 1 THEN '10-K' ELSE 'GRAPHIC' END AS type, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS size, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS last_modified FROM lineitem)"""
 _CIKS = "ciks AS (SELECT DISTINCT ticker, lpad(substr(ticker, 2), 10, '0') AS cik FROM filings WHERE CAST(substr(ticker, 2) AS INTEGER) % 3 <> 0)"
