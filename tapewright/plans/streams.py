@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.operators import messages
+from tapewright.operators import book, messages, slices, viewport
 from tapewright.plans import sqltext as S
-from tapewright.plans.market import HOUR, _as_messages, _with
+from tapewright.plans.market import _SLICE_COLUMNS, DAY, HOUR, _as_messages, _rounded, _with
 from tapewright.sources import views
 from tapewright.sources.feed import read_feed, trade_sink
 from tapewright.sources.filings import write_partitioned
@@ -25,9 +25,10 @@ def _trades(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def r2(spark, d):
-    l2 = _events(spark, d).selectExpr(
+def _l2(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).selectExpr(
         "event_type AS product_id",
+        f"timestamp_millis({views.MS}) AS ts",
         "event_id AS seq",
         "0 AS ord",
         "CASE WHEN event_id % 500 = 3 THEN 'snapshot' ELSE 'update' END AS kind",
@@ -35,7 +36,39 @@ def r2(spark, d):
         "CAST(floor(value) AS DOUBLE) AS price",
         "CASE WHEN event_id % 7 = 0 THEN 0D ELSE CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) END AS quantity",
     )
-    return streams.drained(streams.stream_book(l2), "book")
+
+
+def r2(spark, d):
+    return streams.drained(streams.stream_book(_l2(spark, d)), "book")
+
+
+def _flushed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Stretches of the book on an hourly grid, flushed each day, and the time of the last flush."""
+    grid = streams.drained(streams.stream_grid(_l2(spark, d), HOUR, DAY, "1 hour"), "grid")
+    until = views.trades(spark, d).agg((F.floor((F.max("ts_ms") - HOUR) / DAY) * DAY).alias("until"))
+    return grid, F.broadcast(until)  # one row
+
+
+def r6(spark, d):
+    """The book at every hour, as timers bring it out."""
+    grid, until = _flushed(spark, d)
+    return book.carry_forward(grid).join(until, F.col("g") * HOUR < F.col("until")).drop("until")
+
+
+def r3_liquidity(spark, d):
+    grid, until = _flushed(spark, d)
+    rows = slices.slice_liquidity(grid, [6 * HOUR, DAY], HOUR, 5.0)
+    return _rounded(rows.join(until, F.col("slice_start") + F.col("timeframe_ms") <= F.col("until")).drop("until"), "avg")
+
+
+def r5(spark, d):
+    """Slices as they grow: the open ones too."""
+    return streams.drained_updates(streams.stream_slices(_trades(spark, d), [6 * HOUR, DAY], "1 hour"), "open", ["product_id", "timeframe_ms", "slice_start"])
+
+
+def r9(spark, d):
+    """The newest slices of what a stream has brought out."""
+    return viewport.retain(r3_liquidity(spark, d), 6).select("product_id", "timeframe_ms", "slice_start", "side", "tick", "total")
 
 
 def r3(spark, d):
@@ -72,7 +105,23 @@ def s9(spark, d):
 
 _STREAM_L2 = S.L2.replace("CASE WHEN (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 500 = 0 THEN", "CASE WHEN event_id % 500 = 3 THEN")
 
+_STREAM_BOOK = S.BOOK.replace(S.L2, _STREAM_L2)
+_UNTIL = f"(SELECT (max(ts_ms) - {HOUR}) // {DAY} * {DAY} FROM l2)"
+
 STREAMS: dict[str, tuple] = {
+    "r3_stream_liquidity": (r3_liquidity, _with(f"SELECT {_SLICE_COLUMNS} FROM slices WHERE slice_start + timeframe_ms <= {_UNTIL}", _STREAM_BOOK + S.slices(HOUR, 5, [6 * HOUR, DAY]))),
+    "r5_stream_open_slices": (
+        r5,
+        _with(f"SELECT product_id, timeframe_ms, ts_ms // timeframe_ms * timeframe_ms AS slice_start, count(*) AS n_trades, sum(size) AS volume FROM trades, (SELECT unnest([{6 * HOUR}, {DAY}]::BIGINT[]) AS timeframe_ms) GROUP BY ALL", S.TRADES),
+    ),
+    "r6_stream_samples": (r6, _with(f"SELECT product_id, g, side, tick, qty FROM sampled WHERE g * {HOUR} < {_UNTIL}", _STREAM_BOOK + S.grid(HOUR))),
+    "r9_stream_retained": (
+        r9,
+        _with(
+            f"SELECT product_id, timeframe_ms, slice_start, side, tick, total FROM (SELECT *, dense_rank() OVER (PARTITION BY product_id, timeframe_ms ORDER BY slice_start DESC) AS rk FROM slices WHERE slice_start + timeframe_ms <= {_UNTIL}) WHERE rk <= 6",
+            _STREAM_BOOK + S.slices(HOUR, 5, [6 * HOUR, DAY]),
+        ),
+    ),
     "r2_stream_book": (r2, _with("SELECT product_id, seq, side, tick, qty FROM chg", S.BOOK.replace(S.L2, _STREAM_L2))),
     "r3_stream_slices": (
         r3,

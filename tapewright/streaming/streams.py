@@ -92,18 +92,107 @@ class BookProcessor(StatefulProcessor):
         pass
 
 
-def stream_book(l2: DataFrame, tick_size: float = 1.0, parts: int = 8) -> DataFrame:
-    """Changes of book levels from a stream of updates (product_id, seq, ord, kind, side, price, quantity).
-
-    A product's book is kept in parts by level, so that a busy product isn't one task; each part hears of every snapshot. A batch is
-    ordered within a part: the source's limit for a trigger bounds what a task holds. Updates must come in batches in the order of seq."""
+def in_parts(l2: DataFrame, tick_size: float, parts: int, *more: str) -> DataFrame:
+    """Updates dealt to parts of their product's book by level, so that a busy product isn't one task; each part hears of every snapshot."""
     rows = l2.withColumn("tick", F.round(F.col("price") / tick_size).cast("long"))
     part = F.pmod(F.xxhash64("side", "tick"), F.lit(parts)).cast("int")
     heard = F.when(F.col("kind") == "snapshot", F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array("home"))
     rows = rows.withColumn("home", part).withColumn("part", F.explode(heard)).withColumn("own", F.col("part") == F.col("home"))
-    rows = rows.select("product_id", "part", "own", "seq", "ord", "kind", "side", "tick", "quantity")
+    return rows.select("product_id", "part", "own", "seq", "ord", "kind", "side", "tick", "quantity", *more)
+
+
+def stream_book(l2: DataFrame, tick_size: float = 1.0, parts: int = 8) -> DataFrame:
+    """Changes of book levels from a stream of updates (product_id, seq, ord, kind, side, price, quantity).
+
+    A batch is ordered within a part: the source's limit for a trigger bounds what a task holds. Updates must come in batches in the order of seq."""
     l2.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.groupBy("product_id", "part").transformWithStateInPandas(BookProcessor(), outputStructType=DELTAS, outputMode="append", timeMode="none")
+    return in_parts(l2, tick_size, parts).groupBy("product_id", "part").transformWithStateInPandas(BookProcessor(), outputStructType=DELTAS, outputMode="append", timeMode="none")
+
+
+class GridProcessor(StatefulProcessor):
+    """The live book on a grid of time: stretches of grid points in which a level's quantity holds.
+
+    A stretch comes out when its level changes or a snapshot ends it; a timer in event time brings out, at every flush_ms that the watermark passes,
+    what holds up to there, and drops void levels from the state: it never holds more than the levels that stand."""
+
+    def __init__(self, step_ms: int, flush_ms: int):
+        self.step, self.flush = step_ms, flush_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.levels = handle.getMapState("levels", "side string, tick bigint", "qty double, from_g bigint")
+        self.latest = handle.getValueState("latest", "generation bigint")
+
+    def place(self, ts_ms) -> int:
+        return -(-int(ts_ms) // self.step)
+
+    def ended(self, side: str, tick: int, qty: float, from_g: int, to_g: int) -> list[tuple]:
+        return [(side, tick, qty, from_g, to_g)] if qty > 0 and from_g < to_g else []
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "ord"], ignore_index=True)
+        out = []
+        if not self.latest.exists():
+            self.latest.update((-1,))
+            self.handle.registerTimer((int(batch["ts_ms"].min()) // self.flush + 1) * self.flush)
+        known = self.latest.get()[0]
+        generation = batch["seq"].where(batch["kind"] == "snapshot", -1).cummax().clip(lower=known)
+        for now, part in batch.assign(quantity=batch["quantity"].clip(lower=0.0)).groupby(generation, sort=True):
+            if now < 0:
+                continue
+            if now > known:  # a new snapshot: everything before it ends
+                end = self.place(part["ts_ms"].iloc[0])
+                for level, (qty, from_g) in list(self.levels.iterator()):
+                    out += self.ended(*level, qty, from_g, end)
+                    self.levels.removeKey(tuple(level))
+                known = int(now)
+                self.latest.update((known,))
+            own = part[part["own"]].drop_duplicates(["seq", "side", "tick"], keep="last")
+            for (side, tick), changes in own.groupby(["side", "tick"], sort=False):
+                level = (side, int(tick))
+                qty, from_g = self.levels.getValue(level) if self.levels.containsKey(level) else (0.0, 0)
+                for ts_ms, value in zip(changes["ts_ms"], changes["quantity"]):
+                    if value != qty:
+                        out += self.ended(*level, qty, from_g, self.place(ts_ms))
+                        qty, from_g = value, self.place(ts_ms)
+                self.levels.updateValue(level, (float(qty), int(from_g)))
+        yield self.rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() // self.flush * self.flush
+        end, out = self.place(until), []
+        for (side, tick), (qty, from_g) in list(self.levels.iterator()):
+            out += self.ended(side, tick, qty, from_g, end)
+            if qty <= 0:
+                self.levels.removeKey((side, tick))
+            elif from_g < end:
+                self.levels.updateValue((side, tick), (qty, end))
+        self.handle.registerTimer(until + self.flush)
+        yield self.rows(key, out)
+
+    def rows(self, key, out: list[tuple]) -> pd.DataFrame:
+        found = pd.DataFrame(out, columns=["side", "tick", "qty", "from_g", "to_g"]).astype({"tick": "int64", "qty": "float64", "from_g": "int64", "to_g": "int64"})
+        return found.assign(product_id=key[0])[["product_id", "side", "tick", "qty", "from_g", "to_g"]]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_grid(l2: DataFrame, step_ms: int, flush_ms: int, delay: str, tick_size: float = 1.0, parts: int = 8) -> DataFrame:
+    """book.grid_intervals() of a stream of updates (product_id, ts, seq, ord, kind, side, price, quantity): (product_id, side, tick, qty, from_g, to_g).
+
+    slices.slice_liquidity() makes slices with all their metrics of the rows that have come out: the closed ones wholly up to the last flush,
+    and the open one as far as it is known. Updates must come in batches in the order of seq; rows later than the delay are dropped and counted (late_rows)."""
+    l2.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = in_parts(l2.withColumn("ts_ms", F.unix_millis("ts")), tick_size, parts, "ts", "ts_ms").withWatermark("ts", delay)
+    return rows.groupBy("product_id", "part").transformWithStateInPandas(
+        GridProcessor(step_ms, flush_ms), outputStructType="product_id string, side string, tick bigint, qty double, from_g bigint, to_g bigint", outputMode="append", timeMode="eventtime"
+    )
+
+
+def late_rows(query) -> int:
+    """Rows that a query has dropped as later than its watermark, over the batches that it remembers."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -134,3 +223,17 @@ def drained_latest(stream: DataFrame, what: str) -> DataFrame:
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def drained_updates(stream: DataFrame, what: str, keys: list[str]) -> DataFrame:
+    """The same for a query in update mode: the latest row of each key, open groups included."""
+    spark = stream.sparkSession
+    path = new_folder(spark, what)
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/out/batch={epoch}")  # a batch that runs again replaces itself
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    others = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(stream.schema.add("epoch", "long")).parquet(f"{path}/out/*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "epoch").alias("latest")).select(*keys, "latest.*")
