@@ -61,7 +61,7 @@ def id_number(doc_id: str) -> Column:
 
 @dataclass(frozen=True)
 class Ranges:
-    """Least (number, tie) of consecutive ranges, ascending."""
+    """Least (number, tie) of consecutive ranges, ascending; a tie of LEAST_ID stands for any."""
 
     numbers: np.ndarray
     ties: np.ndarray
@@ -89,27 +89,29 @@ def ranges_of(rows: DataFrame) -> Ranges:
     spread = rows.agg(F.percentile_approx("number", [x / n for x in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0]
     bounds = np.unique(np.array(spread or [0], np.int64))
 
-    def starts(found: Ranges) -> list:
+    def starts(found: Ranges, ties: bool) -> list:
+        """Least rows of the ranges, their rows, and how many of these have the number that a range begins with."""
+
         def placed(batches):
             for batch in batches:
-                number, tie = (batch.column(c).to_numpy() for c in ("number", "tie"))
+                number = batch.column("number").to_numpy()
+                tie = batch.column("tie").to_numpy() if ties else np.full(len(number), LEAST_ID, np.int64)
                 at = found.place(number, tie)
-                yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(number == found.numbers[at]), batch.column("number"), batch.column("tie")], ["at", "equal", "number", "tie"])
+                yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(number == found.numbers[at]), batch.column("number"), pa.array(tie)], ["at", "equal", "number", "tie"])
 
-        per = rows.select("number", "tie").mapInArrow(placed, "at int, equal boolean, number long, tie long").groupBy("at")
+        per = rows.select("number", *["tie"] * ties).mapInArrow(placed, "at int, equal boolean, number long, tie long").groupBy("at")
         return sorted(per.agg(F.min(F.struct("number", "tie")).alias("least"), F.count(F.lit(1)).alias("n"), F.count_if("equal").alias("equal")).select("least.number", "least.tie", "n", "equal", "at").collect())
 
-    low = np.full(len(bounds), LEAST_ID, np.int64)
-    found = starts(Ranges(bounds, low))
+    found = starts(Ranges(bounds, np.full(len(bounds), LEAST_ID, np.int64)), False)
     each = sum(r["n"] for r in found) / n
-    if any(r["equal"] > 2 * each for r in found):
+    if any(r["equal"] > 2 * each for r in found):  # only then texts are read for their hashes
         numbers, ties = [], []
         equal = {r["at"]: r["equal"] for r in found}
         for at, number in enumerate(bounds.tolist()):
             parts = max(1, math.ceil(equal.get(at, 0) / each)) if equal.get(at, 0) > 2 * each else 1
             numbers += [number] * parts
             ties += [LEAST_ID + (k << 64) // parts for k in range(parts)]
-        found = starts(Ranges(np.array(numbers, np.int64), np.array(ties, np.int64)))
+        found = starts(Ranges(np.array(numbers, np.int64), np.array(ties, np.int64)), True)
     return Ranges(np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64))
 
 
@@ -227,7 +229,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = LOWER)
 
 
 _POWERS: dict[str, np.ndarray] = {}
-POWERS_KEPT = 1 << 21  # a longer table is made for the one text that needs it
+POWERS_KEPT = 1 << 22  # a longer table is made for the one text that needs it
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import id_number, lean, mixed, power_tables, ranges_of, read_table, small_batches, with_integer_id
+from tapewright.llm.common import LEAST_ID, id_number, lean, mixed, power_tables, ranges_of, read_table, small_batches, with_integer_id
 
 K, SIZE, TAKEN = 8, 32, 2
 LIKELY = 16  # candidates that a text has for the least hashes on average; all its elements are looked at if they are too few
@@ -113,7 +113,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
         for batch in small_batches(batches):
             number, tie = batch.column("number").to_numpy(), batch.column("tie").to_numpy()
             at = ranges.place(number, tie)
-            lead = np.flatnonzero((number == ranges.numbers[at]) & (tie == ranges.ties[at]))
+            lead = np.flatnonzero((number == ranges.numbers[at]) & ((tie == ranges.ties[at]) | (ranges.ties[at] == LEAST_ID)))
             of = pa.array(np.concatenate([np.arange(len(number)), lead]))
             place = np.concatenate([at, (at[lead] - 1) % n]).astype(np.int32)
             ahead = np.concatenate([np.zeros(len(number), np.int32), np.ones(len(lead), np.int32)])

@@ -11,7 +11,7 @@ import numpy as np
 
 from tapewright.llm.common import LOWER, WORD_BYTES, running_hash, span_hashes, word_spans
 
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1 << 20
 
 _LIBRARIES: dict[str, object] = {}
 
@@ -55,7 +55,7 @@ class WordTable:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
@@ -72,7 +72,7 @@ class WordTable:
         start = len(self.pool) + np.concatenate([[0], np.cumsum(size)[:-1]])
         self.pool = np.concatenate([self.pool, *found])
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.starts, self.sizes = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.starts, start), (self.sizes, size)))
+        self.hashes, self.starts, self.sizes = (np.insert(a, at, b.astype(a.dtype)) for a, b in ((self.hashes, hashes), (self.starts, start), (self.sizes, size)))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows in a row, and the n + 1 places of the rows among them."""
@@ -93,7 +93,7 @@ class WordTable:
             self.learn(hashes[new], texts)
             at = np.searchsorted(self.hashes, hashes)
         at = at[word]
-        size = self.sizes[at]
+        size = self.sizes[at].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.pool[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - size), size)]
         return ids, np.concatenate([[0], ends])[bounds]
