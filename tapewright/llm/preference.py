@@ -9,9 +9,10 @@ conversations 2k and 2k + 1 are partners; a conversation is chosen, and rejected
 answer replaced by its partner's last answer.
 
 Defined cases: a null role or text is an empty one; turns are in order of their number, nulls first, then of role and text; repeated
-turns stay; a null id is a conversation of its own without a partner; without a partner, or without an answer on either
+turns stay; rows with a null id are one conversation without a partner; pairs_of() needs ids of an integer type and raises TypeError for others; without a partner, or without an answer on either
 side, the rejected side is the conversation without its last answer; an empty array has an empty completion; equal
-conversations have empty completions; an empty table gives no rows. Extra columns are ignored.
+conversations have empty completions; an empty table gives no rows. pairs_of() ignores extra columns, format_pairs() keeps them, but for those of
+its results' names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import read_table
+from tapewright.llm.common import read_table, with_integer_id
 
 # Fixed values of the chat format.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
@@ -52,29 +53,27 @@ def trained_spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step)["spans"]
 
 
+OUTPUT = ("prompt", "n_common", "chosen", "rejected", "chosen_mask", "rejected_mask")
+
+
 def format_pairs(pairs: DataFrame, chosen="chosen", rejected="rejected") -> DataFrame:
-    """Replaces the two arrays by prompt, n_common, chosen, rejected (texts) and their masks; keeps the other columns."""
-    keep = [F.col(f"`{c}`") for c in pairs.columns if c not in (chosen, rejected)]
-    clean = lambda c: F.coalesce(F.transform(F.col(c), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))), F.array().cast(TURNS))
-    both = pairs.select(*keep, clean(chosen).alias("_a"), clean(rejected).alias("_b"))
-    both = both.withColumn("_n", common_turns(F.col("_a"), F.col("_b")))
-    rest = lambda c: F.slice(F.col(c), F.col("_n") + 1, F.greatest(F.size(c) - F.col("_n"), F.lit(0)))
-    both = both.withColumns({"_p": F.slice("_a", F.lit(1), F.col("_n")), "_x": rest("_a"), "_y": rest("_b")})
-    return both.select(
-        *keep,
-        rendered(F.col("_p")).alias("prompt"),
-        F.col("_n").alias("n_common"),
-        rendered(F.col("_x")).alias("chosen"),
-        rendered(F.col("_y")).alias("rejected"),
-        trained_spans(F.col("_x")).alias("chosen_mask"),
-        trained_spans(F.col("_y")).alias("rejected_mask"),
-    )
+    """Replaces the two arrays, and other columns of the names in OUTPUT, by prompt, n_common, chosen, rejected (texts) and their masks; keeps the other columns."""
+    kept = [c for c in pairs.columns if c not in (chosen, rejected, *OUTPUT)]
+    clean = lambda c: F.coalesce(F.transform(F.col(f"`{c}`"), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))), F.array().cast(TURNS))
+    others = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("no other column")).alias("others")  # apart from the columns of the way
+    both = pairs.select(others, clean(chosen).alias("a"), clean(rejected).alias("b"))
+    both = both.withColumn("n", common_turns(F.col("a"), F.col("b")))
+    rest = lambda c: F.slice(F.col(c), F.col("n") + 1, F.greatest(F.size(c) - F.col("n"), F.lit(0)))
+    both = both.withColumns({"p": F.slice("a", F.lit(1), F.col("n")), "x": rest("a"), "y": rest("b")})
+    found = (rendered(F.col("p")), F.col("n"), rendered(F.col("x")), rendered(F.col("y")), trained_spans(F.col("x")), trained_spans(F.col("y")))
+    return both.select(*[F.col("others").getField(c).alias(c) for c in kept], *[c.alias(name) for c, name in zip(found, OUTPUT)])
 
 
 def pairs_of(turns: DataFrame) -> DataFrame:
     """(conv_id, chosen, rejected) from rows (conv_id, turn, role, text)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    turns = with_integer_id(turns, "conv_id")
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     whole = turns.groupBy(key.alias("key")).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(turn)).alias("turns"))
     last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i)))
     whole = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), last.alias("last"))

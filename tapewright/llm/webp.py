@@ -633,9 +633,10 @@ def store(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
 
 def pixels(files: DataFrame, media="media") -> DataFrame:
     """Adds width, height and pixels (ARGB words as array<long>) of all images of each value of a binary column, one below the other,
-    and sizes, the width and height of each image; null stays null. Where widths differ, width and height are null."""
-    names = files.columns
+    and sizes, the width and height of each image; null stays null. Where widths differ, width and height are null. Columns of these names are replaced."""
     kinds = (("width", "int"), ("height", "int"), ("pixels", "array<bigint>"), ("sizes", "array<struct<width:int,height:int>>"))
+    files = files.drop(*[c for c, _ in kinds if c != media])
+    names = files.columns
     schema = files.withColumns({c: F.lit(None).cast(k) for c, k in kinds}).schema
     size = pa.struct([("width", pa.int32()), ("height", pa.int32())])
 
