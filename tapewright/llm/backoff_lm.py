@@ -12,8 +12,9 @@ with discounts D = n1 / (n1 + 2 n2) from the numbers of n-grams seen once and tw
 words and one unknown.
 
 The model is never in one place. Documents are dealt to chunks of CHUNK_BYTES; a chunk asks for the words and pairs that
-it holds, once each with its own training counts, and the shards (by context) add these up and answer with corpus counts. So each chunk gets
-the part of the automaton that its texts can reach, and what moves grows with the corpus but not with its square.
+it holds, once each with its own training counts, and the ranges of words (of contexts) add these up and answer with corpus counts. So each chunk gets
+the part of the automaton that its texts can reach. With more than FAN chunks requests go through several rounds, in which the requests of FAN sources are
+combined and their ranges narrowed, so that what moves, and its number of blocks, grows with the corpus but not with its square.
 Words are 64-bit hashes; the second word of a pair is told apart from others after the same first word by 40 bits.
 
 Defined cases: null text is empty: its only token is the end. A null id is learned from as its crc says (the empty
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import crc_mod, mixed, read_table, text_bytes, word_hashes
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 9 << 20
+FAN = 128  # ranges of words that a chunk has blocks for; with more chunks, more rounds
+LANE = 4096  # words of a text that are scored one after another
 BASE_EXTRA = 0.1  # added to each count by the base model of the contract
 END = np.uint64(0x5BD1E9955BD1E995)  # stands for the end of a text, and for what is before its first word
 _U = np.uint64
@@ -90,13 +93,14 @@ class Chunk:
         return np.unique(key), key
 
 
-def shard_bounds(words: np.ndarray, shards: int) -> np.ndarray:
-    edges = np.array([(s << 64) // shards for s in range(1, shards)], dtype=object)
-    return np.concatenate([[0], np.searchsorted(words, np.array(edges, _U)), [len(words)]])
+def range_cuts(words: np.ndarray, part: int, parts: int, fan: int) -> np.ndarray:
+    """Places where words of range part of parts / fan ranges are cut into fan of the parts ranges."""
+    edges = np.array([(s << 64) // parts for s in range(part * fan + 1, (part + 1) * fan)], dtype=object)
+    return np.concatenate([[0], np.searchsorted(words, np.array(edges, _U)), [len(words)]]).astype(np.int64)
 
 
-def ask(shards: int):
-    """Requests of a chunk: for each shard the words it owns, their training counts, and the pairs that begin with them."""
+def ask(fan: int):
+    """Requests of a chunk: for each of fan ranges of words those it has, their training counts, and the pairs that begin with them."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = Chunk(table.column("text"))
@@ -105,39 +109,99 @@ def ask(shards: int):
         pairs, key = chunk.pairs()
         pair_count = np.bincount(np.searchsorted(pairs, key[learn]), minlength=len(pairs))
         context = (pairs >> _U(_SECOND_BITS)).astype(np.int64)
-        after = np.bincount(context, minlength=len(chunk.words))
-        cuts = shard_bounds(chunk.words, shards)
-        pair_cuts = np.concatenate([[0], np.cumsum(after)])[cuts]
-        blobs = [
-            squeeze(chunk.words[a:b], count[a:b], after[a:b], pairs[p:q] & _SECOND, pair_count[p:q])
-            for a, b, p, q in zip(cuts[:-1], cuts[1:], pair_cuts[:-1], pair_cuts[1:])
-        ]
-        own = table.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([own] * shards, pa.int32()), "shard": pa.array(range(shards), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        own = Counts(chunk.words, count, context, pairs & _SECOND, pair_count)
+        return blocks(table.column("chunk")[0].as_py(), 0, own.parts(0, fan, fan))
 
     return run
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """Corpus counts for all requests of a shard, in the order asked, and the shard's totals."""
-    asked = [expand(b.as_py()) for b in table.column("blob")]
-    sizes, pair_sizes = [len(a[0]) for a in asked], [len(a[3]) for a in asked]
+BLOCKS = "source int, part long, blob binary"
+
+
+def blocks(source: int, first: int, blobs: list[bytes]) -> pa.Table:
+    n = len(blobs)
+    return pa.table({"source": pa.array([source] * n, pa.int32()), "part": pa.array(range(first, first + n), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+
+class Counts:
+    """Words with counts, and pairs (place of the first word, bits of the second) with counts; all sorted."""
+
+    def __init__(self, words, count, context, second, pair_count):
+        self.words, self.count, self.context, self.second, self.pair_count = words, count, context, second, pair_count
+
+    def parts(self, part: int, parts: int, fan: int) -> list[bytes]:
+        """The counts of one of parts / fan ranges of words, cut into fan of the parts ranges."""
+        cuts = range_cuts(self.words, part, parts, fan)
+        after = np.bincount(self.context, minlength=len(self.words))
+        pair_cuts = np.concatenate([[0], np.cumsum(after)])[cuts]
+        return [squeeze(self.words[a:b], self.count[a:b], after[a:b], self.second[p:q], self.pair_count[p:q]) for a, b, p, q in zip(cuts[:-1], cuts[1:], pair_cuts[:-1], pair_cuts[1:])]
+
+
+def merged(asked: list[list[np.ndarray]]) -> tuple[Counts, np.ndarray, np.ndarray]:
+    """The sum of several requests, and the places of their words and pairs in it."""
     words, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     count = np.bincount(place, np.concatenate([a[1] for a in asked]).astype(np.float64), len(words)).astype(np.int64)
     context = np.repeat(place, np.concatenate([a[2] for a in asked]).astype(np.int64))
     key = (context.astype(_U) << _U(_SECOND_BITS)) | np.concatenate([a[3] for a in asked])
     pairs, pair_place = np.unique(key, return_inverse=True)
     pair_count = np.bincount(pair_place, np.concatenate([a[4] for a in asked]).astype(np.float64), len(pairs)).astype(np.int64)
-    first = (pairs >> _U(_SECOND_BITS)).astype(np.int64)
-    total = np.bincount(first, pair_count, len(words)).astype(np.int64)  # of each context
-    kinds = np.bincount(first[pair_count > 0], minlength=len(words))
-    sums = np.array([count.sum(), (count > 0).sum(), (count == 1).sum(), (count == 2).sum(), (pair_count == 1).sum(), (pair_count == 2).sum()])
-    at, pair_at = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(pair_sizes)])
+    return Counts(words, count, (pairs >> _U(_SECOND_BITS)).astype(np.int64), pairs & _SECOND, pair_count), place, pair_place
+
+
+def answers_for(table: pa.Table, asked: list, place: np.ndarray, pair_place: np.ndarray, sums, count, total, kinds, pair_count) -> pa.Table:
+    """What a request of each row of the table is answered: the range's sums, then counts in the order asked."""
+    at = np.concatenate([[0], np.cumsum([len(a[0]) for a in asked])])
+    pair_at = np.concatenate([[0], np.cumsum([len(a[3]) for a in asked])])
     blobs = []
     for k in range(len(asked)):
         own, own_pairs = place[at[k] : at[k + 1]], pair_place[pair_at[k] : pair_at[k + 1]]
         blobs.append(squeeze(sums, count[own], total[own], kinds[own], pair_count[own_pairs]))
-    return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "blob": pa.array(blobs, pa.binary())})
+    return pa.table({"source": table.column("source"), "part": table.column("part"), "blob": pa.array(blobs, pa.binary())})
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """Corpus counts for all requests of a range, in the order asked, and the range's totals."""
+    asked = [expand(b.as_py()) for b in table.column("blob")]
+    own, place, pair_place = merged(asked)
+    total = np.bincount(own.context, own.pair_count, len(own.words)).astype(np.int64)  # of each context
+    kinds = np.bincount(own.context[own.pair_count > 0], minlength=len(own.words))
+    sums = np.array([own.count.sum(), (own.count > 0).sum(), (own.count == 1).sum(), (own.count == 2).sum(), (own.pair_count == 1).sum(), (own.pair_count == 2).sum()])
+    return answers_for(table, asked, place, pair_place, sums, own.count, total, kinds, own.pair_count)
+
+
+def combine(parts: int, fan: int):
+    """The requests of fan sources for one of parts ranges as one, cut into fan narrower ranges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, _, _ = merged([expand(b.as_py()) for b in table.column("blob")])
+        part = table.column("part")[0].as_py()
+        return blocks(table.column("source")[0].as_py() // fan, part * fan, own.parts(part, parts * fan, fan))
+
+    return run
+
+
+def divide(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answers to a combined request, dealt to its sources."""
+    asked = [expand(b.as_py()) for b in table.column("blob")]
+    _, place, pair_place = merged(asked)
+    rows = sorted(zip(answers.column("part").to_pylist(), answers.column("blob")), key=lambda r: r[0])
+    found = [expand(b.as_py()) for _, b in rows]
+    whole = [np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(1, 5)]
+    return answers_for(table, asked, place, pair_place, np.sum([f[0].astype(np.int64) for f in found], 0), *whole)
+
+
+def exchanged(requests: DataFrame, parts: int, rounds: int, fan: int) -> DataFrame:
+    """Answers to requests (source, part, blob) for parts ranges of words.
+
+    A source has fan blocks in every round, each of about the size of the first, so blocks grow with the data and not with its square: before the last round, fan
+    sources are combined and their ranges narrowed by as much."""
+    if rounds == 1:
+        return requests.groupBy("part").applyInArrow(answer, BLOCKS)
+    group = [F.floor(F.col("source") / fan).cast("int").alias("group"), "part"]
+    narrower = requests.groupBy(*group).applyInArrow(combine(parts, fan), BLOCKS)
+    found = exchanged(narrower, parts * fan, rounds - 1, fan)
+    back = found.groupBy(F.col("source").alias("group"), F.floor(F.col("part") / fan).cast("long").alias("part"))
+    return requests.groupBy(*group).cogroup(back).applyInArrow(divide, BLOCKS)
 
 
 class Automaton:
@@ -168,12 +232,17 @@ class Automaton:
         self.arcs = np.log10(arc)
 
     def score(self, chunk: Chunk) -> np.ndarray:
-        """log10 probability of every text. All texts advance together, a word at a step; each carries its state."""
-        out = np.zeros(len(chunk.starts))
-        order = np.argsort(-chunk.sizes, kind="stable")
-        starts, sizes = chunk.starts[order], chunk.sizes[order]
-        active = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")  # texts longer than t
-        state = np.full(len(starts), self.state_after[chunk.end_word])
+        """log10 probability of every text. Texts advance together, a word at a step, each carrying its state; a long one in lanes of LANE words, the
+        first state of a lane being that after the word before it."""
+        n_lanes = -(-chunk.sizes // LANE)
+        text = np.repeat(np.arange(len(chunk.sizes)), n_lanes)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(n_lanes) - n_lanes, n_lanes)
+        starts = chunk.starts[text] + nth * LANE
+        sizes = np.minimum(LANE, chunk.sizes[text] - nth * LANE)
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes, text = starts[order], sizes[order], text[order]
+        active = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")  # lanes longer than t
+        state = self.state_after[chunk.before[starts]] if len(starts) else np.zeros(0, np.int64)
         total = np.zeros(len(starts))
         last = max(len(self.keys) - 1, 0)
         for t, n in enumerate(active.tolist()):
@@ -185,13 +254,12 @@ class Automaton:
             else:
                 total[:n] += self.fail[now] + self.root[word]
             state[:n] = self.state_after[word]
-        out[order] = total
-        return out
+        return np.bincount(text, total, len(chunk.sizes))
 
 
 def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
     chunk = Chunk(docs.column("text"))
-    rows = sorted(zip(answers.column("shard").to_pylist(), answers.column("blob")), key=lambda r: r[0])
+    rows = sorted(zip(answers.column("part").to_pylist(), answers.column("blob")), key=lambda r: r[0])
     model = Automaton(chunk, [expand(b.as_py()) for _, b in rows])
     seen = np.concatenate([[0], np.cumsum(model.count[chunk.word] > 0)])
     base = np.log10((model.count + BASE_EXTRA) / (model.n + BASE_EXTRA * (model.v + 1)))
@@ -215,12 +283,16 @@ def score(docs: DataFrame, held_out, text="text", doc_id="doc_id") -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     chunks = max(1, math.ceil(size / CHUNK_BYTES))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
-    requests = dealt.groupBy("chunk").applyInArrow(ask(chunks), "chunk int, shard int, blob binary")
-    answers = requests.groupBy("shard").applyInArrow(answer, "chunk int, shard int, blob binary")
+    rounds = 1
+    while FAN**rounds < chunks:
+        rounds += 1
+    fan = max(1, math.ceil(chunks ** (1 / rounds) - 1e-9))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    requests = dealt.groupBy("chunk").applyInArrow(ask(fan), BLOCKS)
+    answers = exchanged(requests, fan, rounds, fan)
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy(F.col("source").alias("chunk"))).applyInArrow(finish, schema)
 
 
 def op1_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,8 +220,10 @@ def test_components_by_contraction(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_language_model_matches_formulas(docs, empty, monkeypatch):
-    monkeypatch.setattr(backoff_lm, "CHUNK_BYTES", 9000)  # several chunks and shards
+@pytest.mark.parametrize(("fan", "lane"), [(128, 4096), (2, 7)])
+def test_language_model_matches_formulas(docs, empty, monkeypatch, fan, lane):
+    monkeypatch.setattr(backoff_lm, "CHUNK_BYTES", 9000)  # several chunks, and rounds where the fan is small
+    monkeypatch.setattr(backoff_lm, "FAN", fan), monkeypatch.setattr(backoff_lm, "LANE", lane)
     rows = docs.collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     tokens = [WORD.findall(lower(r.text or "")) + [0] for r in rows]
