@@ -25,11 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         drop_table(to)
         rounds.append(step)
         a, b = (step.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in "ab")
-        left = both.filter("a < b").join(a, "a").join(b, "b").filter("up_a <> up_b").select("up_a", "up_b").distinct()
-        left = written(left, "edges")
+        left = both.filter("a < b").join(a, "a").join(b, "b").filter("up_a <> up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct()
+        left = written(left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*"), "edges")
         drop_table(both)
-        both = written(left.select(F.col("up_a").alias("a"), F.col("up_b").alias("b")).union(left.select("up_b", "up_a")).distinct(), "edges")
-        drop_table(left)
+        both = left
     if not rounds:
         return both.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = rounds[-1].select("node", F.col("up").alias("label"))

@@ -33,6 +33,7 @@ WORDS, SIMILARITY = 5, 0.8
 COORDINATES = 128
 LOOKS_SIMILAR = 0.6  # on the sketch: less than 1e-7 of the pairs at the threshold fall below; the exact sets decide
 FIRST_DEPTH, MAX_DEPTH = 2, 6
+REPEATS = 3  # splits of a crowded bucket
 BUCKET = 128
 PIVOTS = 8
 SLICE = 8192  # classes of a crowded bucket that one task compares with its pivots
@@ -45,10 +46,14 @@ _PICK = _U(int(2**64 / (SIMILARITY * COORDINATES)))
 
 
 def survival(depth: int, similarity: float = SIMILARITY, shared: int | None = None) -> float:
-    """Chance that a pair of this similarity, or with so many shared tokens, still shares a bucket at this depth of one run."""
+    """Chance that a pair of this similarity, or with so many shared tokens, still shares a bucket at this depth of one run.
+
+    Below FIRST_DEPTH, where only crowded buckets are split, each is split REPEATS times."""
     alive, shared = 1.0, round(similarity * COORDINATES) if shared is None else shared
-    for _ in range(depth):
+    for level in range(depth, 0, -1):
         alive = 1 - (1 - alive / (SIMILARITY * COORDINATES)) ** shared
+        if level > FIRST_DEPTH:
+            alive = 1 - (1 - alive) ** REPEATS
     return alive
 
 
@@ -159,8 +164,10 @@ def next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
         node, key = batch.column("path").to_numpy().astype(_U), batch.column("key").to_numpy()
         for at in range(0, len(key), 4096):
-            row, child = children(node[at : at + 4096], token_hashes(sketch[at : at + 4096]))
-            yield pa.record_batch([pa.array(child.astype(np.int64)), pa.array(key[at : at + 4096][row])], ["path", "key"])
+            tokens = token_hashes(sketch[at : at + 4096])
+            for repeat in range(REPEATS):
+                row, child = children(mixed(node[at : at + 4096] + _U(repeat)), tokens)
+                yield pa.record_batch([pa.array(child.astype(np.int64)), pa.array(key[at : at + 4096][row])], ["path", "key"])
 
 
 def spanning(sketch: np.ndarray) -> list[tuple[int, int]]:
@@ -424,15 +431,18 @@ def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARG
         sized = paths.join(sizes, "path")
         small = sized.filter(F.col("n") <= BUCKET).select("path", "key", F.lit(0).alias("block"))
         crowded = written(sized.filter(F.col("n") > BUCKET).join(tokens, "key").select("path", "key", "sketch", "n"), "crowded")
-        held = written(led_by(crowded, pivots_of(crowded)).mapInArrow(lean(judged), "path long, key long, pivot long, loose boolean"), "judged")
-        found.append(held.filter("pivot is not null and pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b")))
-        loose = held.filter("loose").select("path", "key")
-        counts = written(loose.groupBy("path").agg(F.count(F.lit(1)).alias("loose")), "loose")
-        few = crowded.join(counts.filter(F.col("loose") <= BUCKET).select("path"), "path", "left_semi")
-        outer = led_by(few, loose.join(counts.filter(F.col("loose") <= BUCKET).select("path"), "path", "left_semi"))
-        found.append(written(outer.mapInArrow(lean(outer_edges), "a long, b long").distinct(), "edges"))
-        rest = crowded.join(counts.filter(F.col("loose") > BUCKET).select("path"), "path", "left_semi")
-        if depth == MAX_DEPTH:  # blocks of a large bucket that its pivots don't link are compared two by two
+        rest = None
+        if not crowded.isEmpty():
+            held = written(led_by(crowded, pivots_of(crowded)).mapInArrow(lean(judged), "path long, key long, pivot long, loose boolean"), "judged")
+            found.append(held.filter("pivot is not null and pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b")))
+            loose = held.filter("loose").select("path", "key")
+            counts = written(loose.groupBy("path").agg(F.count(F.lit(1)).alias("loose")), "loose")
+            if not counts.isEmpty():
+                some = counts.filter(F.col("loose") <= BUCKET).select("path")
+                outer = led_by(crowded.join(some, "path", "left_semi"), loose.join(some, "path", "left_semi"))
+                found.append(written(outer.mapInArrow(lean(outer_edges), "a long, b long").distinct(), "edges"))
+                rest = crowded.join(counts.filter(F.col("loose") > BUCKET).select("path"), "path", "left_semi")
+        if depth == MAX_DEPTH and rest is not None:  # blocks of a large bucket that its pivots don't link are compared two by two
             blocks = F.ceil(F.col("n") / BLOCK).cast("int")
             own = F.pmod("key", blocks).cast("int")
             other = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -441,7 +451,7 @@ def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARG
             small = small.unionByName(large)
         of = small.join(tokens, "key").repartition("path", "block").sortWithinPartitions("path", "block", "key")
         found.append(written(of.mapInArrow(lean(compared), "a long, b long").distinct(), "edges"))
-        if depth == MAX_DEPTH:
+        if depth == MAX_DEPTH or rest is None:
             break
         deeper = written(rest.select("path", "key", "sketch").mapInArrow(lean(next_paths), "path long, key long").distinct(), "paths")
         drop_table(paths), drop_table(crowded)

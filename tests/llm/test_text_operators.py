@@ -113,7 +113,8 @@ def test_jaccard_join_counts_all_links(docs, empty):
 
 
 def test_jaccard_runs_reach_the_target():
-    assert 1 - (1 - jaccard_join.survival(jaccard_join.FIRST_DEPTH + 1)) ** jaccard_join.runs_needed() >= jaccard_join.TARGET
+    for depth in range(jaccard_join.FIRST_DEPTH, jaccard_join.MAX_DEPTH + 1):
+        assert jaccard_join.missed(jaccard_join.runs_needed(), depth) <= 1 - jaccard_join.TARGET
 
 
 def pairs_of_sketches(n, shared):
@@ -128,10 +129,15 @@ def pairs_of_sketches(n, shared):
 
 def share_met(sketch, depth):
     """Share of the pairs with a common path at this depth, by the runs that a join makes."""
-    batch = pa.record_batch([pa.array(range(len(sketch)), pa.int64()), pa.array([x.tobytes() for x in sketch])], ["key", "sketch"])
-    found = pa.Table.from_batches(jaccard_join.first_paths([batch], jaccard_join.runs_needed(), depth)).to_pandas().drop_duplicates()
-    both = found.assign(pair=found["key"] // 2).groupby(["path", "pair"])["key"].nunique()
-    return both[both == 2].reset_index()["pair"].nunique() / (len(sketch) // 2)
+    text = [x.tobytes() for x in sketch]
+    batch = pa.record_batch([pa.array(range(len(sketch)), pa.int64()), pa.array(text)], ["key", "sketch"])
+    found = pa.Table.from_batches(jaccard_join.first_paths([batch], jaccard_join.runs_needed(), jaccard_join.FIRST_DEPTH)).to_pandas().drop_duplicates()
+    shared = lambda x: x[x.assign(pair=x["key"] // 2).groupby(["path", "pair"])["key"].transform("nunique") == 2]
+    found = shared(found)
+    for _ in range(jaccard_join.FIRST_DEPTH, depth):
+        batch = pa.record_batch([pa.array(found["path"]), pa.array(found["key"]), pa.array([text[k] for k in found["key"]])], ["path", "key", "sketch"])
+        found = shared(pa.Table.from_batches(jaccard_join.next_paths([batch])).to_pandas().drop_duplicates())
+    return (found["key"] // 2).nunique() / (len(sketch) // 2)
 
 
 def test_jaccard_recall_holds_where_buckets_stay_crowded():
