@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import SPACES, lean, read_table, running_hash, small_batches, span_hashes, text_bytes
+from tapewright.llm.common import SPACES, lean, mixed, read_table, running_hash, small_batches, span_hashes, text_bytes
 from tapewright.llm.words import library, table
 
 WINDOW = 16  # bytes under the rolling hash
@@ -151,7 +151,8 @@ def with_least_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         if len(edges) > 1:
             hashes = span_hashes(running_hash(raw, _SAME), edges[:-1], edges[1:]).astype(np.int64)
             filled = np.flatnonzero(np.diff(offsets))
-            least[filled] = np.minimum.reduceat(hashes, np.searchsorted(edges[:-1], offsets[filled]))
+            found = np.minimum.reduceat(hashes, np.searchsorted(edges[:-1], offsets[filled]))
+            least[filled] = mixed(found.astype(np.uint64)).astype(np.int64)  # long texts have low ones: scrambled, they don't stand together
         yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(least)], ["doc_id", "text", "least"])
 
 
