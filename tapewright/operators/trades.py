@@ -80,7 +80,8 @@ def ohlc(trades: DataFrame, timeframe_ms: int) -> DataFrame:
 
 
 def trade_batches(trades: DataFrame, ms: int = 75, n: int = 50) -> DataFrame:
-    """Trades in batches that end after so many ms or trades."""
+    """Trades in batches that end after so many ms or trades. Windows of time are fixed: a batch that was full ends early, and the window goes on with
+    the next one, where a live buffer would restart its clock; so a batch depends on its own window alone."""
     rows = trades.withColumn("window", F.floor(F.col("ts_ms") / ms))
     nth = F.row_number().over(Window.partitionBy("product_id", "window").orderBy("ingest_seq"))
     return rows.withColumn("batch", F.ceil(nth / n).cast("int"))

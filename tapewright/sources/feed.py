@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 
 def read_feed(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """(value, arrival_ts, arrival_seq) of files with a message per line: the file's time, and its line's place in order.
+    """(value, arrival_ts, arrival_seq) of files with a message per line: the file's time and the message's own sequence number, null where it has none.
 
-    A stream has no order over files; there arrival_seq is the message's own sequence number."""
+    Lines have no other place: files are split, and a stream has no order over them."""
     reader = spark.readStream if streaming else spark.read
     rows = reader.text(path).select("value", F.col("_metadata.file_modification_time").alias("arrival_ts"))
-    own = F.get_json_object("value", "$.sequence_num").try_cast("long")
-    return rows.withColumn("arrival_seq", own if streaming else F.coalesce(own, F.monotonically_increasing_id()))
+    return rows.withColumn("arrival_seq", F.get_json_object("value", "$.sequence_num").try_cast("long"))
 
 
 def trade_sink(trades: DataFrame, path: str, checkpoint: str):

@@ -73,7 +73,8 @@ def latest_dump(rows: DataFrame, keys: list[str], as_of: str, written: str = "wr
     return newest.filter(~F.col(kind).isin(*fresh_types) | (F.to_date(written) == F.lit(as_of).cast("date")))
 
 
-def write_partitioned(rows: DataFrame, path: str, as_of: str, by: str = "ticker", kind: str = "parquet") -> None:
-    """Appends rows under by=.../as_of=...; one file per key and task."""
+def write_partitioned(rows: DataFrame, path: str, as_of: str, by: str = "ticker", kind: str = "parquet", files: int = 1) -> None:
+    """Appends rows under by=.../as_of=...; up to so many files, and tasks, for a key: more than one where a key may have very many rows."""
     dated = rows.withColumn("as_of", F.lit(as_of))
-    dated.repartition(by).write.mode("append").partitionBy(by, "as_of").format(kind).save(path)
+    deal = [by] if files == 1 else [by, F.pmod(F.xxhash64(*rows.columns), F.lit(files))]
+    dated.repartition(*deal).write.mode("append").partitionBy(by, "as_of").format(kind).save(path)
