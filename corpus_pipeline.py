@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import bpe, jaccard_join, mixing, suffix_dedup, toxicity
-from tapewright.llm.common import read_table, written
+from tapewright.llm.common import TABLES, drop_tables, read_table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The rows of the last stage. Of each stage but the last a table is written, and what it was made of is deleted then."""
+    docs, before = read_table(spark, sf_dir, "documents"), len(TABLES)
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             docs = written(docs, f"stage-{n}")
+            drop_tables(spark, before, docs)
     return docs

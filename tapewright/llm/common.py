@@ -34,9 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the tables that written() has made in this session and that are not deleted.
+TABLES: list[str] = []
+
+
 def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    TABLES.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -115,13 +120,25 @@ def ranges_of(rows: DataFrame) -> Ranges:
     return Ranges(np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64))
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes a table of written() once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        drop_path(df.sparkSession, path)
+        TABLES[:] = [t for t in TABLES if t.rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
+
+
+def drop_tables(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Deletes the tables written since there were so many, but for the one that keep reads: what a result was made of, once that is written itself."""
+    kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+    for path in TABLES[since:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            drop_path(spark, path)
+    TABLES[since:] = [t for t in TABLES[since:] if t.rsplit("/", 1)[-1] in kept]
 
 
 def crc_mod(doc_id, n: int):

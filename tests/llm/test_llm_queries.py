@@ -122,3 +122,12 @@ def test_a_share_of_a_hash_is_exact_however_small(spark):
     hashed = spark.createDataFrame([(-(1 << 63),), (-(1 << 63) + 10,), (0,), ((1 << 63) - 1,)], "h long")
     counts = [hashed.filter(toxicity.below(hashed.h, share)).count() for share in (1.0, 0.75, 0.5, 1e-12, 0.0)]
     assert counts == [4, 3, 2, 2, 0]
+
+
+def test_tables_of_the_way_are_deleted(spark):
+    import corpus_pipeline
+    from tapewright.llm import common
+
+    at = len(common.TABLES)
+    rows = corpus_pipeline.run(spark, SF).count()
+    assert rows > 0 and [t.rsplit("/", 1)[-1].rsplit("-", 1)[0] for t in common.TABLES[at:]] == ["stage-3"]
