@@ -32,7 +32,7 @@ from tapewright.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 COORDINATES = 128
 LOOKS_SIMILAR = 0.6  # on the sketch: less than 1e-7 of the pairs at the threshold fall below; the exact sets decide
-FIRST_DEPTH, MAX_DEPTH = 2, 6
+FIRST_DEPTH, MAX_DEPTH = 3, 7  # a crowded bucket goes down two levels at once
 REPEATS = 3  # splits of a crowded bucket
 BUCKET = 128
 PIVOTS = 8
@@ -48,11 +48,11 @@ _PICK = _U(int(2**64 / (SIMILARITY * COORDINATES)))
 def survival(depth: int, similarity: float = SIMILARITY, shared: int | None = None) -> float:
     """Chance that a pair of this similarity, or with so many shared tokens, still shares a bucket at this depth of one run.
 
-    Below FIRST_DEPTH, where only crowded buckets are split, each is split REPEATS times."""
+    Below FIRST_DEPTH, where only crowded buckets are split, each is split REPEATS times, and these parts once more."""
     alive, shared = 1.0, round(similarity * COORDINATES) if shared is None else shared
     for level in range(depth, 0, -1):
         alive = 1 - (1 - alive / (SIMILARITY * COORDINATES)) ** shared
-        if level > FIRST_DEPTH:
+        if level > FIRST_DEPTH and (level - FIRST_DEPTH) % 2:
             alive = 1 - (1 - alive) ** REPEATS
     return alive
 
@@ -167,7 +167,8 @@ def next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = token_hashes(sketch[at : at + 4096])
             for repeat in range(REPEATS):
                 row, child = children(mixed(node[at : at + 4096] + _U(repeat)), tokens)
-                yield pa.record_batch([pa.array(child.astype(np.int64)), pa.array(key[at : at + 4096][row])], ["path", "key"])
+                up, child = children(child, tokens[row])
+                yield pa.record_batch([pa.array(child.astype(np.int64)), pa.array(key[at : at + 4096][row[up]])], ["path", "key"])
 
 
 def spanning(sketch: np.ndarray) -> list[tuple[int, int]]:
@@ -426,7 +427,7 @@ def labelled(docs: DataFrame, text="text", doc_id="doc_id", target: float = TARG
     runs = runs_needed(target)
     paths = written(tokens.mapInArrow(lean(lambda it: first_paths(it, runs, FIRST_DEPTH)), "path long, key long").distinct(), "paths")
     found = []
-    for depth in range(FIRST_DEPTH, MAX_DEPTH + 1):
+    for depth in range(FIRST_DEPTH, MAX_DEPTH + 1, 2):
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sized = paths.join(sizes, "path")
         small = sized.filter(F.col("n") <= BUCKET).select("path", "key", F.lit(0).alias("block"))
