@@ -137,20 +137,26 @@ def mid_price(levels: DataFrame, default: float = 0.0, tick_size: float = 1.0, a
     return best.select("product_id", at, F.coalesce((F.col("bid") + F.col("ask")) / 2, "bid", "ask", F.lit(default)).alias("mid"))
 
 
+def with_mid(levels: DataFrame, default: float = 0.0, tick_size: float = 1.0, at: str = "at_ms") -> DataFrame:
+    """The levels with their book's mid_price(), in one pass: a book has few levels."""
+    book = Window.partitionBy("product_id", at)
+    bid = F.max(F.when(F.col("side") == "bid", F.col("tick"))).over(book) * tick_size
+    ask = F.min(F.when(F.col("side") == "ask", F.col("tick"))).over(book) * tick_size
+    return levels.withColumn("mid", F.coalesce((bid + ask) / 2, bid, ask, F.lit(default)))
+
+
 def band_filter(levels: DataFrame, mode: str = "percent_mid", value: float = 0.01, tick_size: float = 1.0, at: str = "at_ms", unset: float = 100.0) -> DataFrame:
     """Levels within half a band of the mid; where a side would be empty its best level stays.
 
     mode: fixed_dollar (value is the half band), percent_mid (share of the mid), ticks (ticks of tick_size). A half band of 0 or less counts as
     unset; it is at most half of the range of prices."""
     half = {"fixed_dollar": F.lit(value), "percent_mid": F.col("mid") * value, "ticks": F.lit(value * tick_size)}[mode]
-    price = F.col("tick") * tick_size
-    mids = mid_price(levels, 0.0, tick_size, at)
-    span = levels.groupBy("product_id", at).agg((F.max(price) - F.min(price)).alias("span"))
-    rows = levels.join(mids, ["product_id", at]).join(span, ["product_id", at])
+    price, book = F.col("tick") * tick_size, Window.partitionBy("product_id", at)
+    rows = with_mid(levels, 0.0, tick_size, at).withColumn("span", F.max(price).over(book) - F.min(price).over(book))
     rows = rows.withColumn("half", F.when(half > 0, half).otherwise(unset)).withColumn("half", F.when(F.col("span") > 0, F.least("half", F.col("span") / 2)).otherwise(F.col("half")))
-    order = Window.partitionBy("product_id", at, "side")
+    side = Window.partitionBy("product_id", at, "side")
     inside = F.abs(price - F.col("mid")) <= F.col("half")
-    rows = rows.withColumn("inside", inside).withColumn("any", F.max("inside").over(order)).withColumn("best", F.min(from_best(F.col("side"), F.col("tick"))).over(order))
+    rows = rows.withColumn("inside", inside).withColumn("any", F.max("inside").over(side)).withColumn("best", F.min(from_best(F.col("side"), F.col("tick"))).over(side))
     return rows.filter(F.col("inside") | (~F.col("any") & (from_best(F.col("side"), F.col("tick")) == F.col("best")))).select(*levels.columns)
 
 

@@ -46,6 +46,11 @@ def slice_liquidity(grid: DataFrame, timeframes: list[int], step_ms: int, resolu
     return with_slice_last(metrics.withColumn("avg", F.col("total") / F.col("snapshot_count")))
 
 
+def lengths_with_data(grid: DataFrame, timeframes: list[int]) -> DataFrame:
+    """(timeframe_ms) for which there are slices: any stretch of the grid lies in one of each length, so none has to be built."""
+    return grid.filter("from_g < to_g").limit(1).select(F.explode(F.array(*[F.lit(t).cast("long") for t in timeframes])).alias("timeframe_ms"))
+
+
 def slice_messages(intervals: DataFrame, samples: DataFrame, timeframes: list[int], resolution: float, tick_size: float = 1.0) -> DataFrame:
     """slice_liquidity() where every update message is a sample: intervals and samples of book.message_intervals() and message_samples().
 

@@ -44,10 +44,14 @@ def _scored(spark: SparkSession, d: str, **how) -> DataFrame:
     return slices.with_persistence(_slices(spark, d), **how)
 
 
+def _in_view(spark: SparkSession, d: str, timeframe: int, t0: int, t1: int) -> DataFrame:
+    """Slices of one length that a view can see; what lies outside is cut off before it is summed up."""
+    return slices.slice_liquidity(viewport.in_view(_grid(spark, d), timeframe, t0, t1, STEP), [timeframe], STEP, RESOLUTION)
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     t0, t1 = MID, MID + 10 * DAY
-    visible = slices.slice_liquidity(viewport.in_view(_grid(spark, d), 6 * HOUR, t0, t1, STEP), [6 * HOUR], STEP, RESOLUTION)
-    return viewport.heatmap_cells(visible, 6 * HOUR, t0, t1, 0.0, 200.0, RESOLUTION)
+    return viewport.heatmap_cells(_in_view(spark, d, 6 * HOUR, t0, t1), 6 * HOUR, t0, t1, 0.0, 200.0, RESOLUTION)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -326,7 +330,7 @@ MARKET: dict[str, tuple] = {
     "b14_carry_forward": (_daily, _with("SELECT product_id, g, side, tick, qty FROM sampled", _BOOK_DAILY)),
     "j7_levels_at_trades": (j7, _with("SELECT t.product_id, t.trade_id, i.side, i.qty FROM trades t JOIN intervals i ON t.product_id = i.product_id AND i.tick = CAST(floor(t.price) AS BIGINT) AND i.from_ms <= t.ts_ms AND (i.to_ms IS NULL OR t.ts_ms < i.to_ms)", S.TRADES, S.BOOK)),
     "j8_level_mid": (
-        lambda s, d: _daily(s, d).join(book.mid_price(_daily(s, d), 0.0, at="g"), ["product_id", "g"]).select("product_id", "g", "side", "tick", (F.col("tick") - F.col("mid")).alias("from_mid")),
+        lambda s, d: book.with_mid(_daily(s, d), at="g").select("product_id", "g", "side", "tick", (F.col("tick") - F.col("mid")).alias("from_mid")),
         _with("SELECT product_id, g, side, tick, tick - mid AS from_mid FROM sampled JOIN mids USING (product_id, g)", _BOOK_DAILY + _MIDS),
     ),
     "j9_mid_at_trade": (j9, _with("SELECT product_id, trade_id, mid FROM tm", S.TRADES, _BOOK_DAILY + _MIDS + _TRADES_MID)),
@@ -449,13 +453,13 @@ seen AS (SELECT x.product_id, x.g, s.ts_ms, x.side, x.tick, x.qty FROM (SELECT *
         _with(f"SELECT product_id, trade_id, ts_ms // {HOUR} AS \"window\", CAST(ceil(row_number() OVER (PARTITION BY product_id, ts_ms // {HOUR} ORDER BY ingest_seq) / 3.0) AS INTEGER) AS batch FROM trades", S.TRADES),
     ),
     "t9_significant_trades": (t9, _with("SELECT product_id, trade_id, mid, round(abs(price - mid) / mid, 6) AS impact FROM tm WHERE mid > 0 AND abs(price - mid) / mid > 0.001", S.TRADES, _BOOK_DAILY + _MIDS + _TRADES_MID)),
-    "v1_slice_at": (lambda s, d: _rounded(viewport.slice_at(_slices(s, d), DAY, MID + 5000), "avg"), _with(f"SELECT {_SLICE_COLUMNS} FROM slices WHERE timeframe_ms = {DAY} AND slice_start <= {MID + 5000} AND slice_start + timeframe_ms > {MID + 5000}", _SLICES)),
+    "v1_slice_at": (lambda s, d: _rounded(viewport.slice_at(_in_view(s, d, DAY, MID + 5000, MID + 5000), DAY, MID + 5000), "avg"), _with(f"SELECT {_SLICE_COLUMNS} FROM slices WHERE timeframe_ms = {DAY} AND slice_start <= {MID + 5000} AND slice_start + timeframe_ms > {MID + 5000}", _SLICES)),
     "v2_visible_slices": (
-        lambda s, d: _rounded(viewport.visible_slices(_slices(s, d), 6 * HOUR, MID, MID + DAY), "avg"),
+        lambda s, d: _rounded(viewport.visible_slices(_in_view(s, d, 6 * HOUR, MID, MID + DAY), 6 * HOUR, MID, MID + DAY), "avg"),
         _with(f"SELECT {_SLICE_COLUMNS} FROM slices WHERE timeframe_ms = {6 * HOUR} AND slice_start + timeframe_ms >= {MID} AND slice_start <= {MID + DAY}", _SLICES),
     ),
     "v3_suggest_timeframe": (
-        lambda s, d: viewport.suggest_timeframe(_slices(s, d), T0, T1, 200),
+        lambda s, d: viewport.suggest_timeframe(slices.lengths_with_data(_grid(s, d), TIMEFRAMES), T0, T1, 200),
         _with(f"SELECT coalesce(min(CASE WHEN {T1 - T0} // timeframe_ms <= 200 THEN timeframe_ms END), min(timeframe_ms), 100) AS timeframe_ms FROM slices", _SLICES),
     ),
     "v4_heatmap_cells": (lambda s, d: _rounded(_cells(s, d), "liquidity", "intensity"), _with("SELECT product_id, side, slice_start, slice_end, price_low, price_high, round(liquidity, 6) AS liquidity, round(intensity, 6) AS intensity, snapshot_count FROM cells", _SLICES + _CELLS)),
@@ -468,5 +472,5 @@ seen AS (SELECT x.product_id, x.g, s.ts_ms, x.side, x.tick, x.qty FROM (SELECT *
         _with(f"SELECT product_id, ts_ms // {DAY} AS day, CASE WHEN max(price) - min(price) > 500 THEN 25.0 WHEN max(price) - min(price) > 100 THEN 5.0 WHEN max(price) - min(price) > 50 THEN 1.0 WHEN max(price) - min(price) > 10 THEN 0.5 ELSE 0.25 END::DOUBLE AS resolution FROM trades GROUP BY 1, 2", S.TRADES),
     ),
     "v7_data_extent": (lambda s, d: viewport.data_extent(_slices(s, d)), _with("SELECT timeframe_ms, min(slice_start) AS oldest, max(slice_start + timeframe_ms) AS newest FROM slices GROUP BY 1", _SLICES)),
-    "v8_available_timeframes": (lambda s, d: viewport.available_timeframes(_slices(s, d)), _with("SELECT DISTINCT timeframe_ms FROM slices", _SLICES)),
+    "v8_available_timeframes": (lambda s, d: viewport.available_timeframes(slices.lengths_with_data(_grid(s, d), TIMEFRAMES)), _with("SELECT DISTINCT timeframe_ms FROM slices", _SLICES)),
 }
