@@ -30,7 +30,7 @@ from tapewright.llm.words import library, table
 WINDOW = 16  # bytes under the rolling hash
 CHUNK_BITS = 9  # a cut each 512 bytes or so
 LEAST_CHUNK = 128
-REMEMBERED_BYTES = 24 << 20  # of pieces and their ids in a task; then all are forgotten
+REMEMBERED_BYTES = 8 << 20  # of pieces and their ids in a task; then all are forgotten
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
