@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("backoff_lm", "toxicity", "mixing", "webp", "preference", "suffix_dedup", "order_minhash", "jaccard_join", "token_files", "bpe", "link_graph", "divergence")
+MODULES = ("backoff_lm", "toxicity", "mixing", "webp", "preference", "suffix_dedup", "order_minhash", "jaccard_join", "token_files", "bpe", "link_graph", "divergence", "conversation_trie")
 
 
 def _gather(what: str) -> dict:
