@@ -98,13 +98,14 @@ def extract_errors(messages: DataFrame) -> DataFrame:
 
 
 def sequence_audit(rows: DataFrame, product="product_id", seq="sequence_num", arrival="arrival_seq", bucket: int = BUCKET) -> DataFrame:
-    """Each message with the step from the product's previous one: gap (missed), duplicate or regression.
+    """Each message with the step from the product's previous one: gap (missed), duplicate or regression; unnumbered, and the one after such a message, if there is no step.
 
-    The previous message is looked for within a bucket of the order of arrival; a bucket's first one looks back to the last of an earlier bucket."""
-    found = running_lag(rows, [product], arrival, F.col(seq), "previous", bucket)
+    The previous message is looked for within a bucket of the order of arrival; a bucket's first one looks back to the last of an earlier bucket.
+    Rows without a product are a product of their own, rows without an order of arrival come first; arrival may be several columns, to settle ties."""
+    found = running_lag(rows, [product], arrival, F.struct(F.col(seq).alias("seq")), "before", bucket).withColumn("previous", F.col("before.seq"))
     step = F.col(seq) - F.col("previous")
-    state = F.when(F.col("previous").isNull(), "first").when(step == 1, "next").when(step > 1, "gap").when(step == 0, "duplicate").otherwise("regression")
-    return found.withColumn("state", state).withColumn("missed", F.greatest(step - 1, F.lit(0)))
+    state = F.when(F.col("before").isNull(), "first").when(F.col(seq).isNull() | F.col("previous").isNull(), "unnumbered").when(step == 1, "next").when(step > 1, "gap").when(step == 0, "duplicate").otherwise("regression")
+    return found.withColumn("state", state).withColumn("missed", F.greatest(step - 1, F.lit(0))).drop("before")
 
 
 def feed_silence(rows: DataFrame, ts_ms="ts_ms", threshold_ms: int = 10_000, bucket_ms: int = 3_600_000, keys: tuple = ()) -> DataFrame:

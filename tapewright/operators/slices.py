@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.operators.book import band_filter, carry_forward, depth_limit
+from tapewright.operators.carry import before, bucketed, buckets_of, running_sum, with_carried, within
+
+#: Places of a grid within which a price bucket's changes are ordered in one task.
+GRID_BUCKET = 100_000
+#: Slices of a length that one task numbers.
+SLICE_BUCKET = 10_000
 
 KEY = ["product_id", "timeframe_ms", "slice_start", "side", "tick"]
 
@@ -21,8 +27,13 @@ def piecewise(grid: DataFrame, resolution: float, tick_size: float = 1.0) -> Dat
     amount = F.col("qty").cast("decimal(30,8)")
     edge = lambda g, sign: grid.select("product_id", "side", bucket, F.col(g).alias("g"), (amount * sign).alias("d"), F.lit(sign).alias("k"))
     edges = edge("from_g", 1).unionByName(edge("to_g", -1)).groupBy("product_id", "side", "tick", "g").agg(F.sum("d").alias("d"), F.sum("k").alias("k"))
-    order = Window.partitionBy("product_id", "side", "tick").orderBy("g")
-    runs = edges.select("product_id", "side", "tick", F.col("g").alias("from_g"), F.lead("g").over(order).alias("to_g"), F.sum("d").over(order).alias("sum"), F.sum("k").over(order).alias("present"))
+    keys = ["product_id", "side", "tick"]
+    totals = {"_d": F.sum("d"), "_k": F.sum("k"), "_g": F.min("g")}
+    carried = {"_sum": F.sum("_d").over(before(keys)), "_present": F.sum("_k").over(before(keys)), "_next": F.lead("_g").over(buckets_of(keys))}
+    cut = with_carried(bucketed(edges, keys, "g", GRID_BUCKET), keys, totals, carried)
+    so_far = lambda c, known: F.sum(c).over(within("g")) + F.coalesce(known, F.lit(0))
+    nxt = F.coalesce(F.lead("g").over(within("g")), "_next")
+    runs = cut.select(*keys, F.col("g").alias("from_g"), nxt.alias("to_g"), so_far("d", "_sum").alias("sum"), so_far("k", "_present").alias("present"))
     return runs.filter("present > 0").select("product_id", "side", "tick", F.col("sum").cast("double").alias("qty"), "from_g", "to_g")
 
 
@@ -59,7 +70,7 @@ def slice_messages(intervals: DataFrame, samples: DataFrame, timeframes: list[in
     every = samples.filter("is_update = 1").select("product_id", "g", "ts_ms").withColumn("timeframe_ms", F.explode(F.array(*[F.lit(t).cast("long") for t in timeframes])))
     every = every.withColumn("slice_start", slice_start(F.col("ts_ms"), F.col("timeframe_ms")))
     bounds = every.groupBy("product_id", "timeframe_ms", "slice_start").agg(F.min("g").alias("lo"), (F.max("g") + 1).alias("hi"))
-    bounds = bounds.withColumn("d", F.row_number().over(Window.partitionBy("product_id", "timeframe_ms").orderBy("slice_start")))
+    bounds = running_sum(bounds.withColumn("_slice", F.expr("slice_start div timeframe_ms")), ["product_id", "timeframe_ms"], "_slice", F.lit(1), "d", SLICE_BUCKET).drop("_slice")
     numbered = every.join(bounds.select("product_id", "timeframe_ms", "slice_start", "d"), ["product_id", "timeframe_ms", "slice_start"]).select("product_id", "timeframe_ms", "g", "d")
     runs = piecewise(intervals, resolution, tick_size).withColumn("last_g", F.col("to_g") - 1)
     at = lambda g, d: numbered.select("product_id", "timeframe_ms", F.col("g").alias(g), F.col("d").alias(d))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.operators.carry import before, bucketed, running_lag, with_carried
+
 
 def recent_trades(trades: DataFrame, n: int = 1000) -> DataFrame:
     """The last n of each product as they came in; the window keeps n rows of a partition before the shuffle."""
@@ -34,14 +36,8 @@ def trade_flow(trades: DataFrame, min_size: float, n: int) -> DataFrame:
 
 
 def last_price_change(trades: DataFrame, bucket: int = 100_000) -> DataFrame:
-    """Each trade with the change from the product's previous one, in price and per cent; 0 for the first.
-
-    The previous trade is looked for within a bucket of the order; a bucket's first trade takes the last one of an earlier bucket."""
-    cut = trades.withColumn("bucket", F.floor(F.col("ingest_seq") / bucket))
-    last = cut.groupBy("product_id", "bucket").agg(F.max_by("price", "ingest_seq").alias("last"))
-    carried = last.select("product_id", "bucket", F.lag("last").over(Window.partitionBy("product_id").orderBy("bucket")).alias("carried"))
-    own = F.lag("price").over(Window.partitionBy("product_id", "bucket").orderBy("ingest_seq"))
-    rows = cut.join(carried, ["product_id", "bucket"]).withColumn("previous", F.coalesce(own, "carried"))
+    """Each trade with the change from the product's previous one, in price and per cent; 0 for the first. Trades without an ingest_seq come first."""
+    rows = running_lag(trades, ["product_id"], "ingest_seq", F.col("price"), "previous", bucket)
     change = F.coalesce(F.col("price") - F.col("previous"), F.lit(0.0))
     rows = rows.withColumn("change", change).withColumn("change_pct", F.when(F.col("previous") > 0, F.col("change") / F.col("previous") * 100).otherwise(0.0))
     return rows.select(*trades.columns, "change", "change_pct")
@@ -56,11 +52,12 @@ def quotes(trades: DataFrame) -> DataFrame:
 def relative_size(trades: DataFrame, lo: float = 4.0, hi: float = 20.0, scope: tuple = ("product_id",)) -> DataFrame:
     """Sizes on a square root and logarithmic scale from lo to hi against the scope's largest; lo if that is not positive.
 
-    The largest is a small aggregate joined back, so a large scope isn't one task."""
-    most = trades.groupBy(*scope).agg(F.max("size").alias("most"))
+    The largest is a small aggregate joined back, so a large scope isn't one task. Rows without a value of the scope are a scope of their own."""
+    of = F.struct(*scope).alias("of") if scope else F.lit(0).alias("of")  # equal with nulls in the same places
+    most = trades.groupBy(of).agg(F.max("size").alias("most"))
     share = F.sqrt(F.log1p(F.greatest("size", F.lit(0.0))) / F.log1p("most"))
-    rows = trades.join(most, list(scope)) if scope else trades.join(F.broadcast(most))
-    return rows.withColumn("radius", F.when(F.col("most") > 0, lo + share * (hi - lo)).otherwise(lo)).drop("most")
+    rows = trades.withColumn("of", of).join(most if scope else F.broadcast(most), "of")
+    return rows.withColumn("radius", F.when(F.col("most") > 0, lo + share * (hi - lo)).otherwise(lo)).drop("most", "of")
 
 
 def volume_profile(trades: DataFrame, resolution: float) -> DataFrame:
@@ -88,17 +85,17 @@ def trade_batches(trades: DataFrame, ms: int = 75, n: int = 50) -> DataFrame:
 
 
 def mid_at_trade(trades: DataFrame, mids: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:
-    """Trades with the latest mid (product_id, at_ms, mid) at or before them; a book change at the same time comes first.
-
-    Both are laid in one order per bucket of time; the last mid before a bucket is carried in from a table of a row per bucket."""
-    both = mids.select("product_id", F.col("at_ms").alias("t"), F.lit(0).alias("is_trade"), "mid", *[F.lit(None).cast(f.dataType).alias(f.name) for f in trades.schema if f.name != "product_id"])
-    rows = both.unionByName(trades.withColumns({"t": F.col("ts_ms"), "is_trade": F.lit(1), "mid": F.lit(None).cast("double")}).select(*both.columns))
-    rows = rows.withColumn("bucket", F.floor(F.col("t") / bucket_ms))
-    per = rows.groupBy("product_id", "bucket").agg(F.max_by("mid", F.when(F.col("mid").isNotNull(), F.col("t"))).alias("last"))
-    before = Window.partitionBy("product_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("product_id", "bucket", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    order = Window.partitionBy("product_id", "bucket").orderBy("t", "is_trade", "ingest_seq").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.join(per, ["product_id", "bucket"]).withColumn("mid", F.coalesce(F.last("mid", ignorenulls=True).over(order), "carried"))
+    """Trades with the latest mid (product_id, at_ms, mid) at or before them, null if there is none; a book change at the same time comes first.
+
+    Both are laid in one order per bucket of time; the last mid before a bucket is carried in from a table of a row per bucket.
+    A null mid says that from there on there is none."""
+    both = mids.select("product_id", F.col("at_ms").alias("t"), F.lit(0).alias("is_trade"), F.struct("mid").alias("m"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in trades.schema if f.name != "product_id"])
+    rows = both.unionByName(trades.withColumns({"t": F.col("ts_ms"), "is_trade": F.lit(1), "m": F.lit(None).cast("struct<mid:double>")}).select(*both.columns))
+    last = F.max(F.when(F.col("m").isNotNull(), F.struct("t", "m")))
+    keys = ["product_id"]
+    found = with_carried(bucketed(rows, keys, "t", bucket_ms), keys, {"_last": last}, {"_carried": F.last("_last", ignorenulls=True).over(before(keys))})
+    order = Window.partitionBy("_key").orderBy("t", "is_trade", "ingest_seq").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("mid", F.coalesce(F.last("m", ignorenulls=True).over(order), F.col("_carried")["m"])["mid"])
     return found.filter("is_trade = 1").select(*trades.columns, "mid")
 
 
