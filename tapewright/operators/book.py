@@ -5,11 +5,18 @@ snapshot are dropped. Quantities are absolute; 0 or less deletes. Levels are key
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.operators.carry import running_lag, running_last, running_lead, running_sum
+from tapewright.operators.dyadic import blocks_around, blocks_of
 
+#: Blocks of up to 2^SIZES buckets, and a time after all others.
+SIZES, FAR_MS = 20, 1 << 42
 #: Messages, as the sequence counts them, within which a level's changes are ordered in one task.
 LEVEL_BUCKET = 1_000_000
 LEVEL = ["product_id", "generation", "side", "tick"]
@@ -89,16 +96,78 @@ def carry_forward(grid: DataFrame) -> DataFrame:
 def book_as_of(intervals: DataFrame, times: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:
     """The books at the times (product_id, at_ms): (product_id, at_ms, side, tick, qty).
 
-    An interval joins the times by the buckets of time that both touch; an open interval reaches to the latest time asked for."""
+    An interval is laid out in at most two blocks of 1, 2, 4 ... buckets of time each, and meets the times that lie in them; an open interval reaches to the latest time asked for."""
     latest = times.groupBy("product_id").agg(F.max("at_ms").alias("latest"))
     held = intervals.join(latest, "product_id").withColumn("until", F.least(F.coalesce("to_ms", F.col("latest") + 1), F.col("latest") + 1)).filter("from_ms < until")
-    first, last = F.floor(F.col("from_ms") / bucket_ms), F.floor((F.col("until") - 1) / bucket_ms)
-    held = held.withColumn("bucket", F.explode(F.sequence(first, last)))
-    asked = times.withColumn("bucket", F.floor(F.col("at_ms") / bucket_ms))
-    joined = held.join(asked, ["product_id", "bucket"]).filter("from_ms <= at_ms and at_ms < until")
+    held = held.withColumns({"first": F.floor(F.col("from_ms") / bucket_ms), "end": F.floor((F.col("until") - 1) / bucket_ms) + 1})
+    held = held.withColumn("part", F.explode(blocks_of("first", "end", SIZES))).drop("first", "end", "latest", "to_ms")
+    asked = times.withColumn("place", F.floor(F.col("at_ms") / bucket_ms)).withColumn("part", F.explode(blocks_around("place", SIZES))).drop("place")
+    joined = held.join(asked, ["product_id", "part"]).filter("from_ms <= at_ms and at_ms < until")
     return joined.select("product_id", "at_ms", "side", "tick", "qty")
 
 
+def best_sweep(key: tuple, rows: pa.Table) -> pa.Table:
+    """Best bid and ask of a product over a bucket of time, a row where either changes, from intervals (side, tick, a, b) that are cut to the bucket."""
+    changes: dict[int, list] = {}
+    sides, ticks, starts, ends = (rows[c].to_numpy(zero_copy_only=False) for c in ("side", "tick", "a", "b"))
+    for place, side in enumerate(("bid", "ask")):
+        own = sides == side
+        sign = -1 if side == "bid" else 1
+        a, b, tick = starts[own], ends[own], ticks[own] * sign
+        order = np.argsort(a, kind="stable")
+        a, b, tick = a[order].tolist(), b[order].tolist(), tick[order].tolist()
+        heap, at, last = [], 0, None
+        for t in np.unique(np.concatenate([starts[own], ends[own]])).tolist():
+            while at < len(a) and a[at] == t:
+                heapq.heappush(heap, (tick[at], b[at]))
+                at += 1
+            while heap and heap[0][1] <= t:
+                heapq.heappop(heap)
+            best = heap[0][0] * sign if heap else None
+            if best != last or not changes:
+                changes.setdefault(t, [False, None, False, None])[2 * place : 2 * place + 2] = [True, best]
+                last = best
+    begin, stop = rows["begin"][0].as_py(), rows["begin"][0].as_py() + rows["width"][0].as_py()
+    out, now = [], [None, None]
+    for t in sorted({begin, *changes}):
+        if t < stop:  # what ends with the bucket is told by the next one
+            for place in (0, 1):
+                known, best = changes.get(t, [False, None] * 2)[2 * place : 2 * place + 2]
+                now[place] = best if known else now[place]
+            out.append((t, *now))
+    return pa.table({"product_id": pa.array([key[0].as_py()] * len(out), pa.string()), "at_ms": pa.array([r[0] for r in out], pa.int64()), "bid": pa.array([r[1] for r in out], pa.int64()), "ask": pa.array([r[2] for r in out], pa.int64())})
+
+
+def best_changes(intervals: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+    """(product_id, at_ms, bid, ask): the best ticks of both sides whenever either changes, null where a side is empty, over all changes of the book.
+
+    A bucket of time is swept by a heap. It hears of the intervals that begin or end in it, and of the best of those that hold all through it: these are laid out in blocks of
+    1, 2, 4 ... buckets, of a block only the best level of a side is kept, and a bucket looks up the blocks around it. So an interval counts as O(log) rows in a sum, however long it is."""
+    place = lambda c: F.floor(F.col(c) / bucket_ms)
+    rows = intervals.withColumns({"first": place("from_ms"), "last": place("to_ms"), "till": F.coalesce("to_ms", F.lit(FAR_MS))})
+    edges = F.array_distinct(F.array_compact(F.array("first", "last")))
+    cut = rows.select("product_id", "side", "tick", "from_ms", "till", F.explode(edges).alias("bucket"))
+    begin = (F.col("bucket") * bucket_ms).alias("begin")
+    cut = cut.select("product_id", "bucket", "side", "tick", F.greatest("from_ms", begin).alias("a"), F.least("till", begin + bucket_ms).alias("b"), begin)
+    best = F.max_by("tick", -from_best(F.col("side"), F.col("tick")))
+    through = rows.withColumn("end", F.coalesce("last", F.lit(FAR_MS // bucket_ms))).filter("first + 1 < end").withColumn("from_bucket", F.col("first") + 1)
+    blocks = through.select("product_id", "side", "tick", F.explode(blocks_of("from_bucket", "end", SIZES)).alias("part")).groupBy("product_id", "part", "side").agg(best.alias("tick"))
+    asked = cut.select("product_id", "bucket").distinct().withColumn("part", F.explode(blocks_around("bucket", SIZES)))
+    base = asked.join(blocks, ["product_id", "part"]).groupBy("product_id", "bucket", "side").agg(best.alias("tick"))
+    base = base.select("product_id", "bucket", "side", "tick", begin.alias("a"), (begin + bucket_ms).alias("b"), begin)
+    both = cut.unionByName(base).withColumn("width", F.lit(bucket_ms).cast("long"))
+    swept = both.groupBy("product_id", "bucket").applyInArrow(best_sweep, "product_id string, at_ms long, bid long, ask long")
+    before = running_lag(swept, ["product_id"], "at_ms", F.struct("bid", "ask"), "before", 64 * bucket_ms)
+    same = F.col("before.bid").eqNullSafe(F.col("bid")) & F.col("before.ask").eqNullSafe(F.col("ask"))
+    return before.filter(~same).drop("before")
+
+
+def mid_changes(intervals: DataFrame, tick_size: float = 1.0, default: float | None = None, bucket_ms: int = 3_600_000) -> DataFrame:
+    """(product_id, at_ms, bid, ask, mid): the mid from each change of the best levels on: between both sides, else the side there is, else the default."""
+    rows = best_changes(intervals, bucket_ms).withColumns({c: F.col(c) * tick_size for c in ("bid", "ask")})
+    return rows.withColumn("mid", F.coalesce((F.col("bid") + F.col("ask")) / 2, "bid", "ask", F.lit(default).cast("double")))
+
+
 def from_best(side: Column, tick: Column) -> Column:
     """Ascending from the best level: bids from high to low, asks from low to high."""
     return F.when(side == "bid", -tick).otherwise(tick)

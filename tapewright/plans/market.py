@@ -216,7 +216,8 @@ def j7(spark, d):
 
 
 def _mids(spark, d):
-    return book.mid_price(_daily(spark, d), 0.0, at="g").select("product_id", (F.col("g") * DAY).alias("at_ms"), "mid")
+    """The mid from every change of the best levels on."""
+    return book.mid_changes(_intervals(spark, d), bucket_ms=DAY)
 
 
 def j9(spark, d):
@@ -257,7 +258,12 @@ def _band(half: str) -> str:
 
 _CELLS = f""", cells AS (SELECT product_id, side, slice_start, slice_start + timeframe_ms AS slice_end, tick * 5.0::DOUBLE - 2.5 AS price_low, tick * 5.0::DOUBLE + 2.5 AS price_high, avg AS liquidity,
  least(1.0::DOUBLE, avg / 1000) AS intensity, snapshot_count FROM scored WHERE timeframe_ms = {6 * HOUR} AND slice_start + timeframe_ms >= {MID} AND slice_start <= {MID + 10 * DAY} AND tick * 5 BETWEEN 0 AND 200 AND avg > 0)"""
-_TRADES_MID = f""", tm AS (SELECT t.*, m.mid FROM trades t ASOF LEFT JOIN (SELECT product_id, g * {DAY} AS at_ms, mid FROM mids) m ON t.product_id = m.product_id AND t.ts_ms >= m.at_ms)"""
+_CHANGES = """, edges AS (SELECT product_id, from_ms AS at_ms FROM intervals UNION SELECT product_id, to_ms FROM intervals WHERE to_ms IS NOT NULL),
+best AS (SELECT e.product_id, e.at_ms, max(CASE WHEN side = 'bid' THEN tick END)::DOUBLE AS bid, min(CASE WHEN side = 'ask' THEN tick END)::DOUBLE AS ask
+ FROM edges e LEFT JOIN intervals i ON i.product_id = e.product_id AND i.from_ms <= e.at_ms AND (i.to_ms IS NULL OR e.at_ms < i.to_ms) GROUP BY 1, 2),
+told AS (SELECT *, row_number() OVER w AS nth, lag(bid) OVER w AS bid_before, lag(ask) OVER w AS ask_before FROM best WINDOW w AS (PARTITION BY product_id ORDER BY at_ms)),
+midc AS (SELECT product_id, at_ms, bid, ask, coalesce((bid + ask) / 2, bid, ask) AS mid FROM told WHERE nth = 1 OR bid IS DISTINCT FROM bid_before OR ask IS DISTINCT FROM ask_before)"""
+_TRADES_MID = """, tm AS (SELECT t.*, m.mid FROM trades t ASOF LEFT JOIN midc m ON t.product_id = m.product_id AND t.ts_ms >= m.at_ms)"""
 _SLICE_COLUMNS = "product_id, timeframe_ms, slice_start, side, tick, total, CAST(snapshot_count AS BIGINT) AS snapshot_count, max, min, first_seen, own_last, round(avg, 6) AS avg, slice_last"
 
 #: name -> (query, SQL)
@@ -308,6 +314,7 @@ MARKET: dict[str, tuple] = {
         ),
     ),
     "b8_mid_price": (lambda s, d: book.mid_price(_daily(s, d), 0.0, at="g"), _with("SELECT * FROM mids", _BOOK_DAILY + _MIDS)),
+    "b8_mid_changes": (_mids, _with("SELECT * FROM midc", S.BOOK + _CHANGES)),
     "b9_band_filter": (b9, _with("SELECT product_id, g, side, tick, qty FROM (" + _band("mid * 0.25") + ")", _BOOK_DAILY + _MIDS)),
     "b9_band_modes": (
         b9_modes,
@@ -333,7 +340,7 @@ MARKET: dict[str, tuple] = {
         lambda s, d: book.with_mid(_daily(s, d), at="g").select("product_id", "g", "side", "tick", (F.col("tick") - F.col("mid")).alias("from_mid")),
         _with("SELECT product_id, g, side, tick, tick - mid AS from_mid FROM sampled JOIN mids USING (product_id, g)", _BOOK_DAILY + _MIDS),
     ),
-    "j9_mid_at_trade": (j9, _with("SELECT product_id, trade_id, mid FROM tm", S.TRADES, _BOOK_DAILY + _MIDS + _TRADES_MID)),
+    "j9_mid_at_trade": (j9, _with("SELECT product_id, trade_id, mid FROM tm", S.TRADES, S.BOOK + _CHANGES + _TRADES_MID)),
     "j10_unprocessed_slices": (j10, _with(f"SELECT DISTINCT product_id, timeframe_ms, slice_start FROM slices WHERE timeframe_ms = {DAY} AND slice_start >= {MID}", _SLICES)),
     "a1_snapshot_levels": (
         a1,
@@ -452,7 +459,7 @@ seen AS (SELECT x.product_id, x.g, s.ts_ms, x.side, x.tick, x.qty FROM (SELECT *
         lambda s, d: trades.trade_batches(views.trades(s, d), HOUR, 3).select("product_id", "trade_id", "window", "batch"),
         _with(f"SELECT product_id, trade_id, ts_ms // {HOUR} AS \"window\", CAST(ceil(row_number() OVER (PARTITION BY product_id, ts_ms // {HOUR} ORDER BY ingest_seq) / 3.0) AS INTEGER) AS batch FROM trades", S.TRADES),
     ),
-    "t9_significant_trades": (t9, _with("SELECT product_id, trade_id, mid, round(abs(price - mid) / mid, 6) AS impact FROM tm WHERE mid > 0 AND abs(price - mid) / mid > 0.001", S.TRADES, _BOOK_DAILY + _MIDS + _TRADES_MID)),
+    "t9_significant_trades": (t9, _with("SELECT product_id, trade_id, mid, round(abs(price - mid) / mid, 6) AS impact FROM tm WHERE mid > 0 AND abs(price - mid) / mid > 0.001", S.TRADES, S.BOOK + _CHANGES + _TRADES_MID)),
     "v1_slice_at": (lambda s, d: _rounded(viewport.slice_at(_in_view(s, d, DAY, MID + 5000, MID + 5000), DAY, MID + 5000), "avg"), _with(f"SELECT {_SLICE_COLUMNS} FROM slices WHERE timeframe_ms = {DAY} AND slice_start <= {MID + 5000} AND slice_start + timeframe_ms > {MID + 5000}", _SLICES)),
     "v2_visible_slices": (
         lambda s, d: _rounded(viewport.visible_slices(_in_view(s, d, 6 * HOUR, MID, MID + DAY), 6 * HOUR, MID, MID + DAY), "avg"),
