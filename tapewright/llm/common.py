@@ -46,6 +46,7 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ranges whose bounds the driver and each task hold; beyond MOST_RANGES * RANGE_BYTES of text (4.8 TB) ranges grow with the data instead, nothing else changes.
 MOST_RANGES = 100_000
 RANGE_BYTES = 48 << 20
 LEAST_ID = -(1 << 63)

@@ -33,7 +33,7 @@ TOP_TERMS = 10
 #: The largest vocabulary that CountVectorizer takes.
 MOST_TERMS = 2**31 - 1
 #: Entries (source, term) of a block of terms, about.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Sources whose pairs a task sums up at once.
 TILE = 1024
 ONE = 10**9

@@ -200,17 +200,17 @@ r AS (SELECT d.doc_id, d.source, d.size, t.n_docs, t.source_size, t.target, CASE
 q AS (SELECT *, floor(rate) AS certain, rate - floor(rate) AS chance, target - floor(rate) * source_size AS wanted FROM r),
 o AS (SELECT *, CASE WHEN chance > 0 THEN ((u / (1 - u)) / (chance / (1 - chance))) / (1 + ((u / (1 - u)) / (chance / (1 - chance)))) ELSE 1.0 END AS pos,
   ceil(n_docs / 4096.0::DOUBLE) AS slices FROM q),
-c AS (SELECT *, least(floor(pos * slices), slices - 1) AS slice FROM o),
-b AS (SELECT source, slice, sum(size) AS words, max(wanted) AS wanted FROM c GROUP BY source, slice),
+c AS (SELECT *, least(floor(pos * slices), slices - 1) AS slice, chance = 0 AND source_size > 0 AS never FROM o),
+b AS (SELECT source, slice, sum(size) AS words, max(wanted) AS wanted FROM c WHERE chance > 0 GROUP BY source, slice),
 u AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY slice) AS upto FROM b),
 k AS (SELECT source, min(slice) AS cut_slice, arg_min(upto - words, slice) AS before FROM u WHERE upto > wanted GROUP BY source),
 m AS (SELECT c.*, k.cut_slice, k.before FROM c LEFT JOIN k ON c.source IS NOT DISTINCT FROM k.source),
-e AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pos, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum FROM m WHERE slice = cut_slice),
+e AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pos, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum FROM m WHERE slice = cut_slice AND NOT never),
 f AS (SELECT *, cum <= wanted - before AS fits FROM e),
 g AS (SELECT *, wanted - before - coalesce(max(CASE WHEN fits THEN cum END) OVER (PARTITION BY source), 0) AS lacking FROM f),
 h AS (SELECT *, row_number() OVER (PARTITION BY source, fits ORDER BY abs(size - lacking), pos, doc_id, size) AS nth FROM g),
 z AS (SELECT doc_id, size, source_size, target, certain + CASE WHEN fits OR (nth = 1 AND abs(size - lacking) < lacking) THEN 1 ELSE 0 END AS copies FROM h
- UNION ALL SELECT doc_id, size, source_size, target, certain + CASE WHEN cut_slice IS NULL OR slice < cut_slice THEN 1 ELSE 0 END FROM m WHERE slice IS DISTINCT FROM cut_slice)
+ UNION ALL SELECT doc_id, size, source_size, target, certain + CASE WHEN NOT never AND (cut_slice IS NULL OR slice < cut_slice) THEN 1 ELSE 0 END FROM m WHERE slice IS DISTINCT FROM cut_slice OR never)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM z
 """
 }

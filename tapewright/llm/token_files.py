@@ -11,7 +11,7 @@ block (of the range), start (ids of all documents before it), doc_ids, counts, n
 
 Defined cases: null text is empty and is written as its end id alone; rows with one id stand side by side, ordered by a hash of the text;
 null ids come first; ids that never occur have no code; an empty table gives empty files; document ids must be of an integer type, others raise
-TypeError.
+TypeError; a vocabulary of more than 65536 ids raises ValueError, as ids are kept in two bytes.
 """
 
 from __future__ import annotations

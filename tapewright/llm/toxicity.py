@@ -160,7 +160,7 @@ def nnpu(positive: list, unlabelled: list, prior: float, steps=STEPS, rate=RATE,
 
 
 def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", positives=POSITIVES, unlabelled=UNLABELLED) -> Model | None:
-    """docs: the rows to learn from. labels: (doc_id, toxic). None without confirmed toxic texts or without others."""
+    """docs: the rows to learn from. labels: (doc_id, toxic). None without confirmed toxic texts or without others: then every score is 0."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))  # ids alone are shuffled
@@ -171,16 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", positi
     prior = min(max(n_toxic / n_known, 1e-4), 0.9)
     confirmed = drawn(rows, joined.filter("toxic = 1").select("id"), n_toxic, positives, "positive")
     others = drawn(rows, None, n, unlabelled, "unlabelled")
-    n_confirmed, n_others = confirmed.count(), others.count()
-    if not n_confirmed or not n_others:
-        return None
-    # features that stand out among the confirmed texts: the shares of texts with them differ by more than chance allows
-    within, times = spread(confirmed, LEAST_POSITIVES)
-    every, among = spread(others, 1)
-    share_u = np.zeros(len(within))
-    share_u[np.isin(within, every)] = among[np.isin(every, within)] / n_others
-    within = within[times / n_confirmed - share_u > STANDS_OUT * np.sqrt(np.maximum(share_u, 1 / n_others) / n_confirmed)]
-    model = nnpu(gathered(confirmed, within), gathered(others, within), prior)
+    model = None
+    if (n_confirmed := confirmed.count()) and (n_others := others.count()):
+        # features that stand out among the confirmed texts: the shares of texts with them differ by more than chance allows
+        within, times = spread(confirmed, LEAST_POSITIVES)
+        every, among = spread(others, 1)
+        share_u = np.zeros(len(within))
+        share_u[np.isin(within, every)] = among[np.isin(every, within)] / n_others
+        within = within[times / n_confirmed - share_u > STANDS_OUT * np.sqrt(np.maximum(share_u, 1 / n_others) / n_confirmed)]
+        model = nnpu(gathered(confirmed, within), gathered(others, within), prior)
     drop_table(confirmed), drop_table(others)
     return model
 

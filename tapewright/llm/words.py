@@ -14,10 +14,13 @@ from tapewright.llm.common import LOWER, WORD_BYTES, running_hash, span_hashes,
 WORDS_KEPT = 1 << 20
 
 _LIBRARIES: dict[str, object] = {}
+#: Words of texts, every two of which must have the ids of both, and what may stand between words.
+SAMPLE = ("It's", "12.5", "ÀB,c's", "The", "(end).", "http://a.b/c?d=1", "naïve", "straße", "日本語", "😀!", "e\u0301", "--", "_x_", "don't", "I'LL", "1,000", "Ａ")
+GAPS = (" ", "\n", "\t", "\r\n", "  ", " \x0b", "\x0c ")
 
 
 def library(path: str):
-    """The tokenizer of the file, once a worker; it must drop white space and split texts there."""
+    """The tokenizer of the file, once a worker; it must drop white space and split texts there, and none of its added tokens may hold any."""
     if path not in _LIBRARIES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -26,18 +29,29 @@ def library(path: str):
         found.no_padding()
         found.no_truncation()
         ids = lambda t: found.encode(t, add_special_tokens=False).ids
-        left, right = "It's 12.5", "ÀB,c's"
-        if ids(f"{left} {right}") != ids(left) + ids(right) or ids(f" \n{left}\t\r\n  {right}\x0b\x0c ") != ids(left) + ids(right):
-            raise ValueError(f"{path} keeps white space: texts can't be encoded in pieces")
+        tokens = added_tokens(found)
+        if any(not t or any(c.isspace() for c in t) for t in tokens):
+            raise ValueError(f"{path} has added tokens with white space: texts can't be encoded in pieces")
+        words = [*SAMPLE, *tokens[:16], *(f"a{t}b" for t in tokens[:16])]
+        own = {w: ids(w) for w in words}
+        for k, left in enumerate(words):
+            for n, right in enumerate(words):
+                gap = GAPS[(k + n) % len(GAPS)]
+                if ids(f"{left}{gap}{right}{gap}") != own[left] + own[right]:
+                    raise ValueError(f"{path} keeps white space, or reads over it: texts can't be encoded in pieces")
         _LIBRARIES[path] = found
     return _LIBRARIES[path]
 
 
+def added_tokens(tokenizer) -> list[str]:
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+
 def unified(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same texts with A-Z lowered and a space before a full stop or comma between a-z and white space.
 
     For a tokenizer that lowers letters and parts the two in any case: ids stay, and more words are then equal. Where a special token may
-    stand, which is read as written, nothing is done."""
+    stand, which is read as written, nothing is done: they all begin with <|, or this isn't used."""
     if np.any((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)):
         return raw, bounds
     raw = LOWER[raw]
@@ -51,7 +65,7 @@ class WordTable:
     def __init__(self, path: str):
         self.library = library(path)
         ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
-        self.unifies = ids("AZ word, The end. x") == ids("az word , the end . x")
+        self.unifies = ids("AZ word, The end. x") == ids("az word , the end . x") and all(t.startswith("<|") for t in added_tokens(self.library))
         self.forget()
 
     def forget(self) -> None:

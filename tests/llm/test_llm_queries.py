@@ -131,3 +131,37 @@ def test_tables_of_the_way_are_deleted(spark):
     at = len(common.TABLES)
     rows = corpus_pipeline.run(spark, SF).count()
     assert rows > 0 and [t.rsplit("/", 1)[-1].rsplit("-", 1)[0] for t in common.TABLES[at:]] == ["stage-3"]
+
+
+def test_mix_sql_on_empty_texts_of_stopped_sources(spark, tmp_path):
+    """Sources that stop at whole copies: their empty texts are taken as often as the others, in the query and in its SQL."""
+    from tapewright.llm import mixing
+
+    rows = [(k, "a b c" if k % 10 < 5 else "", f"s{k // 10}") for k in range(30)] + [(90, None, None), (91, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = con.sql(mixing.ORACLE["op3_pareto_mix"]).df()
+    got = mixing.op3_pareto_mix(spark, str(tmp_path)).toPandas()[wanted.columns]
+    as_rows = lambda f: sorted(f.itertuples(index=False, name=None))
+    assert as_rows(got) == as_rows(wanted) and got["copies"].max() <= 2
+
+
+def test_vocabularies_that_read_over_white_space_are_refused(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    from tapewright.llm import bpe, words
+
+    found = Tokenizer.from_file(bpe.tokenizer_path())
+    found.add_special_tokens([AddedToken("<|end of text|>")])
+    found.save(str(tmp_path / "spaces.json"))
+    with pytest.raises(ValueError, match="added tokens"):
+        words.library(str(tmp_path / "spaces.json"))
+    own = Tokenizer.from_file(bpe.tokenizer_path())
+    own.add_special_tokens([AddedToken("[CLS]")])
+    own.save(str(tmp_path / "upper.json"))
+    table = words.WordTable(str(tmp_path / "upper.json"))
+    text = "The [CLS] END. x[CLS]y"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert table.encode(raw, np.array([0, len(raw)]))[0].tolist() == own.encode(text, add_special_tokens=False).ids
