@@ -32,6 +32,8 @@ MIN_DF = 10
 TOP_TERMS = 10
 #: The largest vocabulary that CountVectorizer takes.
 MOST_TERMS = 2**31 - 1
+#: Sums that a task holds at once.
+SUMS_KEPT = 1 << 22
 #: Entries (source, term) of a block of terms, about.
 BLOCK = 1 << 17
 #: Sources whose pairs a task sums up at once.
@@ -81,11 +83,37 @@ def fitted(terms: DataFrame, min_df: int = MIN_DF) -> CountVectorizerModel | Non
         return None
 
 
-def vector_sums(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, place, n): the sums of sparse vectors of whole numbers, as a row per entry."""
-    sparse = vectors.select(*keys, F.unwrap_udt("vector").alias("v"))
-    entries = sparse.select(*keys, F.explode(F.arrays_zip(F.col("v.indices").alias("place"), F.col("v.values").alias("n"))).alias("e"))
-    return entries.groupBy(*keys, F.col("e.place").alias("place")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
+def vector_sums(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, place, n): the sums of sparse vectors of whole numbers by key, as a row per entry.
+
+    A task adds its vectors up in an array for each key, and hands them on once they take SUMS_KEPT numbers."""
+
+    def flush(sums: dict):
+        for name, total in sums.items():
+            place = np.flatnonzero(total)
+            yield pa.record_batch([pa.array([name] * len(place), pa.string()), pa.array(place.astype(np.int32)), pa.array(total[place])], [key, "place", "n"])
+        sums.clear()
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = batch.column(key).dictionary_encode()
+            places, size = batch.column("indices"), batch.column("size")[0].as_py()
+            codes = np.repeat(names.indices.to_numpy(), np.diff(places.offsets.to_numpy()))
+            at, n = places.flatten().to_numpy(), batch.column("values").flatten().to_numpy().astype(np.int64)
+            order = np.argsort(codes, kind="stable")
+            bounds = np.searchsorted(codes[order], np.arange(len(names.dictionary) + 1))
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                if name not in sums:
+                    if (len(sums) + 1) * size > SUMS_KEPT:
+                        yield from flush(sums)
+                    sums[name] = np.zeros(size, np.int64)
+                own = order[bounds[code] : bounds[code + 1]]
+                np.add.at(sums[name], at[own], n[own])
+        yield from flush(sums)
+
+    sparse = vectors.select(key, F.unwrap_udt("vector").alias("v")).select(key, "v.size", "v.indices", "v.values")
+    return sparse.mapInArrow(lean(run), f"{key} string, place int, n long").groupBy(key, "place").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(model: CountVectorizerModel, spark: SparkSession) -> DataFrame:
@@ -101,11 +129,11 @@ def counted(docs: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame
     terms, path = written_by_lang(with_terms(docs))
     groups = written(terms.select("lang", "source").distinct(), "groups")
     parts = [spark.createDataFrame([], "lang string, source string, term string, n long")]
-    for (tag,) in terms.select("tag").distinct().sort("tag").collect():
-        rows = terms.filter(F.col("tag") == tag)
+    for tag, lang in groups.select(F.sha2("lang", 256), "lang").distinct().sort("lang").collect():
+        rows = terms.filter(F.col("tag") == tag).select("source", "terms")
         if model := fitted(rows, min_df):
-            sums = vector_sums(model.transform(rows), ["lang", "source"]).join(vocabulary(model, spark), "place")
-            parts.append(written(sums.select("lang", "source", "term", "n"), "term-sums"))
+            sums = vector_sums(model.transform(rows), "source").join(vocabulary(model, spark), "place")
+            parts.append(written(sums.select(F.lit(lang).alias("lang"), "source", "term", "n"), "term-sums"))
     drop_path(spark, path)
     return reduce(DataFrame.unionByName, parts), groups
 
