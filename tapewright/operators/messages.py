@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.parse import parse_book_side, parse_double, parse_exchange_ts, parse_side
 from tapewright.operators.carry import BUCKET, running_lag
+from tapewright.sources.feed import ARRIVAL
 
 _TRADE = "struct<trade_id:string,product_id:string,price:string,size:string,side:string,time:string>"
 _UPDATE = "struct<side:string,event_time:string,price_level:string,new_quantity:string>"
@@ -51,10 +52,15 @@ def classify_messages(raw: DataFrame) -> DataFrame:
     return m.withColumn("kind", named).filter("kind is not null")
 
 
+def arrival_columns(messages: DataFrame) -> list[str]:
+    """Those of the columns that say when and where a message came in."""
+    return [c for c in ARRIVAL if c in messages.columns]
+
+
 def extract_trades(messages: DataFrame) -> DataFrame:
     """One row per trade, from the root array or the events' arrays; missing values are empty, 0 or the arrival time."""
     trades = F.coalesce(F.col("m.trades"), F.flatten(F.transform(F.filter("m.events", lambda e: e["trades"].isNotNull()), lambda e: e["trades"])))
-    rows = messages.filter("kind = 'trades'").select("arrival_ts", "arrival_seq", F.posexplode(trades).alias("ord", "t"))
+    rows = messages.filter("kind = 'trades'").select(*arrival_columns(messages), F.posexplode(trades).alias("ord", "t"))
     return rows.select(
         F.coalesce("t.product_id", F.lit("")).alias("product_id"),
         F.coalesce("t.trade_id", F.lit("")).alias("trade_id"),
@@ -62,7 +68,7 @@ def extract_trades(messages: DataFrame) -> DataFrame:
         parse_side(F.col("t.side")).alias("side"),
         parse_double(F.coalesce("t.price", F.lit(""))).alias("price"),
         parse_double(F.coalesce("t.size", F.lit(""))).alias("size"),
-        "arrival_seq",
+        *arrival_columns(messages),
         "ord",
     ).withColumn("side", F.coalesce("side", F.lit("Unknown")))
 
@@ -70,7 +76,7 @@ def extract_trades(messages: DataFrame) -> DataFrame:
 def extract_l2(messages: DataFrame) -> DataFrame:
     """One row per level of a snapshot or update. Incomplete levels, unknown sides and empty products are dropped, and
     levels without quantity in a snapshot."""
-    rows = messages.filter("kind = 'l2'").select("m.timestamp", "m.sequence_num", "arrival_ts", "arrival_seq", F.posexplode("m.events").alias("event_no", "e"))
+    rows = messages.filter("kind = 'l2'").select("m.timestamp", "m.sequence_num", *arrival_columns(messages), F.posexplode("m.events").alias("event_no", "e"))
     rows = rows.select("*", F.posexplode("e.updates").alias("level_no", "u")).filter("e.type in ('snapshot', 'update')")
     complete = F.col("u.side").isNotNull() & F.col("u.price_level").isNotNull() & F.col("u.new_quantity").isNotNull()
     rows = rows.filter(complete & (F.coalesce("e.product_id", F.lit("")) != ""))
@@ -84,6 +90,7 @@ def extract_l2(messages: DataFrame) -> DataFrame:
         parse_double(F.col("u.price_level")).alias("price"),
         parse_double(F.col("u.new_quantity")).alias("quantity"),
         "sequence_num",
+        *[c for c in arrival_columns(messages) if c != "arrival_seq"],
     )
     return out.filter("side is not null and not (kind = 'snapshot' and quantity <= 0)")
 
@@ -98,14 +105,15 @@ def extract_errors(messages: DataFrame) -> DataFrame:
 
 
 def sequence_audit(rows: DataFrame, product="product_id", seq="sequence_num", arrival="arrival_seq", bucket: int = BUCKET) -> DataFrame:
-    """Each message with the step from the product's previous one: gap (missed), duplicate or regression; unnumbered, and the one after such a message, if there is no step.
+    """Each message with the step from the product's previous numbered one: first, next, gap (missed), duplicate or regression; unnumbered without a number.
 
     The previous message is looked for within a bucket of the order of arrival; a bucket's first one looks back to the last of an earlier bucket.
     Rows without a product are a product of their own, rows without an order of arrival come first; arrival may be several columns, to settle ties."""
-    found = running_lag(rows, [product], arrival, F.struct(F.col(seq).alias("seq")), "before", bucket).withColumn("previous", F.col("before.seq"))
+    found = running_lag(rows.withColumn("_numbered", F.col(seq).isNotNull()), [product, "_numbered"], arrival, F.col(seq), "previous", bucket)
     step = F.col(seq) - F.col("previous")
-    state = F.when(F.col("before").isNull(), "first").when(F.col(seq).isNull() | F.col("previous").isNull(), "unnumbered").when(step == 1, "next").when(step > 1, "gap").when(step == 0, "duplicate").otherwise("regression")
-    return found.withColumn("state", state).withColumn("missed", F.greatest(step - 1, F.lit(0))).drop("before")
+    state = F.when(~F.col("_numbered"), "unnumbered").when(F.col("previous").isNull(), "first").when(step == 1, "next").when(step > 1, "gap").when(step == 0, "duplicate").otherwise("regression")
+    missed = F.when(F.col("_numbered"), F.greatest(F.coalesce(step, F.lit(0)) - 1, F.lit(0)))
+    return found.withColumn("state", state).withColumn("missed", missed).drop("_numbered")
 
 
 def feed_silence(rows: DataFrame, ts_ms="ts_ms", threshold_ms: int = 10_000, bucket_ms: int = 3_600_000, keys: tuple = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.operators import book, messages, slices, viewport
+from tapewright.operators import book, messages
 from tapewright.plans import sqltext as S
 from tapewright.plans.market import _SLICE_COLUMNS, DAY, HOUR, _as_messages, _rounded, _with
 from tapewright.sources import views
@@ -14,13 +14,25 @@ from tapewright.sources.filings import write_partitioned
 from tapewright.streaming import streams
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    schema = views.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+SLICES, SLICE_ROWS = 5, 50_000
 
 
-def _trades(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).selectExpr(
+def _events(spark: SparkSession, d: str, order: tuple = tuple(range(SLICES))) -> DataFrame:
+    """All events as a stream of several batches: written one slice of ids after the other, SLICES files or more as the table grows, and read a file at a time. order: of the slices, in fifths."""
+    events = views.table(spark, d, "events")
+    low, high, n = events.agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
+    path, each = streams.new_folder(spark, "events"), max(1, -(-n // (SLICES * SLICE_ROWS)))
+    width = -(-((high or 0) - (low or 0) + 1) // SLICES)
+    for k in order:
+        for part in range(each):
+            begin = (low or 0) + k * width + part * width // each
+            end = (low or 0) + k * width + (part + 1) * width // each
+            events.filter((F.col("event_id") >= begin) & (F.col("event_id") < end)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _trades(spark: SparkSession, d: str, *order) -> DataFrame:
+    return _events(spark, d, *order).selectExpr(
         "event_type AS product_id", "concat('t', event_id) AS trade_id", f"timestamp_millis({views.MS}) AS ts", "event_id AS ingest_seq", "value AS price", "CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS size"
     )
 
@@ -55,20 +67,71 @@ def r6(spark, d):
     return book.carry_forward(grid).join(until, F.col("g") * HOUR < F.col("until")).drop("until")
 
 
+LENGTHS = [6 * HOUR, DAY]
+
+
+def _liquidity(spark, d, keep: int = 0):
+    return streams.drained_with_state(streams.stream_liquidity(_l2(spark, d), LENGTHS, HOUR, 5.0, "1 hour", keep=keep), "liquidity")
+
+
 def r3_liquidity(spark, d):
-    grid, until = _flushed(spark, d)
-    rows = slices.slice_liquidity(grid, [6 * HOUR, DAY], HOUR, 5.0)
-    return _rounded(rows.join(until, F.col("slice_start") + F.col("timeframe_ms") <= F.col("until")).drop("until"), "avg")
+    """Slices with all metrics, as the stream puts them out when they end."""
+    return _rounded(_liquidity(spark, d)[0], "avg")
 
 
 def r5(spark, d):
-    """Slices as they grow: the open ones too."""
+    """Slices of trades as they grow: the open ones too."""
     return streams.drained_updates(streams.stream_slices(_trades(spark, d), [6 * HOUR, DAY], "1 hour"), "open", ["product_id", "timeframe_ms", "slice_start"])
 
 
+def r5_liquidity(spark, d):
+    """Slices with all metrics that have not ended, from the stream's state."""
+    at = views.trades(spark, d).agg(F.max("ts_ms")).first()[0] or 0
+    return _rounded(streams.open_slices(spark, _liquidity(spark, d)[1], LENGTHS, HOUR, at), "avg", "resting")
+
+
 def r9(spark, d):
-    """The newest slices of what a stream has brought out."""
-    return viewport.retain(r3_liquidity(spark, d), 6).select("product_id", "timeframe_ms", "slice_start", "side", "tick", "total")
+    """The last three slices of each length, which the stream keeps in state after their end."""
+    return _rounded(streams.closed_slices(spark, _liquidity(spark, d, 3)[1], HOUR), "avg")
+
+
+def n12_stream(spark, d):
+    """Stretches of 20 minutes without a message of a product, told by timers."""
+    return streams.drained(streams.stream_silence(_trades(spark, d), "product_id", 1_200_000, "1 hour"), "silence")
+
+
+LATE_ORDER = (0, 1, 3, 4, 2)  # rows are late by the watermark that the batch before last has left
+
+
+def r7(spark, d):
+    """Trades kept of each product, and the number of rows that came too late: the third fifth of the events comes last."""
+    late = streams.LateRows()
+    spark.streams.addListener(late)
+    kept, _, query = streams.drained_with_state(streams.unique_trades(_trades(spark, d, LATE_ORDER), "1 hour"), "late")
+    n = late.of(query)
+    spark.streams.removeListener(late)
+    counts = kept.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(counts.agg(F.lit("late rows").alias("product_id"), F.lit(n).cast("long").alias("n")))
+
+
+def r1(spark, d):
+    """Messages written to files and read as a stream, with their place in the file."""
+    path = streams.new_folder(spark, "feed")
+    _as_messages(spark, d, "l2").select("value").write.text(path)
+    rows = streams.drained(streams.stream_l2(spark, path), "feed")
+    return rows.select("product_id", F.unix_millis("ts").alias("ts_ms"), "kind", "side", "price", "quantity", F.col("sequence_num").alias("seq"))
+
+
+def n11_files(spark, d):
+    """The audit over files: every tenth message comes two numbers ahead, every seventeenth has none."""
+    path = streams.new_folder(spark, "numbered")
+    n = F.col("ingest_seq")
+    number = F.when(n % 17 == 0, F.lit(None)).when(n % 10 == 4, n + 2).otherwise(n)
+    body = F.to_json(F.struct(F.lit("heartbeats").alias("channel"), "product_id", number.alias("sequence_num"), n.cast("string").alias("message")))
+    rows = views.trades(spark, d).select(n, body.alias("value"))
+    rows.repartitionByRange(SLICES, "ingest_seq").sortWithinPartitions("ingest_seq").select("value").write.text(path)
+    found = messages.classify_messages(read_feed(spark, path, by_name=True)).select("arrival_seq", "m.product_id", "m.sequence_num", "m.message")
+    return messages.sequence_audit(found).select("product_id", F.col("message").cast("long").alias("place"), "sequence_num", "state", "missed")
 
 
 def r3(spark, d):
@@ -106,10 +169,39 @@ def s9(spark, d):
 _STREAM_L2 = S.L2.replace("CASE WHEN (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 500 = 0 THEN", "CASE WHEN event_id % 500 = 3 THEN")
 
 _STREAM_BOOK = S.BOOK.replace(S.L2, _STREAM_L2)
+_METRICS = _SLICE_COLUMNS.replace(", slice_last", "")
+_ENDED = f"(SELECT (max(ts_ms) - {HOUR}) // {6 * HOUR} * {6 * HOUR} FROM l2)"
 _UNTIL = f"(SELECT (max(ts_ms) - {HOUR}) // {DAY} * {DAY} FROM l2)"
 
 STREAMS: dict[str, tuple] = {
-    "r3_stream_liquidity": (r3_liquidity, _with(f"SELECT {_SLICE_COLUMNS} FROM slices WHERE slice_start + timeframe_ms <= {_UNTIL}", _STREAM_BOOK + S.slices(HOUR, 5, [6 * HOUR, DAY]))),
+    "r3_stream_liquidity": (r3_liquidity, _with(f"SELECT {_METRICS} FROM slices WHERE slice_start + timeframe_ms <= {_ENDED}", _STREAM_BOOK + S.slices(HOUR, 5, LENGTHS))),
+    "r5_stream_open_liquidity": (
+        r5_liquidity,
+        _with(f"SELECT {_METRICS}, round(CASE WHEN snapshot_count > 2 THEN avg ELSE 0.0 END, 6) AS resting FROM slices WHERE slice_start + timeframe_ms > {_ENDED}", _STREAM_BOOK + S.slices(HOUR, 5, LENGTHS).replace("CAST(ceil(max(ts_ms) / 3600000.0) AS BIGINT) + 1 AS last_to FROM chg", "(SELECT CAST(ceil(max(ts_ms) / 3600000.0) AS BIGINT) + 1 FROM l2) AS last_to FROM chg")),
+    ),
+    "r7_stream_late_rows": (
+        r7,
+        _with(
+            """SELECT product_id, count(*) AS n FROM trades, late WHERE NOT (part = 2 AND ts_ms <= mark) GROUP BY 1 UNION ALL SELECT 'late rows', count(*) FROM trades, late WHERE part = 2 AND ts_ms <= mark""",
+            S.TRADES.replace("FROM events)", ", (event_id - (SELECT min(event_id) FROM events)) // CAST(ceil((SELECT max(event_id) - min(event_id) + 1 FROM events) / 5.0) AS BIGINT) AS part FROM events)"),
+            f"late AS (SELECT max(ts_ms) - {HOUR} AS mark FROM trades WHERE part IN (0, 1, 3))",
+        ),
+    ),
+    "n12_stream_silence": (
+        n12_stream,
+        _with(
+            f"SELECT product_id AS feed, ts_ms AS from_ms, ts_ms + 1200000 AS stale_ms FROM (SELECT product_id, ts_ms, lead(ts_ms) OVER (PARTITION BY product_id ORDER BY ts_ms) AS next_ms FROM trades) WHERE next_ms - ts_ms > 1200000 OR (next_ms IS NULL AND ts_ms + 1200000 < (SELECT max(ts_ms) FROM trades) - {HOUR})",
+            S.TRADES,
+        ),
+    ),
+    "n11_sequence_audit_files": (
+        n11_files,
+        """WITH m AS (SELECT event_type AS product_id, event_id AS place, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 10 = 4 THEN event_id + 2 ELSE event_id END AS sequence_num FROM events),
+a AS (SELECT *, lag(sequence_num) OVER (PARTITION BY product_id, sequence_num IS NULL ORDER BY place) AS p FROM m)
+SELECT product_id, place, sequence_num, CASE WHEN sequence_num IS NULL THEN 'unnumbered' WHEN p IS NULL THEN 'first' WHEN sequence_num - p = 1 THEN 'next' WHEN sequence_num - p > 1 THEN 'gap' WHEN sequence_num = p THEN 'duplicate' ELSE 'regression' END AS state,
+ CASE WHEN sequence_num IS NOT NULL THEN greatest(coalesce(sequence_num - p, 0) - 1, 0) END AS missed FROM a""",
+    ),
+    "r1_stream_feed": (r1, _with("SELECT product_id, ts_ms, kind, side, price, quantity, seq FROM l2 WHERE NOT (kind = 'snapshot' AND quantity <= 0)", S.L2)),
     "r5_stream_open_slices": (
         r5,
         _with(f"SELECT product_id, timeframe_ms, ts_ms // timeframe_ms * timeframe_ms AS slice_start, count(*) AS n_trades, sum(size) AS volume FROM trades, (SELECT unnest([{6 * HOUR}, {DAY}]::BIGINT[]) AS timeframe_ms) GROUP BY ALL", S.TRADES),
@@ -117,10 +209,7 @@ STREAMS: dict[str, tuple] = {
     "r6_stream_samples": (r6, _with(f"SELECT product_id, g, side, tick, qty FROM sampled WHERE g * {HOUR} < {_UNTIL}", _STREAM_BOOK + S.grid(HOUR))),
     "r9_stream_retained": (
         r9,
-        _with(
-            f"SELECT product_id, timeframe_ms, slice_start, side, tick, total FROM (SELECT *, dense_rank() OVER (PARTITION BY product_id, timeframe_ms ORDER BY slice_start DESC) AS rk FROM slices WHERE slice_start + timeframe_ms <= {_UNTIL}) WHERE rk <= 6",
-            _STREAM_BOOK + S.slices(HOUR, 5, [6 * HOUR, DAY]),
-        ),
+        _with(f"SELECT {_METRICS} FROM slices WHERE slice_start + timeframe_ms <= {_ENDED} AND slice_start + 3 * timeframe_ms >= {_ENDED} // timeframe_ms * timeframe_ms", _STREAM_BOOK + S.slices(HOUR, 5, LENGTHS)),
     ),
     "r2_stream_book": (r2, _with("SELECT product_id, seq, side, tick, qty FROM chg", S.BOOK.replace(S.L2, _STREAM_L2))),
     "r3_stream_slices": (
