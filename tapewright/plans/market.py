@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.functions import parse
-from tapewright.operators import book, messages, slices, trades, viewport
+from tapewright.operators import book, messages, slices, store, trades, viewport
 from tapewright.plans import sqltext as S
 from tapewright.sources import views
+from tapewright.streaming.streams import new_folder
 
 HOUR, DAY = 3_600_000, 86_400_000
 STEP, RESOLUTION, TIMEFRAMES = HOUR, 5.0, [HOUR, 6 * HOUR, DAY]
@@ -237,6 +238,36 @@ def t9(spark, d):
     return _rounded(trades.significant_trades(views.trades(spark, d), _mids(spark, d)), "impact").select("product_id", "trade_id", "mid", "impact")
 
 
+def _stored(spark, d) -> str:
+    """Slices of all lengths as a table, made in two goes: up to the middle, and what has come since."""
+    path = new_folder(spark, "slices")
+    grid = _grid(spark, d)
+    half = MID // STEP
+    store.extend(grid.filter(F.col("from_g") < half).withColumn("to_g", F.least("to_g", F.lit(half).cast("long"))), path, TIMEFRAMES, STEP, RESOLUTION)
+    store.extend(grid, path, TIMEFRAMES, STEP, RESOLUTION)
+    return path
+
+
+def v2_stored(spark, d):
+    return _rounded(store.stored_view(spark, _stored(spark, d), 6 * HOUR, MID, MID + DAY), "avg")
+
+
+def v4_stored(spark, d):
+    t0, t1 = MID, MID + 10 * DAY
+    return _rounded(viewport.heatmap_cells(store.stored_view(spark, _stored(spark, d), 6 * HOUR, t0, t1), 6 * HOUR, t0, t1, 0.0, 200.0, RESOLUTION), "liquidity", "intensity")
+
+
+def t7_stored(spark, d):
+    """What is left once the days before the middle are dropped."""
+    path = _stored(spark, d)
+    store.drop_days_before(spark, path, MID // DAY)
+    return store.read_slices(spark, path).select(*slices.KEY, "total")
+
+
+def t8_live(spark, d):
+    return trades.live_batches(views.trades(spark, d), HOUR, 3).select("product_id", "trade_id", "batch")
+
+
 def _with(sql: str, *ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + sql
 
@@ -465,6 +496,17 @@ seen AS (SELECT x.product_id, x.g, s.ts_ms, x.side, x.tick, x.qty FROM (SELECT *
         lambda s, d: _rounded(viewport.visible_slices(_in_view(s, d, 6 * HOUR, MID, MID + DAY), 6 * HOUR, MID, MID + DAY), "avg"),
         _with(f"SELECT {_SLICE_COLUMNS} FROM slices WHERE timeframe_ms = {6 * HOUR} AND slice_start + timeframe_ms >= {MID} AND slice_start <= {MID + DAY}", _SLICES),
     ),
+    "v2_stored_slices": (v2_stored, _with(f"SELECT {_SLICE_COLUMNS} FROM slices WHERE timeframe_ms = {6 * HOUR} AND slice_start + timeframe_ms >= {MID} AND slice_start <= {MID + DAY}", _SLICES)),
+    "v4_stored_cells": (v4_stored, _with("SELECT product_id, side, slice_start, slice_end, price_low, price_high, round(liquidity, 6) AS liquidity, round(intensity, 6) AS intensity, snapshot_count FROM cells", _SLICES + _CELLS)),
+    "t7_stored_retained": (t7_stored, _with(f"SELECT product_id, timeframe_ms, slice_start, side, tick, total FROM slices WHERE slice_start >= {MID // DAY * DAY}", _SLICES)),
+    "t8_live_batches": (
+        t8_live,
+        "WITH RECURSIVE " + S.TRADES + f""", t AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY ingest_seq) AS pos FROM trades),
+later AS (SELECT a.product_id, a.pos, min(b.pos) AS nxt FROM (SELECT *, unnest([1, 2, 3]) AS d FROM t) a JOIN t b ON a.product_id = b.product_id AND a.pos + a.d = b.pos WHERE d = 3 OR b.ts_ms - a.ts_ms >= {HOUR} GROUP BY 1, 2),
+flush AS (SELECT product_id, min(pos) AS pos FROM (SELECT product_id, pos, ts_ms - min(CASE WHEN pos = 1 THEN ts_ms END) OVER (PARTITION BY product_id) AS since FROM t) WHERE pos = 3 OR (pos < 3 AND since >= {HOUR}) GROUP BY 1
+ UNION ALL SELECT f.product_id, l.nxt FROM flush f JOIN later l ON f.product_id = l.product_id AND f.pos = l.pos)
+SELECT t.product_id, t.trade_id, CAST(count(f.pos) OVER (PARTITION BY t.product_id ORDER BY t.pos) - CASE WHEN f.pos IS NULL THEN 0 ELSE 1 END + 1 AS BIGINT) AS batch FROM t LEFT JOIN flush f ON f.product_id = t.product_id AND f.pos = t.pos""",
+    ),
     "v3_suggest_timeframe": (
         lambda s, d: viewport.suggest_timeframe(slices.lengths_with_data(_grid(s, d), TIMEFRAMES), T0, T1, 200),
         _with(f"SELECT coalesce(min(CASE WHEN {T1 - T0} // timeframe_ms <= 200 THEN timeframe_ms END), min(timeframe_ms), 100) AS timeframe_ms FROM slices", _SLICES),

@@ -96,6 +96,11 @@ def place_of(batch: pd.DataFrame, row: int, order: tuple) -> str:
     return "/".join(str(batch[c].iloc[row]) for c in order)
 
 
+def plain(rows: pd.DataFrame) -> pd.DataFrame:
+    """Texts as objects, which any Arrow writer takes."""
+    return rows.astype({c: object for c in ("product_id", "side")})
+
+
 class Levels:
     """The standing levels of a part of a book in state: those without quantity, and all that a snapshot replaces, are gone from it."""
 
@@ -147,7 +152,7 @@ class BookProcessor(StatefulProcessor):
         batch = self.levels.batch(rows)
         changed = self.levels.changes(batch)
         self.levels.keep(batch, changed)
-        yield changed.assign(product_id=key[0]).rename(columns={"quantity": "qty"})[["product_id", "seq", "side", "tick", "qty"]]
+        yield plain(changed.assign(product_id=key[0]).rename(columns={"quantity": "qty"})[["product_id", "seq", "side", "tick", "qty"]])
 
     def close(self) -> None:
         pass
@@ -269,7 +274,8 @@ class LiquidityProcessor(StatefulProcessor):
                     self.closed.removeKey(tuple(k))
         self.handle.registerTimer(until + self.timeframes[0])
         rows = [(key[0], *k, v[0], v[1], v[0] / v[1], v[2], v[3], v[4] * self.step, v[5] * self.step) for k, v in done]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in METRICS.split(", ")]).astype({"slice_start": "int64", "tick": "int64", "snapshot_count": "int64", "timeframe_ms": "int64", "first_seen": "int64", "own_last": "int64"})
+        found = pd.DataFrame(rows, columns=[c.split()[0] for c in METRICS.split(", ")])
+        yield plain(found).astype({"slice_start": "int64", "tick": "int64", "snapshot_count": "int64", "timeframe_ms": "int64", "first_seen": "int64", "own_last": "int64"})
 
     def bucket_of(self, tick: int) -> int:
         """As Spark rounds."""
@@ -352,7 +358,7 @@ class GridProcessor(LiquidityProcessor):
 
     def stretches(self, key) -> pd.DataFrame:
         found = pd.DataFrame(self.found, columns=["side", "tick", "qty", "from_g", "to_g"]).astype({"tick": "int64", "qty": "float64", "from_g": "int64", "to_g": "int64"})
-        return found.assign(product_id=key[0])[["product_id", "side", "tick", "qty", "from_g", "to_g"]]
+        return plain(found.assign(product_id=key[0])[["product_id", "side", "tick", "qty", "from_g", "to_g"]])
 
 
 def stream_grid(l2: DataFrame, step_ms: int, flush_ms: int, delay: str, tick_size: float = 1.0, parts: int = 8, order: tuple = ("seq",)) -> DataFrame:
@@ -398,7 +404,7 @@ class SilenceProcessor(StatefulProcessor):
         yield self.rows(key, np.array([since]))
 
     def rows(self, key, begin: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"feed": [key[0]] * len(begin), "from_ms": begin.astype("int64"), "stale_ms": begin.astype("int64") + self.threshold})
+        return pd.DataFrame({"feed": pd.Series([key[0]] * len(begin), dtype=object), "from_ms": begin.astype("int64"), "stale_ms": begin.astype("int64") + self.threshold})
 
     def close(self) -> None:
         pass
