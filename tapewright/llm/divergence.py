@@ -69,7 +69,7 @@ def with_terms(docs: DataFrame) -> DataFrame:
 def written_by_lang(terms: DataFrame) -> tuple[DataFrame, str]:
     """terms as a table with a folder for each lang, and its path."""
     path = f"{shared_dir(terms.sparkSession)}/terms-{uuid.uuid4().hex}"
-    terms.write.partitionBy("tag").option("compression", "zstd").parquet(path)
+    terms.write.partitionBy("tag").option("compression", "snappy").parquet(path)  # read twice: cheap to decode
     return terms.sparkSession.read.schema(terms.schema).parquet(path), path
 
 
