@@ -23,11 +23,12 @@ def _as_files(texts: DataFrame) -> str:
 
 
 def _cik_map(spark, d) -> DataFrame:
-    """A ticker map written and parsed again: two of three tickers have a number."""
+    """Ticker maps written and parsed again, each file an object of some companies: two of three tickers have a number."""
     rows = views.filings(spark, d).select("ticker").distinct().filter("cast(substr(ticker, 2) as int) % 3 <> 0")
     entry = F.struct(F.lower("ticker").alias("ticker"), F.substr("ticker", F.lit(2)).alias("cik_str"))
-    whole = rows.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ticker", entry.alias("e"))))).alias("value"))  # one file, a row for each company
-    return R.read_cik_map(spark, _as_files(whole.withColumn("file", F.lit("all"))))
+    some = F.pmod(F.xxhash64("ticker"), F.lit(8)).alias("file")
+    whole = rows.groupBy(some).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ticker", entry.alias("e"))))).alias("value"))
+    return R.read_cik_map(spark, _as_files(whole))
 
 
 def _submissions(spark, d) -> DataFrame:
