@@ -12,16 +12,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.operators.carry import running_lag, running_last, running_lead, running_sum
+from tapewright.operators.carry import running_lag, running_last, running_sum
 from tapewright.operators.dyadic import blocks_around, blocks_of
 
 #: Blocks of up to 2^SIZES buckets, and a time after all others.
 SIZES, FAR_MS = 20, 1 << 42
-#: Messages, as the sequence counts them, within which a level's changes are ordered in one task.
-LEVEL_BUCKET = 1_000_000
 LEVEL = ["product_id", "generation", "side", "tick"]
 
 
+def level_order() -> Window:
+    """A level's changes between two snapshots."""
+    return Window.partitionBy(*LEVEL).orderBy("seq")
+
+
 def with_generation(l2: DataFrame) -> DataFrame:
     """Adds generation: the seq of the product's latest snapshot."""
     snapshot = F.when(F.col("kind") == "snapshot", F.col("seq"))
@@ -36,8 +39,8 @@ def apply_book_updates(l2: DataFrame, tick_size: float = 1.0, bounds: DataFrame
     if bounds is not None:
         rows = rows.join(bounds, "product_id", "left").filter("min_price is null or price between min_price and max_price")
     last = rows.groupBy(*LEVEL, "seq").agg(F.max(F.struct("ord", "qty", "ts_ms")).alias("l")).select(*LEVEL, "seq", "l.qty", "l.ts_ms")
-    held = running_lag(last, LEVEL, "seq", F.col("qty"), "prev_qty", LEVEL_BUCKET).withColumn("prev_qty", F.coalesce("prev_qty", F.lit(0.0)))
-    changed = held.filter("qty <> prev_qty")
+    previous = F.coalesce(F.lag("qty").over(level_order()), F.lit(0.0))
+    changed = last.withColumn("prev_qty", previous).filter("qty <> prev_qty")
     return changed.select("product_id", "ts_ms", "seq", "generation", "side", "tick", "qty", "prev_qty")
 
 
@@ -54,7 +57,7 @@ def generation_ends(l2: DataFrame) -> DataFrame:
 
 def level_intervals(changes: DataFrame, ends: DataFrame) -> DataFrame:
     """(product_id, side, tick, qty, from_ms, to_ms): when each quantity held; to_ms is null while it still does."""
-    held = running_lead(changes, LEVEL, "seq", F.col("ts_ms"), "next_ms", LEVEL_BUCKET).join(ends, ["product_id", "generation"], "left")
+    held = changes.withColumn("next_ms", F.lead("ts_ms").over(level_order())).join(ends, ["product_id", "generation"], "left")
     rows = held.withColumn("to_ms", F.coalesce("next_ms", "end_ms")).filter("qty > 0 and (to_ms is null or to_ms > ts_ms)")
     return rows.select("product_id", "side", "tick", "qty", F.col("ts_ms").alias("from_ms"), "to_ms")
 
@@ -63,7 +66,7 @@ def grid_intervals(changes: DataFrame, ends: DataFrame, step_ms: int) -> DataFra
     """The same on grid points k * step_ms: the half-open range of k at which each quantity is seen."""
     place = lambda c: F.ceil(F.col(c) / step_ms).cast("long")
     last = changes.groupBy("product_id").agg((F.ceil(F.max("ts_ms") / step_ms) + 1).cast("long").alias("last_to"))
-    rows = running_lead(changes.withColumn("from_g", place("ts_ms")), LEVEL, "seq", F.col("from_g"), "next_g", LEVEL_BUCKET)
+    rows = changes.withColumn("from_g", place("ts_ms")).withColumn("next_g", F.lead(place("ts_ms")).over(level_order()))
     rows = rows.join(ends.withColumn("end_g", place("end_ms")), ["product_id", "generation"], "left").join(last, "product_id")
     rows = rows.withColumn("to_g", F.coalesce("next_g", "end_g", "last_to")).filter("qty > 0 and from_g < to_g")
     return rows.select("product_id", "side", "tick", "qty", "from_g", "to_g")
@@ -82,7 +85,7 @@ def message_intervals(changes: DataFrame, ends: DataFrame, samples: DataFrame) -
     place = samples.select("product_id", "seq", "g")
     count = samples.groupBy("product_id").agg(F.sum("is_update").cast("long").alias("last_to"))
     rows = changes.join(place, ["product_id", "seq"]).withColumnRenamed("g", "from_g")
-    rows = running_lead(rows, LEVEL, "seq", F.col("from_g"), "next_g", LEVEL_BUCKET)
+    rows = rows.withColumn("next_g", F.lead("from_g").over(level_order()))
     end = ends.join(place.withColumnsRenamed({"seq": "end_seq", "g": "end_g"}), ["product_id", "end_seq"], "left").select("product_id", "generation", "end_g")
     rows = rows.join(end, ["product_id", "generation"], "left").join(count, "product_id").withColumn("to_g", F.coalesce("next_g", "end_g", "last_to"))
     return rows.filter("qty > 0 and from_g < to_g").select("product_id", "side", "tick", "qty", "from_g", "to_g")

@@ -67,12 +67,3 @@ def running_lag(rows: DataFrame, keys: list[str], order, value: Column, name: st
     both = with_carried(cut, keys, {"_last": last}, {"_carried": F.lag("_last").over(buckets_of(keys))})
     both = both.withColumns({"_nth": F.row_number().over(within(order)), "_own": F.lag("_value").over(within(order))})
     return both.withColumn(name, F.when(F.col("_nth") == 1, F.col("_carried")["_value"]).otherwise(F.col("_own"))).drop("_value", "_key", "_carried", "_nth", "_own")
-
-
-def running_lead(rows: DataFrame, keys: list[str], order, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
-    """Adds name: the value of the row after this one in the order; null for the last."""
-    cut = bucketed(rows.withColumn("_value", F.struct(value.alias("v"))), keys, order, bucket)
-    first = F.min(F.struct(*names(order), "_value"))
-    both = with_carried(cut, keys, {"_first": first}, {"_carried": F.lead("_first").over(buckets_of(keys))})
-    found = F.coalesce(F.lead("_value").over(within(order)), F.col("_carried")["_value"])
-    return both.withColumn(name, found["v"]).drop("_value", "_key", "_carried")
