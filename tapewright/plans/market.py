@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.functions import parse
-from tapewright.operators import book, messages, slices, store, trades, viewport
+from tapewright.operators import book, messages, slices, store, sweep, trades, viewport
 from tapewright.plans import sqltext as S
 from tapewright.sources import views
 from tapewright.streaming.streams import new_folder
@@ -17,6 +17,7 @@ HOUR, DAY = 3_600_000, 86_400_000
 STEP, RESOLUTION, TIMEFRAMES = HOUR, 5.0, [HOUR, 6 * HOUR, DAY]
 T0, T1 = 1_704_067_200_000, 1_706_745_600_000  # January 2024
 MID = T0 + 10 * DAY
+SWEEP = 24  # places of the grid that one task sweeps
 
 
 def _changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -167,8 +168,17 @@ def b9_modes(spark, d):
 
 
 def a3_band(spark, d):
-    samples = slices.sampled_levels(_grid(spark, d, 6 * HOUR), RESOLUTION, band={"mode": "percent_mid", "value": 0.25})
-    return _rounded(slices.slice_samples(samples, [DAY], 6 * HOUR), "avg")
+    kept = sweep.band_intervals(_grid(spark, d, 6 * HOUR), "percent_mid", 0.25, bucket=SWEEP)
+    return _rounded(slices.slice_liquidity(kept, [DAY], 6 * HOUR, RESOLUTION), "avg")
+
+
+def b9_sweep(spark, d):
+    """The levels within the band at every grid point, from intervals of those that the band keeps."""
+    return book.carry_forward(sweep.band_intervals(_grid(spark, d, 6 * HOUR), "percent_mid", 0.1, bucket=SWEEP))
+
+
+def b10_sweep(spark, d):
+    return book.carry_forward(sweep.depth_intervals(_grid(spark, d, 6 * HOUR), 5, SWEEP))
 
 
 def n1_kinds(spark, d):
@@ -203,7 +213,7 @@ def a1(spark, d):
 
 
 def a3_depth(spark, d):
-    return _rounded(slices.slice_samples(a1(spark, d), [DAY], STEP), "avg")
+    return _rounded(slices.slice_liquidity(sweep.depth_intervals(_grid(spark, d), 10, SWEEP), [DAY], STEP, RESOLUTION), "avg")
 
 
 def a11(spark, d):
@@ -351,6 +361,11 @@ MARKET: dict[str, tuple] = {
         b9_modes,
         _with(" UNION ALL ".join(f"SELECT product_id, g, side, tick, qty, '{name}' AS band FROM ({_band(half)})" for name, half in (("fixed_dollar 10", "10.0"), ("ticks 8", "8.0"), ("percent_mid 0.1", "mid * 0.1"), ("ticks 0", "0.0"))), _BOOK_DAILY + _MIDS),
     ),
+    "b9_band_sweep": (b9_sweep, _with("SELECT product_id, g, side, tick, qty FROM (" + _band("mid * 0.1") + ")", S.BOOK + S.grid(6 * HOUR) + _MIDS)),
+    "b10_depth_sweep": (
+        b10_sweep,
+        _with("SELECT product_id, g, side, tick, qty FROM (SELECT *, row_number() OVER (PARTITION BY product_id, g, side ORDER BY CASE WHEN side = 'bid' THEN -tick ELSE tick END) AS rk FROM sampled) WHERE rk <= 5", S.BOOK + S.grid(6 * HOUR)),
+    ),
     "b10_depth_limit": (
         lambda s, d: book.depth_limit(_daily(s, d), 20, "g"),
         _with("SELECT product_id, g, side, tick, qty FROM (SELECT *, row_number() OVER (PARTITION BY product_id, g, side ORDER BY CASE WHEN side = 'bid' THEN -tick ELSE tick END) AS rk FROM sampled) WHERE rk <= 20", _BOOK_DAILY),
