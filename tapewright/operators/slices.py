@@ -25,8 +25,9 @@ def piecewise(grid: DataFrame, resolution: float, tick_size: float = 1.0) -> Dat
     Sums run in decimals and presence is an integer count, so nothing is left over where all levels are gone."""
     bucket = F.round(F.col("tick") * tick_size / resolution).cast("long").alias("tick")
     amount = F.col("qty").cast("decimal(30,8)")
-    edge = lambda g, sign: grid.select("product_id", "side", bucket, F.col(g).alias("g"), (amount * sign).alias("d"), F.lit(sign).alias("k"))
-    edges = edge("from_g", 1).unionByName(edge("to_g", -1)).groupBy("product_id", "side", "tick", "g").agg(F.sum("d").alias("d"), F.sum("k").alias("k"))
+    edge = lambda g, sign: F.struct(F.col(g).alias("g"), (amount * sign).alias("d"), F.lit(sign).alias("k"))
+    both = grid.select("product_id", "side", bucket, F.explode(F.array(edge("from_g", 1), edge("to_g", -1))).alias("e"))
+    edges = both.groupBy("product_id", "side", "tick", F.col("e.g").alias("g")).agg(F.sum("e.d").alias("d"), F.sum("e.k").alias("k"))
     keys = ["product_id", "side", "tick"]
     totals = {"_d": F.sum("d"), "_k": F.sum("k"), "_g": F.min("g")}
     carried = {"_sum": F.sum("_d").over(before(keys)), "_present": F.sum("_k").over(before(keys)), "_next": F.lead("_g").over(buckets_of(keys))}

@@ -167,8 +167,15 @@ def b9_modes(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """A table of the rows: slices read their intervals more than once, and a sweep is dearer than a scan."""
+    path = new_folder(rows.sparkSession, "kept")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def a3_band(spark, d):
-    kept = sweep.band_intervals(_grid(spark, d, 6 * HOUR), "percent_mid", 0.25, bucket=SWEEP)
+    kept = _written(sweep.band_intervals(_grid(spark, d, 6 * HOUR), "percent_mid", 0.25, bucket=SWEEP))
     return _rounded(slices.slice_liquidity(kept, [DAY], 6 * HOUR, RESOLUTION), "avg")
 
 
@@ -213,7 +220,7 @@ def a1(spark, d):
 
 
 def a3_depth(spark, d):
-    return _rounded(slices.slice_liquidity(sweep.depth_intervals(_grid(spark, d), 10, SWEEP), [DAY], STEP, RESOLUTION), "avg")
+    return _rounded(slices.slice_liquidity(_written(sweep.depth_intervals(_grid(spark, d), 10, SWEEP)), [DAY], STEP, RESOLUTION), "avg")
 
 
 def a11(spark, d):
