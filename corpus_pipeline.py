@@ -15,23 +15,28 @@ from tapewright.llm.common import TABLES, drop_tables, read_table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold, null and empty texts are scored too; learns from `labels` as the toxicity operator's query does."""
     return toxicity.without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at 0.8 or more: the one with the least id. Documents without words have no links and stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes that a repeated 200-byte string covers; n_chars counts what is left."""
     kept = suffix_dedup.deduplicated(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: not at all, once or twice."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row, repeated ones too."""
     return bpe.encode(docs, bpe.tokenizer_path(), decoded=False).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
 
 
