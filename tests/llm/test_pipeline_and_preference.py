@@ -98,3 +98,20 @@ def test_pipeline(spark):
     times = Counter(r["doc_id"] for r in mixed)
     assert set(times) <= {r["doc_id"] for r in cut} and max(times.values()) <= 2
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()) == times
+
+
+def test_pipeline_of_nulls_clashes_and_nothing(spark, tmp_path):
+    """Rows without an id, a text or a source, and columns named as those of the operators: the stages run, no id is made up; an empty table gives none."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = docs.limit(1).selectExpr(*[f"cast(null as {t}) as {c}" for c, t in docs.dtypes])
+    clashing = lambda rows: rows.selectExpr("*", "'x' as label", "1 as size", "2 as copies", "3 as key")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for name, rows in (("some", docs.unionByName(odd)), ("none", docs.limit(0))):
+        clashing(rows).coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.coalesce(1).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    own = clashing(docs.unionByName(odd))
+    assert corpus_pipeline.drop_toxic(spark, own, f"{tmp_path}/some").columns == own.columns
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    known = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert got and {r.doc_id for r in got} <= known | {None} and all(r.n_tokens == len(r.ids) for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
