@@ -87,10 +87,9 @@ class Chunk:
         self.sizes = self.ends + 1 - self.starts
         self.second = mixed(self.words + _U(1)) & _SECOND
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys (context's place, second word's bits) of the different pairs, and the key of each token."""
-        key = (self.before.astype(_U) << _U(_SECOND_BITS)) | self.second[self.word]
-        return np.unique(key), key
+    def keys(self) -> np.ndarray:
+        """Of each token the key of the pair that it ends: the context's place, the second word's bits."""
+        return (self.before.astype(_U) << _U(_SECOND_BITS)) | self.second[self.word]
 
 
 def range_cuts(words: np.ndarray, part: int, parts: int, fan: int) -> np.ndarray:
@@ -106,7 +105,8 @@ def ask(fan: int):
         chunk = Chunk(table.column("text"))
         learn = np.repeat(~table.column("held_out").to_numpy(), chunk.sizes)
         count = np.bincount(chunk.word[learn], minlength=len(chunk.words))
-        pairs, key = chunk.pairs()
+        key = chunk.keys()
+        pairs = np.unique(key)
         pair_count = np.bincount(np.searchsorted(pairs, key[learn]), minlength=len(pairs))
         context = (pairs >> _U(_SECOND_BITS)).astype(np.int64)
         own = Counts(chunk.words, count, context, pairs & _SECOND, pair_count)
@@ -217,16 +217,14 @@ class Automaton:
         unseen = d1 * self.v / (self.v + 1)  # of a word's share in counts
         root = (np.maximum(self.count - d1, 0) + unseen) / self.n if self.n else np.ones(len(self.count))
         self.root = np.log10(root)
-        pairs, _ = chunk.pairs()
+        pairs, first = np.unique(chunk.keys(), return_index=True)
         context, seen = (pairs >> _U(_SECOND_BITS)).astype(np.int64), pair_count > 0
         self.fail = np.zeros(len(total) + 1)  # log10 weight of each state's failure arc
         with np.errstate(divide="ignore", invalid="ignore"):
             share = np.where(total > 0, d2 * kinds / total, 1.0)
         self.fail[1:] = np.log10(share)
         self.state_after = np.where(total > 0, np.arange(1, len(total) + 1), 0)  # of a word: its own context, or the root
-        # arcs need the second word's own probability: found by its bits
-        order = np.argsort(chunk.second)
-        word = order[np.searchsorted(chunk.second[order], pairs[seen] & _SECOND)]
+        word = chunk.word[first[seen]]  # a pair's second word, whose own probability its arc needs
         arc = np.maximum(pair_count[seen] - d2, 0) / total[context[seen]] + share[context[seen]] * root[word]
         self.keys = ((context[seen] + 1).astype(_U) << _U(_SECOND_BITS)) | (pairs[seen] & _SECOND)
         self.arcs = np.log10(arc)

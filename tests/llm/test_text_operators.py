@@ -258,6 +258,27 @@ def test_language_model_matches_formulas(docs, empty, monkeypatch, fan, lane):
     assert backoff_lm.score(empty, crc_mod("doc_id", 10) == 0).count() == 0
 
 
+def test_an_arc_takes_the_chance_of_its_own_second_word(monkeypatch):
+    """Words that share their bits with others of a chunk, but not with others after the same first word, keep their own chances."""
+    words = [w for k in range(300) for w in (f"a{k}", f"b{k % 7}")]
+    docs = pa.table({"doc_id": [1, 2], "text": [" ".join(words), " ".join(words[:200])], "held_out": [False, False], "chunk": [0, 0]})
+    chunk = backoff_lm.Chunk(docs.column("text"))
+    pairs = len(np.unique(chunk.keys()))
+
+    def with_bits(bits: int) -> "backoff_lm.Chunk":
+        monkeypatch.setattr(backoff_lm, "_SECOND_BITS", bits), monkeypatch.setattr(backoff_lm, "_SECOND", np.uint64((1 << bits) - 1))
+        return backoff_lm.Chunk(docs.column("text"))
+
+    scores = lambda: backoff_lm.finish(docs, backoff_lm.answer(backoff_lm.ask(1)(docs))).column("score").to_pylist()
+    wanted, tried = scores(), 0
+    for bits in range(10, 24):
+        few = with_bits(bits)
+        if len(np.unique(few.keys())) == pairs and len(np.unique(few.second)) < len(few.second):
+            assert scores() == wanted
+            tried += 1
+    assert tried
+
+
 def test_fingerprints(docs, empty):
     rows = docs.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
     rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie, r.text or ""))
