@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.operators.carry import running_lag, running_last, running_sum
+from tapewright.operators.carry import before, bucketed, running_lag, running_last, running_sum, with_carried, within
 from tapewright.operators.dyadic import blocks_around, blocks_of
 
 #: Blocks of up to 2^SIZES buckets, and a time after all others.
@@ -160,9 +160,9 @@ def best_changes(intervals: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
     base = base.select("product_id", "bucket", "side", "tick", begin.alias("a"), (begin + bucket_ms).alias("b"), begin)
     both = cut.unionByName(base).withColumn("width", F.lit(bucket_ms).cast("long"))
     swept = both.groupBy("product_id", "bucket").applyInArrow(best_sweep, "product_id string, at_ms long, bid long, ask long")
-    before = running_lag(swept, ["product_id"], "at_ms", F.struct("bid", "ask"), "before", 64 * bucket_ms)
+    lagged = running_lag(swept, ["product_id"], "at_ms", F.struct("bid", "ask"), "before", 64 * bucket_ms)
     same = F.col("before.bid").eqNullSafe(F.col("bid")) & F.col("before.ask").eqNullSafe(F.col("ask"))
-    return before.filter(~same).drop("before")
+    return lagged.filter(~same).drop("before")
 
 
 def mid_changes(intervals: DataFrame, tick_size: float = 1.0, default: float | None = None, bucket_ms: int = 3_600_000) -> DataFrame:
@@ -193,6 +193,25 @@ def book_stats(levels: DataFrame, at: str = "at_ms") -> DataFrame:
     return out.withColumn("is_empty", (F.col("bid_levels") == 0) & (F.col("ask_levels") == 0))
 
 
+def stats_changes(intervals: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:
+    """book_stats() from each change of a level on, over all changes of the book: (product_id, at_ms, bid_levels, ask_levels, bid_volume, ask_volume, is_empty).
+
+    Running sums of what intervals bring at their beginning and take at their end, by buckets of time, so that no book is written out and no task orders a whole product. Volumes
+    run in decimals, so nothing is left over of an empty book. Rows of a time count together; other sides than bid and ask count for neither."""
+    amount, keys = F.col("qty").cast("decimal(30,8)"), ["product_id"]
+    edge = lambda at, sign: F.struct(F.col(at).alias("at_ms"), (amount * sign).alias("volume"), F.lit(sign).cast("long").alias("levels"))
+    edges = intervals.select("product_id", "side", F.explode(F.array(edge("from_ms", 1), edge("to_ms", -1))).alias("e")).select("product_id", "side", "e.*").filter("at_ms is not null")
+    names = [(f"{side}_{c}", side, c) for c in ("levels", "volume") for side in ("bid", "ask")]
+    each = edges.groupBy("product_id", "at_ms").agg(*[F.sum(F.when(F.col("side") == side, F.col(c))).alias(name) for name, side, c in names])
+    sums = {f"_{name}": F.sum(name) for name, _, _ in names}
+    carried = {f"_before_{name}": F.sum(f"_{name}").over(before(keys)) for name, _, _ in names}
+    cut = with_carried(bucketed(each, keys, "at_ms", bucket_ms), keys, sums, carried)
+    so_far = lambda name: F.coalesce(F.sum(name).over(within("at_ms")), F.lit(0)) + F.coalesce(f"_before_{name}", F.lit(0))
+    kind = {"levels": "long", "volume": "double"}
+    out = cut.select("product_id", "at_ms", *[so_far(name).cast(kind[c]).alias(name) for name, _, c in names])
+    return out.withColumn("is_empty", (F.col("bid_levels") == 0) & (F.col("ask_levels") == 0))
+
+
 def top_of_book(levels: DataFrame, tick_size: float = 1.0, at: str = "at_ms") -> DataFrame:
     """Best levels, spread, mid where both sides are there, and whether they cross."""
     bid, ask = F.when(F.col("side") == "bid", F.col("tick")), F.when(F.col("side") == "ask", F.col("tick"))

@@ -362,6 +362,18 @@ MARKET: dict[str, tuple] = {
         ),
     ),
     "b8_mid_price": (lambda s, d: book.mid_price(_daily(s, d), 0.0, at="g"), _with("SELECT * FROM mids", _BOOK_DAILY + _MIDS)),
+    "b6_stats_changes": (
+        lambda s, d: _rounded(book.stats_changes(_intervals(s, d)), "bid_volume", "ask_volume"),
+        _with(
+            """SELECT product_id, at_ms, CAST(bid_levels AS BIGINT) AS bid_levels, CAST(ask_levels AS BIGINT) AS ask_levels, round(bid_volume, 6) AS bid_volume, round(ask_volume, 6) AS ask_volume, bid_levels = 0 AND ask_levels = 0 AS is_empty FROM (
+ SELECT product_id, at_ms, sum(b) OVER w AS bid_levels, sum(a) OVER w AS ask_levels, CAST(sum(bq) OVER w AS DOUBLE) AS bid_volume, CAST(sum(aq) OVER w AS DOUBLE) AS ask_volume FROM edge
+ WINDOW w AS (PARTITION BY product_id ORDER BY at_ms))""",
+            S.BOOK,
+            """edge AS (SELECT product_id, at_ms, sum(CASE WHEN side = 'bid' THEN n ELSE 0 END) AS b, sum(CASE WHEN side = 'ask' THEN n ELSE 0 END) AS a,
+ sum(CASE WHEN side = 'bid' THEN n * CAST(qty AS DECIMAL(28, 8)) ELSE 0 END) AS bq, sum(CASE WHEN side = 'ask' THEN n * CAST(qty AS DECIMAL(28, 8)) ELSE 0 END) AS aq
+ FROM (SELECT product_id, from_ms AS at_ms, side, qty, 1 AS n FROM intervals UNION ALL SELECT product_id, to_ms, side, qty, -1 FROM intervals WHERE to_ms IS NOT NULL) GROUP BY 1, 2)""",
+        ),
+    ),
     "b8_mid_changes": (_mids, _with("SELECT * FROM midc", S.BOOK + _CHANGES)),
     "b9_band_filter": (b9, _with("SELECT product_id, g, side, tick, qty FROM (" + _band("mid * 0.25") + ")", _BOOK_DAILY + _MIDS)),
     "b9_band_modes": (

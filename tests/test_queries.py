@@ -9,7 +9,7 @@ from tapewright.plans.catalog import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = [n for n in queries() if n[0] in "nfws" or n in ("b1_apply_book_updates", "b2_level_intervals", "b4_book_as_of", "b9_band_filter", "b9_band_sweep", "b10_depth_sweep", "a3_slice_liquidity_depth", "b9_band_modes", "b12_latest_whole_book", "a3_slice_liquidity_band", "a15_insider_summary_period", "j4_insider_view", "j5_metric_concepts", "j3_filings_for", "j9_mid_at_trade", "t5_newest_cells", "t9_significant_trades", "a5_resting_liquidity", "a14_ohlc", "a15_insider_summary", "a16_financial_summary", "v4_heatmap_cells", "r2_stream_book", "r3_stream_slices", "r3_stream_liquidity", "r5_stream_open_slices", "r6_stream_samples", "r9_stream_retained", "b8_mid_changes", "t8_live_batches", "r1_stream_feed", "r5_stream_open_liquidity", "r7_stream_late_rows", "v2_stored_slices", "t7_stored_retained")]
+CHECKED = [n for n in queries() if n[0] in "nfws" or n in ("b1_apply_book_updates", "b2_level_intervals", "b4_book_as_of", "b9_band_filter", "b9_band_sweep", "b10_depth_sweep", "a3_slice_liquidity_depth", "b9_band_modes", "b12_latest_whole_book", "a3_slice_liquidity_band", "a15_insider_summary_period", "j4_insider_view", "j5_metric_concepts", "j3_filings_for", "j9_mid_at_trade", "t5_newest_cells", "t9_significant_trades", "a5_resting_liquidity", "a14_ohlc", "a15_insider_summary", "a16_financial_summary", "v4_heatmap_cells", "r2_stream_book", "r3_stream_slices", "r3_stream_liquidity", "r5_stream_open_slices", "r6_stream_samples", "r9_stream_retained", "b6_stats_changes", "b8_mid_changes", "t8_live_batches", "r1_stream_feed", "r5_stream_open_liquidity", "r7_stream_late_rows", "v2_stored_slices", "t7_stored_retained")]
 
 
 @pytest.fixture(scope="module")

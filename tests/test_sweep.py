@@ -68,3 +68,18 @@ def test_nothing_other_sides_and_unknown_bands(spark):
     assert sweep.band_intervals(rows.limit(0)).count() == 0 and sweep.depth_intervals(rows.limit(0)).count() == 0
     with pytest.raises(ValueError):
         sweep.band_intervals(rows, "share")
+
+
+@pytest.mark.parametrize("bucket", [1, 8, 4096])
+def test_statistics_from_each_change_on(spark, bucket):
+    """As of the books written out at the times of the changes; a book is empty where none is written; open intervals never end."""
+    rows = grid(spark, bucket)
+    open_end = F.when(F.col("to_g") < 90, F.col("to_g"))
+    got = book.stats_changes(rows.select("product_id", "side", "tick", "qty", F.col("from_g").alias("from_ms"), open_end.alias("to_ms")), bucket).collect()
+    times = {(p, t) for p, a, b in rows.select("product_id", "from_g", "to_g").collect() for t in (a, b) if t < 90}
+    assert {(r.product_id, r.at_ms) for r in got} == times and len(got) == len(times)
+    wanted = {(r.product_id, r.g): tuple(r)[2:] for r in book.book_stats(book.carry_forward(rows), "g").collect()}
+    assert any(key not in wanted for key in times) or all(tuple(r)[2:4] != (0, 0) for r in got)
+    for r in got:
+        assert tuple(r)[2:] == wanted.get((r.product_id, r.at_ms), (0, 0, 0.0, 0.0, True))
+    assert book.stats_changes(spark.createDataFrame([], "product_id string, side string, tick long, qty double, from_ms long, to_ms long")).count() == 0
