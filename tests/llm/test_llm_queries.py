@@ -165,3 +165,35 @@ def test_vocabularies_that_read_over_white_space_are_refused(tmp_path):
     text = "The [CLS] END. x[CLS]y"
     raw = np.frombuffer(text.encode(), np.uint8)
     assert table.encode(raw, np.array([0, len(raw)]))[0].tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_toxicity_query_never_sees_held_out_labels(spark, tmp_path):
+    """Rows held out by the crc of their id, the verdict at 0.3, and the same scores whatever the labels of those rows, and other columns, say."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2"
+    kind = labels.schema["toxic"].dataType.simpleString()
+    turned = labels.selectExpr("doc_id", f"cast(if({held}, 1 - cast(toxic as int), cast(toxic as int)) as {kind}) as toxic")
+    docs.selectExpr("doc_id", "text", "'own' as source", "'own' as lang").write.parquet(f"{tmp_path}/documents.parquet")
+    turned.write.parquet(f"{tmp_path}/labels.parquet")
+    assert turned.exceptAll(labels.select("doc_id", "toxic")).count() > 0
+    got, other = (toxicity.op2_toxicity(spark, d).toPandas().sort_values("doc_id", ignore_index=True) for d in (SF, str(tmp_path)))
+    assert np.allclose(got["score"], other["score"], atol=1e-6) and got["score"].between(0, 1).all() and got["score"].nunique() > 1
+    assert got["held_out"].tolist() == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got["doc_id"]]
+    assert got["predicted"].tolist() == (got["score"] >= 0.3).astype(int).tolist()
+
+
+def test_toxicity_model_is_fit_on_what_the_labels_say(spark):
+    """The prior is the share of label 1 among labelled rows; features are those that stand out; without toxic rows, or without others, all scores are 0."""
+    rows = [(i, f"plain words number{i} of a text" + (" awfulword" if i % 5 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 400, 2)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    scores = {r.doc_id: r.toxicity_score for r in toxicity.score(docs, model).collect()}
+    assert abs(np.mean(list(scores.values())) - 0.2) < 0.02
+    assert min(s for i, s in scores.items() if i % 5 == 0) > max(s for i, s in scores.items() if i % 5)
+    own = set(np.unique(toxicity.features(pa.array(["awfulword"]))[1]).tolist())
+    assert set(model.features.tolist()) <= own and len(model.features)
+    for label in (0, 1):
+        every = spark.createDataFrame([(i, label) for i in range(400)], "doc_id long, toxic int")
+        assert toxicity.fit(docs, every) is None
+    assert {r.toxicity_score for r in toxicity.score(docs, None).collect()} == {0.0}
