@@ -96,17 +96,18 @@ def carry_forward(grid: DataFrame) -> DataFrame:
     return grid.select("product_id", F.explode(F.sequence("from_g", F.col("to_g") - 1)).alias("g"), "side", "tick", "qty")
 
 
-def book_as_of(intervals: DataFrame, times: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:
-    """The books at the times (product_id, at_ms): (product_id, at_ms, side, tick, qty).
+def book_as_of(intervals: DataFrame, times: DataFrame, bucket_ms: int = 86_400_000, on: tuple = (), sizes: int = SIZES) -> DataFrame:
+    """The books at the times (product_id, at_ms): the columns of times, and side, tick, qty. on: columns of a level, such as tick, that times have too: only the levels that agree in them are looked for.
 
-    An interval is laid out in at most two blocks of 1, 2, 4 ... buckets of time each, and meets the times that lie in them; an open interval reaches to the latest time asked for."""
+    An interval is laid out in at most two blocks of 1, 2, 4 ... buckets of time each, and meets the times that lie in them; an open interval reaches to the latest time asked for.
+    Both sides are shuffled: Spark takes the times for as small as they were before they were laid out in blocks, and would broadcast them."""
     latest = times.groupBy("product_id").agg(F.max("at_ms").alias("latest"))
     held = intervals.join(latest, "product_id").withColumn("until", F.least(F.coalesce("to_ms", F.col("latest") + 1), F.col("latest") + 1)).filter("from_ms < until")
     held = held.withColumns({"first": F.floor(F.col("from_ms") / bucket_ms), "end": F.floor((F.col("until") - 1) / bucket_ms) + 1})
-    held = held.withColumn("part", F.explode(blocks_of("first", "end", SIZES))).drop("first", "end", "latest", "to_ms")
-    asked = times.withColumn("place", F.floor(F.col("at_ms") / bucket_ms)).withColumn("part", F.explode(blocks_around("place", SIZES))).drop("place")
-    joined = held.join(asked, ["product_id", "part"]).filter("from_ms <= at_ms and at_ms < until")
-    return joined.select("product_id", "at_ms", "side", "tick", "qty")
+    held = held.withColumn("part", F.explode(blocks_of("first", "end", sizes))).drop("first", "end", "latest", "to_ms")
+    asked = times.withColumn("place", F.floor(F.col("at_ms") / bucket_ms)).withColumn("part", F.explode(blocks_around("place", sizes))).drop("place")
+    joined = held.join(asked.hint("merge"), ["product_id", *on, "part"]).filter("from_ms <= at_ms and at_ms < until")
+    return joined.select(*times.columns, *[c for c in ("side", "tick", "qty") if c not in times.columns])
 
 
 def best_sweep(key: tuple, rows: pa.Table) -> pa.Table:

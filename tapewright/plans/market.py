@@ -13,7 +13,7 @@ from tapewright.plans import sqltext as S
 from tapewright.sources import views
 from tapewright.streaming.streams import new_folder
 
-HOUR, DAY = 3_600_000, 86_400_000
+MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
 STEP, RESOLUTION, TIMEFRAMES = HOUR, 5.0, [HOUR, 6 * HOUR, DAY]
 T0, T1 = 1_704_067_200_000, 1_706_745_600_000  # January 2024
 MID = T0 + 10 * DAY
@@ -230,7 +230,7 @@ def a11(spark, d):
 def j7(spark, d):
     """Trades and the levels that stood at their price when they came: a range join by buckets of time."""
     rows = views.trades(spark, d).select("product_id", "trade_id", F.col("ts_ms").alias("at_ms"), F.floor("price").alias("tick"))
-    return rows.join(book.book_as_of(_intervals(spark, d), rows.select("product_id", "at_ms").distinct()), ["product_id", "at_ms", "tick"]).select("product_id", "trade_id", "side", "qty")
+    return book.book_as_of(_intervals(spark, d), rows, 10 * MINUTE, ("tick",), 6).select("product_id", "trade_id", "side", "qty")
 
 
 def _mids(spark, d):
