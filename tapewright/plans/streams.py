@@ -14,25 +14,34 @@ from tapewright.sources.filings import write_partitioned
 from tapewright.streaming import streams
 
 
-SLICES, SLICE_ROWS = 5, 50_000
+#: Fifths of the ids, by which the queries deal their events, and the rows of a file: what bounds a batch, and so what a task holds. Small batches cost their state stores' commits more than their rows.
+SLICES, SLICE_ROWS = 5, 1_000_000
 
 
-def _events(spark: SparkSession, d: str, order: tuple = tuple(range(SLICES))) -> DataFrame:
-    """All events as a stream of several batches: written one slice of ids after the other, SLICES files or more as the table grows, and read a file at a time. order: of the slices, in fifths."""
+def _event_files(spark: SparkSession, d: str, order: tuple = tuple(range(SLICES))) -> str:
+    """A folder of all events, one slice of ids after the other, SLICES files or more as the table grows. The table is read once and cut by slice; each slice is read from its own part. order: of the slices, in fifths."""
     events = views.table(spark, d, "events")
     low, high, n = events.agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
-    path, each = streams.new_folder(spark, "events"), max(1, -(-n // (SLICES * SLICE_ROWS)))
-    width = -(-((high or 0) - (low or 0) + 1) // SLICES)
+    path, cuts, each = streams.new_folder(spark, "events"), streams.new_folder(spark, "cuts"), max(1, -(-n // (SLICES * SLICE_ROWS)))
+    low, width = low or 0, -(-((high or 0) - (low or 0) + 1) // SLICES)
+    part = f"((event_id - {low}) % {width} * {each} + {each - 1}) div {width}"
+    rows = events.withColumn("slice", F.expr(f"(event_id - {low}) div {width} * {each} + {part}"))
+    rows.write.partitionBy("slice").parquet(cuts)
+    cut = spark.read.schema(rows.schema).parquet(cuts)
     for k in order:
-        for part in range(each):
-            begin = (low or 0) + k * width + part * width // each
-            end = (low or 0) + k * width + (part + 1) * width // each
-            events.filter((F.col("event_id") >= begin) & (F.col("event_id") < end)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        for slice in range(k * each, (k + 1) * each):
+            cut.filter(F.col("slice") == slice).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-def _trades(spark: SparkSession, d: str, *order) -> DataFrame:
-    return _events(spark, d, *order).selectExpr(
+def _events(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    """All events as a stream of several batches, a file of _event_files() at a time."""
+    schema = views.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path or _event_files(spark, d))
+
+
+def _trades(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    return _events(spark, d, path).selectExpr(
         "event_type AS product_id", "concat('t', event_id) AS trade_id", f"timestamp_millis({views.MS}) AS ts", "event_id AS ingest_seq", "value AS price", "CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS size"
     )
 
@@ -107,7 +116,7 @@ def r7(spark, d):
     """Trades kept of each product, and the number of rows that came too late: the third fifth of the events comes last."""
     late = streams.LateRows()
     spark.streams.addListener(late)
-    kept, _, query = streams.drained_with_state(streams.unique_trades(_trades(spark, d, LATE_ORDER), "1 hour"), "late")
+    kept, _, query = streams.drained_with_state(streams.unique_trades(_trades(spark, d, _event_files(spark, d, LATE_ORDER)), "1 hour"), "late")
     n = late.of(query)
     spark.streams.removeListener(late)
     counts = kept.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
@@ -143,7 +152,8 @@ def r8(spark, d):
 
 
 def r10(spark, d):
-    twice = _trades(spark, d).unionByName(_trades(spark, d))
+    path = _event_files(spark, d)
+    twice = _trades(spark, d, path).unionByName(_trades(spark, d, path))
     return streams.drained(streams.unique_trades(twice), "unique").select("product_id", "trade_id", F.unix_millis("ts").alias("ts_ms"), "price", "size")
 
 

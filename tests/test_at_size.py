@@ -1,8 +1,36 @@
 """What would grow faster than its input: files and batches, broadcasts, repeated parsing, and ties that only larger tables have."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tapewright.operators import book
+from tapewright.plans import streams
+
+
+def put_events(spark, tmp_path, rows):
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_batches_of_events_grow_slower_than_50_000_rows(spark, tmp_path):
+    rows = spark.range(300_000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 7 AS user_id", "'view' AS event_type", "1D AS value", "'{\"k\": 1}' AS props")
+    path = streams._event_files(spark, put_events(spark, tmp_path, rows)).removeprefix("file://")
+    files = sorted((f.path for f in os.scandir(path) if f.name.endswith(".parquet")), key=lambda f: os.stat(f).st_mtime_ns)
+    bounds = [tuple(spark.read.parquet(f).agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()) for f in files]
+    assert bounds == [(k * 60_000, k * 60_000 + 59_999, 60_000) for k in range(5)]
+
+
+def test_slices_of_events_in_their_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "SLICE_ROWS", 4)
+    rows = spark.range(3, 103, 2).filter("id < 40 or id > 60").selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "1L AS user_id", "'view' AS event_type", "1D AS value", "'' AS props")
+    path = streams._event_files(spark, put_events(spark, tmp_path, rows), (0, 1, 3, 4, 2)).removeprefix("file://")
+    files = sorted((f.path for f in os.scandir(path) if f.name.endswith(".parquet")), key=lambda f: os.stat(f).st_mtime_ns)
+    ids = [[r.event_id for r in spark.read.parquet(f).collect()] for f in files]
+    flat = [x for file in ids for x in sorted(file)]
+    assert len(files) == 10 and sorted(flat) == [r.event_id for r in rows.orderBy("event_id").collect()]
+    late = [x for x in flat if 3 + 2 * 20 <= x < 3 + 3 * 20]
+    assert late and flat[-len(late) :] == late
 
 
 def test_times_in_blocks_are_not_broadcast_and_levels_meet_by_tick(spark):
