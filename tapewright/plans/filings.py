@@ -47,14 +47,16 @@ def _submissions(spark, d) -> DataFrame:
 
 
 def _facts_text(spark, d) -> DataFrame:
-    """Facts as nested JSON and back."""
+    """Facts as nested JSON and back: a line for each company, as there are too many companies for a file each."""
     one = F.struct(F.col("pos").alias("o"), F.struct(F.col("end_date").cast("string").alias("end"), "val", "form").alias("v"))
     by_unit = views.facts(spark, d).groupBy("cik", "taxonomy", "concept", "unit").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["v"]).alias("v"), F.min("pos").alias("first"))
     units = by_unit.groupBy("cik", "taxonomy", "concept").agg(F.sort_array(F.collect_list(F.struct("first", "unit", "v"))).alias("u"))
     units = units.withColumn("units", F.map_from_entries(F.transform("u", lambda x: F.struct(x["unit"], x["v"]))))
     concepts = units.groupBy("cik", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("units")))).alias("c"))
     whole = concepts.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "c"))).alias("facts"))
-    return R.read_company_facts(spark, _as_files(whole.select(F.col("cik").alias("file"), F.to_json(F.struct("cik", "facts")).alias("value"))))
+    path = new_folder(spark, "facts")
+    whole.select(F.to_json(F.struct("cik", "facts")).alias("value")).write.text(path)
+    return R.read_company_facts(spark, path, by_line=True)
 
 
 def _form4(spark, d) -> DataFrame:

@@ -35,8 +35,9 @@ def parse_company_facts(texts: DataFrame, value: str = "value") -> DataFrame:
     return rows.select("cik", "taxonomy", "concept", "unit", pos, F.col("v.end").try_cast("date").alias("end_date"), "v.val", "v.form", "v.fy", "v.fp", F.col("v.filed").try_cast("date").alias("filed"))
 
 
-def read_company_facts(spark: SparkSession, path: str) -> DataFrame:
-    return parse_company_facts(whole_files(spark, path))
+def read_company_facts(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """A company in each file, as they are downloaded; by_line: in each line of files that hold any number of them."""
+    return parse_company_facts(spark.read.text(path) if by_line else whole_files(spark, path))
 
 
 def parse_cik_map(texts: DataFrame, value: str = "value") -> DataFrame:

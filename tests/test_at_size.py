@@ -1,11 +1,13 @@
 """What would grow faster than its input: files and batches, broadcasts, repeated parsing, and ties that only larger tables have."""
 
+import json
 import os
 
 from pyspark.sql import functions as F
 
 from tapewright.operators import book
 from tapewright.plans import streams
+from tapewright.sources import filings as sources
 
 
 def put_events(spark, tmp_path, rows):
@@ -42,3 +44,9 @@ def test_times_in_blocks_are_not_broadcast_and_levels_meet_by_tick(spark):
     assert [line for line in plan.splitlines() if "SortMergeJoin" in line and "part#" in line]
     wanted = times.alias("t").join(intervals.alias("i"), F.expr("t.tick = i.tick and from_ms <= at_ms and (to_ms is null or at_ms < to_ms)")).selectExpr("t.product_id", "trade_id", "at_ms", "t.tick", "side", "qty")
     assert sorted(map(tuple, out.collect())) == sorted(tuple(r) for r in wanted.collect()) and out.count() > 50
+
+
+def test_companies_share_a_file(spark, tmp_path):
+    one = lambda cik, v: json.dumps({"cik": cik, "facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2024-01-01", "val": v, "form": "10-K"}]}}}}})
+    (tmp_path / "facts.txt").write_text(one(1, 2.0) + "\n" + one(7, 3.0) + "\n")
+    assert sorted((r.cik, r.val) for r in sources.read_company_facts(spark, f"file://{tmp_path}/facts.txt", by_line=True).collect()) == [(1, 2.0), (7, 3.0)]
