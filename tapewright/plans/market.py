@@ -132,7 +132,7 @@ def n10(spark, d):
 
 def n11(spark, d):
     rows = views.trades(spark, d)
-    return messages.sequence_audit(rows, seq="ingest_seq", arrival="ts_ms", bucket=DAY).select("product_id", "ingest_seq", "state", "missed")
+    return messages.sequence_audit(rows, seq="ingest_seq", arrival=["ts_ms", "ingest_seq"], bucket=DAY).select("product_id", "ingest_seq", "state", "missed")
 
 
 def n12(spark, d):

@@ -2,11 +2,12 @@
 
 import json
 import os
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tapewright.operators import book
-from tapewright.plans import streams
+from tapewright.plans import market, streams
 from tapewright.sources import filings as sources
 
 
@@ -35,6 +36,14 @@ def test_slices_of_events_in_their_order(spark, tmp_path, monkeypatch):
     assert late and flat[-len(late) :] == late
 
 
+def test_audit_settles_ties_by_number(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [(n, at + timedelta(minutes=n // 10), 1, "view", 1.0, '{"k": 1}') for n in range(39, -1, -1)]
+    frame = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1)
+    got = {r.ingest_seq: r.state for r in market.n11(spark, put_events(spark, tmp_path, frame)).collect()}
+    assert got == {n: "next" if n else "first" for n in range(40)}
+
+
 def test_times_in_blocks_are_not_broadcast_and_levels_meet_by_tick(spark):
     held = [("a", "bid", tick, 1.0 + n, 100 * n, 100 * n + 90 if n < 30 else None) for tick in (5, 6) for n in range(31)]
     intervals = spark.createDataFrame(held, "product_id string, side string, tick long, qty double, from_ms long, to_ms long")
