@@ -235,37 +235,49 @@ def owner_position(relationship: Column) -> Column:
 
 
 def parse_form4(documents: DataFrame, xml: str = "xml") -> DataFrame:
-    """Transactions of ownership documents (accession_no, xml): derivative ones have an exercise price; a malformed document has none."""
+    """Transactions of ownership documents (accession_no, xml): derivative ones have an exercise price; a malformed document has none.
+
+    A document is parsed once: both kinds of transactions are brought to one shape before they become rows."""
     parsed = documents.select("accession_no", F.from_xml(F.col(xml), FORM4, {"mode": "PERMISSIVE", "rowTag": "ownershipDocument"}).alias("d"))
     text = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("N/A"))
+    none = F.lit(None).cast("string")
+
+    def raw(transactions: str, derivative: bool) -> Column:
+        def item(t: Column) -> Column:
+            amounts = t["transactionAmounts"]
+            return F.struct(
+                t["securityTitle"]["value"].alias("security"),
+                t["transactionDate"]["value"].alias("transaction_date"),
+                t["transactionCoding"]["transactionCode"].alias("transaction_code"),
+                amounts["transactionShares"]["value"].alias("shares"),
+                amounts["transactionPricePerShare"]["value"].alias("price_per_share"),
+                F.lit(derivative).alias("is_derivative"),
+                (none if derivative else t["postTransactionAmounts"]["sharesOwnedFollowingTransaction"]["value"]).alias("shares_after"),
+                (t["conversionOrExercisePrice"]["value"] if derivative else none).alias("exercise_price"),
+                (t["expirationDate"]["value"] if derivative else none).alias("expiration_date"),
+            )
+
+        return F.coalesce(F.transform(F.col(transactions), item), F.array())
+
     owner = F.col("d.reportingOwner")[0]
-    head = [
+    both = F.concat(raw("d.nonDerivativeTable.nonDerivativeTransaction", False), raw("d.derivativeTable.derivativeTransaction", True))
+    return parsed.select("accession_no", F.col("d.issuer").alias("issuer"), owner.alias("owner"), F.explode(both).alias("t")).select(
         "accession_no",
-        text(F.col("d.issuer.issuerCik")).alias("issuer_cik"),
-        text(F.col("d.issuer.issuerName")).alias("issuer_name"),
-        text(F.col("d.issuer.issuerTradingSymbol")).alias("ticker"),
-        text(owner["reportingOwnerId"]["rptOwnerName"]).alias("owner_name"),
-        owner_position(owner["reportingOwnerRelationship"]).alias("position"),
-    ]
-
-    def common(t: str, derivative: bool) -> list[Column]:
-        return [
-            text(F.col(f"{t}.securityTitle.value")).alias("security"),
-            F.col(f"{t}.transactionDate.value").try_cast("date").alias("transaction_date"),
-            text(F.col(f"{t}.transactionCoding.transactionCode")).alias("transaction_code"),
-            plain_number(F.col(f"{t}.transactionAmounts.transactionShares.value")).alias("shares"),
-            plain_number(F.col(f"{t}.transactionAmounts.transactionPricePerShare.value")).alias("price_per_share"),
-            F.lit(derivative).alias("is_derivative"),
-        ]
-
-    names = ["accession_no", "issuer_cik", "issuer_name", "ticker", "owner_name", "position"]
-    plain = parsed.select(*head, F.explode("d.nonDerivativeTable.nonDerivativeTransaction").alias("t")).select(
-        *names, *common("t", False), F.col("t.postTransactionAmounts.sharesOwnedFollowingTransaction.value").try_cast("double").alias("shares_after")
-    )
-    derived = parsed.select(*head, F.explode("d.derivativeTable.derivativeTransaction").alias("t")).select(
-        *names, *common("t", True), plain_number(F.col("t.conversionOrExercisePrice.value")).alias("exercise_price"), F.col("t.expirationDate.value").try_cast("date").alias("expiration_date")
+        text(F.col("issuer.issuerCik")).alias("issuer_cik"),
+        text(F.col("issuer.issuerName")).alias("issuer_name"),
+        text(F.col("issuer.issuerTradingSymbol")).alias("ticker"),
+        text(F.col("owner.reportingOwnerId.rptOwnerName")).alias("owner_name"),
+        owner_position(F.col("owner.reportingOwnerRelationship")).alias("position"),
+        text(F.col("t.security")).alias("security"),
+        F.col("t.transaction_date").try_cast("date").alias("transaction_date"),
+        text(F.col("t.transaction_code")).alias("transaction_code"),
+        plain_number(F.col("t.shares")).alias("shares"),
+        plain_number(F.col("t.price_per_share")).alias("price_per_share"),
+        "t.is_derivative",
+        F.col("t.shares_after").try_cast("double").alias("shares_after"),
+        F.when(F.col("t.is_derivative"), plain_number(F.col("t.exercise_price"))).alias("exercise_price"),
+        F.col("t.expiration_date").try_cast("date").alias("expiration_date"),
     )
-    return plain.unionByName(derived, allowMissingColumns=True)
 
 
 def _last_of_priority(priority: Column) -> Column:

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tapewright.operators import book
+from tapewright.operators import book, filings
 from tapewright.plans import market, streams
 from tapewright.sources import filings as sources
 
@@ -59,3 +59,9 @@ def test_companies_share_a_file(spark, tmp_path):
     one = lambda cik, v: json.dumps({"cik": cik, "facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2024-01-01", "val": v, "form": "10-K"}]}}}}})
     (tmp_path / "facts.txt").write_text(one(1, 2.0) + "\n" + one(7, 3.0) + "\n")
     assert sorted((r.cik, r.val) for r in sources.read_company_facts(spark, f"file://{tmp_path}/facts.txt", by_line=True).collect()) == [(1, 2.0), (7, 3.0)]
+
+
+def test_a_document_is_parsed_once(spark):
+    docs = spark.createDataFrame([(1, "<ownershipDocument></ownershipDocument>")], "accession_no long, xml string")
+    plan = filings.parse_form4(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
