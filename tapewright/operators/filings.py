@@ -106,21 +106,37 @@ def with_codes(tx: DataFrame, codes: DataFrame) -> DataFrame:
     return rows.withColumns({"description": F.coalesce("description", F.lit("Unknown")), "is_buy": F.coalesce("is_buy", F.lit(False)), "is_sell": F.coalesce("is_sell", F.lit(False))})
 
 
-def insider_view(tx: DataFrame, filings: DataFrame) -> DataFrame:
-    """Transactions with their filing's date, form, address and document, as far as the tables have them. Derivatives have no value, and their exercise price as price."""
+#: Transactions that a task joins with their filings, where their number is known.
+JOINED_ROWS = 500_000
+
+
+def insider_view(tx: DataFrame, filings: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """Transactions with their filing's date, form, address and document, as far as the tables have them. Derivatives have no value, and their exercise price as price.
+
+    With about how many transactions there are, tasks grow in number with them, not in size: more than run at once are dealt out here, as shuffles of Spark have a fixed number."""
     derivative = F.coalesce("is_derivative", F.lit(False))
     exercise = F.col("exercise_price") if "exercise_price" in tx.columns else F.lit(None).cast("double")
     shown = {"price": F.when(derivative, exercise).otherwise(F.col("price_per_share")), "value": F.when(~derivative, F.coalesce(F.col("shares") * F.col("price_per_share"), F.lit(0.0)))}
     own = [c for c in ("filing_date", "form", "url", "primary_document") if c in filings.columns]
-    return tx.withColumns(shown).join(filings.select("accession_no", *own), "accession_no")
+    rows, own = tx.withColumns(shown), filings.select("accession_no", *own)
+    tasks = -(-(n_rows or 0) // JOINED_ROWS)
+    if tasks > tx.sparkSession.sparkContext.defaultParallelism:
+        rows, own = rows.repartition(tasks, "accession_no"), own.repartition(tasks, "accession_no").hint("merge")
+    return rows.join(own, "accession_no")
 
 
 def recent_filings(view: DataFrame, limit: int = 10) -> DataFrame:
-    """Transactions of each ticker's latest filings that have any."""
-    filings = view.select("ticker", "accession_no", "filing_date").distinct()
-    rank = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("filing_date").desc(), F.col("accession_no").desc()))
-    kept = filings.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank", "filing_date")
-    return view.join(kept, ["ticker", "accession_no"], "left_semi")
+    """Transactions of each ticker's latest filings that have any.
+
+    Filings are dealt to a few parts by their number. The latest dates of limit parts are those of as many filings, so none before the least of them is
+    wanted, and only what is left is ranked: a task holds a date for each ticker and part, not its filings. A ticker with fewer parts keeps all its rows."""
+    n = max(limit, 1)
+    part = F.pmod(F.xxhash64("accession_no"), F.lit(8 * n)).alias("part")
+    latest = view.groupBy("ticker", part).agg(F.max("filing_date").alias("latest"))
+    since = latest.groupBy("ticker").agg(F.try_element_at(F.sort_array(F.collect_list("latest"), False), F.lit(n)).alias("since"))
+    near = view.join(F.broadcast(since), "ticker", "left").filter("since is null or filing_date >= since")  # a row for each ticker
+    rank = F.dense_rank().over(Window.partitionBy("ticker").orderBy(F.col("filing_date").desc(), F.col("accession_no").desc()))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= limit).select(*view.columns)
 
 
 def insider_summary(tx: DataFrame, codes: DataFrame, filings: DataFrame | None = None, as_of: str | None = None, days_back: int = 90) -> DataFrame:

@@ -118,7 +118,7 @@ def _view(spark, d) -> DataFrame:
     """Transactions, derivatives with an exercise price, and filings with an address and a document."""
     tx = views.insider(spark, d).withColumn("exercise_price", F.when(F.col("is_derivative"), F.col("shares") + 0.5))
     own = views.filings(spark, d).withColumns({"url": O.filing_url(F.substr("ticker", F.lit(2)), F.col("accession_no")), "primary_document": F.concat(F.lit("doc"), F.col("accession_no"), F.lit(".xml"))}).drop("ticker")
-    return O.insider_view(tx, own)
+    return O.insider_view(tx, own, views.table(spark, d, "lineitem").count())
 
 
 def f6(spark, d):

@@ -65,3 +65,31 @@ def test_a_document_is_parsed_once(spark):
     docs = spark.createDataFrame([(1, "<ownershipDocument></ownershipDocument>")], "accession_no long, xml string")
     plan = filings.parse_form4(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_xml") == 1
+
+
+def test_recent_filings_hold_dates_not_filings(spark):
+    """As a rank over all rows has them: filings of a day by number, a number filed twice by its date, dates and tickers that are null, tickers with few filings."""
+    rows = spark.range(6000).selectExpr(
+        "if(id % 11 = 0, null, concat('T', id % 7)) AS ticker",
+        "if(id < 3, id, pmod(xxhash64(id), 900)) AS accession_no",
+        "if(id % 13 = 0, null, date_add(DATE'2024-01-01', int(pmod(xxhash64(id, 1), 40)))) AS filing_date",
+        "id AS tx",
+    )
+    few = spark.createDataFrame([("U", 1, "2024-01-01", -1), ("U", 1, "2023-01-01", -2), ("U", 2, None, -3)], "ticker string, accession_no long, filing_date string, tx long")
+    view = rows.unionByName(few.withColumn("filing_date", F.to_date("filing_date"))).localCheckpoint()
+    for limit in (0, 1, 2, 10):
+        out = filings.recent_filings(view, limit)
+        ranked = view.selectExpr("tx", "dense_rank() OVER (PARTITION BY ticker ORDER BY filing_date DESC NULLS LAST, accession_no DESC) AS n").filter(f"n <= {limit}")
+        assert out.columns == view.columns and sorted(r.tx for r in out.collect()) == sorted(r.tx for r in ranked.collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and not [line for line in plan.splitlines() if "Aggregate" in line and "accession_no#" in line]
+
+
+def test_joins_of_filings_have_more_tasks_not_larger_ones(spark, monkeypatch):
+    monkeypatch.setattr(filings, "JOINED_ROWS", 500)
+    tx = spark.range(20_000).selectExpr("concat('T', id % 5) AS ticker", "id div 4 AS accession_no", "1D AS shares", "2D AS price_per_share", "false AS is_derivative")
+    own = spark.range(10_000).selectExpr("id AS accession_no", "date_add(DATE'2024-01-01', int(id % 300)) AS filing_date")
+    out = filings.insider_view(tx, own, 20_000)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 40 and max(sizes) < 1500
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, filings.insider_view(tx, own).collect()))
